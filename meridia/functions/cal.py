@@ -24,23 +24,27 @@ def floor_div(a: Column, b: int) -> Column:
     return F.floor(a / F.lit(b)).cast("long")
 
 
-def _in_year(m: Column, d: Column) -> Column:
-    """Days since 1 March."""
-    return floor_div(153 * ((m + 9) % 12) + 2, 5) + d - 1
+def _month(y: Column, m: Column, base: int, cycle: int) -> Column:
+    """The first of a month as a DATE in the years from `base` that repeat as `cycle` years do."""
+    return F.make_date((F.lit(base) + F.pmod(y, F.lit(cycle))).cast("int"), m.cast("int"), F.lit(1))
 
 
 def gregorian_day(y: Column | str, m: Column | str, d: Column | str) -> Column:
     """Day number of a Gregorian date of any year."""
-    y, m, d = col(y).cast("long"), col(m).cast("long"), col(d).cast("long")
-    z = y - (m <= 2).cast("long")
-    return 365 * z + floor_div(z, 4) - floor_div(z, 100) + floor_div(z, 400) + _in_year(m, d) - 306
+    y, m, d = col(y).cast("long"), col(m), col(d)
+    return F.unix_date(_month(y, m, 2000, 400)) + d - 1 + 719162 + 146097 * (floor_div(y, 400) - 5)
+
+
+def gregorian_month_end(y: Column | str, m: Column | str) -> Column:
+    """Day number of the last day of a Gregorian month."""
+    y = col(y).cast("long")
+    return F.unix_date(F.last_day(_month(y, col(m), 2000, 400))) + 719162 + 146097 * (floor_div(y, 400) - 5)
 
 
 def julian_day(y: Column | str, m: Column | str, d: Column | str) -> Column:
-    """Day number of a Julian date of any year."""
-    y, m, d = col(y).cast("long"), col(m).cast("long"), col(d).cast("long")
-    z = y - (m <= 2).cast("long")
-    return 365 * z + floor_div(z, 4) + _in_year(m, d) - 308
+    """Day number of a Julian date of any year; 1901 to 1904 have its months."""
+    y, m, d = col(y).cast("long") - 1, col(m), col(d)
+    return F.datediff(_month(y, m, 1901, 4), F.lit("1901-01-01").cast("date")) + d - 1 - 2 + 1461 * floor_div(y, 4)
 
 
 def gregorian_civil(day: Column | str) -> Column:
@@ -77,13 +81,14 @@ def month_length(y: Column | str, m: Column | str) -> Column:
 
 def first_day(y: Column | str, m: Column | str, d: Column | str, precision: Column | str) -> Column:
     """First day that a date of a precision (9 year, 10 month, 11 day) names."""
-    y, m, d, p = col(y), col(m), col(d), col(precision)
-    return F.when(p <= YEAR, gregorian_day(y, F.lit(1), F.lit(1))).when(p == MONTH, gregorian_day(y, m, F.lit(1))).otherwise(gregorian_day(y, m, d))
+    p = col(precision)
+    return gregorian_day(y, F.when(p <= YEAR, 1).otherwise(col(m)), F.when(p <= MONTH, 1).otherwise(col(d)))
 
 
 def last_day(y: Column | str, m: Column | str, d: Column | str, precision: Column | str) -> Column:
-    y, m, d, p = col(y), col(m), col(d), col(precision)
-    return F.when(p <= YEAR, gregorian_day(y, F.lit(12), F.lit(31))).when(p == MONTH, gregorian_day(y, m, month_length(y, m))).otherwise(gregorian_day(y, m, d))
+    """Last day that a date of a precision names."""
+    p = col(precision)
+    return F.when(p > MONTH, gregorian_day(y, m, d)).otherwise(gregorian_month_end(y, F.when(p <= YEAR, 12).otherwise(col(m))))
 
 
 def astronomical(y: Column | str) -> Column:

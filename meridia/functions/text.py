@@ -37,7 +37,7 @@ def point(text: Column | str) -> Column:
 
 def split_list(text: Column | str, mark: str = ";") -> Column:
     """The trimmed, not empty parts of a list in a text."""
-    return F.filter(F.transform(F.split(col(text), mark), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(col(text), mark), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def relation(name: Column | str) -> Column:

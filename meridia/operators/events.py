@@ -196,9 +196,26 @@ def display_parents(candidates: DataFrame) -> DataFrame:
     at = stored(ranked.select("child").distinct().withColumn("n", F.lit(1)), "choice")
     while True:
         chosen = stored(at.join(ranked, ["child", "n"]).select("child", "parent"), "chosen")
-        loops = closure(chosen).where("node = ancestor").select(F.col("node").alias("child"))
-        if loops.isEmpty():
+        most = circle_heads(chosen)
+        if most.isEmpty():
             return chosen
-        ring = loops.join(chosen, "child")
-        reach = closure(ring).groupBy("node").agg(F.max("ancestor").alias("largest")).where("node = largest").select(F.col("node").alias("child"), F.lit(1).alias("step"))
-        at = stored(at.join(reach, "child", "left").select("child", (F.col("n") + F.coalesce("step", F.lit(0))).alias("n")), "choice")
+        at = stored(at.join(most.select("child", F.lit(1).alias("step")), "child", "left").select("child", (F.col("n") + F.coalesce("step", F.lit(0))).alias("n")), "choice")
+
+
+def circle_heads(choice: DataFrame) -> DataFrame:
+    """child: the largest of each circle of choice(child, parent), one parent to a child.
+
+    Pointers are doubled until they reach over all children; what they then point to are
+    the children in circles, and the largest seen on the way is their circle's.
+    """
+    from meridia.shared import stored
+
+    inner = choice.join(choice.select(F.col("child").alias("parent")), "parent", "left_semi")
+    n = inner.count()
+    jump = inner.select("child", F.col("parent").alias("to"), F.col("parent").alias("most"))
+    for _ in range(n.bit_length()):
+        jump = stored(jump, "jumps")
+        far = jump.select(F.col("child").alias("to"), F.col("to").alias("to2"), F.col("most").alias("most2"))
+        jump = jump.join(far, "to").select("child", F.col("to2").alias("to"), F.greatest("most", "most2").alias("most"))
+    ends = jump.select(F.col("to").alias("child")).distinct()
+    return jump.join(ends, "child", "left_semi").select(F.col("most").alias("child")).distinct()

@@ -42,7 +42,7 @@ STATEMENT = """SELECT l_orderkey * 10 + l_linenumber AS line_no, o_orderpriority
   CASE WHEN l_orderkey % 5 = 0 THEN '' ELSE 'event ' || CAST(o_custkey AS STRING) || ' (' || CAST(o_custkey % 3 AS STRING) || ')' END AS label,
   CASE WHEN l_orderkey % 3 = 0 THEN 'Title_' || CAST(l_orderkey AS STRING) END AS enwiki,
   CASE l_linenumber % 3 WHEN 0 THEN 'point' WHEN 1 THEN 'start' ELSE 'end' END AS prop,
-  CAST(year(l_shipdate) - (o_custkey % 50) * 60 AS BIGINT) AS y, CAST(month(l_shipdate) AS INT) AS m, CAST(day(l_shipdate) AS INT) AS d,
+  CAST(year(l_shipdate) - (o_custkey % 50) * 60 AS BIGINT) AS y, CAST(month(l_shipdate) AS INT) AS m, CAST(least(28, day(l_shipdate)) AS INT) AS d,
   CAST(8 + (l_orderkey + l_linenumber) % 4 AS INT) AS prec,
   CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE (o_custkey * 7919 % 36000) / 1e2 - 180 END AS lon,
   CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE (o_custkey * 104729 % 17800) / 1e2 - 89 END AS lat,

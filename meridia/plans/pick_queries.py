@@ -1 +1,170 @@
-"""To be filled."""
+"""Selections from the index."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from meridia.functions import geo
+from meridia.operators import joins, picks
+from meridia.plans import bind
+from meridia.plans.join_queries import KM
+from meridia.registry import query
+
+_E = bind.EVENT_ROW
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bind.frame(spark, sf_dir, _E).withColumnRenamed("qid", "id")
+
+
+@query("TK2")
+def pick_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best twenty parts at least 2500 km apart."""
+    return picks.spaced(_rows(spark, sf_dir), 2500.0, 20).select("id", "score")
+
+
+_FRAMES = "SELECT frame, 700000 + frame * 37 % 36500 - 10 AS w0, 700000 + frame * 37 % 36500 + 10 AS w1, lon, lat FROM (" + bind.FRAME + ") AS f"
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = bind.frame(spark, sf_dir, _FRAMES).withColumnsRenamed({"lon": "flon", "lat": "flat"})
+    rows = picks.near_in_time(frames, _rows(spark, sf_dir).where("located"), 32, 300)
+    return rows.where(geo.great_circle_km("flon", "flat", "lon", "lat") > 2000)
+
+
+@query("TK5", f"""{bind.ctes(f=_FRAMES, e=_E)} SELECT frame, qid AS id FROM f JOIN e ON t0 <= w1 AND t1 >= w0 AND t1 - t0 <= 300 WHERE located AND {KM.format("f.lon", "f.lat", "e.lon", "e.lat")} > 2000""")
+def pick_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of each frame: in its window, not too long, far from its target."""
+    return _candidates(spark, sf_dir).select("frame", "id")
+
+
+@query("TK3 TK10")
+def pick_elsewhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five picks for each frame, pinned and near in time first, apart from each other."""
+    rows = _candidates(spark, sf_dir)
+    near = F.abs(F.col("t0") - F.col("w0") - 10)
+    rows = rows.select("frame", "id", "score", (F.col("id") % 97 == 0).alias("pinned"), F.when(near <= 5, 0).otherwise(1).alias("tier"), near.cast("double").alias("nearness"), (F.col("id") % 4).alias("used"), "lon", "lat")
+    return picks.elsewhere(rows, 5, 800.0)
+
+
+@query("TK4")
+def pick_in_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Picks for the frames of ten series in turn, without quick repeats."""
+    rows = _candidates(spark, sf_dir).select((F.col("frame") % 10).alias("series"), "frame", "id", "score", "lon", "lat")
+    return picks.in_turn(rows, 3, 800.0)
+
+
+_VIEWS = """SELECT CAST(v AS BIGINT) AS view, e.qid AS id, e.score, CAST((e.qid * 389 + v * 577) % 1440 AS DOUBLE) AS px, CAST((e.qid * 631 + v * 211) % 900 AS DOUBLE) AS py,
+  (e.qid + v) % 11 = 0 AS incumbent, (e.qid * 7 + v) % 401 = 0 AS focal FROM e, v"""
+_V = "v AS (SELECT unnest(range(8)) AS v)"
+_SHOWN = f"""{bind.ctes(e=_E)}, {_V}, w AS ({_VIEWS}), b AS (SELECT *, score + CASE WHEN incumbent THEN 20 ELSE 0 END AS s FROM w WHERE NOT focal),
+c AS (SELECT *, row_number() OVER (PARTITION BY view, floor(px / 160), floor(py / 160) ORDER BY s DESC, id) AS n FROM b), d AS (SELECT view, id, row_number() OVER (PARTITION BY view ORDER BY s DESC, id) AS k FROM c WHERE n <= 2),
+shown AS (SELECT view, id FROM d WHERE k <= 60 UNION ALL SELECT view, id FROM w WHERE focal)"""
+
+
+def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir).select("id", "score").crossJoin(F.broadcast(spark.range(8).withColumnRenamed("id", "view")))  # eight views
+    x = lambda a, b, m: ((F.col("id") * a + F.col("view") * b) % m).cast("double")
+    return rows.select("view", "id", "score", x(389, 577, 1440).alias("px"), x(631, 211, 900).alias("py"), ((F.col("id") + F.col("view")) % 11 == 0).alias("incumbent"), ((F.col("id") * 7 + F.col("view")) % 401 == 0).alias("focal"))
+
+
+@query("TK6", f"{_SHOWN} SELECT * FROM shown")
+def pick_viewport(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What eight views show under a cap per cell and a limit."""
+    return picks.viewport(_views(spark, sf_dir), 160, 2, 60)
+
+
+@query("TK9", f"""{_SHOWN}, p AS (SELECT view + 1 AS view, id FROM shown) SELECT coalesce(s.view, p.view) AS view, coalesce(s.id, p.id) AS id, CASE WHEN p.id IS NULL THEN 'enter' WHEN s.id IS NULL THEN 'exit' ELSE 'stay' END AS change
+FROM shown s FULL JOIN p ON s.view = p.view AND s.id = p.id WHERE coalesce(s.view, p.view) <= 7""")
+def pick_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What enters, stays and leaves between views."""
+    from meridia.shared import stored
+
+    return picks.changes(stored(picks.viewport(_views(spark, sf_dir), 160, 2, 60), "shown"))
+
+
+@query("TK7 TK8", f"""WITH RECURSIVE e AS ({bind.duck(_E)}), {_V}, w AS ({_VIEWS}), s AS (SELECT view, id, id % 3 = 0 AS expanded FROM w WHERE score > 700),
+r AS (SELECT qid AS node, parent AS ancestor FROM e WHERE parent IS NOT NULL UNION SELECT r.node, e.parent FROM r JOIN e ON e.qid = r.ancestor WHERE e.parent IS NOT NULL)
+SELECT view, id, expanded, EXISTS (SELECT 1 FROM r JOIN s t ON t.id = r.ancestor AND NOT t.expanded WHERE r.node = s.id AND t.view = s.view) AS hidden,
+  (SELECT count(*) FROM r WHERE r.node = s.id) AS context_parents FROM s""")
+def pick_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a visible ancestor stands for, and how many parents give a row context."""
+    from meridia.shared import stored
+
+    lineage = stored(joins.closure(bind.frame(spark, sf_dir, bind.PARENT)), "lineage")
+    visible = stored(_views(spark, sf_dir).where("score > 700").select("view", "id", (F.col("id") % 3 == 0).alias("expanded")), "visible")
+    parents = lineage.groupBy(F.col("node").alias("id")).agg(F.count(F.lit(1)).alias("context_parents"))
+    return picks.collapse(visible, lineage).join(parents, "id", "left").select("view", "id", "expanded", "hidden", F.coalesce("context_parents", F.lit(0)).alias("context_parents"))
+
+
+@query("TK11")
+def pick_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of eight views placed in order of score without overlap."""
+    rows = _views(spark, sf_dir).where("score > 600")
+    return picks.labels(rows.select("view", "id", (-F.col("score")).alias("rank"), F.col("px").alias("x0"), F.col("py").alias("y0"), (F.col("px") + 90).alias("x1"), (F.col("py") + 14).alias("y1")), 60)
+
+
+_SEEN = "SELECT user_id AS user_, ts AS seen_at, event_id % 40 AS id FROM {events}"
+
+
+@query("TK12", f"""{bind.ctes(s=_SEEN)}, n AS (SELECT *, row_number() OVER (PARTITION BY user_ ORDER BY seen_at DESC, id DESC) AS n FROM s), r AS (SELECT DISTINCT user_, id FROM n WHERE n <= 12),
+t AS (SELECT DISTINCT user_, k AS t, (user_ * 31 + 5 + k) % 40 AS id FROM s, (SELECT unnest(range(13)) AS k)) SELECT u.user_ AS "user", (SELECT arg_min(id, t) FROM t WHERE t.user_ = u.user_ AND NOT EXISTS (SELECT 1 FROM r WHERE r.user_ = t.user_ AND r.id = t.id)) AS id FROM (SELECT DISTINCT user_ FROM s) u""")
+def pick_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An opening for each user that is not among the last twelve seen."""
+    seen = bind.frame(spark, sf_dir, _SEEN).withColumnsRenamed({"user_": "user", "seen_at": "at"})
+    return picks.unseen(seen.select("id").distinct(), seen, 12, 5)
+
+
+_PIECES = "SELECT s_nationkey AS grp, s_suppkey AS piece, s_acctbal + 1000 AS area FROM {supplier}"
+
+
+@query("TK13", f"""{bind.ctes(p=_PIECES)} SELECT grp AS "group", piece, rank FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY area DESC, piece) AS rank, max(area) OVER (PARTITION BY grp) AS most FROM p) WHERE rank = 1 OR (area >= 3000 AND area >= 0.4 * most)""")
+def pick_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest piece of each group, and others that are large enough."""
+    return picks.largest_first(bind.frame(spark, sf_dir, _PIECES).withColumnRenamed("grp", "group"), 3000.0, 0.4).select("group", "piece", "rank")
+
+
+@query("TK15", f"""{bind.ctes(e=_E)}, {_V}, w AS ({_VIEWS}), f AS (SELECT view, id, least(1.0, greatest(0.0, (score - 200) / 600.0)) AS t, px FROM w),
+g AS (SELECT view, id, round(px * t * t * (3 - 2 * t), 6) AS faded FROM f) SELECT view, id, faded FROM (SELECT *, row_number() OVER (PARTITION BY view ORDER BY faded DESC, id) AS n FROM g WHERE faded > 0) WHERE n <= 16""")
+def pick_strongest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sixteen rows of each view that are largest after fading."""
+    rows = _views(spark, sf_dir).select("view", "id", F.col("px").alias("size"), geo.smoothstep(200, 800, F.col("score")).alias("fade"))
+    return picks.strongest(rows, 16).select("view", "id", "faded")
+
+
+_MATRIX = [1.2, 0.1, 0.0, 0.1, 0.0, 1.5, 0.2, 0.0, 0.1, 0.0, 1.0, 0.0, 0.7, 0.2, 0.1, 0.4]
+
+
+@query(
+    "SC17 SC20",
+    f"""{bind.ctes(e=_E)}, u AS (SELECT qid, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM e),
+b AS (SELECT *, greatest(x, y, -x, -y, z, -z) AS best FROM u),
+f AS (SELECT *, CASE best WHEN x THEN 0 WHEN y THEN 1 WHEN -x THEN 2 WHEN -y THEN 3 WHEN z THEN 4 ELSE 5 END AS face FROM b),
+s AS (SELECT *, 0.5 + 2 / pi() * atan(CASE face WHEN 0 THEN y WHEN 1 THEN -x WHEN 2 THEN -y WHEN 3 THEN x ELSE y END / best) AS s, 0.5 + 2 / pi() * atan(CASE face WHEN 4 THEN -x WHEN 5 THEN x ELSE z END / best) AS t FROM f),
+n AS (SELECT *, CAST(floor(s * 16) AS BIGINT) AS tx, CAST(floor(t * 16) AS BIGINT) AS ty, 0.7 * x + 0.2 * y + 0.1 * z + 0.4 AS w FROM s)
+SELECT qid, face, round(s, 6) AS s, round(t, 6) AS t, 510 + (face * 16 + ty) * 16 + tx AS node, round(((1.2 * x + 0.1 * y + 0.1) / w + 1) / 2 * 1440, 3) AS px, w > 0 AS front, round(degrees(atan2(y, x)), 6) AS lon FROM n""",
+)
+def sc_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cube face, face position, tile and screen position of places."""
+    rows = bind.frame(spark, sf_dir, _E).withColumn("u", geo.unit("lon", "lat"))
+    xyz = (F.col("u.x"), F.col("u.y"), F.col("u.z"))
+    rows = rows.withColumn("c", geo.cube(*xyz)).withColumn("p", geo.screen([F.lit(v) for v in _MATRIX], *xyz, F.lit(1440), F.lit(900)))
+    node = geo.node_id("c.face", 4, geo.tile_index("c.s", 4), geo.tile_index("c.t", 4))
+    return rows.select("qid", "c.face", F.round("c.s", 6).alias("s"), F.round("c.t", 6).alias("t"), node.alias("node"), F.round("p.px", 3).alias("px"), F.col("p.front").alias("front"), F.round(geo.lon_lat(*xyz)["lon"], 6).alias("lon"))
+
+
+@query("SC18", f"""{bind.ctes(e=_E)} SELECT qid, CAST(2 * (qid % 16) + i AS BIGINT) AS cx, CAST(2 * (qid % 11) + j AS BIGINT) AS cy, CAST(qid % 16 AS BIGINT) AS x, CAST(qid % 6 AS INT) AS face FROM e, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j)""")
+def sc_quadtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Children of tiles, and tiles back from node ids."""
+    rows = bind.frame(spark, sf_dir, _E).withColumn("tile", geo.node_tile(geo.node_id(F.col("qid") % 6, 4, F.col("qid") % 16, F.col("qid") % 11), 4))
+    kids = rows.select("qid", "tile", F.explode(geo.children(F.col("tile.x").cast("long"), F.col("tile.y").cast("long"))).alias("c"))
+    return kids.select("qid", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"), F.col("tile.x").cast("long").alias("x"), "tile.face")
+
+
+@query("SC21 SC30", f"""{bind.ctes(e=_E)} SELECT qid, greatest(t0 - greatest(1.0, (t1 - t0) * 0.1), 700000.0) AS w0, least(t1 + greatest(1.0, (t1 - t0) * 0.1), 730000.0) AS w1, qid // 16 AS chunk, lag(qid) OVER (PARTITION BY cls ORDER BY t0, qid) AS before, lead(qid) OVER (PARTITION BY cls ORDER BY t0, qid) AS after FROM e""")
+def sc_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Padded and clamped spans, chunk numbers, and neighbours in order."""
+    pad = F.greatest(F.lit(1.0), (F.col("t1") - F.col("t0")) * 0.1)
+    w = Window.partitionBy("cls").orderBy("t0", "qid")
+    return bind.frame(spark, sf_dir, _E).select("qid", F.greatest(F.col("t0") - pad, F.lit(700000.0)).alias("w0"), F.least(F.col("t1") + pad, F.lit(730000.0)).alias("w1"), F.floor(F.col("qid") / 16).alias("chunk"), F.lag("qid").over(w).alias("before"), F.lead("qid").over(w).alias("after"))
