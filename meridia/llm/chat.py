@@ -46,10 +46,11 @@ def best_paths(messages: DataFrame, best: int = 1) -> DataFrame:
     for _ in range(max(1, int(most).bit_length() + 1)):
         if state.where("up is not null").isEmpty():
             break
-        jumps.append(state.select("conv_id", "node_id", "up"))
+        active = state.where("up is not null")  # the others have reached their root
+        jumps.append(active.select("conv_id", "node_id", "up"))
         far = state.select("conv_id", F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("n").alias("n2"))
-        joined = state.join(far, ["conv_id", "up"], "left")
-        state = stored(joined.select("conv_id", "node_id", F.col("up2").alias("up"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n")), "replies")
+        longer = active.join(far, ["conv_id", "up"]).select("conv_id", "node_id", F.col("up2").alias("up"), (F.col("sum") + F.col("sum2")).alias("sum"), (F.col("n") + F.col("n2")).alias("n"))
+        state = stored(state.where("up is null").unionByName(longer), "replies")
     inner = first.select("conv_id", F.col("up").alias("node_id")).where("node_id is not null").distinct()
     leaves = state.where("up is null").join(inner, ["conv_id", "node_id"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("sum").desc(), F.col("n").desc(), "node_id"))
