@@ -81,7 +81,7 @@ FROM (SELECT DISTINCT DAYNO(ts) AS day FROM {events}) AS x"""
 POLITY = """SELECT s_suppkey AS row_id, 'P' || CAST(s_suppkey % 40 AS STRING) AS name, CAST(1800 + s_suppkey * 17 % 60 AS INT) AS first, CAST(1800 + s_suppkey * 17 % 60 + s_suppkey * 7 % 30 AS INT) AS last,
   CAST(s_suppkey * 31 % 40 AS INT) AS j0, CAST(s_suppkey * 47 % 80 AS INT) AS i0, CAST(3 + s_suppkey % 6 AS INT) AS h, CAST(3 + s_suppkey * 3 % 8 AS INT) AS w FROM {supplier}"""
 #: Values on a grid of 64 x 128 cells, from orders.
-GRID = """SELECT CAST(o_orderkey * 7 % 64 AS INT) AS j, CAST(o_orderkey * 13 % 128 AS INT) AS i, CAST(min(o_totalprice) AS BIGINT) % 4000 - 1000 AS value FROM {orders} GROUP BY 1, 2"""
+GRID = """SELECT CAST(o_orderkey % 64 AS INT) AS j, CAST(o_orderkey DIV 64 % 128 AS INT) AS i, CAST(floor(min(o_totalprice)) AS BIGINT) % 4000 - 1000 AS value FROM {orders} GROUP BY 1, 2"""
 #: Ordered positions of users: each user's events are a route.
 ROUTE = """SELECT user_id AS route, event_id, DAYNO(ts) AS day, ts,
   (event_id * 7919 % 36000) / 1e2 - 180 AS lon, (event_id * 104729 % 17000) / 1e2 - 85 AS lat, event_type AS name FROM {events}"""

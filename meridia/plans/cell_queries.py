@@ -1 +1,163 @@
-"""To be filled."""
+"""Cell sets of suppliers taken as polities."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meridia.operators import cells
+from meridia.plans import bind
+from meridia.registry import query
+
+W, H = 80, 50
+_P = bind.POLITY
+CELLS = f"""{bind.ctes(p=_P)}, pc AS (SELECT row_id, name, first, last, h * w AS area, j, i % {W} AS i FROM (SELECT *, unnest(range(j0, j0 + h)) AS j FROM p) q, LATERAL (SELECT unnest(range(i0, i0 + w)) AS i) r)"""
+_NOW = "n AS (SELECT DISTINCT name, CAST(j AS INT) AS j, CAST(i AS INT) AS i FROM pc WHERE first <= 1830 AND 1830 <= last)"
+
+
+def all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bind.frame(spark, sf_dir, _P).withColumn("area", F.col("h") * F.col("w"))
+    return cells.boxes(rows, W)
+
+
+def now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_cells(spark, sf_dir).where("first <= 1830 and 1830 <= last").select("name", "j", "i").distinct()
+
+
+@query("JN15 IO4", f"""{bind.ctes(p=_P)}, t AS (SELECT row_id AS shape, i0 + 0.2 AS x0, j0 + 0.1 AS y0, w + 0.3 AS w, h + 0.4 AS h FROM p)
+SELECT shape, j, count(*) AS n, min(i) AS first_i FROM t, (SELECT unnest(range(0, 60)) AS j), (SELECT unnest(range(0, 100)) AS i) WHERE j + 0.5 >= y0 AND j + 0.5 < y0 + h AND i + 0.5 >= x0 AND i + 0.5 < x0 + w * (1 - (j + 0.5 - y0) / h) GROUP BY shape, j""")
+def cell_rasterise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triangles to cells by edge crossings, per row."""
+    t = bind.frame(spark, sf_dir, _P).select(F.col("row_id").alias("shape"), (F.col("i0") + 0.2).alias("x"), (F.col("j0") + 0.1).alias("y"), (F.col("w") + 0.3).alias("w"), (F.col("h") + 0.4).alias("h"))
+    edge = lambda a, b, c, d: F.struct((F.col("x") + a).alias("x0"), (F.col("y") + b).alias("y0"), (F.col("x") + c).alias("x1"), (F.col("y") + d).alias("y1"))
+    zero = F.lit(0.0)
+    edges = t.select("shape", F.explode(F.array(edge(zero, zero, F.col("w"), zero), edge(F.col("w"), zero, zero, F.col("h")), edge(zero, F.col("h"), zero, zero))).alias("e")).select("shape", "e.*")
+    return cells.rasterise(edges).groupBy("shape", "j").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("first_i"))
+
+
+@query("GE1", f"{CELLS} SELECT j, i, arg_min(row_id, (area, row_id)) AS id FROM pc GROUP BY j, i")
+def cell_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest shape at each cell."""
+    return cells.by_priority(all_cells(spark, sf_dir).withColumnRenamed("row_id", "id"))
+
+
+@query("JN17", f"{CELLS}, {_NOW} SELECT a.name AS a, b.name AS b, count(*) AS shared FROM n a JOIN n b USING (j, i) WHERE a.name < b.name GROUP BY 1, 2")
+def cell_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of names that share cells in 1830."""
+    return cells.overlaps(now(spark, sf_dir), [])
+
+
+@query("GE10", f"""{CELLS}, {_NOW}, z AS (SELECT name, count(*) AS size FROM n GROUP BY name), w AS (SELECT DISTINCT a.name AS a, b.name AS b, CASE WHEN a.name = 'P1' THEN 'P1' WHEN y.size < x.size THEN b.name ELSE a.name END AS win FROM n a JOIN n b USING (j, i) JOIN z x ON x.name = a.name JOIN z y ON y.name = b.name WHERE a.name < b.name)
+SELECT name, count(*) AS kept FROM n WHERE NOT EXISTS (SELECT 1 FROM w JOIN n o ON o.name = w.win WHERE ((w.a = n.name AND w.win = w.b) OR (w.b = n.name AND w.win = w.a)) AND o.j = n.j AND o.i = n.i) GROUP BY name""")
+def cell_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells each name keeps after overlaps are settled; P1 wins by a correction over later names."""
+    names = [f"P{k}" for k in range(40)]
+    winners = spark.createDataFrame([("P1", b, "P1") for b in names if b > "P1"], "a string, b string, winner string")  # curated
+    return cells.settle(now(spark, sf_dir), [], winners).groupBy("name").agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query("JN18 JN19 ST3", f"""{CELLS}, {_NOW}, d AS (SELECT CAST(o_orderkey % 50 AS INT) AS j, CAST(o_orderkey // 50 % {W} AS INT) AS i FROM orders GROUP BY 1, 2)
+SELECT 'unclaimed' AS kind, j, i FROM d WHERE (j, i) NOT IN (SELECT (j, i) FROM n) UNION ALL
+SELECT 'composite', j, i FROM (SELECT DISTINCT j, i FROM n WHERE name IN ('P2', 'P3', 'P4') EXCEPT SELECT j, i FROM n WHERE name IN ('P3', 'P4')) UNION ALL SELECT 'undrawn', j, i FROM (SELECT DISTINCT j, i FROM n EXCEPT SELECT j, i FROM d)""")
+def cell_leftovers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dry cells that none holds, land of a composite that no member holds, held cells off the land."""
+    held = now(spark, sf_dir)
+    dry = bind.table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 50).cast("int").alias("j"), F.expr(f"cast(o_orderkey div 50 % {W} as int)").alias("i")).distinct()
+    own = held.where("name in ('P2', 'P3', 'P4')").select("j", "i").distinct().join(held.where("name in ('P3', 'P4')"), ["j", "i"], "left_anti")
+    kind = lambda k, df: df.select(F.lit(k).alias("kind"), "j", "i")
+    return kind("unclaimed", dry.join(held, ["j", "i"], "left_anti")).union(kind("composite", own)).union(kind("undrawn", held.select("j", "i").distinct().join(dry, ["j", "i"], "left_anti")))
+
+
+_NEAR = f"x AS (SELECT unnest([-1, 0, 1]) AS a), nb AS (SELECT n.name, n.j, n.i, n.j + x.a AS nj, ((n.i + y.a) % {W} + {W}) % {W} AS ni FROM n, x, x y)"
+
+
+@query("JN20", f"{CELLS}, {_NOW}, {_NEAR} SELECT DISTINCT nb.name AS piece, o.name AS other FROM nb JOIN n o ON o.j = nb.nj AND o.i = nb.ni WHERE nb.name IN ('P5', 'P6', 'P7', 'P8', 'P9')")
+def cell_touching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that touch some pieces."""
+    held = now(spark, sf_dir)
+    return cells.touching(held.where("name in ('P5', 'P6', 'P7', 'P8', 'P9')").withColumnRenamed("name", "piece"), held.withColumnRenamed("name", "other"), [], W)
+
+
+@query("JN21", f"""{CELLS}, {_NOW}, u AS (SELECT j, i FROM (SELECT unnest(range(0, {H})) AS j), (SELECT unnest([0, {W - 1}]) AS i) WHERE (j, i) NOT IN (SELECT (j, i) FROM n))
+SELECT CAST(u.j AS INT) AS j, CAST(u.i AS INT) AS i, min(name) AS name FROM u JOIN n ON n.i = {W - 1} - u.i AND abs(n.j - u.j) <= 1 GROUP BY u.j, u.i HAVING count(DISTINCT name) = 1""")
+def cell_across_seam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unclaimed cells at the seam that go to the one holder over it."""
+    held = now(spark, sf_dir)
+    edge = spark.range(H).select(F.col("id").cast("int").alias("j"), F.explode(F.array(F.lit(0), F.lit(W - 1))).alias("i"))
+    return cells.across_seam(edge.join(held, ["j", "i"], "left_anti"), held, W)
+
+
+@query("GE6", f"""{CELLS.replace("WITH", "WITH RECURSIVE", 1)}, {_NOW}, r(name, j, i, c) AS (SELECT name, j, i, j * {W} + i FROM n UNION SELECT n.name, n.j, n.i, r.c FROM r JOIN n ON n.name = r.name AND ((n.j = r.j AND (n.i = (r.i + 1) % {W} OR r.i = (n.i + 1) % {W})) OR (n.i = r.i AND abs(n.j - r.j) = 1)) WHERE r.c < n.j * {W} + n.i)
+SELECT name, j, i, CAST(min(c) AS BIGINT) AS region FROM r GROUP BY name, j, i""".replace("WHERE r.c < n.j * 80 + n.i", ""))
+def cell_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connected pieces of each name."""
+    return cells.regions(now(spark, sf_dir), ["name"], W)
+
+
+@query("GE7", f"""{CELLS}, {_NOW}, {_NEAR}, e AS (SELECT name, j, i FROM nb JOIN n o ON o.name = nb.name AND o.j = nb.nj AND o.i = nb.ni GROUP BY ALL HAVING count(*) = 9)""".replace("SELECT name, j, i FROM nb JOIN n o", "SELECT nb.name, nb.j, nb.i FROM nb JOIN n o") + f""" SELECT n.name, n.j, n.i FROM n WHERE EXISTS (SELECT 1 FROM e WHERE e.name = n.name AND abs(e.j - n.j) <= 1 AND (abs(e.i - n.i) <= 1 OR abs(e.i - n.i) = {W - 1}))""")
+def cell_opened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of each name that are three cells wide."""
+    return cells.opened(now(spark, sf_dir), ["name"], W)
+
+
+_ALL = f"a AS (SELECT CAST(j AS INT) AS j, CAST(i AS INT) AS i FROM (SELECT unnest(range(0, {H})) AS j), (SELECT unnest(range(0, {W})) AS i))"
+
+
+def grid_all(spark: SparkSession) -> DataFrame:
+    return spark.range(H * W).select(F.expr(f"cast(id div {W} as int)").alias("j"), (F.col("id") % W).cast("int").alias("i"))
+
+
+_D = f"least(abs(o.i - a.i), {W} - abs(o.i - a.i))"
+
+
+@query("GE2", f"""{CELLS}, {_NOW}, {_ALL}, h AS (SELECT j, i, min(name) AS id FROM n GROUP BY j, i) SELECT a.j, a.i, arg_min(o.id, ((o.j - a.j) * (o.j - a.j) + {_D} * {_D}, o.id)) AS id FROM a JOIN h o ON abs(o.j - a.j) <= 3 AND {_D} <= 3 WHERE (a.j, a.i) NOT IN (SELECT (j, i) FROM h) GROUP BY a.j, a.i""")
+def cell_nearest_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Empty cells filled with the nearest name within three cells."""
+    held = now(spark, sf_dir).groupBy("j", "i").agg(F.min("name").alias("id"))
+    return cells.nearest_fill(held, grid_all(spark).join(held, ["j", "i"], "left_anti"), W, 3)
+
+
+@query("GE3", f"""{CELLS}, {_NOW}, {_ALL}, f AS (SELECT a.j, a.i, (a.j, a.i) IN (SELECT (j, i) FROM n) AS flag FROM a) SELECT a.j, a.i, a.flag, round(CASE WHEN a.flag THEN 1 ELSE -1 END * least(4.0, sqrt(coalesce(min((o.j - a.j) * (o.j - a.j) + {_D} * {_D}), 16))), 6) AS distance FROM f a LEFT JOIN f o ON o.flag <> a.flag AND abs(o.j - a.j) <= 4 AND {_D} <= 4 GROUP BY a.j, a.i, a.flag""")
+def cell_signed_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance to the border of held land, within four cells."""
+    held = now(spark, sf_dir).select("j", "i", F.lit(True).alias("h")).distinct()
+    flags = grid_all(spark).join(held, ["j", "i"], "left").select("j", "i", F.coalesce("h", F.lit(False)).alias("flag"))
+    return cells.signed_distance(flags, W, 4).select("j", "i", "flag", F.round("distance", 6).alias("distance"))
+
+
+@query("GE4")
+def cell_border_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance to borders between even and odd ids, soft where they lie close."""
+    held = cells.by_priority(all_cells(spark, sf_dir).withColumnRenamed("row_id", "id"))
+    ids = held.select("id").distinct()
+    pairs = ids.withColumnRenamed("id", "lower").join(ids.withColumnRenamed("id", "upper"), (F.col("upper") - F.col("lower")).isin(1, 3, 5)).withColumn("soft", F.col("upper") - F.col("lower") == 1)
+    return cells.border_distance(held, pairs, W, 3)
+
+
+@query("GE8 GE9", f"""{CELLS}, {_NOW}, {_ALL}, l AS (SELECT DISTINCT CAST(c_custkey * 7 % {H} AS INT) AS j, CAST(c_custkey * 11 % {W} AS INT) AS i FROM customer WHERE c_custkey % 30 = 0)
+SELECT a.j, a.i FROM a WHERE (a.j, a.i) NOT IN (SELECT (j, i) FROM n) AND EXISTS (SELECT 1 FROM l o WHERE abs(o.j - a.j) <= 2 AND {_D} <= 2) AND EXISTS (SELECT 1 FROM n o WHERE abs(o.j - a.j) <= 2 AND {_D} <= 2)""")
+def cell_both_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Empty cells with both a lake and held land near."""
+    held = now(spark, sf_dir).select("j", "i").distinct()
+    lakes = bind.table(spark, sf_dir, "customer").where("c_custkey % 30 = 0").select((F.col("c_custkey") * 7 % H).cast("int").alias("j"), (F.col("c_custkey") * 11 % W).cast("int").alias("i")).distinct()
+    return cells.both_near(grid_all(spark).join(held, ["j", "i"], "left_anti"), lakes, held, W, 2)
+
+
+_SEG = "SELECT s_suppkey AS seg, (s_suppkey * 31 % 70) * 1e0 AS x0, (s_suppkey * 17 % 45) * 1e0 AS y0, (s_suppkey * 31 % 70) + s_suppkey % 7 + 0e0 AS x1, (s_suppkey * 17 % 45) + s_suppkey % 4 + 0e0 AS y1, 0.2 + s_suppkey % 3 * 1e-1 AS half FROM {supplier}"
+_PT = "SELECT c_custkey AS id, (c_custkey * 7919 % 8000) / 1e2 AS x, (c_custkey * 104729 % 5000) / 1e2 AS y FROM {customer}"
+
+
+@query("JN23", f"""{bind.ctes(s=_SEG, p=_PT)}, t AS (SELECT *, CASE WHEN (x1 - x0) ** 2 + (y1 - y0) ** 2 > 0 THEN least(1.0, greatest(0.0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / ((x1 - x0) ** 2 + (y1 - y0) ** 2))) ELSE 0.0 END AS t FROM s, p),
+d AS (SELECT id, half, sqrt((x - x0 - t * (x1 - x0)) ** 2 + (y - y0 - t * (y1 - y0)) ** 2) AS d FROM t) SELECT id, round(min(d), 6) AS distance FROM d WHERE d <= half GROUP BY id""")
+def cell_near_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points within the half width of a segment."""
+    seg = bind.frame(spark, sf_dir, _SEG).withColumn("half", F.col("half").cast("double"))
+    return cells.near_segments(bind.frame(spark, sf_dir, _PT), seg, W).select("id", F.round("distance", 6).alias("distance"))
+
+
+@query("WN17", f"""{CELLS}, {_NOW}, r AS (SELECT name, j, i, i - row_number() OVER (PARTITION BY name, j ORDER BY i) AS g FROM n), s AS (SELECT name, j, min(i) AS first, count(*) AS length FROM r GROUP BY name, j, g) SELECT name, arg_max(j, (length, -j, -first)) AS j, arg_max(first, (length, -j, -first)) AS first, max(length) AS length FROM s GROUP BY name""")
+def cell_longest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest row of cells of each name."""
+    r = cells.runs(now(spark, sf_dir), ["name", "j"], "i").withColumn("length", (F.col("last") - F.col("first") + 1).cast("long"))
+    best = F.max_by(F.struct("j", "first", "length"), F.struct("length", -F.col("j"), -F.col("first")))
+    return r.groupBy("name").agg(best.alias("b")).select("name", "b.*")

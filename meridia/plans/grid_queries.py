@@ -1 +1,138 @@
-"""To be filled."""
+"""Grids made of orders and events."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meridia.operators import grid
+from meridia.plans import bind
+from meridia.registry import query
+
+_G = bind.GRID
+_PTS = "SELECT c_custkey AS id, (c_custkey * 7919 % 12800) / 1e2 AS x, (c_custkey * 104729 % 6400) / 1e2 AS y FROM {customer}"
+#: A full grid: every order's key modulo the cells, the sums of quantities.
+_FULL = "SELECT CAST(o_orderkey % 1024 DIV 32 AS INT) AS j, CAST(o_orderkey % 32 AS INT) AS i, CAST(sum(floor(o_totalprice)) AS BIGINT) % 3000 - 500 AS value FROM {orders} GROUP BY 1, 2"
+_MONTHS = "SELECT o_custkey % 50 AS cell, CAST(year(o_orderdate) AS INT) AS year, CAST(month(o_orderdate) AS INT) AS month, max(o_totalprice) AS value FROM {orders} GROUP BY 1, 2, 3"
+_LAYERS = "SELECT user_id AS cell, event_id AS step, event_id * 37 % 256 AS value FROM {events}"
+
+
+@query("IO5", f"{bind.ctes(g=_G)} SELECT j, i, value, ((i - 120) % 128 + 128) % 128 AS wi FROM g WHERE ((i - 120) % 128 + 128) % 128 < 20 AND j >= 10 AND j < 40")
+def grid_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window across the seam of a grid."""
+    return grid.window(bind.frame(spark, sf_dir, _G), 120, 10, 20, 30, 128).select("j", "i", "value", "wi")
+
+
+@query("JN22", f"""{bind.ctes(g=_G, p=_PTS)}, q AS (SELECT id, floor(x - 0.5) AS fx, floor(y - 0.5) AS fy, x, y FROM p),
+c AS (SELECT id, ((fx + a) % 128 + 128) % 128 AS i, least(63, greatest(0, fy + b)) AS j, (CASE a WHEN 1 THEN x - 0.5 - fx ELSE 1 - (x - 0.5 - fx) END) * (CASE b WHEN 1 THEN y - 0.5 - fy ELSE 1 - (y - 0.5 - fy) END) AS s FROM q, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b))
+SELECT id, CASE WHEN count(value) = 4 THEN round(sum(value * s), 6) END AS value FROM c LEFT JOIN g USING (i, j) GROUP BY id""")
+def grid_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values between cells at points."""
+    return grid.bilinear(bind.frame(spark, sf_dir, _PTS), bind.frame(spark, sf_dir, _G), 128, 64).select("id", F.round("value", 6).alias("value"))
+
+
+@query("AG15 AG22", f"""{bind.ctes(f=_FULL)} SELECT j // 2 AS j, i // 2 AS i, sum(value) / 4 AS mean, (CAST(sum(value) AS BIGINT) + 2) >> 2 AS mip FROM f GROUP BY 1, 2 HAVING count(*) = 4""".replace("(CAST(sum(value) AS BIGINT) + 2) >> 2", "CAST(floor((sum(value) + 2) / 4) AS BIGINT)"))
+def grid_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means and whole-number halves of 2 x 2 blocks."""
+    cells = bind.frame(spark, sf_dir, _FULL)
+    return grid.block_means(cells, 2).select("j", "i", "mean").join(grid.halved(cells).withColumnRenamed("value", "mip"), ["j", "i"])
+
+
+@query("AG16", f"""{bind.ctes(g=_FULL)}, t AS (SELECT s_suppkey AS id, (s_suppkey * 7 % 30 + 1) * 1.0 AS x, (s_suppkey * 11 % 30 + 1) * 1.0 AS y FROM supplier),
+p AS (SELECT id, k, l, x + (k + 0.5) / 4 AS x, y + (l + 0.5) / 4 AS y FROM t, (SELECT unnest(range(4)) AS k), (SELECT unnest(range(4)) AS l)), q AS (SELECT *, floor(x - 0.5) AS fx, floor(y - 0.5) AS fy FROM p),
+c AS (SELECT id, (fx + a) % 32 AS i, least(31, greatest(0, fy + b)) AS j, (CASE a WHEN 1 THEN x - 0.5 - fx ELSE 1 - (x - 0.5 - fx) END) * (CASE b WHEN 1 THEN y - 0.5 - fy ELSE 1 - (y - 0.5 - fy) END) AS s FROM q, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b))
+SELECT id, round(sum(value * s) / 16, 6) AS mean FROM c JOIN g USING (i, j) GROUP BY id""")
+def grid_texels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of sixteen samples within texels."""
+    t = bind.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 7 % 30 + 1).cast("double").alias("x"), (F.col("s_suppkey") * 11 % 30 + 1).cast("double").alias("y"), F.lit(1.0).alias("size"))
+    return grid.texel_means(t, bind.frame(spark, sf_dir, _FULL), 32, 32).select("id", F.round("mean", 6).alias("mean"))
+
+
+@query("AG19 IO6 JN24", f"""{bind.ctes(m=_MONTHS)}, f AS (SELECT year * 100 + month AS frame, cell, CASE WHEN cell % 9 <> 0 THEN value END AS value FROM m), o AS (SELECT *, min(value) OVER w AS lo, max(value) OVER w AS hi FROM f WINDOW w AS (PARTITION BY frame)),
+s AS (SELECT *, CASE WHEN hi > lo THEN (hi - lo) / 254 ELSE 1.0 END AS scale FROM o) SELECT frame, cell, CAST(CASE WHEN value IS NULL THEN 255 ELSE round_even((value - lo) / scale, 0) END AS INT) AS code, CASE WHEN value IS NOT NULL THEN round(lo + round_even((value - lo) / scale, 0) * scale, 4) END AS decoded FROM s""")
+def grid_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly frames as codes of their own range, and decoded."""
+    frames = bind.frame(spark, sf_dir, _MONTHS).select((F.col("year") * 100 + F.col("month")).alias("frame"), "cell", F.when(F.col("cell") % 9 != 0, F.col("value")).alias("value"))
+    return grid.quantise(frames).select("frame", "cell", "code", F.round("decoded", 4).alias("decoded"))
+
+
+@query("JN24", f"""{bind.ctes(m=_MONTHS)}, a AS (SELECT cell, value FROM m WHERE year = 1996 AND month = 3), b AS (SELECT cell, value FROM m WHERE year = 1996 AND month = 4)
+SELECT cell, round(coalesce(a.value + (b.value - a.value) * 0.25, a.value, b.value), 6) AS value FROM a FULL JOIN b USING (cell)""")
+def grid_month_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame between two months; one-sided cells keep their value."""
+    m = bind.frame(spark, sf_dir, _MONTHS).where("year = 1996")
+    return grid.blend(m.where("month = 3"), m.where("month = 4"), 0.25).select("cell", F.round("value", 6).alias("value"))
+
+
+@query("AG19", f"{bind.ctes(m=_MONTHS)} SELECT cell, year, round(avg(value), 6) AS mean FROM m GROUP BY cell, year HAVING count(*) = 12")
+def grid_annual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of complete years."""
+    return grid.annual_means(bind.frame(spark, sf_dir, _MONTHS)).select("cell", "year", F.round("mean", 6).alias("mean"))
+
+
+@query("WN16", f"{bind.ctes(f=_FULL)}, r AS (SELECT f.j, f.i, f.value, f.value - (coalesce(l.value, 0) + coalesce(u.value, 0) - coalesce(d.value, 0)) AS r FROM f LEFT JOIN f l ON l.j = f.j AND l.i = f.i - 1 LEFT JOIN f u ON u.j = f.j - 1 AND u.i = f.i LEFT JOIN f d ON d.j = f.j - 1 AND d.i = f.i - 1) SELECT j, i, CASE WHEN r >= 0 THEN 2 * r ELSE -2 * r - 1 END AS residual, CAST(value AS BIGINT) AS back FROM r")
+def grid_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zigzag residuals of the plane predictor, and values restored from them."""
+    r = grid.predicted(bind.frame(spark, sf_dir, _FULL)).select("j", "i", "residual")
+    return r.join(grid.restored(r).withColumnRenamed("value", "back"), ["j", "i"])
+
+
+@query("WN15", f"{bind.ctes(l=_LAYERS)} SELECT cell, step, ((value - lag(value, 1, 0) OVER (PARTITION BY cell ORDER BY step)) % 256 + 256) % 256 AS delta, value AS back FROM l")
+def grid_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes between layers modulo 256, and layers restored from them."""
+    return grid.undeltas(grid.deltas(bind.frame(spark, sf_dir, _LAYERS)).drop("value")).select("cell", "step", "delta", F.col("value").alias("back"))
+
+
+@query("AG17", f"{bind.ctes(f=_FULL)}, t AS (SELECT j // 8 * 4 + i // 8 AS tile, value / 7.0 AS height FROM f) SELECT tile, round(min(height), 6) AS low, CAST(floor(min(height)) AS BIGINT) AS floor_m, CAST(ceil(max(height)) AS BIGINT) AS ceil_m, round(least(min(height), 0), 6) AS low0 FROM t GROUP BY tile")
+def grid_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds of tiles' heights in whole metres, and with the sea level."""
+    t = bind.frame(spark, sf_dir, _FULL).select((F.floor(F.col("j") / 8) * 4 + F.floor(F.col("i") / 8)).alias("tile"), (F.col("value") / 7).alias("height"))
+    return grid.bounds(t).select("tile", F.round("low", 6).alias("low"), "floor_m", "ceil_m", F.round("low0", 6).alias("low0"))
+
+
+@query("AG18", f"{bind.ctes(f=_FULL)}, t AS (SELECT max(hi - lo) AS span FROM (SELECT min(value) AS lo, max(value) AS hi FROM f GROUP BY j // 8, i // 8)) SELECT min(s) AS step FROM t, (SELECT unnest([1, 2, 5, 10, 20, 50]) AS s) WHERE ceil(span / s) < 256")
+def grid_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest step at which all tiles fit the codes."""
+    groups = bind.frame(spark, sf_dir, _FULL).groupBy(F.floor(F.col("j") / 8), F.floor(F.col("i") / 8)).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    return grid.smallest_step(groups, 256, [1, 2, 5, 10, 20, 50])
+
+
+@query("TK14 JN28", f"""{bind.ctes(g=_G)}, w AS (SELECT i AS x, j AS y FROM g WHERE value > 2500), l AS (SELECT DISTINCT lv AS level, x // (1 << (7 - lv)) AS x, y // (1 << (7 - lv)) AS y FROM w, (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS lv)) SELECT CAST(level AS INT) AS level, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM l UNION ALL SELECT 0, 0, 0""")
+def grid_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles kept level by level where a high cell lies in them."""
+    wanted = bind.frame(spark, sf_dir, _G).where("value > 2500").select(F.col("i").alias("x"), F.col("j").alias("y"))
+    return grid.grown(spark.range(1).select(F.lit(0).alias("x"), F.lit(0).alias("y")), wanted, 7)
+
+
+@query("AG28", "SELECT CAST(o_orderkey // 32768 + 1 AS BIGINT) AS bucket, count(DISTINCT o_orderkey) AS bits FROM orders WHERE o_orderkey % 3 = 1 GROUP BY 1".replace("o_orderkey // 32768 + 1", "(o_orderkey - 1) // 32768 + 1"))
+def grid_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed presence of order keys."""
+    ids = bind.table(spark, sf_dir, "orders").where("o_orderkey % 3 = 1").select(F.col("o_orderkey").alias("id"))
+    return grid.presence(ids).select("bucket", F.col("bits").cast("long").alias("bits"))
+
+
+_SAMPLES = "SELECT s_nationkey AS tile, CAST(s_suppkey * 7 % 64 AS INT) AS j, CAST((s_suppkey * 3 % 20 + 118) % 128 AS INT) AS i FROM {supplier}"
+
+
+@query("AG30", f"""{bind.ctes(s=_SAMPLES)}, d AS (SELECT DISTINCT tile, i FROM s), n AS (SELECT tile, i, coalesce(lead(i) OVER (PARTITION BY tile ORDER BY i), min(i) OVER (PARTITION BY tile)) AS nx FROM d),
+a AS (SELECT tile, arg_max((nx, i), (CASE WHEN nx > i THEN nx - i ELSE nx - i + 128 END, -i)) AS a FROM n GROUP BY tile) SELECT tile, min(j) - 2 AS j0, max(j) + 2 AS j1, CAST((any_value(a[1]) + 126) % 128 AS INT) AS i0, CAST((any_value(a[2]) + 2) % 128 AS INT) AS i1 FROM s JOIN a USING (tile) GROUP BY tile""")
+def grid_source_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of source cells that tiles need, across the seam."""
+    return grid.source_window(bind.frame(spark, sf_dir, _SAMPLES), 128, 2)
+
+
+@query("AG23 AG31", f"""{bind.ctes(f=_FULL)} SELECT a.j, a.i, CAST(CASE WHEN abs(s / 4.0) - floor(abs(s / 4.0)) >= 0.5 THEN floor(abs(s / 4.0)) + 1 ELSE floor(abs(s / 4.0)) END * sign(s) AS BIGINT) AS value, p >= 3 AS chosen FROM
+(SELECT x.j, x.i, x.value + l.value + u.value + d.value AS s, (x.value > 0)::INT + (l.value > 0)::INT + (u.value > 0)::INT + (d.value > 0)::INT AS p FROM f x JOIN f l ON l.j = x.j AND l.i = x.i - 1 JOIN f u ON u.j = x.j - 1 AND u.i = x.i JOIN f d ON d.j = x.j - 1 AND d.i = x.i - 1) a""")
+def grid_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of corners that four texels share, and a vote of three of the four."""
+    cells = bind.frame(spark, sf_dir, _FULL)
+    around = cells.select(F.explode(F.array(*[F.struct((F.col("j") + a).alias("j"), (F.col("i") + b).alias("i")) for a in (0, 1) for b in (0, 1)])).alias("tile"), (F.col("value") > 0).alias("flag"))
+    chosen = grid.votes(around, 3).select("tile.j", "tile.i", "chosen")
+    return grid.corner_means(cells, 32).join(chosen, ["j", "i"])
+
+
+@query("AG21", f"{bind.ctes(g=_G)} SELECT j % 4 AS grp, round(sum(6371.0088 * 6371.0088 * (2 * pi() / 128) * (sin(radians(-90 + (j + 1) * 180.0 / 64)) - sin(radians(-90 + j * 180.0 / 64)))), 3) AS km2 FROM g WHERE value > 0 GROUP BY 1")
+def grid_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of cells above zero by group."""
+    cells = bind.frame(spark, sf_dir, _G).where("value > 0")
+    return cells.groupBy((F.col("j") % 4).alias("grp")).agg(F.round(F.sum(grid.km2(F.col("j"), 64, 128)), 3).alias("km2"))

@@ -1 +1,96 @@
-"""To be filled."""
+"""Files written to the shared folder and read back."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meridia.plans import bind
+from meridia.registry import query
+from meridia.shared import scratch, stored
+from meridia.sources import tables
+
+
+def _path(spark: SparkSession, name: str) -> str:
+    return f"{scratch(spark)}/meridia/{name}-{uuid.uuid4().hex}"
+
+
+@query("IO1", f"{bind.ctes(st=bind.STATEMENT)} SELECT cls, qid, label, enwiki, prop, y, m, d, prec, round(lon, 2) AS lon, round(lat, 2) AS lat, editions FROM st WHERE prec >= 9")
+def io_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements written as a tab-separated export and read again."""
+    from meridia.functions import cal
+
+    rows = bind.frame(spark, sf_dir, bind.STATEMENT)
+    date = F.when(F.col("prec") >= 9, cal.iso(F.struct("y", "m", "d"))).otherwise("unknown")
+    place = F.concat(F.lit("Point("), F.format_string("%.2f", "lon"), F.lit(" "), F.format_string("%.2f", "lat"), F.lit(")"))
+    text = rows.select("cls", F.concat(F.lit("Q"), F.col("qid").cast("string")).alias("event"), "label", "enwiki", "prop", date.alias("date"), F.col("prec").cast("string").alias("prec"), F.when(F.col("lon").isNotNull(), place).alias("coord"), F.lit("").alias("place_coord"), F.col("editions").cast("string").alias("editions"), F.lit("").alias("parents"))
+    tables.write_statements(text, path := _path(spark, "statements"))
+    return tables.read_statements(spark, path)
+
+
+@query("IO2 IO3 IO6", "SELECT o_custkey % 24 AS page, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+def io_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written by page and summed from the pages."""
+    rows = bind.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 24).alias("page"), "o_orderkey", "o_totalprice")
+    tables.write_partitioned(rows, path := _path(spark, "pages"), "page")
+    return spark.read.parquet(path).groupBy(F.col("page").cast("long").alias("page")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("IO4 IO8", "SELECT s_suppkey AS fid, s_name AS name, idx, (s_suppkey % 90) + x AS lon, (s_suppkey % 45) + y AS lat FROM supplier, (VALUES (0, 0.0, 0.0), (1, 3.0, 0.0), (2, 3.0, 2.0), (3, 0.0, 0.0)) AS v(idx, x, y)")
+def io_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons written as GeoJSON and read as vertices."""
+    lon, lat = (F.col("s_suppkey") % 90).cast("double"), (F.col("s_suppkey") % 45).cast("double")
+    ring = F.array(*[F.array(lon + x, lat + y) for x, y in ((0, 0), (3, 0), (3, 2), (0, 0))])
+    feature = F.struct(F.struct(F.col("s_suppkey").alias("fid"), F.col("s_name").alias("name")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
+    rows = bind.table(spark, sf_dir, "supplier").select(F.to_json(F.struct(F.array(feature).alias("features"))).alias("value"))
+    rows.write.text(path := _path(spark, "features"))
+    return tables.read_features(spark, path).select("fid", "name", "idx", "lon", "lat")
+
+
+_BUCKETS = "SELECT {0} AS k, b, sha256(string_agg(s, chr(10) ORDER BY s)) AS s, count(*) AS n FROM (SELECT *, substr(s, 1, 2) AS b FROM ({1})) GROUP BY 1, 2"
+
+
+@query("AG20 IO9 IO12", "WITH r AS (SELECT n_regionkey AS k, sha256('{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}') AS s FROM nation), b AS (" + _BUCKETS.format("k", "SELECT * FROM r") + ") SELECT k AS n_regionkey, CAST(sum(n) AS BIGINT) AS \"rows\", sha256(string_agg(b || ' ' || s, chr(10) ORDER BY b)) AS sha FROM b GROUP BY k")
+def io_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the nations of each region, which name their version."""
+    return tables.fingerprint(bind.table(spark, sf_dir, "nation"), ["n_regionkey"], ["n_nationkey", "n_name"])
+
+
+@query("IO10", "SELECT 'part-' || o_custkey % 5 || '.gone' AS path, 'absent' AS fault FROM orders GROUP BY 1")
+def io_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a table against pins: pinned ones that are absent; others are pinned as they are."""
+    stored_ = bind.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 5).alias("k"))
+    stored_.repartition(3).write.parquet(path := _path(spark, "files"))
+    have = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    gone = stored_.select(F.concat(F.lit("part-"), F.col("k").cast("string"), F.lit(".gone")).alias("path"), F.lit(1).cast("long").alias("bytes"), F.lit("").alias("sha256")).distinct()
+    return tables.audit_manifest(spark, stored(have.union(gone), "pins"), path)
+
+
+@query("ST5", "SELECT l.c_custkey AS key, CASE WHEN r.b IS NULL THEN 'upload' ELSE 'conflict' END AS action FROM (SELECT c_custkey, c_custkey % 97 AS b FROM customer) l LEFT JOIN (SELECT s_suppkey * 3 AS k, s_suppkey * 3 % 89 AS b FROM supplier) r ON r.k = l.c_custkey WHERE r.b IS NULL OR r.b <> l.b")
+def io_sync_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a remote listing lacks or has in another size."""
+    local = bind.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), (F.col("c_custkey") % 97).alias("bytes"))
+    remote = bind.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 3).alias("key"), (F.col("s_suppkey") * 3 % 89).alias("bytes"))
+    return tables.sync_plan(local, remote)
+
+
+@query("IN1 VQ2", "SELECT o_custkey AS job, sha256(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY CAST(o_orderkey AS VARCHAR))) AS key FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 0) GROUP BY 1")
+def io_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs whose content key is not that of an earlier run: those with an order that the earlier table lacked."""
+    orders = bind.table(spark, sf_dir, "orders")
+    keys = lambda df: df.groupBy(F.col("o_custkey").alias("job")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("o_orderkey").cast("string"))), ","), 256).alias("key"))
+    return keys(orders).join(keys(orders.where("o_orderkey % 10 <> 0")), ["job", "key"], "left_anti")
+
+
+@query("IO11 VQ12", f"{bind.ctes(c=bind.EVENT_CLASS)} SELECT cls, weight, within FROM c WHERE cls IN (SELECT o_orderpriority FROM orders)")
+def io_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configured classes that the data holds; the configuration is checked first."""
+    from meridia.operators.audits import config_faults
+
+    classes = bind.frame(spark, sf_dir, bind.EVENT_CLASS)
+    if not config_faults(classes).isEmpty():
+        raise ValueError("the class list is faulty")
+    used = bind.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("cls")).distinct()
+    return used.join(F.broadcast(classes), "cls").select("cls", "weight", "within")

@@ -1 +1,149 @@
-"""To be filled."""
+"""Maps per change year of suppliers taken as polities."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from meridia.operators import cells, steps
+from meridia.operators.joins import interval_join
+from meridia.plans import bind
+from meridia.plans.cell_queries import CELLS, W, all_cells
+from meridia.registry import query
+
+_P = bind.POLITY
+_YEARS = f"""{bind.ctes(p=_P)}, y AS (SELECT DISTINCT unnest([first, last + 1]) AS year FROM p), g AS (SELECT y.year, coalesce(string_agg(CAST(row_id AS VARCHAR), ',' ORDER BY CAST(row_id AS VARCHAR)), '') AS s FROM y LEFT JOIN p ON first <= year AND year <= last GROUP BY y.year),
+c AS (SELECT year, s, lag(s) OVER (ORDER BY year) AS b FROM g), st AS (SELECT row_number() OVER (ORDER BY year) - 1 AS step, year, s FROM c WHERE b IS NULL OR b <> s)"""
+
+
+@query("WN9", f"{_YEARS} SELECT step, year, CASE WHEN s = '' THEN '' ELSE sha256(s) END AS sign FROM st")
+def step_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years in which the set of valid rows changes."""
+    return steps.change_years(bind.frame(spark, sf_dir, _P)).withColumn("step", F.col("step").cast("long"))
+
+
+def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """step, row_id, name of rows valid at fifteen steps of four years."""
+    years = spark.range(15).select(F.col("id").cast("int").alias("step"), (1800 + 4 * F.col("id")).cast("int").alias("year"))
+    return interval_join(bind.frame(spark, sf_dir, _P), years.withColumn("until", F.col("year")), "first", "last", "year", "until", 10)
+
+
+_HELD = "hd AS (SELECT step, row_id, name FROM p, (SELECT unnest(range(15)) AS step) WHERE first <= 1800 + 4 * step AND 1800 + 4 * step <= last)"
+
+
+@query("WN7 WN8", f"""{bind.ctes(p=_P)}, {_HELD}, d AS (SELECT DISTINCT name, step FROM hd), g AS (SELECT name, step, step - row_number() OVER (PARTITION BY name ORDER BY step) AS g FROM d) SELECT name, CAST(min(step) AS INT) AS first, CAST(max(step) AS INT) AS last FROM g GROUP BY name, g""")
+def step_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of steps in which a name is drawn."""
+    return steps.merged(_held(spark, sf_dir).select("name", "step").distinct(), ["name"])
+
+
+@query("WN11", f"""{bind.ctes(p=_P)}, s AS (SELECT name, first, max(last) OVER (PARTITION BY name ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM p) SELECT name, seen + 1 AS gone, first AS back FROM s WHERE first > seen + 1""")
+def step_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years between a name's spans."""
+    return steps.gaps(bind.frame(spark, sf_dir, _P).select("name", "first", "last"))
+
+
+@query("WN18 AG24", f"""{bind.ctes(p=_P)}, d AS (SELECT name, min(row_id) AS line, list(row_id ORDER BY row_id) AS ids, list_sort(list_distinct(string_split(name, ''))) AS chars FROM p GROUP BY name) SELECT name, row_number() OVER (ORDER BY name) + 1 AS id, line, ids, chars FROM d""")
+def step_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names numbered from 2, with their rows in order and their characters."""
+    rows = bind.frame(spark, sf_dir, _P).groupBy("name").agg(F.min("row_id").alias("line"), F.array_sort(F.collect_set("row_id")).alias("ids"))
+    rank = F.row_number().over(Window.orderBy("name")) + 1  # one row per name
+    return rows.select("name", rank.cast("long").alias("id"), "line", "ids", F.array_sort(F.array_distinct(F.split("name", ""))).alias("chars"))
+
+
+_HOLD = f"""{CELLS}, hc AS (SELECT step, j, i, min(name) AS name FROM pc, (SELECT unnest(range(15)) AS step) WHERE first <= 1800 + 4 * step AND 1800 + 4 * step <= last GROUP BY step, j, i),
+al AS (SELECT s.step, c.j, c.i, hc.name, 1800 + 4 * s.step AS year FROM (SELECT DISTINCT j, i FROM pc) c CROSS JOIN (SELECT unnest(range(15)) AS step) s LEFT JOIN hc ON hc.step = s.step AND hc.j = c.j AND hc.i = c.i)"""
+
+
+def _holders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    years = spark.range(15).select(F.col("id").cast("int").alias("step"), (1800 + 4 * F.col("id")).cast("int").alias("year"))
+    rows = all_cells(spark, sf_dir)
+    held = interval_join(rows, years.withColumn("until", F.col("year")), "first", "last", "year", "until", 10).groupBy("step", "j", "i").agg(F.min("name").alias("name"))
+    spine = rows.select("j", "i").distinct().crossJoin(F.broadcast(years.select("step")))  # fifteen steps
+    return spine.join(held, ["step", "j", "i"], "left"), years
+
+
+@query("WN12 GE15", f"""{_HOLD}, m AS (SELECT *, last_value(name IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, first_value(name IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b,
+  max(CASE WHEN name IS NOT NULL THEN step END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM al WINDOW w AS (PARTITION BY j, i ORDER BY step))
+SELECT step, j, i, a AS name FROM (SELECT *, min(CASE WHEN name IS NULL THEN year END) OVER (PARTITION BY j, i, s) AS f FROM m) WHERE name IS NULL AND a = b AND year - f <= 12""")
+def step_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unclaimed cells carried through between the same holder."""
+    held, years = _holders(spark, sf_dir)
+    return steps.carried(held, years, 12)
+
+
+@query("WN13 GE14")
+def step_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions unclaimed for a while between two holders, classed."""
+    held, years = _holders(spark, sf_dir)
+    found = steps.unresolved(held, years, 40, 2, W)
+    facts = found.select("a", "b", "first", "last", "region", "cells", (F.col("cells") % 7).alias("wide"), (F.col("region") % 5 == 0).alias("lake"), (F.col("region") % 3 == 0).alias("coast"), F.when(F.col("a") == F.col("b"), 1).otherwise(2).alias("units"))
+    return steps.classify(facts, 2, 30)
+
+
+@query("GE12 GE13 JN26")
+def step_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of names per step after corrections."""
+    held, _ = _holders(spark, sf_dir)
+    rows = held.where("name is not null").select("step", "name", "j", "i")
+    ordered = [
+        {"kind": "rename", "name": "P1", "to": "P1 north", "y0": 0, "y1": 7},
+        {"kind": "drop", "name": "P2", "y0": 3, "y1": 9},
+        {"kind": "add", "name": "P3", "y0": 2, "y1": 5, "within": (0, 0, 2, 3)},
+        {"kind": "give", "name": "P4", "to": "P5", "y0": 0, "y1": 14, "within": (0, 0, 30, 40)},
+        {"kind": "pocket", "name": "P6", "to": "P7", "y0": 0, "y1": 14, "at": (10, 10)},
+    ]
+    return steps.corrected(rows, ordered, W).groupBy("step", "name").agg(F.count(F.lit(1)).alias("cells"))
+
+
+_EDGES = "SELECT DISTINCT 'P' || CAST(s_suppkey % 40 AS STRING) AS child, 'P' || CAST(s_suppkey % 40 DIV 3 AS STRING) AS parent, CASE WHEN s_suppkey % 40 % 5 = 4 THEN 'other' WHEN s_suppkey % 2 = 0 THEN 'member' ELSE 'vassal' END AS kind FROM {supplier} WHERE s_suppkey % 40 > 2"
+
+
+@query("GE11", f"""WITH RECURSIVE ed AS ({bind.duck(_EDGES)}), u AS (SELECT child, parent FROM ed WHERE kind <> 'other'), r AS (SELECT child AS node, parent AS anc FROM u UNION SELECT r.node, u.parent FROM r JOIN u ON u.child = r.anc),
+t AS (SELECT node, min(anc) AS o, count(DISTINCT anc) AS k FROM r WHERE anc NOT IN (SELECT child FROM ed) GROUP BY node) SELECT n.name, coalesce(o, n.name) AS outer_unit, coalesce(k, 1) AS roots FROM (SELECT DISTINCT child AS name FROM ed) n LEFT JOIN t ON t.node = n.name""")
+def step_outer_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The root above each name by membership."""
+    edges = bind.frame(spark, sf_dir, _EDGES)
+    return steps.outer_units(edges, edges.select(F.col("child").alias("name")).distinct()).withColumnRenamed("outer", "outer_unit")
+
+
+@query("WN14")
+def step_tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holes followed through consecutive steps."""
+    holes = bind.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("hole"), (F.col("c_custkey") % 15).cast("int").alias("step"), (F.col("c_custkey") * 7 % 300).cast("int").alias("j"), (F.col("c_custkey") * 11 % 300).cast("int").alias("i"), (F.col("c_custkey") % 9 + 1).alias("cells"))
+    return steps.tracked(holes, 4).join(holes, "hole").groupBy("track").agg(F.count(F.lit(1)).alias("holes"), F.max("cells").alias("most"), F.min("step").alias("first"), F.max("step").alias("last"))
+
+
+@query("GE16 GE17")
+def step_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of each name on dry land in 1830, small ones marked minor."""
+    dry = bind.table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 50).cast("int").alias("j"), F.expr(f"cast(o_orderkey div 50 % {W} as int)").alias("i")).distinct()
+    held = all_cells(spark, sf_dir).where("first <= 1830 and 1830 <= last").select("name", "j", "i").distinct().join(dry, ["j", "i"], "left_semi")
+    pieces = cells.regions(held, ["name"], W).groupBy("name", "region").agg(F.count(F.lit(1)).alias("cells"))
+    return pieces.withColumn("minor", F.col("cells") < 10)
+
+
+@query("GE5")
+def step_pockets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Empty cells within two cells of held land filled by its nearest holder."""
+    held, _ = _holders(spark, sf_dir)
+    first = held.where("step = 7")
+    return cells.nearest_fill(first.where("name is not null").select("j", "i", F.col("name").alias("id")), first.where("name is null").select("j", "i"), W, 2)
+
+
+@query("IO7", f"""{bind.ctes(p=_P)} SELECT name, c AS chunk, greatest(first - 1800, c * 16) AS s0, least(last - 1800, c * 16 + 15) AS s1, dense_rank() OVER (PARTITION BY c ORDER BY name) - 1 AS name_no FROM p, (SELECT unnest(range(0, 8)) AS c) WHERE first - 1800 <= c * 16 + 15 AND last - 1800 >= c * 16""")
+def step_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placements cut to chunks of sixteen steps, names numbered in each."""
+    from meridia.sources.tables import chunked
+
+    rows = bind.frame(spark, sf_dir, _P).select("name", (F.col("first") - 1800).cast("long").alias("s0"), (F.col("last") - 1800).cast("long").alias("s1"))
+    return chunked(rows, 16).withColumn("name_no", F.col("name_no").cast("long"))
+
+
+@query("AG25 AG26", f"""{bind.ctes(p=_P)}, {_HELD}, k AS (SELECT row_id AS ord, CAST(row_id % 15 AS INT) AS y0, CAST(row_id % 15 + 3 AS INT) AS y1, 'P' || CAST((row_id * 3 % 50) AS STRING) AS name FROM p WHERE row_id % 4 = 0),
+x AS (SELECT ord, step FROM k, (SELECT unnest(range(15)) AS step) WHERE step >= y0 AND step <= y1 AND NOT EXISTS (SELECT 1 FROM hd WHERE hd.step = range_.step AND hd.name = k.name)) SELECT ord, CAST(count(*) AS BIGINT) AS idle_steps, CAST(min(step) AS INT) AS first FROM x GROUP BY ord""".replace("(SELECT unnest(range(15)) AS step) WHERE step >= y0", "(SELECT unnest(range(15)) AS step) range_ WHERE step >= y0"))
+def step_idle_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrections that change nothing in steps of their range."""
+    k = bind.frame(spark, sf_dir, _P).where("row_id % 4 = 0").select(F.col("row_id").alias("ord"), (F.col("row_id") % 15).cast("int").alias("y0"), (F.col("row_id") % 15 + 3).cast("int").alias("y1"), F.concat(F.lit("P"), (F.col("row_id") * 3 % 50).cast("string")).alias("name"))
+    due = k.withColumn("step", F.explode(F.sequence("y0", F.least(F.col("y1"), F.lit(14)))))
+    return due.join(_held(spark, sf_dir).select("step", "name"), ["step", "name"], "left_anti").groupBy("ord").agg(F.count(F.lit(1)).alias("idle_steps"), F.min("step").alias("first"))
