@@ -58,9 +58,11 @@ def unresolved(holders: DataFrame, years: DataFrame, most: int, least_cells: int
     b = F.first("name", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
     s = F.max(F.when(F.col("name").isNotNull(), F.col("step"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
     open_ = rows.withColumn("a", a).withColumn("b", b).withColumn("s", s).where("name is null and a is not null and b is not null")
-    spans = open_.groupBy("j", "i", "s", "a", "b").agg(F.min("step").alias("first"), F.max("step").alias("last"), F.min("year").alias("y0"), F.max("year").alias("y1")).where(F.col("y1") - F.col("y0") <= most)
-    by = ["a", "b", "first", "last"]
-    return regions(spans, by, columns).groupBy(*by, "region").agg(F.count(F.lit(1)).alias("cells")).where(F.col("cells") >= least_cells)
+    open_ = open_.withColumnsRenamed({"a": "before", "b": "after"})
+    spans = open_.groupBy("j", "i", "s", "before", "after").agg(F.min("step").alias("first"), F.max("step").alias("last"), F.min("year").alias("y0"), F.max("year").alias("y1")).where(F.col("y1") - F.col("y0") <= most)
+    by = ["before", "after", "first", "last"]
+    found = regions(spans, by, columns).groupBy(*by, "region").agg(F.count(F.lit(1)).alias("cells"))
+    return found.where(F.col("cells") >= least_cells).withColumnsRenamed({"before": "a", "after": "b"})
 
 
 def outer_units(edges: DataFrame, nodes: DataFrame) -> DataFrame:

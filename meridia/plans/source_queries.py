@@ -17,7 +17,7 @@ def _path(spark: SparkSession, name: str) -> str:
     return f"{scratch(spark)}/meridia/{name}-{uuid.uuid4().hex}"
 
 
-@query("IO1", f"{bind.ctes(st=bind.STATEMENT)} SELECT cls, qid, label, enwiki, prop, y, m, d, prec, round(lon, 2) AS lon, round(lat, 2) AS lat, editions FROM st WHERE prec >= 9")
+@query("IO1", f"{bind.ctes(st=bind.STATEMENT)} SELECT cls, CASE WHEN qid > 0 THEN qid END AS qid, label, enwiki, prop, y, m, d, prec, round(lon, 2) AS lon, round(lat, 2) AS lat, editions FROM st WHERE prec >= 9")
 def io_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements written as a tab-separated export and read again."""
     from meridia.functions import cal

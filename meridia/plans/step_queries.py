@@ -110,7 +110,7 @@ def step_outer_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WN14")
 def step_tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holes followed through consecutive steps."""
-    holes = bind.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("hole"), (F.col("c_custkey") % 15).cast("int").alias("step"), (F.col("c_custkey") * 7 % 300).cast("int").alias("j"), (F.col("c_custkey") * 11 % 300).cast("int").alias("i"), (F.col("c_custkey") % 9 + 1).alias("cells"))
+    holes = bind.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("hole"), (F.col("c_custkey") % 15).cast("int").alias("step"), (F.col("c_custkey") * 7 % 60).cast("int").alias("j"), (F.col("c_custkey") * 11 % 60).cast("int").alias("i"), (F.col("c_custkey") % 9 + 1).alias("cells"))
     return steps.tracked(holes, 4).join(holes, "hole").groupBy("track").agg(F.count(F.lit(1)).alias("holes"), F.max("cells").alias("most"), F.min("step").alias("first"), F.max("step").alias("last"))
 
 
