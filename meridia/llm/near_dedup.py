@@ -10,7 +10,9 @@ threshold, and full sets confirm the rest.
 A bucket of up to SMALL sets proposes all its pairs. A larger one first proposes
 its members with a few hubs; where the links found so far leave it in several
 components, the members outside of the largest are held against all members by
-their sketches, in blocks of bounded size. So no group is ever gathered whole, pairs
+their sketches, in blocks of bounded size; members with a possible partner come again
+with their full sets, in blocks of bounded bytes. Blocks put out members and links, never
+mere candidates. So no group is ever gathered whole, pairs
 already known to be connected are never formed, and no link that could join two
 components goes unlooked at.
 """
@@ -30,12 +32,13 @@ from meridia.llm.common import documents, stored
 from meridia.llm.graph import components
 from meridia.llm.words import mix, shingle_sets
 
-BANDS, ROWS, BITS = 32, 4, 512
-SMALL, HUBS, BLOCK = 16, 3, 1024
+BANDS, ROWS, BITS = 52, 6, 1024
+#: BLOCK counts sets, HEAVY shingles.
+SMALL, HUBS, BLOCK, HEAVY = 16, 3, 1024, 1 << 18
 
 
-def sketch_limit(threshold: float, samples: int = BANDS * ROWS, bits: int = BITS, deviations: float = 5.0) -> int:
-    """The XOR population count that a pair at the threshold exceeds about once in three million times."""
+def sketch_limit(threshold: float, samples: int = BANDS * ROWS, bits: int = BITS, deviations: float = 4.5) -> int:
+    """The XOR population count that a pair at the threshold exceeds less than once in a hundred thousand times."""
     differing = samples * (1 - threshold) + deviations * sqrt(samples * threshold * (1 - threshold))
     expected = bits * (1 - exp(-4 * differing / bits)) / 2
     return ceil(expected + 2 * sqrt(expected * (1 - expected / bits)))
@@ -114,41 +117,81 @@ def _near_sizes(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _blocks(limit: int, percent: int):
+def _near(table: pa.Table, limit: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of asking and of held rows, in different components, whose sketches and sizes leave a link possible."""
+    comp, n = table.column("component").to_numpy(), table.column("n").to_numpy()
+    asks = table.column("asks").to_numpy(zero_copy_only=False)
+    words = np.array(table.column("sketch").to_pylist(), np.int64).view(np.uint64).reshape(len(n), -1)
+    q, d = np.flatnonzero(asks), np.flatnonzero(~asks)
+    for i in range(0, len(q), 128):
+        part = q[i : i + 128]
+        apart = np.zeros((len(part), len(d)), np.uint16)
+        for w in range(words.shape[1]):
+            apart += np.bitwise_count(words[part, w][:, None] ^ words[d, w][None, :])
+        small, large = np.minimum(n[part][:, None], n[d]), np.maximum(n[part][:, None], n[d])
+        x, y = np.nonzero((apart <= limit) & (comp[part][:, None] != comp[d]) & (100 * small >= percent * large))
+        yield part[x], d[y]
+
+
+def _possible(limit: int, percent: int):
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        hit = np.zeros(len(table), bool)
+        for x, y in _near(table, limit, percent):
+            hit[x] = hit[y] = True
+        return table.select(["key", "rep"]).filter(pa.array(hit))
+
+    return compare
+
+
+def _linked(limit: int, percent: int):
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        rep, comp, n = (table.column(c).to_numpy() for c in ("rep", "component", "n"))
-        asks = table.column("asks").to_numpy(zero_copy_only=False)
-        words = np.array(table.column("sketch").to_pylist(), np.int64).view(np.uint64).reshape(len(rep), -1)
-        q, d = np.flatnonzero(asks), np.flatnonzero(~asks)
-        out_a, out_b = [], []
-        for i in range(0, len(q), 128):
-            part = q[i : i + 128]
-            near = np.zeros((len(part), len(d)), np.uint16)
-            for w in range(words.shape[1]):
-                near += np.bitwise_count(words[part, w][:, None] ^ words[d, w][None, :])
-            small, large = np.minimum(n[part][:, None], n[d]), np.maximum(n[part][:, None], n[d])
-            x, y = np.nonzero((near <= limit) & (comp[part][:, None] != comp[d]) & (100 * small >= percent * large))
-            out_a.append(rep[part[x]])
-            out_b.append(rep[d[y]])
-        a, b = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (out_a, out_b))
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+        rep, sets = table.column("rep").to_numpy(), table.column("shingles").to_pylist()
+        out = []
+        for x, y in _near(table, limit, percent):
+            for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                s, t = np.frombuffer(sets[i], np.uint64), np.frombuffer(sets[j], np.uint64)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                if 100 * both >= percent * (len(s) + len(t) - both):
+                    out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return compare
 
 
-def _residual(members: DataFrame, sets: DataFrame, links: DataFrame, limit: int, percent: int) -> DataFrame:
-    """Pairs of large buckets, in different components, that their sketches leave possible."""
+def _in_blocks(rows: DataFrame, pieces: DataFrame, more: list[str]) -> DataFrame:
+    """Every row of rows(key, rep, component, n, sketch) once per block of its bucket's asking rows, and asking rows (outside the main component) once per block of all.
+
+    pieces(key, main, p, q) says into how many parts all rows, and the asking ones, are dealt.
+    """
+    rows = rows.join(pieces, "key")
+    spread = F.xxhash64("rep")
+    kept = ["rep", "component", "n", "sketch", *more]
+    held = rows.select("key", F.pmod(spread, F.col("p")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("j"), *kept, F.lit(False).alias("asks"))
+    asks = rows.where("component <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("i"), F.pmod(spread, F.col("q")).cast("int").alias("j"), *kept, F.lit(True).alias("asks"))
+    return held.unionByName(asks)
+
+
+def _residual(members: DataFrame, sets: DataFrame, links: DataFrame, docs: DataFrame, k: int, limit: int, percent: int) -> DataFrame | None:
+    """Links between members of large buckets that are in different components, None if no sketch leaves one possible."""
     of = members.join(links, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     sizes = of.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("h"))
-    buckets = sizes.groupBy("key").agg(F.sum("c").alias("m"), F.max("c").alias("most"), F.max_by("component", "c").alias("main"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("parts"))
+    buckets = sizes.groupBy("key").agg(F.sum("c").alias("m"), F.max("c").alias("most"), F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("parts"))
     # Buckets of other bands with the same members add nothing.
-    buckets = buckets.where("parts > 1").groupBy("m", "h").agg(F.min("key").alias("key"), F.min("most").alias("most"), F.min("main").alias("main"))
+    buckets = stored(buckets.where("parts > 1").groupBy("m", "h").agg(F.min(F.struct("key", "main", "most")).alias("b")).select("b.*", "m"), "buckets")
     pieces = buckets.select("key", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("p"), F.ceil((F.col("m") - F.col("most")) / BLOCK).cast("int").alias("q"))
-    rows = of.join(pieces, "key").join(sets.select("rep", "n", "sketch"), "rep")
-    spread = F.xxhash64("rep")
-    held = rows.select("key", F.pmod(spread, F.col("p")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("j"), "rep", "component", "n", "sketch", F.lit(False).alias("asks"))
-    asks = rows.where("component <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("i"), F.pmod(spread, F.col("q")).cast("int").alias("j"), "rep", "component", "n", "sketch", F.lit(True).alias("asks"))
-    return held.unionByName(asks).groupBy("key", "i", "j").applyInArrow(_blocks(limit, percent), "a long, b long").distinct()
+    rows = stored(of.join(buckets.select("key"), "key").join(sets.select("rep", "n", "sketch"), "rep"), "bucket-rows")
+    found = _in_blocks(rows, pieces, []).groupBy("key", "i", "j").applyInArrow(_possible(limit, percent), "key long, rep long").distinct()
+    found = stored(found, "possible")
+    if found.isEmpty():
+        return None
+    wanted = found.select(F.col("rep").alias("doc_id")).distinct()
+    full = stored(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_maker(k), "doc_id long, shingles binary"), "shingles")
+    rows = stored(rows.join(found, ["key", "rep"]), "bucket-rows")
+    asking = F.when(F.col("component") != F.col("main"), F.col("n"))
+    weights = rows.join(buckets.select("key", "main"), "key").groupBy("key", "main").agg(F.sum("n").alias("all"), F.coalesce(F.sum(asking), F.lit(0)).alias("own")).where("own > 0")
+    pieces = weights.select("key", "main", F.ceil(F.col("all") / HEAVY).cast("int").alias("p"), F.ceil(F.col("own") / HEAVY).cast("int").alias("q"))
+    rows = rows.join(full, F.col("rep") == F.col("doc_id")).drop("doc_id")
+    return stored(_in_blocks(rows, pieces, ["shingles"]).groupBy("key", "i", "j").applyInArrow(_linked(limit, percent), "a long, b long").distinct(), "residual")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -178,18 +221,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     ones = lists.select(F.explode("l").alias("a"), "l").select("a", F.explode(F.filter("l", lambda x: x > F.col("a"))).alias("b"))
     many = members.where(F.col("m") > SMALL)
     stars = many.select(F.col("h0").alias("a"), F.col("rep").alias("b"))
-    more = many.groupBy("key").agg(*hubs)
+    others = many.groupBy("key").agg(*hubs)
     for i in range(1, HUBS):
-        stars = stars.union(many.join(more, "key").select(F.least("rep", f"h{i}"), F.greatest("rep", f"h{i}")))
+        stars = stars.union(many.join(others, "key").select(F.least("rep", f"h{i}"), F.greatest("rep", f"h{i}")))
     asked = ones.union(stars).where("a <> b").distinct()
     side = lambda x: sets.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
     likely = stored(asked.join(side("a"), "a").join(side("b"), "b").where(_near_sizes("na", "nb", percent) & (_apart("ka", "kb") <= limit)).select("a", "b"), "likely")
     links = confirmed(likely, docs, k, percent)
     groups = stored(components(links), "components")
 
-    left = stored(_residual(many.select("key", "rep"), sets, groups, limit, percent), "residual")
-    if not left.isEmpty():
-        groups = stored(components(links.union(confirmed(left, docs, k, percent))), "components")
+    more = _residual(many.select("key", "rep"), sets, groups, docs, k, limit, percent)
+    if more is not None:
+        groups = stored(components(links.union(more)), "components")
     of_rep = of_set.join(groups, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("component", "rep").alias("c"))
     joined = signed.join(of_rep, "set_id", "left")
     component = F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("doc_id"))
