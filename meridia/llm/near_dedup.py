@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridia.llm.common import documents, stored
+from meridia.llm.common import documents, join_bounded, stored
 from meridia.llm.graph import components
 from meridia.llm.words import mix, shingle_sets
 
@@ -184,8 +184,7 @@ def _residual(members: DataFrame, sets: DataFrame, links: DataFrame, docs: DataF
     found = stored(found, "possible")
     if found.isEmpty():
         return None
-    wanted = found.select(F.col("rep").alias("doc_id")).distinct()
-    full = stored(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_maker(k), "doc_id long, shingles binary"), "shingles")
+    full = shingles(docs, found.select(F.col("rep").alias("doc_id")), k)
     rows = stored(rows.join(found, ["key", "rep"]), "bucket-rows")
     asking = F.when(F.col("component") != F.col("main"), F.col("n"))
     weights = rows.join(buckets.select("key", "main"), "key").groupBy("key", "main").agg(F.sum("n").alias("all"), F.coalesce(F.sum(asking), F.lit(0)).alias("own")).where("own > 0")
@@ -239,10 +238,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def shingles(docs: DataFrame, wanted: DataFrame, k: int, most: int = 1_000_000) -> DataFrame:
+    """The stored full sets of the documents whose doc_id is wanted. Up to `most` ids, of eight bytes, are broadcast; more are joined by a shuffle of the texts."""
+    ids = stored(wanted.distinct(), "wanted")
+    return stored(join_bounded(docs, ids, ["doc_id"], "left_semi", most).mapInArrow(_set_maker(k), "doc_id long, shingles binary"), "shingles")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The stored pairs (a, b) of doc_ids whose full sets meet the threshold."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = stored(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_maker(k), "doc_id long, shingles binary"), "shingles")
+    sets = shingles(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), k)
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     return stored(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long").distinct(), "links")
