@@ -38,7 +38,8 @@ def recipes(docs: DataFrame, identify: Callable[[Column], Column] = digest) -> D
     plain = docs.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.transform(cut(F.col("text")), identify).alias("ids"))
     if shared.isEmpty():
         return plain.select("doc_id", "text_sha256", F.concat_ws(" ", "ids").alias("recipe"))
-    # Rare: different chunks with one identifier. Each content gets an ordinal below it.
+    # Rare: different chunks with one identifier. Each content gets an ordinal below it; here rows that
+    # repeat a doc_id together with its text are one.
     clashing = pieces.select("chunk").distinct().withColumn("id", identify(F.col("chunk"))).join(shared, "id", "left_semi")
     lesser = clashing.alias("a").join(clashing.alias("b"), (F.col("a.id") == F.col("b.id")) & (F.col("b.chunk") < F.col("a.chunk")), "left")
     ordinal = lesser.groupBy(F.col("a.chunk").alias("chunk")).agg(F.count("b.chunk").alias("ordinal"))
@@ -57,9 +58,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     share its fate. Other columns are not looked at. An empty table gives no rows.
     """
     rows = stored(recipes(documents(docs, id_col, text_col), identify), "recipes")
-    groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    # A third of all rows may have one recipe: a join, unlike a window, lets Spark split that key's rows.
-    return rows.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # A third of all rows may have one recipe: joined with a stored table, Spark can split that key's rows over tasks.
+    joined = rows.join(stored(groups, "groups"), "recipe", "left")
+    keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
+    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
