@@ -1,16 +1,15 @@
-"""What the operators of this subpackage share: reading tables and cutting lineage."""
+"""What the operators of this subpackage share; lineage is cut as in the rest of the library."""
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
+from meridia.shared import join_bounded, scratch, stored
+
+__all__ = ["documents", "join_bounded", "scratch", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,38 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir.
-
-    Where it is unset, as in tests, a temporary folder serves a local master; a
-    cluster without the setting is refused, as its machines share no local folder.
-    """
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if there:
-        return there.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    key = context.applicationId
-    if key not in _OWN:
-        _OWN[key] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return _OWN[key]
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: what follows doesn't depend on what came before."""
-    path = f"{scratch(df.sparkSession)}/meridia/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def purge() -> None:
-    """Remove the temporary folders that scratch() made for local sessions."""
-    for path in _OWN.values():
-        shutil.rmtree(path, ignore_errors=True)
-    _OWN.clear()
-
-
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: Iterable[str] = ()) -> DataFrame:
     """doc_id long and text string (null: empty), and of the other columns only those named."""
     return docs.select(
@@ -57,8 +24,3 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         *[F.col(c) for c in more],
     )
-
-
-def join_bounded(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", most: int = 100_000) -> DataFrame:
-    """Join that broadcasts a stored right side only when a count shows that it has `most` rows at most."""
-    return left.join(F.broadcast(right) if right.limit(most + 1).count() <= most else right, on, how)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridia.llm.common import documents, join_bounded, stored
-from meridia.llm.graph import components
+from meridia.operators.graph import components
 from meridia.llm.words import mix, shingle_sets
 
 BANDS, ROWS, BITS = 52, 6, 1024
@@ -207,20 +207,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     docs = documents(docs, id_col, text_col)
     signed = stored(signatures(docs, k, bands, rows), "signatures")
     found = signed.where("n > 0")
-    of_set = found.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    sets = stored(found.join(of_set, "set_id").where("doc_id = rep").dropDuplicates(["set_id"]).select("rep", "set_id", "n", "keys", "sketch"), "sets")
+    # Tables that a common set or key is joined with are stored first: Spark then can split that key's rows over tasks.
+    of_set = stored(found.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "set-ids")
+    own = found.join(of_set.select(F.col("rep").alias("doc_id"), "set_id"), ["doc_id", "set_id"]).dropDuplicates(["doc_id", "set_id"])
+    sets = stored(own.select(F.col("doc_id").alias("rep"), "set_id", "n", "keys", "sketch"), "sets")
     limit = sketch_limit(percent / 100, bands * rows)
 
     keyed = sets.select(F.explode("keys").alias("key"), "rep")
     hubs = [F.min_by("rep", F.xxhash64(F.lit(i), "rep")).alias(f"h{i}") for i in range(1, HUBS)]
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("h0")).where("m > 1")
+    buckets = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("h0")).where("m > 1"), "buckets")
     members = stored(keyed.join(buckets, "key"), "members")
     few = members.where(F.col("m") <= SMALL)
     lists = few.groupBy("key").agg(F.collect_set("rep").alias("l"))  # SMALL at most
     ones = lists.select(F.explode("l").alias("a"), "l").select("a", F.explode(F.filter("l", lambda x: x > F.col("a"))).alias("b"))
     many = members.where(F.col("m") > SMALL)
     stars = many.select(F.col("h0").alias("a"), F.col("rep").alias("b"))
-    others = many.groupBy("key").agg(*hubs)
+    others = stored(many.groupBy("key").agg(*hubs), "hubs")
     for i in range(1, HUBS):
         stars = stars.union(many.join(others, "key").select(F.least("rep", f"h{i}"), F.greatest("rep", f"h{i}")))
     asked = ones.union(stars).where("a <> b").distinct()
