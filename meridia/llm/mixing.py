@@ -2,8 +2,9 @@
 
 Documents are counted into cells (source, language, topic) of token totals. Raking
 scales the cells until their sums meet the targets of each of the three marginals
-in turn; a cell's factor, over the largest factor, is the probability with which its
-documents are sampled. DataFrame functions only; the rounds work on cells, never on
+in turn. A cell's documents are sampled with its factor as their probability, 1 at most;
+what is above 1 stays as their weight, so probability times weight is calibrated and
+no rare cell thins out all others. DataFrame functions only; the rounds work on cells, never on
 documents.
 """
 
@@ -63,7 +64,7 @@ def rake(cells: DataFrame, margins: tuple[str, ...] = MARGINS, rounds: int = ROU
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", rounds: int = ROUNDS, alpha: float = ALPHA) -> DataFrame:
-    """One row per document: doc_id, source, lang, topic, n_tokens, probability, sampled.
+    """One row per document: doc_id, source, lang, topic, n_tokens, probability, weight, sampled.
 
     Null sources and languages count as '', null texts as empty. A document without
     tokens has the probability of its cell; rows that repeat a doc_id are drawn
@@ -73,9 +74,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     label = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), label(source_col).alias("source"), label(lang_col).alias("lang"), topic(text).alias("topic"), tokens(text).alias("n_tokens")), "mix")
     cells = rake(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").cast("double").alias("w")), MARGINS, rounds, alpha)
-    top = cells.agg(F.max("factor").alias("m")).first()["m"] or 1.0
-    chance = cells.select(*MARGINS, F.round(F.col("factor") / F.lit(top), 9).alias("probability"))
-    return join_bounded(rows, chance, list(MARGINS), "inner").select("doc_id", *MARGINS, "n_tokens", "probability", (uniform(F.col("doc_id")) < F.col("probability")).alias("sampled"))
+    one = F.lit(1.0)
+    chance = cells.select(*MARGINS, F.round(F.least("factor", one), 9).alias("probability"), F.round(F.greatest("factor", one), 9).alias("weight"))
+    return join_bounded(rows, chance, list(MARGINS), "inner").select("doc_id", *MARGINS, "n_tokens", "probability", "weight", (uniform(F.col("doc_id")) < F.col("probability")).alias("sampled"))
 
 
 def sample(docs: DataFrame, **columns) -> DataFrame:
@@ -85,7 +86,7 @@ def sample(docs: DataFrame, **columns) -> DataFrame:
 
 
 def mix_sql(documents: str, rounds: int = ROUNDS, alpha: float = ALPHA) -> str:
-    """The CTEs of DuckDB SQL that end in mixed(doc_id, source, lang, topic, n_tokens, probability, sampled)."""
+    """The CTEs of DuckDB SQL that end in mixed(doc_id, source, lang, topic, n_tokens, probability, weight, sampled)."""
     out = [
         f"""mix_rows AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
   CASE WHEN contains(t, ' | ') THEN 'table' WHEN contains(t, '###') OR contains(t, '$$$') OR contains(t, '%%%') THEN 'markup'
@@ -106,8 +107,8 @@ def mix_sql(documents: str, rounds: int = ROUNDS, alpha: float = ALPHA) -> str:
         for m in MARGINS:
             out.append(f"mix_{k + 1} AS MATERIALIZED (SELECT * EXCLUDE (now) REPLACE (CASE WHEN now > 0 THEN factor * goal_{m} / now ELSE factor END AS factor) FROM (SELECT *, sum(w * factor) OVER (PARTITION BY {m}) AS now FROM mix_{k}))")
             k += 1
-    out.append(f"mix_p AS (SELECT source, lang, topic, round(factor / max(factor) OVER (), 9) AS probability FROM mix_{k})")
-    out.append("""mixed AS (SELECT doc_id, source, lang, topic, n_tokens, probability,
+    out.append(f"mix_p AS (SELECT source, lang, topic, round(least(factor, 1.0), 9) AS probability, round(greatest(factor, 1.0), 9) AS weight FROM mix_{k})")
+    out.append("""mixed AS (SELECT doc_id, source, lang, topic, n_tokens, probability, weight,
   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 < probability AS sampled
   FROM mix_rows JOIN mix_p USING (source, lang, topic))""")
     return ",\n".join(out)

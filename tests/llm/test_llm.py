@@ -114,9 +114,9 @@ def test_mixing_meets_marginals(spark):
         w = mixed.groupby(m).n_tokens.sum()
         s = (w / w.sum()) ** mixing.ALPHA
         s = s[w > 0] / s[w > 0].sum()
-        got = (mixed.n_tokens * mixed.probability).groupby(mixed[m]).sum()
+        got = (mixed.n_tokens * mixed.probability * mixed.weight).groupby(mixed[m]).sum()
         assert max(abs(got[w > 0] / got.sum() - s)) < 0.01
-    assert mixed.probability.between(0, 1).all() and mixed.sampled.any()
+    assert mixed.probability.between(0, 1).all() and (mixed.weight >= 1).all() and mixed.sampled.mean() > 0.5
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
