@@ -345,3 +345,28 @@ def test_pipeline_stages(spark, tmp_path):
     want = near_brute([(i, text[i]) for i in seen[2]], 5)
     assert seen[3] == {i for i, (_, c) in want.items() if i == c}
     assert seen[5] == seen[4] and {"n_tokens", "ids_sha256", "decoded_sha256"} <= set(at.columns)
+
+
+def test_pipeline_stages_on_null_repeated_and_no_rows(spark, tmp_path):
+    """Each stage takes rows with nulls in any column, ties, repeated rows, clashing names and empty tables."""
+    import corpus_pipeline
+
+    given = docs(spark, EDGE).unionByName(docs(spark, EDGE[:1]).select("doc_id", "text", *[F.lit(None).cast(t).alias(n) for n, t in docs(spark, []).dtypes[2:]]))
+    labels = spark.createDataFrame([(3, 1), (5, 1), (6, 0), (None, 1), (4, None)], "doc_id long, quality int").withColumn("toxic", F.lit(None).cast("int"))
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        for df in (given, given.limit(0)):
+            out = stage(spark, df, str(tmp_path))
+            rows = out.collect()
+            assert len(rows) <= len(EDGE) + 1 and (df is given or not rows)
+            assert k == 4 or out.columns == given.columns
+            if k == 4 and df is given:
+                assert len(rows) == len(EDGE) + 1
+    kept = {(x["doc_id"], x["text"]) for x in corpus_pipeline.exact_stage(spark, given, str(tmp_path)).collect()}
+    assert {(2, None), (5, EDGE[6][1]), (7, EDGE[8][1]), (4, "ONE"), (3, "one")} <= kept and not {(1, ""), (6, EDGE[7][1])} & kept
+    # Without documents, or without labels (each score is 0.5, so none is kept), the whole pipeline gives no rows.
+    for name, d, lab in (("none", given.limit(0), labels), ("unlabelled", given, labels.limit(0))):
+        d.drop("rep", "recipe", "kept").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        lab.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert out.count() == 0 and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
