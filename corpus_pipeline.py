@@ -32,7 +32,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn with the probabilities that meet the target weights."""
+    """Documents are thinned or repeated by the factors that meet the target weights."""
     return mixing.sample(docs)
 
 

@@ -4,7 +4,7 @@ Documents are counted into cells (source, language, topic) of token totals. Raki
 scales the cells until their sums meet the targets of each of the three marginals
 in turn. A cell's documents are sampled with its factor as their probability, 1 at most;
 what is above 1 stays as their weight, so probability times weight is calibrated and
-no rare cell thins out all others. DataFrame functions only; the rounds work on cells, never on
+no rare cell thins out all others. sample() puts the weight into effect by repeating rows. DataFrame functions only; the rounds work on cells, never on
 documents.
 """
 
@@ -79,10 +79,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return join_bounded(rows, chance, list(MARGINS), "inner").select("doc_id", *MARGINS, "n_tokens", "probability", "weight", (uniform(F.col("doc_id")) < F.col("probability")).alias("sampled"))
 
 
-def sample(docs: DataFrame, **columns) -> DataFrame:
-    """The rows of docs, all columns, whose document is drawn."""
-    drawn = mix(docs, **columns).where("sampled").select(F.col("doc_id").alias("_drawn_id")).distinct()
-    return docs.join(drawn, F.col(columns.get("id_col", "doc_id")).cast("long").eqNullSafe(F.col("_drawn_id")), "left_semi")
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", rounds: int = ROUNDS, alpha: float = ALPHA) -> DataFrame:
+    """The rows of docs, all columns, each as often as its cell's factor says: the whole part of the factor times, and once more with the rest as probability.
+
+    A cell above 1 so grows by repeated rows and one below 1 is thinned, and the tokens of what
+    comes out have the target shares. The draw goes by the doc_id's number, as in mix().
+    Rows without tokens have no share to raise and are not repeated.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    label = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    own = [f"_mix_{m}" for m in MARGINS]
+    cells = stored(docs.select(label(source_col).alias(own[0]), label(lang_col).alias(own[1]), topic(text).alias(own[2]), tokens(text).alias("n")).groupBy(*own).agg(F.sum("n").cast("double").alias("w")), "mix")
+    factors = rake(cells.withColumnsRenamed(dict(zip(own, MARGINS, strict=True))), MARGINS, rounds, alpha)
+    times = factors.select(*[F.col(m).alias(o) for m, o in zip(MARGINS, own, strict=True)], F.round("factor", 9).alias("_mix_factor"))
+    rows = docs.withColumns({own[0]: label(source_col), own[1]: label(lang_col), own[2]: topic(text)})
+    factor = F.when(text.rlike(r"[^ \t\n\r]"), F.col("_mix_factor")).otherwise(F.least("_mix_factor", F.lit(1.0)))
+    drawn = join_bounded(rows, times, own, "inner").withColumn("_mix_factor", factor)
+    whole = F.floor("_mix_factor").cast("int")
+    again = (uniform(F.col(id_col).cast("long")) < F.col("_mix_factor") - whole).cast("int")
+    return drawn.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(True), whole + again))).select(*docs.columns)
 
 
 def mix_sql(documents: str, rounds: int = ROUNDS, alpha: float = ALPHA) -> str:

@@ -120,6 +120,30 @@ def test_mixing_meets_marginals(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
+def test_mixing_stage_meets_targets(spark):
+    """The rows that the stage puts out have the target shares: cells below theirs grow."""
+    import corpus_pipeline
+
+    size = {"large": 2000, **{f"s{k}": 400 for k in range(10)}, "rare": 20}
+    rows = [(n, f"word {n} of a text", "en", s) for n, s in enumerate(s for s, k in size.items() for _ in range(k))]
+    rows += [(None, "one without an id", "en", "large"), (-1, "", "xx", "empty"), (-2, None, "xx", "empty")]
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("topic", F.lit("clash"))
+    out = corpus_pipeline.mixing_stage(spark, given, "")
+    assert out.columns == given.columns and out.exceptAll(out.intersect(given)).distinct().exceptAll(given).count() == 0
+    got = Counter((x["doc_id"], x["source"]) for x in out.where("text <> ''").collect())
+    tempered = {s: k**mixing.ALPHA for s, k in size.items()}
+    want = {s: t / sum(tempered.values()) for s, t in tempered.items()}
+    have = Counter()
+    for (_, s), k in got.items():
+        have[s] += k
+    assert max(abs(have[s] / sum(have.values()) - want[s]) for s in size) < 0.01
+    for s in size:
+        f = want[s] * sum(size.values()) / size[s]
+        assert {got[i, s] for i, _, _, x in rows if x == s and i is not None} <= {int(f * 0.99), int(f), int(f) + 1}, s
+    assert got[0, "large"] <= 1 < min(got[i, "rare"] for i in range(6000, 6020))
+    assert out.where("text is null or text = ''").count() <= 2 and corpus_pipeline.mixing_stage(spark, given.limit(0), "").count() == 0
+
+
 def test_quality_learns_and_leaves_held_out_labels_alone(spark):
     r = random.Random(4)
     rows, labels = [], []
@@ -370,3 +394,22 @@ def test_pipeline_stages_on_null_repeated_and_no_rows(spark, tmp_path):
         lab.write.parquet(f"{tmp_path}/{name}/labels.parquet")
         out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
         assert out.count() == 0 and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_pipeline_edges_behind_mixing(spark, tmp_path):
+    """As the test above, for the stages that may not add rows, and the mixing stage by its kinds of rows."""
+    import corpus_pipeline
+
+    given = docs(spark, EDGE)
+    mixed = corpus_pipeline.mixing_stage(spark, given, str(tmp_path))
+    assert mixed.columns == given.columns and {(x["doc_id"], x["text"]) for x in mixed.collect()} <= set(EDGE)
+    encoded = corpus_pipeline.bpe_stage(spark, given, str(tmp_path))
+    assert encoded.count() == len(EDGE) and corpus_pipeline.bpe_stage(spark, given.limit(0), str(tmp_path)).count() == 0
+    kept = {(x["doc_id"], x["text"]) for x in corpus_pipeline.exact_stage(spark, given, str(tmp_path)).collect()}
+    assert {(2, None), (5, EDGE[6][1]), (7, EDGE[8][1]), (4, "ONE"), (3, "one")} <= kept and not {(1, ""), (6, EDGE[7][1])} & kept
+    labels = spark.createDataFrame([(3, 1), (5, 1)], "doc_id long, quality int").withColumn("toxic", F.lit(None).cast("int"))
+    for name, d, lab in (("none", given.limit(0), labels), ("unlabelled", given, labels.limit(0))):
+        d.drop("rep", "recipe", "kept").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        lab.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert out.count() == 0 and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
