@@ -10,6 +10,7 @@ from meridia.operators.joins import interval_join
 from meridia.plans import bind
 from meridia.plans.cell_queries import CELLS, W, all_cells
 from meridia.registry import query
+from meridia.shared import stored
 
 _P = bind.POLITY
 _YEARS = f"""{bind.ctes(p=_P)}, y AS (SELECT DISTINCT unnest([first, last + 1]) AS year FROM p), g AS (SELECT y.year, coalesce(string_agg(CAST(row_id AS VARCHAR), ',' ORDER BY CAST(row_id AS VARCHAR)), '') AS s FROM y LEFT JOIN p ON first <= year AND year <= last GROUP BY y.year),
@@ -51,31 +52,60 @@ def step_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("name", rank.cast("long").alias("id"), "line", "ids", F.array_sort(F.array_distinct(F.split("name", ""))).alias("chars"))
 
 
+_HELD_CHANGES = "hd AS (SELECT step, row_id, name FROM p, st WHERE first <= year AND year <= last)"
+
+
+@query("WN7 WN8", f"""{_YEARS}, {_HELD_CHANGES}, d AS (SELECT DISTINCT name, step FROM hd), r AS (SELECT name, step, step - row_number() OVER (PARTITION BY name ORDER BY step) AS k FROM d) SELECT name, CAST(min(step) AS INT) AS first, CAST(max(step) AS INT) AS last FROM r GROUP BY name, k""")
+def step_runs_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of change steps in which a name is drawn: step_runs over every change year."""
+    years = _changes(spark, sf_dir).withColumn("until", F.col("year"))
+    held = interval_join(bind.frame(spark, sf_dir, _P), years, "first", "last", "year", "until", 10)
+    return steps.merged(held.select("name", "step").distinct(), ["name"])
+
+
 _HOLD = f"""{CELLS}, hc AS (SELECT step, j, i, min(name) AS name FROM pc, (SELECT unnest(range(15)) AS step) WHERE first <= 1800 + 4 * step AND 1800 + 4 * step <= last GROUP BY step, j, i),
 al AS (SELECT s.step, c.j, c.i, hc.name, 1800 + 4 * s.step AS year FROM (SELECT DISTINCT j, i FROM pc) c CROSS JOIN (SELECT unnest(range(15)) AS step) s LEFT JOIN hc ON hc.step = s.step AND hc.j = c.j AND hc.i = c.i)"""
 
 
-def _holders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    years = spark.range(15).select(F.col("id").cast("int").alias("step"), (1800 + 4 * F.col("id")).cast("int").alias("year"))
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """step, year of all change years of the polity table."""
+    return stored(steps.change_years(bind.frame(spark, sf_dir, _P)).select(F.col("step").cast("int").alias("step"), F.col("year").cast("int").alias("year")), "changes")
+
+
+def _holders(spark: SparkSession, sf_dir: str, years: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Each cell's holder at each of the years, by default fifteen of four years."""
+    if years is None:
+        years = spark.range(15).select(F.col("id").cast("int").alias("step"), (1800 + 4 * F.col("id")).cast("int").alias("year"))
     rows = all_cells(spark, sf_dir)
     held = interval_join(rows, years.withColumn("until", F.col("year")), "first", "last", "year", "until", 10).groupBy("step", "j", "i").agg(F.min("name").alias("name"))
-    spine = rows.select("j", "i").distinct().crossJoin(F.broadcast(years.select("step")))  # fifteen steps
+    spine = rows.select("j", "i").distinct().crossJoin(F.broadcast(years.select("step")))  # one row per step
     return spine.join(held, ["step", "j", "i"], "left"), years
 
 
-@query("WN12 GE15", f"""{_HOLD}, m AS (SELECT *, last_value(name IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, first_value(name IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b,
+_CARRIED = """m AS (SELECT *, last_value(name IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, first_value(name IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b,
   max(CASE WHEN name IS NOT NULL THEN step END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM al WINDOW w AS (PARTITION BY j, i ORDER BY step))
-SELECT step, j, i, a AS name FROM (SELECT *, min(CASE WHEN name IS NULL THEN year END) OVER (PARTITION BY j, i, s) AS f FROM m) WHERE name IS NULL AND a = b AND year - f <= 12""")
+SELECT step, j, i, a AS name FROM (SELECT *, min(CASE WHEN name IS NULL THEN year END) OVER (PARTITION BY j, i, s) AS f FROM m) WHERE name IS NULL AND a = b AND year - f <= 12"""
+
+
+@query("WN12 GE15", f"{_HOLD}, {_CARRIED}")
 def step_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unclaimed cells carried through between the same holder."""
     held, years = _holders(spark, sf_dir)
     return steps.carried(held, years, 12)
 
 
+@query("WN12 GE15", f"""{_YEARS}, pc{CELLS.split(", pc", 1)[1]}, hc AS (SELECT step, j, i, min(name) AS name FROM pc, st WHERE first <= year AND year <= last GROUP BY step, j, i),
+al AS (SELECT st.step, c.j, c.i, hc.name, st.year FROM (SELECT DISTINCT j, i FROM pc) c CROSS JOIN st LEFT JOIN hc ON hc.step = st.step AND hc.j = c.j AND hc.i = c.i), {_CARRIED.replace("SELECT step, j, i, a AS name", "SELECT CAST(step AS INT) AS step, CAST(j AS INT) AS j, CAST(i AS INT) AS i, a AS name")}""")
+def step_carried_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unclaimed cells carried through between the same holder: step_carried over every change year."""
+    held, years = _holders(spark, sf_dir, _changes(spark, sf_dir))
+    return steps.carried(held, years, 12)
+
+
 @query("WN13 GE14")
 def step_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions unclaimed for a while between two holders, classed."""
-    held, years = _holders(spark, sf_dir)
+    held, years = _holders(spark, sf_dir, _changes(spark, sf_dir))
     found = steps.unresolved(held, years, 40, 2, W)
     facts = found.select("a", "b", "first", "last", "region", "cells", (F.col("cells") % 7).alias("wide"), (F.col("region") % 5 == 0).alias("lake"), (F.col("region") % 3 == 0).alias("coast"), F.when(F.col("a") == F.col("b"), 1).otherwise(2).alias("units"))
     return steps.classify(facts, 2, 30)
@@ -147,3 +177,15 @@ def step_idle_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = bind.frame(spark, sf_dir, _P).where("row_id % 4 = 0").select(F.col("row_id").alias("ord"), (F.col("row_id") % 15).cast("int").alias("y0"), (F.col("row_id") % 15 + 3).cast("int").alias("y1"), F.concat(F.lit("P"), (F.col("row_id") * 3 % 50).cast("string")).alias("name"))
     due = k.withColumn("step", F.explode(F.sequence("y0", F.least(F.col("y1"), F.lit(14)))))
     return due.join(_held(spark, sf_dir).select("step", "name"), ["step", "name"], "left_anti").groupBy("ord").agg(F.count(F.lit(1)).alias("idle_steps"), F.min("step").alias("first"))
+
+
+@query("AG26", f"""{_YEARS}, {_HELD_CHANGES}, z AS (SELECT count(*) AS z FROM st), k AS (SELECT row_id AS ord, row_id % z AS y0, row_id % z + 3 AS y1, 'P' || CAST((row_id * 3 % 50) AS STRING) AS name FROM p, z),
+x AS (SELECT ord, st.step FROM k, st WHERE st.step >= y0 AND st.step <= y1 AND NOT EXISTS (SELECT 1 FROM hd WHERE hd.step = st.step AND hd.name = k.name)) SELECT ord, CAST(count(*) AS BIGINT) AS idle_steps, CAST(min(step) AS INT) AS first FROM x GROUP BY ord""")
+def step_idle_corrections_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrections that change nothing in steps of their range, one for each row, over every change year."""
+    years = _changes(spark, sf_dir)
+    n = years.count()
+    held = interval_join(bind.frame(spark, sf_dir, _P), years.withColumn("until", F.col("year")), "first", "last", "year", "until", 10)
+    k = bind.frame(spark, sf_dir, _P).select(F.col("row_id").alias("ord"), (F.col("row_id") % n).cast("int").alias("y0"), F.concat(F.lit("P"), (F.col("row_id") * 3 % 50).cast("string")).alias("name"))
+    due = k.withColumn("step", F.explode(F.sequence("y0", F.least(F.col("y0") + 3, F.lit(n - 1)))))
+    return due.join(held.select("step", "name"), ["step", "name"], "left_anti").groupBy("ord").agg(F.count(F.lit(1)).alias("idle_steps"), F.min("step").alias("first"))
