@@ -111,6 +111,13 @@ def grid_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.presence(ids).select("bucket", F.col("bits").cast("long").alias("bits"))
 
 
+@query("AG28", "SELECT CAST(CASE WHEN o_orderkey > 0 THEN (o_orderkey - 1) // 32768 + 1 ELSE o_orderkey // 32768 END AS BIGINT) AS bucket, count(DISTINCT o_orderkey) AS bits FROM orders GROUP BY 1")
+def grid_presence_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed presence of all order keys."""
+    ids = bind.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    return grid.presence(ids).select("bucket", F.col("bits").cast("long").alias("bits"))
+
+
 _SAMPLES = "SELECT s_nationkey AS tile, CAST(s_suppkey * 7 % 64 AS INT) AS j, CAST((s_suppkey * 3 % 20 + 118) % 128 AS INT) AS i FROM {supplier}"
 
 

@@ -29,6 +29,21 @@ def sc_great_circle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("b", F.round(geo.great_circle_km("lon", "lat", "lon2", "lat2"), 5).alias("km"), F.round(deg, 5).alias("degrees"), geo.compass(deg).alias("compass"))
 
 
+@query(
+    "SC16",
+    f"""{bind.ctes(h=_HOUSES, g=_GUESTS)}, z AS (SELECT count(*) AS z FROM h), p AS (SELECT b, g.lon AS lon1, g.lat AS lat1, h.lon AS lon2, h.lat AS lat2 FROM g, z JOIN h ON h.a = g.b % z + (SELECT min(a) FROM h)),
+q AS (SELECT *, ((degrees(atan2(sin(radians(lon2 - lon1)) * cos(radians(lat2)), cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2 - lon1)))) + 360) % 360) AS deg FROM p)
+SELECT b, round({KM.format("lon1", "lat1", "lon2", "lat2")}, 5) AS km, round(deg, 5) AS degrees, (['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'])[CAST(floor(deg / 45 + 0.5) AS INT) % 8 + 1] AS compass FROM q""",
+)
+def sc_great_circle_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance, bearing and compass point from every customer to a supplier, every supplier in turn."""
+    h, g = bind.frame(spark, sf_dir, _HOUSES), bind.frame(spark, sf_dir, _GUESTS)
+    first, n = h.agg(F.min("a"), F.count(F.lit(1))).first()
+    pairs = g.join(h.select("a", F.col("lon").alias("lon2"), F.col("lat").alias("lat2")), F.col("a") == F.col("b") % max(n, 1) + F.lit(first))
+    deg = geo.bearing("lon", "lat", "lon2", "lat2")
+    return pairs.select("b", F.round(geo.great_circle_km("lon", "lat", "lon2", "lat2"), 5).alias("km"), F.round(deg, 5).alias("degrees"), geo.compass(deg).alias("compass"))
+
+
 _EDGE = """SELECT DISTINCT p_partkey AS child, p_partkey DIV 7 AS parent FROM {part} WHERE p_partkey > 0
 UNION SELECT p_partkey, p_partkey + 1 FROM {part} WHERE p_partkey % 100 = 50 UNION SELECT p_partkey, p_partkey - 1 FROM {part} WHERE p_partkey % 100 = 51"""
 
@@ -53,6 +68,15 @@ def jn_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.interval_join(bind.frame(spark, sf_dir, _SPANS), bind.frame(spark, sf_dir, _WINDOWS), "d0", "d1", "w0", "w1", 8).select("f", "k")
 
 
+_ALL_WINDOWS = _WINDOWS.removesuffix(" WHERE c_custkey % 10 = 3")
+
+
+@query("JN9", f"""{bind.ctes(s=_SPANS, w=_ALL_WINDOWS)} SELECT f, k FROM s JOIN w ON d0 <= w1 AND w0 <= d1""")
+def jn_interval_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose span of days overlaps the window of any customer."""
+    return joins.interval_join(bind.frame(spark, sf_dir, _SPANS), bind.frame(spark, sf_dir, _ALL_WINDOWS), "d0", "d1", "w0", "w1", 8).select("f", "k")
+
+
 @query("JN10 JN16", f"""{bind.ctes(h=_HOUSES, g=_GUESTS)} SELECT a, b, round({KM.format("h.lon", "h.lat", "g.lon", "g.lat")}, 5) AS km FROM h, g WHERE {KM.format("h.lon", "h.lat", "g.lon", "g.lat")} <= 1500""")
 def jn_within_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers within 1500 km of a supplier."""
@@ -70,6 +94,16 @@ def jn_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.asof_join(bind.frame(spark, sf_dir, _SEEN), bind.frame(spark, sf_dir, _STATE), ["u"], "at", ["last_id", "last_type"]).select("k", "last_id", "last_type")
 
 
+_DEEDS = "SELECT user_id AS u, ts AS at, event_id AS k FROM {events} WHERE event_type IN ('purchase', 'error')"
+_OTHERS = "SELECT user_id AS u, ts AS at, event_id AS last_id, event_type AS last_type FROM {events} WHERE event_type IS NULL OR event_type NOT IN ('purchase', 'error')"
+
+
+@query("JN12", f"""{bind.ctes(s=_DEEDS, t=_OTHERS)} SELECT k, last_id, last_type FROM (SELECT k, last_id, last_type, row_number() OVER (PARTITION BY k ORDER BY t.at DESC, last_id DESC, last_type DESC) AS n FROM s LEFT JOIN t ON s.u = t.u AND t.at <= s.at) WHERE n = 1""")
+def jn_asof_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each purchase and error the user's last other event before it; each event is on one side."""
+    return joins.asof_join(bind.frame(spark, sf_dir, _DEEDS), bind.frame(spark, sf_dir, _OTHERS), ["u"], "at", ["last_id", "last_type"]).select("k", "last_id", "last_type")
+
+
 _DAYS = "SELECT o_orderkey AS k, DAYNO(o_orderdate) AS day FROM {orders}"
 _STEPS = "SELECT DISTINCT 727900 + s_suppkey * 7919 % 2500 AS step FROM {supplier}"
 
@@ -94,6 +128,15 @@ def jn_nearest_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("k", F.when(F.col("a").isNull() | (F.col("b") - F.col("day") < F.col("day") - F.col("a")), F.col("b")).otherwise(F.col("a")).alias("nearest"))
 
 
+@query("JN11", f"""{bind.ctes(d=_DAYS, s=_STEPS)}, n AS (SELECT day, arg_min(step, (abs(day - step), step)) AS nearest FROM (SELECT DISTINCT day FROM d), s GROUP BY day) SELECT k, nearest FROM d JOIN n USING (day)""")
+def jn_nearest_in_time_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The step fewest days from the day of every order, the earlier of equals."""
+    steps = bind.frame(spark, sf_dir, _STEPS).agg(F.array_sort(F.collect_list("step")).alias("steps"))
+    rows = bind.frame(spark, sf_dir, _DAYS).crossJoin(F.broadcast(steps))  # of a single row
+    near = rows.select("k", "day", joins.last_before(F.col("steps"), F.col("day")).alias("a"), F.get(F.filter("steps", lambda s: s > F.col("day")), 0).alias("b"))
+    return near.select("k", F.when(F.col("a").isNull() | (F.col("b") - F.col("day") < F.col("day") - F.col("a")), F.col("b")).otherwise(F.col("a")).alias("nearest"))
+
+
 _BOX = """SELECT * FROM (VALUES (0, 'west', -180e0, -90e0, -30e0, 90e0), (1, 'north', -180e0, 30e0, 180e0, 90e0), (2, 'east', 60e0, -90e0, 180e0, 90e0), (3, 'middle', -30e0, -60e0, 60e0, 40e0)) AS t(ord, name, west, south, east, north)"""
 
 

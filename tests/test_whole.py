@@ -11,7 +11,7 @@ from meridia import registry
 
 SF = "/root/testdata/sf0.01"
 TABLES = "customer supplier orders events".split()
-WHOLE = [n for n in ("step_runs_changes", "step_carried_changes", "step_idle_corrections_changes") if os.path.isdir(SF)]
+WHOLE = [n for n in ("step_runs_changes", "step_carried_changes", "step_idle_corrections_changes", "jn_nearest_in_time_whole", "jn_interval_whole", "jn_asof_whole", "sc_great_circle_whole", "grid_presence_whole") if os.path.isdir(SF)]
 
 
 def both(spark, name):
@@ -40,3 +40,12 @@ def test_change_steps_see_every_polity(spark):
     assert all(any(a <= y[0] <= b for y in years) for a, b in spans)
     last = max(r["last"] for r in registry.QUERIES["step_runs_changes"](spark, SF).collect())
     assert last > 14
+
+
+@pytest.mark.skipif(not WHOLE, reason="needs the given tables")
+def test_whole_queries_take_every_row(spark):
+    registry.load()
+    n = {t: spark.read.parquet(f"{SF}/{t}.parquet").count() for t in TABLES}
+    run = lambda name: registry.QUERIES[name](spark, SF)
+    assert run("jn_nearest_in_time_whole").count() == n["orders"] and run("sc_great_circle_whole").count() == n["customer"]
+    assert run("grid_presence_whole").agg({"bits": "sum"}).first()[0] == spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").distinct().count()
