@@ -95,6 +95,29 @@ def nearest_fill(cells: DataFrame, empty: DataFrame, columns: int, reach: int) -
     return got.groupBy(F.col("oj").alias("j"), F.col("oi").alias("i")).agg(F.min_by("id", F.struct(F.col("dj") * F.col("dj") + F.col("di") * F.col("di"), "id")).alias("id"))
 
 
+def nearest_fill_all(cells: DataFrame, empty: DataFrame, columns: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """empty(by, j, i) with the id of the nearest of cells(by, j, i, id) of the same `by`, at any distance; of equally near ones the smallest id.
+
+    Rounds of rings: what a ring of doubled reach finds is final, as no smaller ring has found any. A cell has no row only where its `by` has no id at all.
+    """
+    keys = [*by, "j", "i"]
+    held = stored(cells.select(*keys, "id"), "held")
+    rest = stored(empty.select(*keys).distinct().join(held.select(*by).distinct(), list(by), "left_semi") if by else empty.select(*keys).distinct(), "rest")
+    low, high = held.select("j").union(rest.select("j")).agg(F.min("j"), F.max("j")).first()
+    done, inner, reach = None, -1, 2
+    while low is not None and not rest.isEmpty() and inner * inner <= (high - low) ** 2 + (columns // 2) ** 2:
+        wide = min(reach, columns // 2)
+        ring = rest.withColumn("dj", F.explode(F.sequence(F.greatest(F.lit(-reach), F.lit(low) - F.col("j")), F.least(F.lit(reach), F.lit(high) - F.col("j"))))).withColumn("di", F.explode(F.sequence(F.lit(-wide), F.lit(wide))))
+        d2 = F.col("dj") * F.col("dj") + F.col("di") * F.col("di")
+        ring = ring.withColumn("d2", d2).where((F.col("d2") <= reach * reach) & (F.col("d2") > (inner * inner if inner > 0 else -1)))
+        at = ring.select(*by, F.col("j").alias("oj"), F.col("i").alias("oi"), (F.col("j") + F.col("dj")).alias("j"), F.pmod(F.col("i") + F.col("di"), F.lit(columns)).alias("i"), "d2")
+        got = stored(at.join(held, keys).groupBy(*by, F.col("oj").alias("j"), F.col("oi").alias("i")).agg(F.min_by("id", F.struct("d2", "id")).alias("id")), "filled")
+        done = got if done is None else done.unionByName(got)
+        rest = stored(rest.join(got, keys, "left_anti"), "rest")
+        inner, reach = reach, 2 * reach
+    return rest.join(held, keys).select(*keys, "id").limit(0) if done is None else done
+
+
 def signed_distance(cells: DataFrame, columns: int, reach: int) -> DataFrame:
     """cells(j, i, flag) with the distance, at most `reach`, to the nearest cell of the other flag, positive where flag holds."""
     near = around(cells.withColumn("oj", F.col("j")).withColumn("oi", F.col("i")).withColumn("own", F.col("flag")).drop("flag"), reach, columns)

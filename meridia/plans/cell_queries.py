@@ -117,6 +117,13 @@ def cell_nearest_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.nearest_fill(held, grid_all(spark).join(held, ["j", "i"], "left_anti"), W, 3)
 
 
+@query("GE2", f"""{CELLS}, {_NOW}, {_ALL}, h AS (SELECT j, i, min(name) AS id FROM n GROUP BY j, i) SELECT a.j, a.i, arg_min(o.id, ((o.j - a.j) * (o.j - a.j) + {_D} * {_D}, o.id)) AS id FROM a, h o WHERE (a.j, a.i) NOT IN (SELECT (j, i) FROM h) GROUP BY a.j, a.i""")
+def cell_nearest_fill_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every empty cell filled with the nearest name, however far."""
+    held = now(spark, sf_dir).groupBy("j", "i").agg(F.min("name").alias("id"))
+    return cells.nearest_fill_all(held, grid_all(spark).join(held, ["j", "i"], "left_anti"), W)
+
+
 @query("GE3", f"""{CELLS}, {_NOW}, {_ALL}, f AS (SELECT a.j, a.i, (a.j, a.i) IN (SELECT (j, i) FROM n) AS flag FROM a) SELECT a.j, a.i, a.flag, round(CASE WHEN a.flag THEN 1 ELSE -1 END * least(4.0, sqrt(coalesce(min((o.j - a.j) * (o.j - a.j) + {_D} * {_D}), 16))), 6) AS distance FROM f a LEFT JOIN f o ON o.flag <> a.flag AND abs(o.j - a.j) <= 4 AND {_D} <= 4 GROUP BY a.j, a.i, a.flag""")
 def cell_signed_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance to the border of held land, within four cells."""

@@ -155,10 +155,9 @@ def step_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("GE5")
 def step_pockets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Empty cells within two cells of held land filled by its nearest holder."""
-    held, _ = _holders(spark, sf_dir)
-    first = held.where("step = 7")
-    return cells.nearest_fill(first.where("name is not null").select("j", "i", F.col("name").alias("id")), first.where("name is null").select("j", "i"), W, 2)
+    """Empty cells at each change year filled by their nearest holder of that year."""
+    held, _ = _holders(spark, sf_dir, _changes(spark, sf_dir))
+    return cells.nearest_fill_all(held.where("name is not null").select("step", "j", "i", F.col("name").alias("id")), held.where("name is null").select("step", "j", "i"), W, ("step",))
 
 
 @query("IO7", f"""{bind.ctes(p=_P)} SELECT name, c AS chunk, greatest(first - 1800, c * 16) AS s0, least(last - 1800, c * 16 + 15) AS s1, dense_rank() OVER (PARTITION BY c ORDER BY name) - 1 AS name_no FROM p, (SELECT unnest(range(0, 8)) AS c) WHERE first - 1800 <= c * 16 + 15 AND last - 1800 >= c * 16""")

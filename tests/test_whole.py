@@ -8,10 +8,11 @@ import duckdb
 import pytest
 
 from meridia import registry
+from meridia.operators import cells
 
 SF = "/root/testdata/sf0.01"
 TABLES = "customer supplier orders events".split()
-WHOLE = [n for n in ("step_runs_changes", "step_carried_changes", "step_idle_corrections_changes", "jn_nearest_in_time_whole", "jn_interval_whole", "jn_asof_whole", "sc_great_circle_whole", "grid_presence_whole") if os.path.isdir(SF)]
+WHOLE = [n for n in ("step_runs_changes", "step_carried_changes", "step_idle_corrections_changes", "jn_nearest_in_time_whole", "jn_interval_whole", "jn_asof_whole", "sc_great_circle_whole", "grid_presence_whole", "cell_nearest_fill_whole") if os.path.isdir(SF)]
 
 
 def both(spark, name):
@@ -49,3 +50,26 @@ def test_whole_queries_take_every_row(spark):
     run = lambda name: registry.QUERIES[name](spark, SF)
     assert run("jn_nearest_in_time_whole").count() == n["orders"] and run("sc_great_circle_whole").count() == n["customer"]
     assert run("grid_presence_whole").agg({"bits": "sum"}).first()[0] == spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").distinct().count()
+
+
+def test_nearest_fill_reaches_every_cell(spark):
+    """A holder at distance 4 beats one at 4.24 in the square of 3, far cells are filled, and units keep apart."""
+    cols, rows = 40, 30
+    held = [("a", 3, 3, "P1"), ("a", 4, 0, "P9"), ("b", 29, 39, "P5"), ("b", 29, 37, "P4")]
+    empty = [(u, j, i) for u in "abc" for j in range(rows) for i in range(cols) if (u, j, i) not in {h[:3] for h in held}]
+    got = cells.nearest_fill_all(spark.createDataFrame(held, "unit string, j int, i int, id string"), spark.createDataFrame(empty, "unit string, j int, i int"), cols, ("unit",))
+    want = {}
+    for u, j, i in empty:
+        near = [((j - y) ** 2 + min(abs(i - x), cols - abs(i - x)) ** 2, n) for v, y, x, n in held if v == u]
+        if near:
+            want[u, j, i] = min(near)[1]
+    out = [tuple(r) for r in got.select("unit", "j", "i", "id").collect()]
+    assert len(out) == len(want) and {r[:3]: r[3] for r in out} == want and want["a", 0, 0] == "P9"
+
+
+@pytest.mark.skipif(not WHOLE, reason="needs the given tables")
+def test_pockets_are_filled_at_every_change_year(spark):
+    registry.load()
+    n = registry.QUERIES["step_years"](spark, SF).count()
+    filled = registry.QUERIES["step_pockets"](spark, SF)
+    assert filled.select("step").distinct().count() > n // 2 and filled.groupBy("step", "j", "i").count().where("count > 1").count() == 0
