@@ -56,7 +56,7 @@ def audit_tile_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.border_mismatches(own.unionByName(edge), 17)
 
 
-@query("VQ8 VQ6", "SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'owed' ELSE 'lapsed' END AS state FROM (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_totalprice > 400000) a FULL JOIN (SELECT c_custkey AS id FROM customer WHERE c_custkey % 4 = 0) b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL")
+@query("VQ8", "SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'owed' ELSE 'lapsed' END AS state FROM (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_totalprice > 400000) a FULL JOIN (SELECT c_custkey AS id FROM customer WHERE c_custkey % 4 = 0) b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL")
 def audit_owed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items not acknowledged, and acknowledgements of none."""
     items = bind.table(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("id"))

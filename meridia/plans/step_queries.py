@@ -169,7 +169,7 @@ def step_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked(rows, 16).withColumn("name_no", F.col("name_no").cast("long"))
 
 
-@query("AG25 AG26", f"""{bind.ctes(p=_P)}, {_HELD}, k AS (SELECT row_id AS ord, CAST(row_id % 15 AS INT) AS y0, CAST(row_id % 15 + 3 AS INT) AS y1, 'P' || CAST((row_id * 3 % 50) AS STRING) AS name FROM p WHERE row_id % 4 = 0),
+@query("AG26", f"""{bind.ctes(p=_P)}, {_HELD}, k AS (SELECT row_id AS ord, CAST(row_id % 15 AS INT) AS y0, CAST(row_id % 15 + 3 AS INT) AS y1, 'P' || CAST((row_id * 3 % 50) AS STRING) AS name FROM p WHERE row_id % 4 = 0),
 x AS (SELECT ord, step FROM k, (SELECT unnest(range(15)) AS step) WHERE step >= y0 AND step <= y1 AND NOT EXISTS (SELECT 1 FROM hd WHERE hd.step = range_.step AND hd.name = k.name)) SELECT ord, CAST(count(*) AS BIGINT) AS idle_steps, CAST(min(step) AS INT) AS first FROM x GROUP BY ord""".replace("(SELECT unnest(range(15)) AS step) WHERE step >= y0", "(SELECT unnest(range(15)) AS step) range_ WHERE step >= y0"))
 def step_idle_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corrections that change nothing in steps of their range."""

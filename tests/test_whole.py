@@ -73,3 +73,8 @@ def test_pockets_are_filled_at_every_change_year(spark):
     n = registry.QUERIES["step_years"](spark, SF).count()
     filled = registry.QUERIES["step_pockets"](spark, SF)
     assert filled.select("step").distinct().count() > n // 2 and filled.groupBy("step", "j", "i").count().where("count > 1").count() == 0
+
+
+def test_entries_not_built_are_not_claimed():
+    registry.load()
+    assert not {"VQ6", "AG25"} & {e for covers in registry.COVERS.values() for e in covers}
