@@ -52,10 +52,13 @@ def sign_agreement(coarse: DataFrame, fine: DataFrame, k: int) -> DataFrame:
 
 
 def border_mismatches(texels: DataFrame, side: int) -> DataFrame:
-    """tile, other, at: texels(tile, row, col, j, i, value) where neighbour tiles to the east differ on the column that both bear."""
+    """tile, other, at: texels(tile, row, col, j, i, value) where neighbour tiles of the next col or the next row differ on the column or row that both bear; `at` is the j or the i there."""
     east = texels.where(F.col("i") == side - 1).select("tile", "row", "col", "j", "value")
     west = texels.where(F.col("i") == 0).select(F.col("tile").alias("other"), "row", (F.col("col") - 1).alias("col"), "j", F.col("value").alias("theirs"))
-    return east.join(west, ["row", "col", "j"]).where("value <> theirs").select("tile", "other", F.col("j").alias("at"))
+    beside = east.join(west, ["row", "col", "j"]).where("value <> theirs").select("tile", "other", F.col("j").alias("at"))
+    north = texels.where(F.col("j") == side - 1).select("tile", "row", "col", "i", "value")
+    south = texels.where(F.col("j") == 0).select(F.col("tile").alias("other"), (F.col("row") - 1).alias("row"), "col", "i", F.col("value").alias("theirs"))
+    return beside.union(north.join(south, ["row", "col", "i"]).where("value <> theirs").select("tile", "other", F.col("i").alias("at")))
 
 
 def owed(items: DataFrame, acknowledged: DataFrame) -> DataFrame:

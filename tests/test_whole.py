@@ -12,7 +12,7 @@ from meridia.operators import cells
 
 SF = "/root/testdata/sf0.01"
 TABLES = "customer supplier orders events".split()
-WHOLE = [n for n in ("step_runs_changes", "step_carried_changes", "step_idle_corrections_changes", "jn_nearest_in_time_whole", "jn_interval_whole", "jn_asof_whole", "sc_great_circle_whole", "grid_presence_whole", "cell_nearest_fill_whole") if os.path.isdir(SF)]
+WHOLE = [n for n in ("step_runs_changes", "step_carried_changes", "step_idle_corrections_changes", "jn_nearest_in_time_whole", "jn_interval_whole", "jn_asof_whole", "sc_great_circle_whole", "grid_presence_whole", "cell_nearest_fill_whole", "audit_tile_borders") if os.path.isdir(SF)]
 
 
 def both(spark, name):
@@ -22,7 +22,7 @@ def both(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = registry.QUERIES[name](spark, SF)
     plain = lambda r: tuple(round(x, 4) + 0.0 if isinstance(x, float) else x for x in r)
-    res = con.execute(f"SELECT {', '.join(df.columns)} FROM ({registry.SQL[name]})")
+    res = con.execute(f"SELECT {', '.join(f'"{c}"' for c in df.columns)} FROM ({registry.SQL[name]})")
     return sorted(map(plain, df.collect()), key=repr), sorted(map(plain, res.fetchall()), key=repr)
 
 
@@ -78,3 +78,13 @@ def test_pockets_are_filled_at_every_change_year(spark):
 def test_entries_not_built_are_not_claimed():
     registry.load()
     assert not {"VQ6", "AG25"} & {e for covers in registry.COVERS.values() for e in covers}
+
+
+def test_border_mismatches_to_both_sides(spark):
+    from meridia.operators import audits
+
+    rows = [(2 * r + c, r, c, j, i, 10 * (2 * r + j) + 2 * c + i) for r in (0, 1) for c in (0, 1) for j in range(3) for i in range(3)]
+    changed = {(2, 0, 1): 99, (1, 1, 0): 98}  # tile 2 on its south border with tile 0, tile 1 on its west border with tile 0
+    rows = [(t, r, c, j, i, changed.get((t, j, i), v)) for t, r, c, j, i, v in rows]
+    got = audits.border_mismatches(spark.createDataFrame(rows, "tile int, row int, col int, j int, i int, value int"), 3)
+    assert sorted(map(tuple, got.collect())) == [(0, 1, 1), (0, 2, 1)]
