@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -30,6 +31,8 @@ from meridia.llm.common import documents
 
 #: Words that a Python worker remembers, and bytes of text that it looks at together.
 REMEMBERED, TOGETHER = 200_000, 2 << 20
+#: Pairs of tokens whose standing side by side is remembered.
+PAIRS = 2_000_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -39,6 +42,47 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
+class State:
+    """A state of the automaton that tells which tokens end at a byte."""
+
+    __slots__ = ("held", "after", "inner", "final")
+
+    def __init__(self, held: bytes, inner: tuple, final: tuple) -> None:
+        self.held = held
+        self.after: dict[int, State] = {}
+        #: (size, token, {token before it: whether the two can stand side by side}), longest first.
+        self.inner, self.final = inner, final
+
+
+#: Bytes of words that are compared at once.
+WIDTH = 24
+
+
+def trie(words: Iterable[str]) -> Iterator[tuple[str, bytes, int]]:
+    """The prefix trie of distinct words in depth-first order: each word, its bytes, and how many of them it shares with the word before, that is the depth of the node where its own path begins."""
+    texts = sorted(words)
+    raw = [w.encode() for w in texts]
+    head = np.array(raw, f"S{WIDTH}").reshape(-1, 1).view(np.uint8).reshape(-1, WIDTH)
+    depth = np.zeros(len(raw), np.int64)
+    apart = head[1:] != head[:-1]
+    depth[1:] = np.where(apart.any(axis=1), apart.argmax(axis=1), WIDTH)
+    size = np.array([len(r) for r in raw], np.int64)
+    np.minimum(depth[1:], np.minimum(size[1:], size[:-1]), out=depth[1:])
+    for i in (np.flatnonzero(depth >= WIDTH)).tolist():
+        depth[i] = shared(raw[i - 1], raw[i])
+    return zip(texts, raw, depth.tolist(), strict=True)
+
+
+def shared(a: bytes, b: bytes) -> int:
+    """The length of what two byte strings begin with together."""
+    n, step, most = 0, 1 << 12, min(len(a), len(b))
+    while step:
+        while n + step <= most and a[n : n + step] == b[n : n + step]:
+            n += step
+        step >>= 4
+    return n
+
+
 class WordBPE:
     """A word-end BPE read from the JSON text of its vocabulary file."""
 
@@ -55,20 +99,32 @@ class WordBPE:
         self.words = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
         self.symbols = {chr(b): s for b, s in byte_symbols().items()}
         self.symbols = str.maketrans(self.symbols)
-        # Each pair's rank; each token's rank and its two parts, -1 for single symbols.
+        # Each pair's rank; each token's rank and its two parts; its bytes and whether it ends a word.
         self.rank: dict[tuple[int, int], int] = {}
         self.born: dict[int, int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
+        plain = {s: bytes([b]) for b, s in byte_symbols().items()}
+        self.raw = {self.ids[t]: (r, last) for s, r in plain.items() for t, last in ((s, False), (s + self.end, True)) if t in self.ids}
         for r, merge in enumerate(model["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
-            whole = self.ids[a + b]
-            self.rank[self.ids[a], self.ids[b]] = r
+            whole, a, b = self.ids[a + b], self.ids[a], self.ids[b]
+            self.rank[a, b] = r
             if whole not in self.born:
-                self.born[whole], self.parts[whole] = r, (self.ids[a], self.ids[b])
-        self.beside: dict[tuple[int, int], bool] = {}
-        self.whole = {i for t, i in sorted(self.ids.items(), key=lambda x: self.born.get(x[1], -1)) if self._reached(i)}
-        self.longest = max((len(t) for t in self.ids), default=0)
+                self.born[whole], self.parts[whole] = r, (a, b)
+                self.raw[whole] = self.raw[a][0] + self.raw[b][0], self.raw[b][1]
+        # Tokens whose own bytes are encoded as the token, by their bytes: inside of a word, and at its end.
+        self.inner: dict[bytes, int] = {}
+        self.final: dict[bytes, int] = {}
+        for i, (r, last) in self.raw.items():
+            if self._reached(i):
+                (self.final if last else self.inner)[r] = i
+        self.begun = {r[:n] for r, _ in self.raw.values() for n in range(len(r) + 1)}
+        self.beside: dict[int, dict[int, bool]] = {}
+        self.pairs = 0
+        self.seen: dict[bytes, State] = {}
+        self.start = self._state(b"")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _reached(self, token: int) -> bool:
         """Whether the token's own string is encoded as the token."""
@@ -94,49 +150,65 @@ class WordBPE:
                 b_ends, b = b_born, self.parts[b][0]
 
     def _can_stand(self, a: int, b: int) -> bool:
-        key = (a, b)
-        got = self.beside.get(key)
-        if got is None:
-            if len(self.beside) > 1_000_000:
-                self.beside.clear()
-            got = self.beside[key] = self._border(a, b)
+        if self.pairs >= PAIRS:
+            self.pairs = 0
+            for allowed in self.beside.values():
+                allowed.clear()
+        self.pairs += 1
+        got = self.beside[b][a] = self._border(a, b)
+        return got
+
+    def _state(self, held: bytes) -> State:
+        """The automaton's state whose longest held end of what was read is the given beginning of a token."""
+        if held not in self.seen:
+            ends = lambda of: tuple((n, of[held[-n:]], self.beside.setdefault(of[held[-n:]], {})) for n in range(len(held), 0, -1) if held[-n:] in of)
+            self.seen[held] = State(held, ends(self.inner), ends(self.final))
+        return self.seen[held]
+
+    def _next(self, state: State, symbol: int) -> State:
+        """The state after one more byte: the longest end of what was read that begins a token."""
+        held = state.held + bytes([symbol])
+        while held not in self.begun:
+            held = held[1:]
+        got = state.after[symbol] = self._state(held)
         return got
 
-    def _last(self, prefix: str, states: list[tuple[int, int]], end: str) -> tuple[int, int]:
-        """The last token of the prefix and its number of symbols, from the states of all shorter prefixes."""
-        n = len(prefix)
-        for size in range(min(n, self.longest), 0, -1):
-            token = self.ids.get(prefix[n - size :] + end)
-            if token is not None and token in self.whole and (size == n or self._can_stand(states[n - size - 1][0], token)):
-                return token, size
+    def _last(self, ends: tuple, tokens: list[int]) -> tuple[int, int]:
+        """Size and number of the last token of a prefix: of the tokens that end it the longest that can stand beside what precedes it."""
+        depth = len(tokens)
+        for size, token, allowed in ends:
+            if size > depth:
+                return size, token
+            got = allowed.get(tokens[-size])
+            if got or (got is None and self._can_stand(tokens[-size], token)):
+                return size, token
         raise ValueError("the vocabulary lacks a symbol")
 
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
         """The ids, as little-endian 32-bit integers, of each distinct word."""
-        trie: dict = {}
-        for word in words:
-            node = trie
-            for s in word.encode().decode("latin-1").translate(self.symbols):
-                node = node.setdefault(s, {})
-            node[""] = word
         out: dict[str, bytes] = {}
-        stack = [("", trie, 0)]
-        states: list[tuple[int, int]] = []
-        while stack:
-            prefix, node, depth = stack.pop()
-            del states[max(0, depth - 1) :]
-            if "" in node:
-                token, size = self._last(prefix, states, self.end)
-                ids, at = [token], depth - size
-                while at:
-                    token, size = states[at - 1]
-                    ids.append(token)
-                    at -= size
-                out[node[""]] = np.array(ids[::-1], "<u4").tobytes()
-            if len(node) > ("" in node):
-                if depth:
-                    states.append(self._last(prefix, states, ""))
-                stack.extend((prefix + s, child, depth + 1) for s, child in node.items() if s)
+        # By depth: the last token of the prefix, its size, and the automaton's state behind it.
+        tokens: list[int] = []
+        sizes: list[int] = []
+        states = [self.start]
+        last = self._last
+        for text, word, depth in trie(words):
+            del tokens[depth:], sizes[depth:], states[depth + 1 :]
+            state = states[-1]
+            for symbol in word[len(tokens) : -1]:
+                state = state.after.get(symbol) or self._next(state, symbol)
+                size, token = last(state.inner, tokens)
+                tokens.append(token)
+                sizes.append(size)
+                states.append(state)
+            state = state.after.get(word[-1]) or self._next(state, word[-1])
+            size, token = last(state.final, tokens)
+            ids, at = [token], len(word) - size
+            while at:
+                ids.append(tokens[at - 1])
+                at -= sizes[at - 1]
+            ids.reverse()
+            out[text] = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
     def split(self, text: str) -> list[str]:
@@ -155,15 +227,16 @@ class WordBPE:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         split = [self.split(t) for t in texts]
-        new = {w for words in split for w in words}.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = {w for words in split for w in words}
-        fresh = self.encode_words(new.difference(self.special))
-        fresh |= {t: np.array([i], "<u4").tobytes() for t, i in self.special.items()}
-        self.known |= fresh
+        words = {w for ws in split for w in ws}.difference(self.known)
+        if len(self.known) + len(words) > REMEMBERED:  # words not met since the last time are forgotten
+            self.older, self.known = self.known, {}
+            words = {w for ws in split for w in ws}
+        again = words.intersection(self.older)
+        self.known |= {w: self.older[w] for w in again}
+        self.known |= self.encode_words(words.difference(again, self.special))
+        self.known |= {t: struct.pack("<I", i) for t, i in self.special.items()}
         get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return [b"".join(map(get, ws)) for ws in split]
 
     def decode(self, ids: bytes) -> str:
         """The tokens' strings, parted by blanks, as the file names no decoder."""

@@ -299,6 +299,36 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encode_decode(docs(spark, [])).count() == 0
 
 
+def test_bpe_of_words_that_share_long_beginnings_and_of_endless_words():
+    """Against the library; and the walk's steps are no more than the bytes that no word shares with the one before."""
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    t = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    with open(bpe.word_file(), encoding="utf-8") as f:
+        model = bpe.WordBPE(f.read())
+    r = random.Random(13)
+    stem = "".join(r.choice("abcdefgh") for _ in range(bpe.WIDTH))
+    words = [stem[:n] + e for n in (0, 1, 5, bpe.WIDTH - 1, bpe.WIDTH) for e in ("a", "b", "abc", "abcabc" * 9, "abcabc" * 9 + "d", "é", "èé")] + ["\x00", "\x00\x00", "a\x00"]
+    for w in words:
+        got = model.encode([w, w + " " + w])
+        for text, ids in zip((w, w + " " + w), got, strict=True):
+            assert struct.unpack(f"<{len(ids) // 4}I", ids) == tuple(t.encode(text, add_special_tokens=False).ids), text
+    together = model.encode([" ".join(words)])[0]
+    assert together == b"".join(model.encode(words))
+    held = list(bpe.trie(set(words)))
+    assert [w for w, _, _ in held] == sorted(set(words))
+    for (_, a, _), (_, b, n) in zip(held, held[1:], strict=False):
+        assert n == len(next(x for x in (b[:k] for k in range(len(b), -1, -1)) if a.startswith(x)))
+    steps = []
+    last = model._last
+    model._last = lambda ends, tokens: steps.append(len(ends)) or last(ends, tokens)
+    long = "".join(r.choice("abcdefgh") for _ in range(300_000))
+    ids = model.encode([long])[0]
+    assert len(steps) == len(long) and max(steps) <= 32  # one step a letter, each over tokens that end there alone
+    assert model.decode(ids).replace(" ", "") == long + "</w>"
+
+
 def test_transport_streams_round_trip(spark):
     r = random.Random(10)
     for n in [0, 1, 576, 577, 9216, 9217, 9216 * 8, 9216 * 8 + 1, 200_000]:
