@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridia.shared import join_bounded, scratch, stored
 
-__all__ = ["documents", "join_bounded", "scratch", "stored", "table"]
+__all__ = ["documents", "join_bounded", "kept_rows", "scratch", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,3 +24,21 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         *[F.col(c) for c in more],
     )
+
+
+def kept_rows(docs: DataFrame, kept: DataFrame, mark: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose doc_id and mark are in kept(doc_id, mark, times), where `times` rows of docs share the two.
+
+    Of rows that share both one stays: a text that isn't null before one that is, then the one whose other
+    columns come first as JSON. A null doc_id is matched like any other.
+    """
+    kept = stored(kept.select(F.col("doc_id").alias("_kept_id"), F.col("mark").alias("_kept_mark"), "times"), "kept")
+    own, of = F.col(id_col).cast("long"), F.col("_kept_mark")
+    lone = docs.join(kept.where("times = 1"), own.eqNullSafe(F.col("_kept_id")) & (mark == of), "left_semi")
+    many = kept.where("times > 1")
+    if many.isEmpty():
+        return lone
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    order = F.struct(F.col(text_col).isNull(), F.to_json(F.struct(*[F.col(c) for c in docs.columns if c != text_col])))
+    same = docs.join(many, own.eqNullSafe(F.col("_kept_id")) & (mark == of), "left_semi").groupBy(own.alias("_kept_id"), mark.alias("_kept_mark"))
+    return lone.unionByName(same.agg(F.min_by(row, order).alias("_kept_row")).select("_kept_row.*"))

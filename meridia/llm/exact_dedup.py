@@ -4,8 +4,8 @@ A text is cut where its content says so (after a sentence mark followed by white
 space, within length bounds), so equal passages give equal chunks wherever they
 stand. Chunks are deduplicated on their bytes; an identifier is verified when no
 two different chunks share it, and identifiers that fail are told apart by an
-ordinal. A document then is its ordered list of identifiers, some 3 % of its
-length, and only these lists are grouped and joined. DataFrame functions only.
+ordinal. A document then is its ordered list of identifiers, some 8 % of the
+length of a long text, and only these lists are grouped and joined. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridia.llm.common import documents, stored
+from meridia.llm.common import documents, kept_rows, stored
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096
 
@@ -32,21 +32,23 @@ def digest(chunk: Column) -> Column:
 
 def recipes(docs: DataFrame, identify: Callable[[Column], Column] = digest) -> DataFrame:
     """doc_id, text_sha256 and recipe, the ordered list of verified chunk identifiers, of each row of docs(doc_id, text)."""
-    pieces = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(cut(F.col("text"))).alias("pos", "chunk"))
+    pieces = docs.select(F.explode(cut(F.col("text"))).alias("chunk"))
     dictionary = pieces.groupBy("chunk").agg(F.count(F.lit(1)).alias("uses")).select(identify(F.col("chunk")).alias("id"))
     shared = stored(dictionary.groupBy("id").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("id"), "chunk-clashes")
     plain = docs.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.transform(cut(F.col("text")), identify).alias("ids"))
     if shared.isEmpty():
         return plain.select("doc_id", "text_sha256", F.concat_ws(" ", "ids").alias("recipe"))
-    # Rare: different chunks with one identifier. Each content gets an ordinal below it; here rows that
-    # repeat a doc_id together with its text are one.
-    clashing = pieces.select("chunk").distinct().withColumn("id", identify(F.col("chunk"))).join(shared, "id", "left_semi")
+    # Rare: different chunks with one identifier. Each content gets an ordinal below it. A recipe depends on the
+    # text alone, so it is made once per distinct text (two digests and the length) and joined to the rows again.
+    clashing = pieces.distinct().withColumn("id", identify(F.col("chunk"))).join(shared, "id", "left_semi")
     lesser = clashing.alias("a").join(clashing.alias("b"), (F.col("a.id") == F.col("b.id")) & (F.col("b.chunk") < F.col("a.chunk")), "left")
     ordinal = lesser.groupBy(F.col("a.chunk").alias("chunk")).agg(F.count("b.chunk").alias("ordinal"))
-    named = docs.select(F.sha2("text", 256).alias("text_sha256"), "doc_id", F.posexplode_outer(cut(F.col("text"))).alias("pos", "chunk"))
+    whole = [F.sha2("text", 256).alias("text_sha256"), F.md5("text").alias("md5"), F.length("text").alias("length")]
+    keys = ["text_sha256", "md5", "length"]
+    named = docs.select(*whole, F.posexplode(cut(F.col("text"))).alias("pos", "chunk"))
     named = named.join(ordinal, "chunk", "left").withColumn("id", F.concat_ws("#", identify(F.col("chunk")), F.col("ordinal").cast("string")))
-    listed = F.array_sort(F.collect_set(F.when(F.col("pos").isNotNull(), F.struct("pos", "id"))))
-    return named.groupBy("doc_id", "text_sha256").agg(listed.alias("l")).select("doc_id", "text_sha256", F.concat_ws(" ", F.col("l.id")).alias("recipe"))
+    listed = stored(named.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("pos", "id"))).alias("l")).select(*keys, F.concat_ws(" ", F.col("l.id")).alias("recipe")), "clash-recipes")
+    return docs.select("doc_id", *whole).join(listed, keys, "left").select("doc_id", "text_sha256", F.coalesce("recipe", F.lit("")).alias("recipe"))
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", identify: Callable[[Column], Column] = digest) -> DataFrame:
@@ -66,6 +68,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose document stays."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """One row of docs, all columns, of each text: that with the largest doc_id.
+
+    Null and empty texts are one text. Rows that share that doc_id and the text are one (kept_rows()
+    says which stays); rows that repeat a doc_id with other texts are looked at by their own. A null doc_id stays
+    only where no row of its text has one. An empty table gives no rows.
+    """
+    kept = exact_duplicates(docs, id_col, text_col).where("kept").groupBy("doc_id", F.col("text_sha256").alias("mark")).agg(F.count(F.lit(1)).alias("times"))
+    return kept_rows(docs, kept, F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256), id_col, text_col)
