@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridia.llm.common import documents, join_bounded, stored
-from meridia.operators.graph import components
+from meridia.llm.common import documents, join_bounded, kept_rows, stored
 from meridia.llm.words import mix, shingle_sets
+from meridia.operators.graph import components
 
 BANDS, ROWS, BITS = 52, 6, 1024
 #: BLOCK counts sets, HEAVY shingles.
-SMALL, HUBS, BLOCK, HEAVY = 16, 3, 1024, 1 << 18
+SMALL, HUBS, BLOCK, HEAVY = 16, 3, 512, 1 << 18
 
 
 def sketch_limit(threshold: float, samples: int = BANDS * ROWS, bits: int = BITS, deviations: float = 4.5) -> int:
@@ -53,7 +53,9 @@ def _signer(k: int, bands: int, rows: int, bits: int):
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.lower() for t in batch.column("text").cast(pa.binary()).to_pylist()]  # bytes: A-Z alone
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            marks = [hashlib.md5(t).digest() for t in texts]
+            texts = [t.lower() for t in texts]  # bytes: A-Z alone
             n, ids, keys, sketches = [], [], [], []
             for s in shingle_sets(texts, k):
                 n.append(len(s))
@@ -73,16 +75,16 @@ def _signer(k: int, bands: int, rows: int, bits: int):
                 parity = np.bincount((got % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
                 sketches.append(np.packbits(parity).view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                ["doc_id", "n", "set_id", "keys", "sketch"],
+                [batch.column("doc_id"), pa.array(marks, pa.binary()), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                ["doc_id", "mark", "n", "set_id", "keys", "sketch"],
             )
 
     return sign
 
 
 def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS, bits: int = BITS) -> DataFrame:
-    """doc_id, n (set size), set_id, keys (one per band) and sketch of docs(doc_id, text)."""
-    return docs.select("doc_id", "text").mapInArrow(_signer(k, bands, rows, bits), "doc_id long, n long, set_id binary, keys array<long>, sketch array<long>")
+    """doc_id, mark (the text's MD5), n (set size), set_id, keys (one per band) and sketch of docs(doc_id, text)."""
+    return docs.select("doc_id", "text").mapInArrow(_signer(k, bands, rows, bits), "doc_id long, mark binary, n long, set_id binary, keys array<long>, sketch array<long>")
 
 
 def _set_maker(k: int):
@@ -161,14 +163,16 @@ def _linked(limit: int, percent: int):
 def _in_blocks(rows: DataFrame, pieces: DataFrame, more: list[str]) -> DataFrame:
     """Every row of rows(key, rep, component, n, sketch) once per block of its bucket's asking rows, and asking rows (outside the main component) once per block of all.
 
-    pieces(key, main, p, q) says into how many parts all rows, and the asking ones, are dealt.
+    pieces(key, main, p, q) says into how many parts all rows, and the asking ones, are dealt. The
+    rows come out dealt by block: a grouping on (key, i, j) alone would be content with rows dealt by
+    key, and all blocks of a bucket would then be one task's.
     """
-    rows = rows.join(pieces, "key")
+    rows = join_bounded(rows, stored(pieces, "pieces"), ["key"], "inner")
     spread = F.xxhash64("rep")
     kept = ["rep", "component", "n", "sketch", *more]
     held = rows.select("key", F.pmod(spread, F.col("p")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("j"), *kept, F.lit(False).alias("asks"))
     asks = rows.where("component <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("i"), F.pmod(spread, F.col("q")).cast("int").alias("j"), *kept, F.lit(True).alias("asks"))
-    return held.unionByName(asks)
+    return held.unionByName(asks).repartition("key", "i", "j")
 
 
 def _residual(members: DataFrame, sets: DataFrame, links: DataFrame, docs: DataFrame, k: int, limit: int, percent: int) -> DataFrame | None:
@@ -193,18 +197,8 @@ def _residual(members: DataFrame, sets: DataFrame, links: DataFrame, docs: DataF
     return stored(_in_blocks(rows, pieces, ["shingles"]).groupBy("key", "i", "j").applyInArrow(_linked(limit, percent), "a long, b long").distinct(), "residual")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
-
-    Documents are linked when 100 * intersection >= percent * union of their sets of
-    distinct k-word shingles (A-Z lower-cased, words parted by ASCII white space; fewer
-    words: the whole sequence). component_id is the smallest doc_id reachable. Null and
-    empty texts have no shingles and are linked with nothing. A null doc_id takes the
-    component of its exact copies that have one, else it stays by itself, with a null
-    component_id. Rows that repeat a doc_id are looked at each. Other columns are not looked
-    at; an empty table gives no rows.
-    """
-    docs = documents(docs, id_col, text_col)
+def _grouped(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, mark, n, set_id and component of each row of docs(doc_id, text)."""
     signed = stored(signatures(docs, k, bands, rows), "signatures")
     found = signed.where("n > 0")
     # Tables that a common set or key is joined with are stored first: Spark then can split that key's rows over tasks.
@@ -237,7 +231,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     of_rep = of_set.join(groups, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("component", "rep").alias("c"))
     joined = signed.join(of_rep, "set_id", "left")
     component = F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return joined.select("doc_id", "mark", "n", "set_id", component.alias("component"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    Documents are linked when 100 * intersection >= percent * union of their sets of
+    distinct k-word shingles (A-Z lower-cased, words parted by ASCII white space; fewer
+    words: the whole sequence). component_id is the smallest doc_id reachable. Null and
+    empty texts have no shingles and are linked with nothing. A null doc_id takes the
+    component of its exact copies that have one, else it stays by itself, with a null
+    component_id. Rows that repeat a doc_id are looked at each. Other columns are not looked
+    at; an empty table gives no rows.
+    """
+    got = _grouped(documents(docs, id_col, text_col), k, percent, bands, rows)
+    return got.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def shingles(docs: DataFrame, wanted: DataFrame, k: int, most: int = 1_000_000) -> DataFrame:
@@ -255,6 +264,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that stand for their component."""
-    kept = near_duplicates(docs, k, percent, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """One row of docs, all columns, of each component: that with its smallest doc_id.
+
+    Null and empty texts are linked with nothing and stay, one row per doc_id. Where rows repeat the
+    doc_id that stays, one of each set of shingles stays: that of the smallest MD5 of its text, and of equal
+    texts the one that kept_rows() says. A null doc_id stays only where no exact copy has one. An empty
+    table gives no rows.
+    """
+    got = _grouped(documents(docs, id_col, text_col), k, percent, BANDS, ROWS).where(F.col("doc_id").eqNullSafe(F.col("component")))
+    texts = got.groupBy("doc_id", "set_id", "mark").agg(F.count(F.lit(1)).alias("times"))
+    kept = texts.groupBy("doc_id", "set_id").agg(F.min(F.struct("mark", "times")).alias("one")).select("doc_id", "one.mark", "one.times")
+    return kept_rows(docs, kept, F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))), id_col, text_col)
