@@ -80,15 +80,16 @@ def month_length(y: Column | str, m: Column | str) -> Column:
 
 
 def first_day(y: Column | str, m: Column | str, d: Column | str, precision: Column | str) -> Column:
-    """First day that a date of a precision (9 year, 10 month, 11 day) names."""
+    """First day that a date as written then names at a precision (9 year, 10 month, 11 day); null in the days that the reform left out."""
     p = col(precision)
-    return gregorian_day(y, F.when(p <= YEAR, 1).otherwise(col(m)), F.when(p <= MONTH, 1).otherwise(col(d)))
+    return historical_day(y, F.when(p <= YEAR, 1).otherwise(col(m)), F.when(p <= MONTH, 1).otherwise(col(d)))
 
 
 def last_day(y: Column | str, m: Column | str, d: Column | str, precision: Column | str) -> Column:
-    """Last day that a date of a precision names."""
-    p = col(precision)
-    return F.when(p > MONTH, gregorian_day(y, m, d)).otherwise(gregorian_month_end(y, F.when(p <= YEAR, 12).otherwise(col(m))))
+    """Last day that a date as written then names at a precision: the day before the next year or month begins."""
+    p, y, m = col(precision), col(y).cast("long"), col(m)
+    after = historical_day(y + F.when((p <= YEAR) | (m == 12), 1).otherwise(0), F.when((p <= YEAR) | (m == 12), 1).otherwise(m + 1), F.lit(1)) - 1
+    return F.when(p > MONTH, historical_day(y, m, d)).otherwise(after)
 
 
 def astronomical(y: Column | str) -> Column:

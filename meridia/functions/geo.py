@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridia.functions.cal import col
@@ -120,13 +120,25 @@ def smoothstep(a: float, b: float, x) -> Column:
     return t * t * (3 - 2 * t)
 
 
-def slerp(lon1, lat1, lon2, lat2, share) -> Column:
-    """struct(lon, lat) on the great circle between two points; the first where they are one."""
-    a, b = unit(lon1, lat1), unit(lon2, lat2)
-    dot = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]))
-    angle = F.acos(dot)
-    t = col(share)
-    p, q = F.sin((1 - t) * angle) / F.sin(angle), F.sin(t * angle) / F.sin(angle)
-    at = lambda k: p * a[k] + q * b[k]
-    there = lon_lat(at("x"), at("y"), at("z"))
-    return F.when(angle < 1e-9, F.struct(col(lon1).cast("double").alias("lon"), col(lat1).cast("double").alias("lat"))).otherwise(there)
+def with_arc(df: DataFrame, lon1: str, lat1: str, lon2: str, lat2: str) -> DataFrame:
+    """df with the great circle between two points, for along_arc(): unit vectors, angle and the inverse of its sine.
+
+    Each step is a projection of its own, so that Spark computes every sine once per row of df.
+    """
+    flat = {}
+    for n, lon, lat in ((1, lon1, lat1), (2, lon2, lat2)):
+        a, b = F.radians(lon), F.radians(lat)
+        flat |= {f"_x{n}": F.cos(b) * F.cos(a), f"_y{n}": F.cos(b) * F.sin(a), f"_z{n}": F.sin(b)}
+    dot = F.col("_x1") * F.col("_x2") + F.col("_y1") * F.col("_y2") + F.col("_z1") * F.col("_z2")
+    df = df.withColumns(flat).withColumn("_angle", F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot))))
+    return df.withColumn("_over", F.when(F.col("_angle") >= 1e-9, 1 / F.sin("_angle")))
+
+
+def along_arc(df: DataFrame, share: str, lon: str, lat: str) -> DataFrame:
+    """with_arc()'s rows with lon and lat at a share of the way; the first point (its columns lon, lat) where both are one or share is 0."""
+    df = df.withColumn("_p", F.sin((1 - F.col(share)) * F.col("_angle")) * F.col("_over")).withColumn("_q", F.sin(F.col(share) * F.col("_angle")) * F.col("_over"))
+    df = df.withColumns({f"_{k}": F.col("_p") * F.col(f"_{k}1") + F.col("_q") * F.col(f"_{k}2") for k in "xyz"})
+    first = F.col("_over").isNull() | (F.col(share) == 0)
+    there = {lon: F.degrees(F.atan2("_y", "_x")), lat: F.degrees(F.atan2("_z", F.sqrt(F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y"))))}
+    df = df.withColumns({c: F.when(first, F.col(c).cast("double")).otherwise(x) for c, x in there.items()})
+    return df.drop(*[f"_{k}{n}" for k in "xyz" for n in ("", 1, 2)], "_angle", "_over", "_p", "_q")

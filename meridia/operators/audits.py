@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridia.functions import cal
+from meridia.functions.text import day_mentions
+from meridia.shared import join_bounded
+
 
 def config_faults(classes: DataFrame) -> DataFrame:
     """cls, fault: listed twice, a weight that isn't positive, within itself, within an unlisted class."""
@@ -30,11 +34,15 @@ def page_faults(rows: DataFrame) -> DataFrame:
     return checked.select("qid", fault.alias("fault")).where("fault is not null")
 
 
-def opening_faults(openings: DataFrame, index: DataFrame, lineage: DataFrame) -> DataFrame:
-    """id, fault of openings(id, day, placed) against index(id, t0, t1): absent, day outside the span, a written place, part of another opening."""
-    inside = lineage.join(openings.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select(F.col("node").alias("id"), F.lit(True).alias("part")).distinct()
-    rows = openings.join(index, "id", "left").join(inside, "id", "left")
-    fault = F.when(F.col("t0").isNull(), "absent").when(~F.col("day").between(F.col("t0"), F.col("t1")), "day").when(F.col("placed"), "place").when(F.col("part"), "part of another")
+def opening_faults(openings: DataFrame, index: DataFrame, lineage: DataFrame, last_day: int) -> DataFrame:
+    """id, fault of openings(id, day, placed, line) against index(id, t0, t1): absent, day outside the span, a written place, part of another
+    opening, begun after `last_day`, a line that names a day and month other than those of its day as written then."""
+    inside = join_bounded(lineage, openings.select(F.col("id").alias("ancestor")).distinct(), ["ancestor"], "left_semi").select(F.col("node").alias("id"), F.lit(True).alias("part")).distinct()
+    rows = openings.join(index, "id", "left").join(inside, "id", "left").withColumn("_d", cal.historical_civil("day"))
+    month = F.element_at(F.array(*map(F.lit, cal.MONTHS)), F.col("_d.m"))
+    own = F.concat(F.col("_d.d").cast("string"), F.lit(" "), month)
+    other = F.exists(day_mentions("line"), lambda m: m != own)
+    fault = F.when(F.col("t0").isNull(), "absent").when(~F.col("day").between(F.col("t0"), F.col("t1")), "day").when(F.col("placed"), "place").when(F.col("part"), "part of another").when(F.col("t0") > last_day, "too late").when(other, "line")
     return rows.select("id", fault.alias("fault")).where("fault is not null")
 
 
@@ -44,6 +52,15 @@ def count_faults(drawn: DataFrame, valid: DataFrame, added: DataFrame, removed:
     return signed.groupBy("step").agg(F.sum("n").alias("off")).where("off <> 0")
 
 
+def shore_faults(runs: DataFrame, excuses: DataFrame, by: list[str], most_km: float) -> DataFrame:
+    """Runs (cells.shore_runs) longer than `most_km` that no excuse names: excuses(by, j0, i0, j1, i1) hold for runs whose boxes they meet."""
+    long = runs.where(F.col("km") > most_km)
+    boxes = excuses.select(*by, *[F.col(c).alias(f"e_{c}") for c in ("j0", "i0", "j1", "i1")])
+    meets = (F.col("e_j0") <= F.col("j1")) & (F.col("e_j1") >= F.col("j0")) & (F.col("e_i0") <= F.col("i1")) & (F.col("e_i1") >= F.col("i0"))
+    excused = long.join(boxes, by).where(meets).select(*by, "region").distinct()
+    return long.join(excused, [*by, "region"], "left_anti")
+
+
 def sign_agreement(coarse: DataFrame, fine: DataFrame, k: int) -> DataFrame:
     """checked, agreeing: coarse(j, i, value) cells whose k x k fine cells all have one sign, and those that have it too."""
     block = fine.groupBy(F.floor(F.col("j") / k).alias("j"), F.floor(F.col("i") / k).alias("i")).agg(F.min(F.signum("value")).alias("a"), F.max(F.signum("value")).alias("b"))
@@ -111,7 +128,11 @@ def expectations(expected: DataFrame, texels: DataFrame) -> DataFrame:
 
 def timings(samples: DataFrame, by: list[str], budget: float) -> DataFrame:
     """by, samples, p50, p95 (nearest rank), interval (mean of the fastest quarter), missed (over the budget)."""
-    from pyspark.sql import Window as W
-
-    quarter = samples.withColumn("q", F.ntile(4).over(W.partitionBy(*by).orderBy("ms")))
-    return quarter.groupBy(*by).agg(F.count(F.lit(1)).alias("samples"), F.expr("percentile_disc(0.5) within group (order by ms)").alias("p50"), F.expr("percentile_disc(0.95) within group (order by ms)").alias("p95"), F.avg(F.when(F.col("q") == 1, F.col("ms"))).alias("interval_ms"), F.count_if(F.col("ms") > budget).alias("missed"))
+    counts = samples.where("ms is not null").groupBy(*by, "ms").agg(F.count(F.lit(1)).alias("c"))  # one row per value
+    w = Window.partitionBy(*by)
+    ranked = counts.withColumn("upto", F.sum("c").over(w.orderBy("ms").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
+    # The fastest quarter has the first n / 4 samples, rounded up: of a value that it ends in, some.
+    first = F.ceil(F.col("n") / 4)
+    inside = F.greatest(F.lit(0), F.least("c", first - (F.col("upto") - F.col("c"))))
+    nearest = lambda p: F.min(F.when(F.col("upto") >= F.col("n") * p, F.col("ms")))
+    return ranked.groupBy(*by).agg(F.sum("c").alias("samples"), nearest(0.5).alias("p50"), nearest(0.95).alias("p95"), (F.sum(F.col("ms") * inside) / F.sum(inside)).alias("interval_ms"), F.sum(F.when(F.col("ms") > budget, F.col("c")).otherwise(0)).alias("missed"))

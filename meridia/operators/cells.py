@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.operators.graph import components
-from meridia.shared import stored
+from meridia.operators.joins import asof_join, global_rank
+from meridia.shared import join_bounded, stored
 
 
 def rasterise(edges: DataFrame) -> DataFrame:
@@ -88,34 +89,52 @@ def opened(cells: DataFrame, by: list[str], columns: int, reach: int = 1) -> Dat
     return around(kept, reach, columns).select(*by, "j", "i").distinct().join(cells, [*by, "j", "i"], "left_semi")
 
 
-def nearest_fill(cells: DataFrame, empty: DataFrame, columns: int, reach: int) -> DataFrame:
-    """empty(j, i) with the id of the nearest of cells(j, i, id) within a square reach; of equally near ones the smallest id."""
-    near = around(empty.withColumn("oj", F.col("j")).withColumn("oi", F.col("i")), reach, columns)
-    got = near.join(cells.select("j", "i", "id"), ["j", "i"])
-    return got.groupBy(F.col("oj").alias("j"), F.col("oi").alias("i")).agg(F.min_by("id", F.struct(F.col("dj") * F.col("dj") + F.col("di") * F.col("di"), "id")).alias("id"))
+#: Up to this square reach an empty cell looks at the cells around it; further off by columns.
+NEAR = 4
 
 
 def nearest_fill_all(cells: DataFrame, empty: DataFrame, columns: int, by: tuple[str, ...] = ()) -> DataFrame:
     """empty(by, j, i) with the id of the nearest of cells(by, j, i, id) of the same `by`, at any distance; of equally near ones the smallest id.
 
-    Rounds of rings: what a ring of doubled reach finds is final, as no smaller ring has found any. A cell has no row only where its `by` has no id at all.
+    What lies within NEAR is found by neighbours. The rest goes by columns: in each column the holders next above and below a row are
+    the only ones that can be nearest to a cell of that row, so a cell looks at two holders for each column. Ids are ranked, so that a
+    distance and an id are one number to take the least of. A cell has no row only where its `by` has no id at all.
     """
     keys = [*by, "j", "i"]
-    held = stored(cells.select(*keys, "id"), "held")
-    rest = stored(empty.select(*keys).distinct().join(held.select(*by).distinct(), list(by), "left_semi") if by else empty.select(*keys).distinct(), "rest")
-    low, high = held.select("j").union(rest.select("j")).agg(F.min("j"), F.max("j")).first()
-    done, inner, reach = None, -1, 2
-    while low is not None and not rest.isEmpty() and inner * inner <= (high - low) ** 2 + (columns // 2) ** 2:
-        wide = min(reach, columns // 2)
-        ring = rest.withColumn("dj", F.explode(F.sequence(F.greatest(F.lit(-reach), F.lit(low) - F.col("j")), F.least(F.lit(reach), F.lit(high) - F.col("j"))))).withColumn("di", F.explode(F.sequence(F.lit(-wide), F.lit(wide))))
-        d2 = F.col("dj") * F.col("dj") + F.col("di") * F.col("di")
-        ring = ring.withColumn("d2", d2).where((F.col("d2") <= reach * reach) & (F.col("d2") > (inner * inner if inner > 0 else -1)))
-        at = ring.select(*by, F.col("j").alias("oj"), F.col("i").alias("oi"), (F.col("j") + F.col("dj")).alias("j"), F.pmod(F.col("i") + F.col("di"), F.lit(columns)).alias("i"), "d2")
-        got = stored(at.join(held, keys).groupBy(*by, F.col("oj").alias("j"), F.col("oi").alias("i")).agg(F.min_by("id", F.struct("d2", "id")).alias("id")), "filled")
-        done = got if done is None else done.unionByName(got)
-        rest = stored(rest.join(got, keys, "left_anti"), "rest")
-        inner, reach = reach, 2 * reach
-    return rest.join(held, keys).select(*keys, "id").limit(0) if done is None else done
+    ids = stored(global_rank(cells.select("id").distinct(), [F.col("id")], "_r"), "ids")
+    held = stored(join_bounded(cells.select(*keys, "id"), ids, ["id"], "inner").groupBy(*keys).agg(F.min("_r").alias("_r")), "held")
+    rest = empty.select(*keys).distinct()
+    if by:
+        rest = rest.join(held.select(*by).distinct(), list(by), "left_semi")
+    rest = stored(rest, "rest")
+    best = F.min(F.col("d2") * (1 << 31) + F.col("_r")).alias("_b")
+    of = lambda got: got.groupBy(*by, F.col("oj").alias("j"), F.col("oi").alias("i")).agg(best)
+    around_ = around(rest.withColumn("oj", F.col("j")).withColumn("oi", F.col("i")), min(NEAR, columns // 2), columns).withColumn("d2", (F.col("dj") * F.col("dj") + F.col("di") * F.col("di")).cast("long"))
+    done = stored(of(around_.where(F.col("d2") <= NEAR * NEAR).join(held, keys)), "filled")
+    rest = stored(rest.join(done, keys, "left_anti"), "rest")
+    if not rest.isEmpty():
+        rows = rest.select(*by, F.col("j").cast("long").alias("j")).distinct()
+        lines = held.select(*by, "i").distinct()
+        rows = rows.join(lines, list(by)) if by else rows.crossJoin(lines)  # a grid's rows by its columns
+        right = held.select(*by, "i", F.col("j").cast("long").alias("j"), F.col("j").cast("long").alias("_hj"), "_r")
+        turned = lambda df: df.withColumn("j", -F.col("j"))
+        above = asof_join(rows, right, [*by, "i"], "j", ["_hj", "_r"])
+        below = turned(asof_join(turned(rows), turned(right), [*by, "i"], "j", ["_hj", "_r"]))
+        lines = stored(above.unionByName(below).where("_hj is not null").select(*by, "j", F.col("i").alias("_hi"), (F.abs(F.col("_hj") - F.col("j"))).alias("_dj"), "_r").distinct(), "columns")
+        turn = F.abs(F.col("i") - F.col("_hi"))
+        di = F.least(turn, columns - turn).cast("long")
+        far = rest.select(*by, F.col("j").alias("oj"), F.col("i").alias("oi"), F.col("j").cast("long").alias("j"), "i").join(lines, [*by, "j"]).withColumn("d2", F.col("_dj") * F.col("_dj") + di * di)
+        done = done.unionByName(of(far.drop("j", "i")))
+    return join_bounded(done.withColumn("_r", F.pmod("_b", F.lit(1 << 31))), ids, ["_r"], "inner").select(*keys, "id")
+
+
+def fill_pockets(cells: DataFrame, empty: DataFrame, columns: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """empty(by, j, i, unit, hole) with the id that fills each: a hole takes the nearest of cells(by, j, i, id, unit) of its own unit, a
+    pocket, and a hole whose unit holds nothing, the nearest of all."""
+    keys = [*by, "j", "i"]
+    own = stored(nearest_fill_all(cells, empty.where("hole"), columns, (*by, "unit")).select(*keys, "id"), "holes")
+    rest = empty.select(*keys).join(own, keys, "left_anti")
+    return own.unionByName(nearest_fill_all(cells, rest, columns, by).select(*keys, "id"))
 
 
 def signed_distance(cells: DataFrame, columns: int, reach: int) -> DataFrame:
@@ -155,10 +174,13 @@ def across_seam(unclaimed: DataFrame, held: DataFrame, columns: int) -> DataFram
 
 def near_segments(points: DataFrame, segments: DataFrame, columns: int) -> DataFrame:
     """id, km-free distance in cells of points(id, x, y) to the nearest of segments(seg, x0, y0, x1, y1, half) that is within its half width."""
-    low, high = lambda a, b: F.floor(F.least(a, b) - F.col("half")), lambda a, b: F.floor(F.greatest(a, b) + F.col("half"))
-    s = segments.withColumn("i", F.explode(F.sequence(low("x0", "x1"), high("x0", "x1")))).withColumn("j", F.explode(F.sequence(low("y0", "y1"), high("y0", "y1"))))
+    half, dx, dy = F.col("half"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    rows = segments.withColumn("j", F.explode(F.sequence(F.floor(F.least("y0", "y1") - half), F.floor(F.greatest("y0", "y1") + half))))
+    # In each row only the columns that the segment passes there, and half a width on both sides.
+    unit = lambda y: F.when(dy != 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (y - F.col("y0")) / dy)))
+    ends = [F.coalesce(F.col("x0") + unit(F.col("j") - half) * dx, F.col("x0")), F.coalesce(F.col("x0") + unit(F.col("j") + 1 + half) * dx, F.col("x1"))]
+    s = rows.withColumn("i", F.explode(F.sequence(F.floor(F.least(*ends) - half), F.floor(F.greatest(*ends) + half))))
     p = points.withColumn("i", F.floor("x")).withColumn("j", F.floor("y"))
-    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     n = dx * dx + dy * dy
     t = F.when(n > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((F.col("x") - F.col("x0")) * dx + (F.col("y") - F.col("y0")) * dy) / n))).otherwise(0.0)
     d = F.sqrt(F.pow(F.col("x") - F.col("x0") - t * dx, 2) + F.pow(F.col("y") - F.col("y0") - t * dy, 2))
@@ -171,5 +193,23 @@ def runs(rows: DataFrame, by: list[str], at: str) -> DataFrame:
     return rows.select(*by, at).distinct().withColumn("_g", island).groupBy(*by, "_g").agg(F.min(at).alias("first"), F.max(at).alias("last")).drop("_g")
 
 
-def count_where(c: Column) -> Column:
-    return F.count_if(c)
+def shore_band(lakes: DataFrame, by: list[str], columns: int, reach: int = 3) -> DataFrame:
+    """by, j, i of cells off the lakes(by, j, i) that touch one where it is wide: a lake cell with none but lake cells around it lies within a square reach."""
+    lakes = lakes.select(*by, "j", "i").distinct()
+    near = lambda of, r: around(of, r, columns).select(*by, "j", "i").distinct()
+    wide = around(lakes, 1, columns).groupBy(*by, "j", "i").agg(F.count(F.lit(1)).alias("n")).where("n = 9").select(*by, "j", "i").join(lakes, [*by, "j", "i"], "left_semi")
+    return near(lakes, 1).join(lakes, [*by, "j", "i"], "left_anti").join(near(wide, reach), [*by, "j", "i"], "left_semi")
+
+
+def border_cells(cells: DataFrame, by: list[str], columns: int) -> DataFrame:
+    """by, j, i of cells(by, name, j, i) with another name among their four neighbours."""
+    near = around(cells.select(*by, F.col("name").alias("own"), "j", "i", F.col("j").alias("oj"), F.col("i").alias("oi")), 1, columns, False)
+    return near.join(cells.select(*by, "name", "j", "i"), [*by, "j", "i"]).where("own <> name").select(*by, F.col("oj").alias("j"), F.col("oi").alias("i")).distinct()
+
+
+def shore_runs(borders: DataFrame, band: DataFrame, by: list[str], columns: int, cell_km: float) -> DataFrame:
+    """by, region, cells, km, j0, i0, j1, i1 of runs (connected in eight directions) of border cells in a shore band: km is the diagonal of a run's box."""
+    hit = borders.select(*by, "j", "i").join(band.select(*by, "j", "i").distinct(), [*by, "j", "i"], "left_semi")
+    box = regions(hit, by, columns, True).groupBy(*by, "region").agg(F.count(F.lit(1)).alias("cells"), F.min("j").alias("j0"), F.min("i").alias("i0"), F.max("j").alias("j1"), F.max("i").alias("i1"))
+    high, wide = F.col("j1") - F.col("j0") + 1, F.col("i1") - F.col("i0") + 1
+    return box.withColumn("km", F.sqrt((high * high + wide * wide).cast("double")) * cell_km)

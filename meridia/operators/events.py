@@ -9,29 +9,43 @@ from pyspark.sql import functions as F
 
 from meridia.functions import cal
 from meridia.operators.joins import closure, global_rank
+from meridia.shared import join_bounded, stored
 
 PROPERTIES = ("point", "start", "end")
 
 
 def usable(statements: DataFrame, classes: DataFrame) -> DataFrame:
-    """Statements of listed classes that are dated to the year or finer, with the days they name and their class's weight."""
+    """Statements of listed classes that are dated to the year or finer, with the days they name and their class's weight.
+
+    A day is Gregorian, as sources convert it; a year or a month is as written then, Julian before the reform.
+    """
     listed = classes.select("cls", "weight")
-    dated = statements.where(F.col("prec") >= cal.YEAR).join(F.broadcast(listed), "cls")  # classes are the configuration's
-    return dated.withColumn("s0", cal.first_day("y", "m", "d", "prec")).withColumn("s1", cal.last_day("y", "m", "d", "prec"))
+    dated = join_bounded(statements.where(F.col("prec") >= cal.YEAR), listed, ["cls"], "inner")
+    exact = lambda f: F.when(F.col("prec") > cal.MONTH, cal.gregorian_day("y", "m", "d")).otherwise(f("y", "m", "d", "prec"))
+    return dated.withColumn("s0", exact(cal.first_day)).withColumn("s1", exact(cal.last_day))
 
 
 def index(statements: DataFrame, classes: DataFrame, curated: DataFrame) -> DataFrame:
     """One row per event: qid, label, enwiki, cls, lon, lat, date, prec, t0, t1, editions, score, conflict, parents.
 
     First non-empty label, title and place in source order; the heaviest class; the date
-    of the first property, most precise, earliest; the span over start and end; curated
-    day, place and boost over them. Events without label, without editions or without place are left out.
+    of the first property, most precise, earliest; curated(qid, boost, day, until, lon, lat) over them. The span
+    begins with the date or the earliest start statement and ends with the date's last day or the latest end
+    statement. A curated day corrects all statements equal to the one that dates the event, a curated end
+    (`until`) all end statements: these leave the span. Events without label, without editions or without place are left out.
     """
     rows = usable(statements, classes)
     line = F.col("line_no")
     first = lambda x, good: F.min_by(F.col(x), F.when(good, line)).alias(x)
     rank = F.coalesce(*[F.when(F.col("prop") == p, i) for i, p in enumerate(PROPERTIES)], F.lit(len(PROPERTIES)))
-    bound = F.col("prop").isin("start", "end")
+    order = F.struct(rank, -F.col("prec"), "y", "m", "d", "line_no")
+    said = F.struct("prop", "y", "m", "d", "prec")
+    # Curated days are few: what each corrects is found in its event's statements alone, then told to all.
+    dayed = curated.where("day is not null").select("qid")
+    wrong = join_bounded(rows, dayed, ["qid"], "left_semi").groupBy("qid").agg(F.min_by(said, order).alias("wrong"))
+    marks = stored(curated.where("day is not null or until is not null").select("qid", F.col("until").isNotNull().alias("ended")).join(wrong, "qid", "left"), "corrections")
+    spans = ~F.coalesce(said == F.col("wrong"), F.lit(False)) & ~(F.coalesce("ended", F.lit(False)) & (F.col("prop") == "end"))
+    rows = join_bounded(rows, marks, ["qid"])
     clash = [(F.min(F.when(F.col("prop") == p, F.struct("y", "m", "d", "prec"))) != F.max(F.when(F.col("prop") == p, F.struct("y", "m", "d", "prec")))) for p in PROPERTIES]
     conflict = F.coalesce(clash[0], F.lit(False))
     for c in clash[1:]:
@@ -42,25 +56,35 @@ def index(statements: DataFrame, classes: DataFrame, curated: DataFrame) -> Data
         F.min_by(F.struct("lon", "lat"), F.when(F.col("lon").isNotNull(), line)).alias("place"),
         F.max_by("cls", F.struct("weight", -line)).alias("cls"),
         F.max("weight").alias("weight"),
-        F.min_by(F.struct("s0", "s1", "prec"), F.struct(rank, -F.col("prec"), "y", "m", "d", "line_no")).alias("date"),
-        F.min(F.when(bound, F.col("s0"))).alias("b0"),
-        F.max(F.when(bound, F.col("s1"))).alias("b1"),
+        F.min_by(F.struct("s0", "s1", "prec", "prop"), order).alias("date"),
+        F.min(F.when(spans & (F.col("prop") == "start"), F.col("s0"))).alias("b0"),
+        F.max(F.when(spans & (F.col("prop") == "end"), F.col("s1"))).alias("b1"),
         F.max("editions").alias("editions"),
         conflict.alias("conflict"),
         F.array_sort(F.collect_set("parent")).alias("parents"),
     )
-    over = curated.select("qid", "boost", "day", F.when(F.col("lon").isNotNull(), F.struct("lon", "lat")).alias("given"))
-    joined = grouped.join(over, "qid", "left")
+    over = curated.select("qid", "boost", "day", "until", F.when(F.col("lon").isNotNull(), F.struct("lon", "lat")).alias("given"))
+    joined = join_bounded(grouped, over, ["qid"])
     place = F.coalesce("given", "place")
     own = F.coalesce(F.col("day"), F.col("date.s0"))
+    stays = F.col("day").isNull() & ~(F.col("until").isNotNull() & (F.col("date.prop") == "end"))
     joined = joined.withColumn("at", place).where((F.col("label") != "") & (F.col("editions") > 0) & F.col("at").isNotNull())
     return joined.select(
         "qid", "label", "enwiki", "cls", F.col("at.lon").alias("lon"), F.col("at.lat").alias("lat"), own.alias("date"), F.when(F.col("day").isNotNull(), cal.DAY).otherwise(F.col("date.prec")).alias("prec"),
-        F.least(own, F.col("b0")).alias("t0"), F.greatest(F.coalesce(F.col("day"), F.col("date.s1")), F.col("b1")).alias("t1"), "editions",
+        F.least(own, F.col("b0")).alias("t0"), F.greatest(own, F.col("until"), F.when(stays, F.col("date.s1")), F.col("b1")).alias("t1"), "editions",
         F.round(F.log2(1 + F.col("editions")) * F.col("weight") + F.coalesce("boost", F.lit(0.0)), 6).alias("score"), "conflict", "parents",
     )
 
 
+def forced(index: DataFrame, listed: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The rows of index(qid, ...) that listed(qid) names, and the ids that it lacks; strict: lacking ids are an error."""
+    ids = listed.select("qid").distinct()
+    missing = ids.join(index, "qid", "left_anti")
+    if strict and not missing.isEmpty():
+        raise ValueError("the index lacks " + ", ".join(str(r["qid"]) for r in missing.orderBy("qid").limit(20).collect()))
+    return join_bounded(index, ids, ["qid"], "left_semi"), missing
+
+
 def containment(members: DataFrame) -> DataFrame:
     """inner, outer of members(event, cls): every event of `inner` is one of `outer` too. Joined by event, whose classes are few."""
     members = members.select("event", "cls").distinct()
@@ -91,10 +115,14 @@ def era(day: Column, edges: Sequence[int]) -> Column:
 
 def percentile_score(rows: DataFrame) -> DataFrame:
     """rows(era, editions, boost, weight) with upper (cumulative rank in the era) and points (0 to 1000)."""
-    upper = F.cume_dist().over(Window.partitionBy("era").orderBy("editions"))
+    counts = stored(rows.groupBy("era", "editions").agg(F.count(F.lit(1)).alias("_n")), "edition-counts")  # one row per number of editions
+    w = Window.partitionBy("era")
+    up_to = F.sum("_n").over(w.orderBy("editions").rowsBetween(Window.unboundedPreceding, 0))
+    upper = counts.select("era", "editions", (up_to / F.sum("_n").over(w)).alias("upper"))
     most = rows.agg(F.max("weight").alias("most"))
     part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("upper") + F.col("boost")))
-    return rows.withColumn("upper", upper).crossJoin(F.broadcast(most)).withColumn("points", F.rint(1000 * part * F.col("weight") / F.col("most")).cast("int")).drop("most")
+    scored = join_bounded(rows, upper, ["era", "editions"], "inner").crossJoin(F.broadcast(most))  # one row
+    return scored.withColumn("points", F.rint(1000 * part * F.col("weight") / F.col("most")).cast("int")).drop("most")
 
 
 def row_ids(rows: DataFrame) -> DataFrame:
@@ -110,11 +138,11 @@ def region_of(boxes: Sequence[Row], lon: Column, lat: Column) -> Column:
 
 def overview(rows: DataFrame, quota: int, total: int) -> DataFrame:
     """rows(era, region, row): the first `quota` of each era and region, then others by row up to `total`, with `filled`."""
-    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy("era", "region").orderBy("row")))
-    chosen = ranked.where(F.col("_n") <= quota).drop("_n").withColumn("filled", F.lit(False))
+    n = F.row_number().over(Window.partitionBy("era", "region").orderBy("row"))
+    chosen = stored(rows.withColumn("_n", n).where(F.col("_n") <= quota).drop("_n"), "quota")  # Spark cuts each group before it is dealt out
     left = max(0, total - chosen.count())
-    rest = ranked.where(F.col("_n") > quota).drop("_n").orderBy("row").limit(left).withColumn("filled", F.lit(True))
-    return chosen.unionByName(rest)
+    rest = join_bounded(rows, chosen.select("row"), ["row"], "left_anti").orderBy("row").limit(left).withColumn("filled", F.lit(True))
+    return chosen.withColumn("filled", F.lit(False)).unionByName(rest)
 
 
 def pages(rows: DataFrame, edges: Sequence[int], apart: int = 3) -> DataFrame:
@@ -155,10 +183,20 @@ def with_ancestors(rows: DataFrame, accepted: DataFrame) -> DataFrame:
 
 def kin(edges: DataFrame, focal: DataFrame) -> DataFrame:
     """id of a set's items, their ancestors and their descendants."""
-    all_ = closure(edges)
-    up = all_.join(focal, F.col("node") == F.col("id"), "left_semi").select(F.col("ancestor").alias("id"))
-    down = all_.join(focal, F.col("ancestor") == F.col("id"), "left_semi").select(F.col("node").alias("id"))
-    return focal.select("id").union(up).union(down).distinct()
+    own = focal.select("id").distinct()
+    edges = edges.select("child", "parent").where("child is not null and parent is not null")
+    return own.union(walk(edges, own, "child", "parent")).union(walk(edges, own, "parent", "child")).distinct()
+
+
+def walk(edges: DataFrame, start: DataFrame, of: str, to: str) -> DataFrame:
+    """id of all that start(id) reaches over edges from `of` to `to`, in rounds of the ids reached last; circles are safe."""
+    seen, front = None, start
+    while True:
+        new = join_bounded(edges, front.withColumnRenamed("id", of), [of], "left_semi").select(F.col(to).alias("id")).distinct()
+        front = stored(new if seen is None else new.join(seen, "id", "left_anti"), "front")
+        if front.isEmpty():
+            return start.limit(0) if seen is None else seen
+        seen = front if seen is None else seen.union(front)
 
 
 def place_parents(rows: DataFrame) -> DataFrame:
@@ -189,8 +227,6 @@ def display_parents(candidates: DataFrame) -> DataFrame:
     goes on to its next; until there is none. Choices are a function, so circles are apart
     from each other and found by doubling.
     """
-    from meridia.shared import stored
-
     w = Window.partitionBy("child").orderBy("rank", "parent")
     ranked = stored(candidates.where("child <> parent").withColumn("n", F.row_number().over(w)).select("child", "parent", "n"), "candidates")
     at = stored(ranked.select("child").distinct().withColumn("n", F.lit(1)), "choice")
@@ -208,8 +244,6 @@ def circle_heads(choice: DataFrame) -> DataFrame:
     Pointers are doubled until they reach over all children; what they then point to are
     the children in circles, and the largest seen on the way is their circle's.
     """
-    from meridia.shared import stored
-
     inner = choice.join(choice.select(F.col("child").alias("parent")), "parent", "left_semi")
     n = inner.count()
     jump = inner.select("child", F.col("parent").alias("to"), F.col("parent").alias("most"))

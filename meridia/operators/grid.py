@@ -57,11 +57,11 @@ def annual_means(months: DataFrame) -> DataFrame:
     return months.where("value is not null").groupBy("cell", "year").agg(F.avg("value").alias("mean"), F.count_distinct("month").alias("n")).where("n = 12").select("cell", "year", "mean")
 
 
-def blend(a: DataFrame, b: DataFrame, weight: float) -> DataFrame:
-    """cell, value between two frames(cell, value); where one lacks a cell the other counts."""
-    x, y = F.col("a"), F.col("b")
-    both = a.select("cell", F.col("value").alias("a")).join(b.select("cell", F.col("value").alias("b")), "cell", "full")
-    return both.select("cell", F.coalesce(x + (y - x) * weight, x, y).alias("value"))
+def blend(a: DataFrame, b: DataFrame, weight: float, by: tuple[str, ...] = ("cell",)) -> DataFrame:
+    """by, value between two frames(by, value); where one side is missing the other's value."""
+    x, y = F.col("x"), F.col("y")
+    both = a.select(*by, F.col("value").alias("x")).join(b.select(*by, F.col("value").alias("y")), list(by), "full")
+    return both.select(*by, F.coalesce(x + (y - x) * weight, x, y).alias("value"))
 
 
 def predicted(cells: DataFrame) -> DataFrame:

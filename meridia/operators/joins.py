@@ -8,14 +8,31 @@ from pyspark.sql import functions as F
 from meridia.shared import stored
 
 
+#: Buckets that a short span touches at most, and by which those of long spans are wider.
+LONG = 64
+
+
 def interval_join(left: DataFrame, right: DataFrame, l0: str, l1: str, r0: str, r1: str, width: int) -> DataFrame:
     """Pairs whose inclusive integer spans overlap, by an equi-join on buckets of `width`.
 
-    A span is put once in each bucket it touches; a pair is put out in the first bucket
+    A span is put once in each bucket it touches; one longer than LONG buckets in buckets LONG times as wide, in which long
+    spans meet all others but short ones never meet each other. A pair is put out in the first bucket
     that both touch, so none comes twice. Spans with a null end, or of negative length, have no partner.
     """
-    spread = lambda df, a, b, name: df.where(F.col(a) <= F.col(b)).withColumn(name, F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width))))
-    pairs = spread(left, l0, l1, "_lb").join(spread(right, r0, r1, "_rb"), (F.col("_lb") == F.col("_rb")) & (F.col(l0) <= F.col(r1)) & (F.col(r0) <= F.col(l1)) & (F.col("_lb") == F.floor(F.greatest(l0, r0) / width)))
+
+    def buckets(a: str, b: str, kind: int, wide: int) -> Column:
+        return F.transform(F.sequence(F.floor(F.col(a) / wide), F.floor(F.col(b) / wide)), lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("k")))
+
+    def spread(df: DataFrame, a: str, b: str, name: str, alone: list[int], both: list[int]) -> DataFrame:
+        # Kinds: 0 short with short, 1 a long left one with any, 2 a short left one with a long right one.
+        coarse = [buckets(a, b, kind, width * LONG) for kind in both]
+        long = coarse[0] if len(coarse) == 1 else F.concat(*coarse)
+        short = F.concat(buckets(a, b, 0, width), *[buckets(a, b, kind, width * LONG) for kind in alone])
+        return df.where(F.col(a) <= F.col(b)).withColumn(name, F.explode(F.when(F.col(b) - F.col(a) > width * LONG, long).otherwise(short)))
+
+    kind, k = F.col("_lb.kind"), F.col("_lb.k")
+    own = k == F.floor(F.greatest(l0, r0) / F.when(kind == 0, width).otherwise(width * LONG))
+    pairs = spread(left, l0, l1, "_lb", [2], [1]).join(spread(right, r0, r1, "_rb", [1], [1, 2]), (F.col("_lb") == F.col("_rb")) & (F.col(l0) <= F.col(r1)) & (F.col(r0) <= F.col(l1)) & own)
     return pairs.drop("_lb", "_rb")
 
 

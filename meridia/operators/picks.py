@@ -2,95 +2,156 @@
 
 from __future__ import annotations
 
+from math import asin, cos, radians, sin, sqrt
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridia.functions import geo
-from meridia.operators.joins import near_join
-from meridia.shared import stored
+from meridia.functions import cal, geo
+from meridia.operators.joins import asof_join, interval_join
+from meridia.shared import join_bounded, stored
+
+#: Rows that a greedy pick looks at together; what they do not settle is looked at in another batch.
+BATCH = 512
 
 
 def spaced(rows: DataFrame, km: float, k: int) -> DataFrame:
-    """The first k of rows(id, score, lon, lat), best first, that are each at least `km` from those taken.
+    """The first k of rows(id, score, lon, lat), best first, that are each at least `km` from those taken. Ties go to the smaller id.
 
-    This is the lexicographically first set without conflicts: in rounds, a row without an
-    undecided better neighbour is taken, and its neighbours go. Ties go to the smaller id.
+    The best BATCH rows that are far enough from those taken are picked from in order; what is left of the table is
+    filtered by the k rows taken at most, and so on until k are taken or no row is left.
     """
-    points = stored(rows.select("id", "score", "lon", "lat"), "points")
-    left = points.select(F.col("id").alias("a"), "lon", "lat")
-    pairs = near_join(left, points.select(F.col("id").alias("b"), "lon", "lat"), km).where((F.col("a") != F.col("b")) & (F.col("km") < km))
-    rank = lambda x: points.select(F.col("id").alias(x), F.col("score").alias(f"s{x}"))
-    better = (F.col("sb") > F.col("sa")) | ((F.col("sb") == F.col("sa")) & (F.col("b") < F.col("a")))
-    beaten = stored(pairs.join(rank("a"), "a").join(rank("b"), "b").where(better).select("a", "b"), "conflicts")
-    open_, taken = points.select(F.col("id").alias("a")), None
-    while True:
-        free = stored(open_.join(beaten.join(open_.withColumnRenamed("a", "b"), "b", "left_semi"), "a", "left_anti"), "free")
-        if free.isEmpty():
+    points = rows.select("id", "score", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
+    taken: list = []
+    while len(taken) < k:
+        far = points
+        if taken:
+            there = F.array(*[F.struct(F.lit(t["lon"]).alias("lon"), F.lit(t["lat"]).alias("lat"), F.lit(t["id"]).alias("id")) for t in taken])
+            far = points.where(~F.exists(there, lambda t: (F.col("id") == t["id"]) | (geo.great_circle_km("lon", "lat", t["lon"], t["lat"]) < km)))
+        top = far.orderBy(F.col("score").desc(), "id").limit(BATCH).collect()  # BATCH rows at most
+        for r in top:
+            if len(taken) < k and all(_km(r["lon"], r["lat"], t["lon"], t["lat"]) >= km for t in taken):
+                taken.append(r)
+        if len(top) < BATCH:
             break
-        taken = free if taken is None else taken.union(free)
-        lost = beaten.join(free.withColumnRenamed("a", "b"), "b", "left_semi").select("a")
-        open_ = stored(open_.join(free.union(lost), "a", "left_anti"), "open")
-    chosen = points if taken is None else points.join(taken.withColumnRenamed("a", "id"), "id", "left_semi")
-    return chosen.orderBy(F.col("score").desc(), "id").limit(k)
+    return rows.sparkSession.createDataFrame(taken, points.schema).orderBy(F.col("score").desc(), "id")  # k rows at most
 
 
 def near_in_time(frames: DataFrame, rows: DataFrame, width: int, longest: int) -> DataFrame:
     """Candidates of frames(frame, w0, w1): rows(id, t0, t1) whose span, no longer than `longest` days, meets the window."""
-    from meridia.operators.joins import interval_join
-
     return interval_join(frames, rows.where(F.col("t1") - F.col("t0") <= longest), "w0", "w1", "t0", "t1", width)
 
 
-def elsewhere(candidates: DataFrame, n: int, apart_km: float, avoid: int = 2) -> DataFrame:
-    """frame, id, place (0 first) of the picks of each frame, in order.
+def month_frames(beats: DataFrame, pad: int) -> DataFrame:
+    """story, month (y * 12 + m - 1), day, n0, n1, w0, w1, lon, lat: a frame for each month of a story, from January of the
+    year in which the windows of its beats(story, ord, day, w0, w1, lon, lat) begin to December of that in which they end.
 
-    candidates(frame, id, score, pinned, tier, nearness, used, lon, lat): pinned first, then
-    the first tier by score, others by nearness; those used `avoid` times or more only when
-    nothing else is left; each at least `apart_km` from those taken. A frame's candidates,
-    already cut down by its window, are one group.
+    A month looks from its middle day, first at its own days (n0 to n1), within `pad` days of the middle at least, away
+    from the place of the beat nearest to the middle; of equally near ones the first by ord.
     """
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = pd.Series(list(zip(~pdf.pinned, pdf.tier, (-pdf.score).where(pdf.tier == 0, pdf.nearness), pdf.id, strict=True)), index=pdf.index)
-        rows = pdf.loc[key.sort_values().index]
-        taken: list = []
-        for again in (False, True):
-            for r in rows.itertuples():
-                if len(taken) < n and (r.used >= avoid) == again and all(t.id != r.id and _km(t.lon, t.lat, r.lon, r.lat) >= apart_km for t in taken):
-                    taken.append(r)
-        return pd.DataFrame({"frame": [pdf.frame.iloc[0]] * len(taken), "id": [t.id for t in taken], "place": range(len(taken))})
-
-    return candidates.groupBy("frame").applyInPandas(pick, "frame long, id long, place int")
-
-
-def in_turn(candidates: DataFrame, n: int, apart_km: float, rest: int = 3) -> DataFrame:
-    """series, frame, id, place: picks of a series' frames in turn; an id rests `rest` frames after it was picked, unless nothing else is left.
-
-    candidates(series, frame, id, score, lon, lat). A series is one group, as each pick
-    depends on those before.
+    span = beats.groupBy("story").agg(F.min("w0").alias("a"), F.max("w1").alias("b"))
+    first, last = cal.gregorian_civil("a")["y"] * 12, cal.gregorian_civil("b")["y"] * 12 + 11
+    months = span.select("story", F.explode(F.sequence(first, last)).alias("month")).withColumn("y", cal.floor_div(F.col("month"), 12)).withColumn("m", (F.pmod("month", F.lit(12)) + 1).cast("int"))
+    months = months.select("story", "month", cal.gregorian_day("y", "m", F.lit(1)).alias("n0"), cal.gregorian_month_end("y", "m").alias("n1"))
+    months = months.withColumn("day", cal.floor_div(F.col("n0") + F.col("n1"), 2))
+    # The beat before and the beat after, of equal days the first: each an as-of join.
+    days = beats.groupBy("story", "day").agg(F.min_by(F.struct("ord", "lon", "lat"), "ord").alias("at"))
+    before = asof_join(months, days.withColumn("was", F.col("day")), ["story"], "day", ["was", "at"]).withColumnRenamed("at", "at_a")
+    back = lambda df: df.withColumn("day", -F.col("day"))
+    both = back(asof_join(back(before), back(days.withColumn("will", F.col("day"))), ["story"], "day", ["will", "at"]).withColumnRenamed("at", "at_b"))
+    a, b = F.col("day") - F.col("was"), F.col("will") - F.col("day")
+    earlier = a.isNotNull() & (b.isNull() | (a < b) | ((a == b) & (F.col("at_a.ord") <= F.col("at_b.ord"))))
+    at = F.when(earlier, F.col("at_a")).otherwise(F.col("at_b"))
+    return both.select("story", "month", "day", "n0", "n1", F.least("n0", F.col("day") - pad).alias("w0"), F.greatest("n1", F.col("day") + pad).alias("w1"), at["lon"].alias("lon"), at["lat"].alias("lat"))
+
+
+def with_kin(candidates: DataFrame, lineage: DataFrame) -> DataFrame:
+    """candidates(frame, id) with kin: which of their ancestors in lineage(node, ancestor) are candidates of the same frame."""
+    ids = candidates.select("frame", "id").distinct()
+    pairs = ids.join(lineage.select(F.col("node").alias("id"), "ancestor"), "id").join(ids.withColumnRenamed("id", "ancestor"), ["frame", "ancestor"], "left_semi")
+    kin = pairs.groupBy("frame", "id").agg(F.array_sort(F.collect_set("ancestor")).alias("kin"))  # as many as the forest is deep
+    return candidates.join(kin, ["frame", "id"], "left").withColumn("kin", F.coalesce("kin", F.array().cast("array<bigint>")))
+
+
+def choose(candidates: DataFrame, n: int, apart_km: float, reach: int, taken: DataFrame | None = None) -> DataFrame:
+    """frame, place (0 first), id, lon, lat, kin, near of up to n picks of each frame.
+
+    candidates(frame, id, score, pinned, near, nearness, used, kin, lon, lat): all pinned ones first, or those `taken`
+    before. Then of the near ones (dated in the frame's own days) and those within `reach` days the least used, near
+    ones by score and then the nearest in time; then the others, the least used and nearest first. Each is at least `apart_km` from
+    those taken and neither an ancestor nor a descendant of one. Ties go by score, then by id. Null ids are left out.
+
+    Every frame takes its next pick at once, and its candidates that clash with it go: n rounds of an aggregation and
+    a join by frame, whatever the frames' sizes.
     """
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        last: dict[int, int] = {}
-        out = []
-        for turn, (frame, rows) in enumerate(pdf.sort_values(["frame", "score", "id"], ascending=[True, False, True]).groupby("frame", sort=True)):
-            taken: list = []
-            for tired in (False, True):
-                for r in rows.itertuples():
-                    if len(taken) < n and (turn - last.get(r.id, -rest - 1) <= rest) == tired and all(t.id != r.id and _km(t.lon, t.lat, r.lon, r.lat) >= apart_km for t in taken):
-                        taken.append(r)
-            for place, t in enumerate(taken):
-                last[t.id] = turn
-                out.append((t.series, frame, t.id, place))
-        return pd.DataFrame(out, columns=["series", "frame", "id", "place"])
-
-    return candidates.groupBy("series").applyInPandas(pick, "series long, frame long, id long, place int")
+    keep = ["id", "lon", "lat", "kin", "near"]
+    left = stored(candidates.where("id is not null").withColumn("_late", (~F.col("near") & (F.col("nearness") > reach)).cast("int")), "candidates")
+    if taken is None:
+        w = Window.partitionBy("frame").orderBy(F.col("score").desc(), "id")
+        taken = left.where("pinned").withColumn("place", F.row_number().over(w) - 1).select("frame", "place", *keep)
+    taken = stored(taken.select("frame", "place", *keep), "taken")
+    order = F.struct("_late", "used", (~F.col("near")).cast("int"), F.when(F.col("near"), 0).otherwise(F.col("nearness")), -F.col("score"), "id")
+    new = taken
+    while True:
+        left = stored(_clear_of(left, new, apart_km), "candidates")
+        counts = taken.groupBy("frame").agg(F.max("place").alias("_last"))
+        best = left.groupBy("frame").agg(F.min_by(F.struct(*keep), order).alias("b"))
+        best = best.join(counts, "frame", "left").withColumn("place", F.coalesce(F.col("_last") + 1, F.lit(0))).where(F.col("place") < n)
+        new = stored(best.select("frame", "place", "b.*"), "picked")
+        if new.isEmpty():
+            return taken
+        taken = stored(taken.unionByName(new), "taken")
+
+
+def _clear_of(left: DataFrame, new: DataFrame, apart_km: float) -> DataFrame:
+    """Candidates that clash with none of their frame's new picks."""
+    of = new.groupBy("frame").agg(F.collect_list(F.struct("id", "lon", "lat", "kin")).alias("_new"))  # picks and pins, few
+    clash = F.exists("_new", lambda t: (t["id"] == F.col("id")) | F.array_contains(t["kin"], F.col("id")) | F.array_contains("kin", t["id"]) | (geo.great_circle_km("lon", "lat", t["lon"], t["lat"]) < apart_km))
+    return join_bounded(left, of, ["frame"]).where(F.col("_new").isNull() | ~clash).drop("_new")
+
+
+def in_turn(candidates: DataFrame, n: int, apart_km: float, reach: int, sparse: tuple[tuple[float, int], ...] = ()) -> DataFrame:
+    """series, frame, place, id: choose() for the frames of each series in turn.
+
+    candidates(series, turn, frame, id, score, pinned, near, nearness, day, first, last, w0, w1, kin, lon, lat), turns from 0 without gaps, with all rows
+    that the widest reach of `sparse` admits. A frame shuns what frames before took from their own days, and what the next frame
+    pins or would take by itself and is nearer to: each counts as a use. A frame short of n relaxes by the steps of
+    `sparse`, each a spacing and a reach in days on both sides, and keeps what it has. All series take the same turn at once.
+    """
+    rows = stored(candidates.withColumn("_inside", (F.col("first") <= F.col("w1")) & (F.col("last") >= F.col("w0"))), "series")
+    turns = rows.agg(F.max("turn").alias("t")).first()["t"]
+    if turns is None:
+        return rows.select("series", "frame", F.lit(0).alias("place"), "id").limit(0)
+    of = stored(rows.select("series", "turn", "frame").distinct(), "turns")
+    alone = stored(choose(rows.where("_inside").withColumn("used", F.lit(0)), n, apart_km, reach), "alone").join(of, "frame").select("series", (F.col("turn") - 1).alias("turn"), "id", "frame")
+    own = rows.select("series", "turn", "frame", "id", "nearness", "pinned")
+    # What the next frame would take, as uses by this one: where it is pinned there or nearer to that day.
+    there = own.select("series", "frame", "id", F.col("nearness").alias("then"), F.col("pinned").alias("_pin"))
+    lent = alone.join(there, ["series", "frame", "id"]).select("series", "turn", "id", "then", "_pin").join(own.select("series", "turn", "id", "nearness"), ["series", "turn", "id"]).where("_pin or then < nearness")
+    lent = stored(lent.select("series", "turn", "id").distinct(), "lent")
+    done, shown = None, None
+    for turn in range(turns + 1):
+        here = rows.where(F.col("turn") == turn)
+        uses = lent.where(F.col("turn") == turn).select("series", "id")
+        if shown is not None:
+            uses = uses.unionByName(shown.select("series", "id"))
+        uses = uses.groupBy("series", "id").agg(F.count(F.lit(1)).alias("used"))
+        here = stored(here.join(uses, ["series", "id"], "left").withColumn("used", F.coalesce("used", F.lit(0))), "turn")
+        got = choose(here.where("_inside"), n, apart_km, reach)
+        for spacing, wide in sparse:
+            full = got.groupBy("frame").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= n)
+            short = join_bounded(here, stored(full, "full"), ["frame"], "left_anti")
+            reached = (F.col("first") <= F.greatest(F.col("w1"), F.col("day") + wide)) & (F.col("last") >= F.least(F.col("w0"), F.col("day") - wide))
+            got = choose(short.where(reached), n, spacing, reach, taken=got)
+        picked = stored(got.join(of.where(F.col("turn") == turn).select("series", "frame"), "frame").select("series", "frame", "place", "id", "near"), "picked")
+        done = picked if done is None else done.unionByName(picked)
+        near = picked.where("near").select("series", "id")
+        shown = near if shown is None else shown.unionByName(near)
+    return done.select("series", "frame", "place", "id")
 
 
 def _km(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
-    from math import asin, cos, radians, sin, sqrt
-
     a, b = radians(lat1), radians(lat2)
     h = sin((b - a) / 2) ** 2 + cos(a) * cos(b) * sin(radians(lon2 - lon1) / 2) ** 2
     return 2 * geo.EARTH_KM * asin(sqrt(min(1.0, h)))
@@ -152,18 +213,54 @@ def strongest(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("faded", F.round(F.col("size") * F.col("fade"), 6)).where("faded > 0").withColumn("n", F.row_number().over(w)).where(F.col("n") <= n).drop("n")
 
 
-def labels(boxes: DataFrame, cap: int) -> DataFrame:
-    """view, id of boxes(view, id, rank, x0, y0, x1, y1) placed in order of rank, none over one placed, at most `cap` to a view. A view's labels are one group."""
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: list = []
-        for r in pdf.sort_values(["rank", "id"]).itertuples():
-            if len(taken) < cap and all(r.x1 <= t.x0 or t.x1 <= r.x0 or r.y1 <= t.y0 or t.y1 <= r.y0 for t in taken):
-                taken.append(r)
-        return pd.DataFrame({"view": [t.view for t in taken], "id": [t.id for t in taken]})
+def labels(boxes: DataFrame, cap: int, room: float = 0.0) -> DataFrame:
+    """view, id of boxes(view, id, rank, kept, x0, y0, x1, y1) placed in order of rank, then id, none over one placed, at most `cap` to a view.
 
-    return boxes.groupBy("view").applyInPandas(place, "view long, id long")
+    Boxes shown before (`kept`) need their own place, new ones `room` more on each side. The first BATCH boxes of each view are
+    placed as far as they go; the view's other boxes that are clear of those placed come in further batches, until it is full.
+    """
+    keep = ["view", "id", "x0", "y0", "x1", "y1"]
+    pad = F.when(F.col("kept"), F.lit(0.0)).otherwise(F.lit(float(room)))
+    left = boxes.select("view", "id", "rank", *[F.col(c).cast("double").alias(c) for c in keep[2:]], pad.alias("pad"))
+    schema = left.select(*keep).schema
+    taken: DataFrame | None = None
 
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        placed = pdf[pdf.old]
+        held = list(placed[keep[2:]].itertuples(index=False))
+        out = []
+        for r in pdf[~pdf.old].sort_values(["rank", "id"]).itertuples():
+            if len(held) < cap and all(r.x1 + r.pad <= t.x0 or t.x1 <= r.x0 - r.pad or r.y1 + r.pad <= t.y0 or t.y1 <= r.y0 - r.pad for t in held):
+                held.append(r)
+                out.append((r.view, r.id, r.x0, r.y0, r.x1, r.y1))
+        return pd.DataFrame(out, columns=keep)
 
-def on_screen(px: Column, py: Column, width: float, height: float) -> Column:
-    return px.between(0, width) & py.between(0, height)
+    clear = lambda t: (F.col("x1") + F.col("pad") <= t["x0"]) | (t["x1"] <= F.col("x0") - F.col("pad")) | (F.col("y1") + F.col("pad") <= t["y0"]) | (t["y1"] <= F.col("y0") - F.col("pad"))
+    while True:
+        left = stored(left, "boxes")
+        top = left.withColumn("_n", F.row_number().over(Window.partitionBy("view").orderBy("rank", "id"))).where(F.col("_n") <= BATCH).drop("_n").withColumn("old", F.lit(False))
+        if taken is not None:
+            top = top.unionByName(taken.select(*keep, F.lit(True).alias("old")), allowMissingColumns=True)
+        got = stored(top.groupBy("view").applyInPandas(place, schema), "placed")  # BATCH + cap rows to a group at most
+        taken = got if taken is None else stored(taken.unionByName(got), "placed")
+        of = taken.groupBy("view").agg(F.collect_list(F.struct(*keep[1:])).alias("_t"))  # cap at most
+        more = join_bounded(left, of, ["view"]).where((F.size("_t") < cap) & F.forall("_t", clear))
+        left = more.drop("_t")
+        if got.isEmpty() or left.isEmpty():
+            return taken.select("view", "id")
+
+
+def level_of(entries: DataFrame, full: float, keep: float) -> DataFrame:
+    """region, level: the level at which each region of entries(region, level, reveal, before) shows its names, none where nothing is revealed.
+
+    The lowest level with a reveal of `full`, else the lowest that is shown; the level shown before stays while it is revealed
+    by `keep` and no lower one is full.
+    """
+    by = entries.where("reveal > 0").groupBy("region", "level").agg(F.max("reveal").alias("r"), F.first("before").alias("before"))
+    got = by.groupBy("region").agg(
+        F.min(F.when(F.col("r") >= full, F.col("level"))).alias("full"),
+        F.min("level").alias("lowest"),
+        F.max(F.when((F.col("level") == F.col("before")) & (F.col("r") >= keep), F.col("level"))).alias("stays"),
+    )
+    held = F.col("stays").isNotNull() & (F.col("full").isNull() | (F.col("full") >= F.col("stays")))
+    return got.select("region", F.when(held, F.col("stays")).otherwise(F.coalesce("full", "lowest")).alias("level"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridia.operators.cells import regions, runs
+from meridia.operators.cells import around, opened, overlaps, regions, runs
+from meridia.operators.grid import km2
 from meridia.operators.joins import closure, interval_join
+from meridia.shared import join_bounded, stored
 
 
 def change_years(rows: DataFrame) -> DataFrame:
@@ -40,7 +42,7 @@ def carried(holders: DataFrame, years: DataFrame, most: int) -> DataFrame:
 
     holders(step, j, i, name null where unclaimed) has each cell at every step; years(step, year).
     """
-    rows = holders.join(F.broadcast(years), "step")  # one row per step
+    rows = join_bounded(holders, years, ["step"], "inner")
     w = Window.partitionBy("j", "i").orderBy("step")
     before = F.last("name", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     after = F.first("name", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
@@ -50,19 +52,90 @@ def carried(holders: DataFrame, years: DataFrame, most: int) -> DataFrame:
     return marked.withColumn("f", first).where(F.col("name").isNull() & (F.col("a") == F.col("b")) & (F.col("year") - F.col("f") <= most)).select("step", "j", "i", F.col("a").alias("name"))
 
 
-def unresolved(holders: DataFrame, years: DataFrame, most: int, least_cells: int, columns: int) -> DataFrame:
-    """a, b, first, last, region, cells: regions of cells that are unclaimed over the same run of steps, `most` years at most, between two holders."""
-    rows = holders.join(F.broadcast(years), "step")
+def wide_only(carry: DataFrame, columns: int, reach: int = 1) -> DataFrame:
+    """carried()'s cells without parts that are nowhere 2 * reach + 1 wide, step by step and name by name: slivers are left to the rules."""
+    return opened(carry, ["step", "name"], columns, reach).select("step", "j", "i", "name")
+
+
+def carried_units(carry: DataFrame, units: DataFrame) -> DataFrame:
+    """step, name, outer, cells of carried cells(step, j, i, name): the outer unit is that of the largest part of what the name
+    held in units(name, outer, cells), of equal parts the first; a name without one is its own."""
+    largest = units.groupBy("name").agg(F.max_by("outer", F.struct("cells", F.struct("outer"))).alias("outer"))
+    return carry.groupBy("step", "name").agg(F.count(F.lit(1)).alias("cells")).join(largest, "name", "left").select("step", "name", F.coalesce("outer", "name").alias("outer"), "cells")
+
+
+def unresolved(holders: DataFrame, years: DataFrame, most: int, least_km2: float, rows: int, columns: int, acknowledged: DataFrame | None = None) -> DataFrame:
+    """a, b, first, last, region, cells, km2: regions of cells that are unclaimed over the same run of steps, `most` years at most, between two
+    holders, of `least_km2` at least. acknowledged(a, b, first, last) leaves out the runs between its names that lie in its steps."""
+    held = join_bounded(holders, years, ["step"], "inner")
     w = Window.partitionBy("j", "i").orderBy("step")
     a = F.last("name", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     b = F.first("name", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
     s = F.max(F.when(F.col("name").isNotNull(), F.col("step"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    open_ = rows.withColumn("a", a).withColumn("b", b).withColumn("s", s).where("name is null and a is not null and b is not null")
+    open_ = held.withColumn("a", a).withColumn("b", b).withColumn("s", s).where("name is null and a is not null and b is not null")
     open_ = open_.withColumnsRenamed({"a": "before", "b": "after"})
     spans = open_.groupBy("j", "i", "s", "before", "after").agg(F.min("step").alias("first"), F.max("step").alias("last"), F.min("year").alias("y0"), F.max("year").alias("y1")).where(F.col("y1") - F.col("y0") <= most)
     by = ["before", "after", "first", "last"]
-    found = regions(spans, by, columns).groupBy(*by, "region").agg(F.count(F.lit(1)).alias("cells"))
-    return found.where(F.col("cells") >= least_cells).withColumnsRenamed({"before": "a", "after": "b"})
+    found = regions(spans, by, columns).groupBy(*by, "region").agg(F.count(F.lit(1)).alias("cells"), F.sum(km2(F.col("j"), rows, columns)).alias("km2"))
+    found = found.where(F.col("km2") >= least_km2).withColumnsRenamed({"before": "a", "after": "b"})
+    if acknowledged is not None:
+        known = acknowledged.select("a", "b", F.col("first").alias("_f"), F.col("last").alias("_l"))
+        named = found.join(known, ["a", "b"]).where((F.col("_f") <= F.col("first")) & (F.col("last") <= F.col("_l"))).select("a", "b", "first", "last", "region").distinct()
+        found = found.join(named, ["a", "b", "first", "last", "region"], "left_anti")
+    return found
+
+
+def unclaimed(dry: DataFrame, held: DataFrame, lakes: DataFrame, outer: DataFrame, rows: int, columns: int) -> DataFrame:
+    """step, region, cells, km2, wide, core (cells), lake, coast, states, state of the connected pieces of dry land that none holds.
+
+    dry(j, i) and lakes(j, i) are the same at all steps; held(step, name, j, i); outer(name, outer). A piece is wide where it is three
+    cells wide somewhere, its core being those parts; coast: it touches what is neither dry nor lake; states: how many outer
+    units touch it, state the first of them. The facts come from the map alone.
+    """
+    key = ["step", "region"]
+    dry, lakes = dry.select("j", "i").distinct(), lakes.select("j", "i").distinct()
+    steps = held.select("step").distinct()
+    free = steps.crossJoin(F.broadcast(dry)) if dry.limit(SPINE + 1).count() <= SPINE else steps.crossJoin(dry)  # every step has all the land
+    free = stored(free.join(held.select("step", "j", "i").distinct(), ["step", "j", "i"], "left_anti"), "free")
+    pieces = stored(regions(free, ["step"], columns), "pieces")
+    size = pieces.groupBy(*key).agg(F.count(F.lit(1)).alias("cells"), F.sum(km2(F.col("j"), rows, columns)).alias("km2"))
+    core = opened(free, ["step"], columns).join(pieces, ["step", "j", "i"]).groupBy(*key).agg(F.count(F.lit(1)).alias("core"))
+    beside = stored(around(pieces, 1, columns).select(*key, "j", "i").distinct().where(F.col("j").between(0, rows - 1)), "beside")
+    by_lake = beside.join(lakes, ["j", "i"], "left_semi").select(*key).distinct().withColumn("lake", F.lit(True))
+    by_sea = beside.join(dry, ["j", "i"], "left_anti").join(lakes, ["j", "i"], "left_anti").select(*key).distinct().withColumn("coast", F.lit(True))
+    units = held.join(outer, "name", "left").select("step", "j", "i", F.coalesce("outer", "name").alias("unit"))
+    states = beside.join(units, ["step", "j", "i"]).groupBy(*key).agg(F.count_distinct("unit").alias("states"), F.min("unit").alias("state"))
+    out = size.join(core, key, "left").join(by_lake, key, "left").join(by_sea, key, "left").join(states, key, "left")
+    no = F.lit(False)
+    return out.select(*key, "cells", "km2", F.col("core").isNotNull().alias("wide"), F.coalesce("core", F.lit(0)).alias("core"), F.coalesce("lake", no).alias("lake"), F.coalesce("coast", no).alias("coast"), F.coalesce("states", F.lit(0)).alias("states"), F.when(F.col("states") == 1, F.col("state")).alias("state"))
+
+
+#: Cells of land that are broadcast to every step at most.
+SPINE = 1_000_000
+
+
+def review(pairs: DataFrame, acknowledged: DataFrame, least_share: float) -> DataFrame:
+    """a, b, first, steps, cells, share, winners, duplicate, unacknowledged: what overlaps(step, a, b, shared, share, winner) come to over all steps.
+
+    cells and share are the largest; a step is a duplicate where the share is `least_share` at least, and unacknowledged where
+    acknowledged(a, b, first, last) does not hold its step besides.
+    """
+    said = acknowledged.select("a", "b", F.col("first").alias("_f"), F.col("last").alias("_l"))
+    dup = pairs.where(F.col("share") >= least_share).select("step", "a", "b")
+    known = dup.join(said, ["a", "b"]).where((F.col("_f") <= F.col("step")) & (F.col("step") <= F.col("_l"))).select("step", "a", "b").distinct().withColumn("known", F.lit(True))
+    marked = pairs.withColumn("dup", F.col("share") >= least_share).join(known, ["step", "a", "b"], "left")
+    return marked.groupBy("a", "b").agg(
+        F.min("step").alias("first"), F.count(F.lit(1)).alias("steps"), F.max("shared").alias("cells"), F.max("share").alias("share"), F.array_sort(F.collect_set("winner")).alias("winners"),
+        F.count_if("dup").alias("duplicate"), F.count_if(F.col("dup") & F.col("known").isNull()).alias("unacknowledged"),
+    )
+
+
+def overlap_pairs(cells: DataFrame) -> DataFrame:
+    """step, a, b, shared, share (of the smaller), winner (the smaller, of equals a) of cells(step, name, j, i)."""
+    sizes = cells.select("step", "name", "j", "i").distinct().groupBy("step", "name").agg(F.count(F.lit(1)).alias("size"))
+    of = lambda x: sizes.select("step", F.col("name").alias(x), F.col("size").alias(f"n{x}"))
+    both = overlaps(cells, ["step"]).join(of("a"), ["step", "a"]).join(of("b"), ["step", "b"])
+    return both.select("step", "a", "b", "shared", (F.col("shared") / F.least("na", "nb")).alias("share"), F.when(F.col("nb") < F.col("na"), F.col("b")).otherwise(F.col("a")).alias("winner"))
 
 
 def outer_units(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -73,41 +146,81 @@ def outer_units(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(found, "name", "left").select("name", F.coalesce("outer", "name").alias("outer"), F.coalesce("roots", F.lit(1)).alias("roots"))
 
 
-def corrected(cells: DataFrame, corrections: list[dict], columns: int) -> DataFrame:
+def shape_at(rows: DataFrame, name: str, year: int) -> DataFrame:
+    """j, i of what rows(name, first, last, j, i) give a name in a year."""
+    return rows.where((F.col("name") == name) & (F.col("first") <= year) & (F.col("last") >= year)).select("j", "i").distinct()
+
+
+def corrected(cells: DataFrame, corrections: list[dict], columns: int, rows: DataFrame | None = None) -> DataFrame:
     """cells(step, name, j, i) after each correction in order: a short, curated list of
-    {kind: rename | drop | add | give | pocket, name, to, y0, y1, within: (j0, i0, j1, i1), at: (j, i)} for steps y0 to y1.
+    {kind: rename | drop | add | carry | give | pocket, name, to, y0, y1, within, inside, at, year} for steps y0 to y1.
 
-    Each is a set operation over all steps at once. give hands over the cells within a
-    window, or, with `at`, the connected piece that holds a cell.
+    Each is a set operation over all steps at once. A place is `within`: (j0, i0, j1, i1), or `inside`: (name, year), the shape that
+    rows(name, first, last, j, i) give that name in that year. carry draws a name, at steps that lack it, as it is in `year`. drop takes
+    all of a name, or its pieces that lie in the place wholly. give hands over a name's cells in the place (all, where none is
+    named), or, with `at`, the connected piece that holds a cell. A name or a year that rows lack is an error.
     """
+
+    def place(c: dict) -> DataFrame | None:
+        if "within" in c:
+            j0, i0, j1, i1 = c["within"]
+            return cells.sparkSession.range(1).select(F.explode(F.sequence(F.lit(j0), F.lit(j1))).alias("j"), F.lit(i0).alias("i0"), F.lit(i1).alias("i1")).select("j", F.explode(F.sequence("i0", "i1")).alias("i"))
+        if "inside" in c or c["kind"] == "carry":
+            name, year = c.get("inside", (c["name"], c.get("year")))
+            shape = shape_at(rows, name, year)
+            if shape.isEmpty():
+                raise ValueError(f"{c['kind']}: the source has no {name} in {year}")
+            return shape
+        return None
+
     for c in corrections:
         here = F.col("step").between(c["y0"], c["y1"])
         own = here & (F.col("name") == c["name"])
+        where = place(c)
         if c["kind"] == "rename":
             cells = cells.withColumn("name", F.when(own, c["to"]).otherwise(F.col("name")))
-        elif c["kind"] == "drop":
+        elif c["kind"] == "drop" and where is None:
             cells = cells.where(~own)
-        elif c["kind"] == "add":
-            j0, i0, j1, i1 = c["within"]
+        elif c["kind"] == "drop":
+            pieces = stored(regions(cells.where(own), ["step", "name"], columns), "pieces")
+            stay = pieces.join(where, ["j", "i"], "left_anti").select("step", "name", "region").distinct()
+            gone = pieces.join(stay, ["step", "name", "region"], "left_anti").select("step", "name", "j", "i")
+            cells = cells.join(gone, ["step", "name", "j", "i"], "left_anti")
+        elif c["kind"] in ("add", "carry"):
             steps = cells.where(here).select("step").distinct()
-            more = steps.withColumn("name", F.lit(c["name"])).withColumn("j", F.explode(F.sequence(F.lit(j0), F.lit(j1)))).withColumn("i", F.explode(F.sequence(F.lit(i0), F.lit(i1))))
-            cells = cells.unionByName(more).distinct()
+            if c["kind"] == "carry":
+                steps = steps.join(cells.where(own).select("step").distinct(), "step", "left_anti")
+            more = steps.withColumn("name", F.lit(c["name"])).crossJoin(where)  # curated steps by one shape's cells
+            cells = cells.unionByName(more.select("step", "name", *[F.col(k).cast(cells.schema[k].dataType) for k in ("j", "i")])).distinct()
         elif "at" in c:
             pieces = regions(cells.where(own), ["step", "name"], columns)
             chosen = pieces.where((F.col("j") == c["at"][0]) & (F.col("i") == c["at"][1])).select("step", "name", "region")
             moved = pieces.join(chosen, ["step", "name", "region"], "left_semi").select("step", "name", "j", "i", F.lit(c["to"]).alias("new"))
+            if where is not None:
+                moved = moved.join(where, ["j", "i"], "left_semi").select("step", "name", "j", "i", "new")
             cells = cells.join(moved, ["step", "name", "j", "i"], "left").select("step", F.coalesce("new", "name").alias("name"), "j", "i").distinct()
         else:
-            j0, i0, j1, i1 = c["within"]
-            inside = own & F.col("j").between(j0, j1) & F.col("i").between(i0, i1)
-            cells = cells.withColumn("name", F.when(inside, c["to"]).otherwise(F.col("name"))).distinct()
+            named = cells if where is None else cells.join(where.withColumn("_in", F.lit(True)), ["j", "i"], "left")
+            inside = own if where is None else own & F.col("_in").isNotNull()
+            cells = named.select("step", F.when(inside, c["to"]).otherwise(F.col("name")).alias("name"), "j", "i").distinct()
     return cells
 
 
-def classify(pieces: DataFrame, narrow: int, kept: int) -> DataFrame:
-    """pieces(step, region, cells, wide, lake, coast, units) with a class by the first rule that holds."""
-    rule = F.when(F.col("cells") >= kept, "kept").when(F.col("lake"), "lake").when(F.col("coast") & (F.col("units") <= 1), "coastal opening").when(F.col("wide") < narrow, "narrow").when(F.col("units") == 1, "inside one").otherwise("sliver")
-    return pieces.withColumn("class", rule)
+def classify(pieces: DataFrame, pocket_km2: float, corrections: DataFrame | None = None) -> DataFrame:
+    """unclaimed() pieces with `rule`: what becomes of each by the first rule that holds.
+
+    On a coast a piece is 'kept' as far as it is wide, a 'sliver' where it is nowhere; inside one state it goes to that 'state'; by a 'lake',
+    if less than `pocket_km2`, to the lake; what is nowhere wide is 'narrow'; else it is 'kept'. corrections(step, region,
+    stateless) come before: kept, or given away by 'correction'; one past `pocket_km2` is an error.
+    """
+    rule = F.when(F.col("coast"), F.when(F.col("wide"), "kept").otherwise("sliver")).when(F.col("states") == 1, "state").when(F.col("lake") & (F.col("km2") < pocket_km2), "lake").when(~F.col("wide"), "narrow").otherwise("kept")
+    if corrections is None:
+        return pieces.withColumn("rule", rule)
+    told = pieces.join(corrections.select("step", "region", "stateless"), ["step", "region"], "left")
+    if not told.where(~F.col("stateless") & (F.col("km2") >= pocket_km2) & (rule == "kept")).isEmpty():
+        raise ValueError("a correction gives away a piece past the size of a pocket")
+    said = F.when(F.col("stateless"), "kept").when(F.col("stateless").isNotNull() & ((rule == "kept") | F.col("coast")), "correction").otherwise(rule)
+    return told.withColumn("rule", said).drop("stateless")
 
 
 def tracked(holes: DataFrame, reach: int) -> DataFrame:

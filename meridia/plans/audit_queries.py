@@ -14,22 +14,32 @@ from meridia.registry import query
 _E = f"{bind.ctes(e=bind.EVENT_ROW)}"
 
 
-@query("VQ1", f"""{_E}, r AS (SELECT qid, CASE WHEN qid % 50 = 0 THEN lon + 400 ELSE lon END AS lon, lat, t0, CASE WHEN qid % 31 = 0 THEN t0 - 1 ELSE t1 END AS t1, CASE WHEN qid % 77 = 5 THEN qid ELSE parent END AS parent, 5000 - qid + CASE WHEN qid % 100 = 7 THEN 3 ELSE 0 END AS score FROM e), w AS (SELECT *, lag(score) OVER (ORDER BY qid) AS b FROM r),
+@query("VQ1", f"""{_E}, r AS (SELECT cls AS page, qid, CASE WHEN qid % 50 = 0 THEN lon + 400 ELSE lon END AS lon, lat, t0, CASE WHEN qid % 31 = 0 THEN t0 - 1 ELSE t1 END AS t1, CASE WHEN qid % 77 = 5 THEN qid ELSE parent END AS parent, 5000 - qid + CASE WHEN qid % 100 = 7 THEN 300 ELSE 0 END AS score FROM e), w AS (SELECT *, lag(score) OVER (PARTITION BY page ORDER BY qid) AS b FROM r),
 f AS (SELECT qid, CASE WHEN NOT (lon BETWEEN -180 AND 180) THEN 'place' WHEN t0 > t1 THEN 'span' WHEN parent = qid THEN 'own parent' WHEN score > b THEN 'order' END AS fault FROM w) SELECT * FROM f WHERE fault IS NOT NULL""")
 def audit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Planted faults of rows of one page."""
+    """Planted faults of the rows of pages, one for each class."""
     e = bind.frame(spark, sf_dir, bind.EVENT_ROW)
-    rows = e.select("qid", F.lit("p").alias("page"), F.col("qid").alias("row"), F.when(F.col("qid") % 50 == 0, F.col("lon") + 400).otherwise(F.col("lon")).alias("lon"), "lat", "t0", F.when(F.col("qid") % 31 == 0, F.col("t0") - 1).otherwise(F.col("t1")).alias("t1"), F.when(F.col("qid") % 77 == 5, F.col("qid")).otherwise(F.col("parent")).alias("parent"), (5000 - F.col("qid") + F.when(F.col("qid") % 100 == 7, 3).otherwise(0)).alias("score"))
+    rows = e.select("qid", F.col("cls").alias("page"), F.col("qid").alias("row"), F.when(F.col("qid") % 50 == 0, F.col("lon") + 400).otherwise(F.col("lon")).alias("lon"), "lat", "t0", F.when(F.col("qid") % 31 == 0, F.col("t0") - 1).otherwise(F.col("t1")).alias("t1"), F.when(F.col("qid") % 77 == 5, F.col("qid")).otherwise(F.col("parent")).alias("parent"), (5000 - F.col("qid") + F.when(F.col("qid") % 100 == 7, 300).otherwise(0)).alias("score"))
     return audits.page_faults(rows)
 
 
-@query("VQ3", f"""WITH RECURSIVE e AS ({bind.duck(bind.EVENT_ROW)}), o AS (SELECT qid * 3 AS id, 700000 + qid * 111 % 36500 AS day, qid % 13 = 0 AS placed FROM e WHERE qid % 20 = 1), r AS (SELECT qid AS node, parent AS anc FROM e WHERE parent IS NOT NULL UNION SELECT r.node, e.parent FROM r JOIN e ON e.qid = r.anc WHERE e.parent IS NOT NULL),
-f AS (SELECT o.id, CASE WHEN e.qid IS NULL THEN 'absent' WHEN NOT (day BETWEEN t0 AND t1 + 3000) THEN 'day' WHEN placed THEN 'place' WHEN EXISTS (SELECT 1 FROM r JOIN o x ON x.id = r.anc WHERE r.node = o.id) THEN 'part of another' END AS fault FROM o LEFT JOIN e ON e.qid = o.id) SELECT * FROM f WHERE fault IS NOT NULL""")
+_LAST_DAY = 725000
+
+
+@query("VQ3", f"""WITH RECURSIVE e AS ({bind.duck(bind.EVENT_ROW)}), o AS (SELECT qid * 3 AS id, 700000 + qid * 111 % 36500 AS day, qid % 13 = 0 AS placed, 'On ' || (1 + qid % 28) || ' March and May ' || (1 + qid % 9) AS line, qid % 17 AS k FROM e),
+r AS (SELECT qid AS node, parent AS anc FROM e WHERE parent IS NOT NULL UNION SELECT r.node, e.parent FROM r JOIN e ON e.qid = r.anc WHERE e.parent IS NOT NULL),
+d AS (SELECT *, DATE '0001-01-01' + CAST(day AS INT) AS t FROM o), l AS (SELECT *, CASE k WHEN 0 THEN 'in ' || day(t) || ' ' || monthname(t) WHEN 1 THEN line ELSE 'no date' END AS said FROM d),
+f AS (SELECT l.id, CASE WHEN e.qid IS NULL THEN 'absent' WHEN NOT (l.day BETWEEN t0 AND t1 + 3000) THEN 'day' WHEN placed THEN 'place' WHEN EXISTS (SELECT 1 FROM r JOIN o x ON x.id = r.anc WHERE r.node = l.id) THEN 'part of another' WHEN t0 > {_LAST_DAY} THEN 'too late' WHEN k = 1 THEN 'line' END AS fault FROM l LEFT JOIN e ON e.qid = l.id) SELECT * FROM f WHERE fault IS NOT NULL""")
 def audit_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of listed openings."""
+    from meridia.functions import cal
+
     e = bind.frame(spark, sf_dir, bind.EVENT_ROW)
-    o = e.where("qid % 20 = 1").select((F.col("qid") * 3).alias("id"), (700000 + F.col("qid") * 111 % 36500).alias("day"), (F.col("qid") % 13 == 0).alias("placed"))
-    return audits.opening_faults(o, e.select(F.col("qid").alias("id"), "t0", (F.col("t1") + 3000).alias("t1")), closure(bind.frame(spark, sf_dir, bind.PARENT)))
+    o = e.select("qid", (F.col("qid") * 3).alias("id"), (700000 + F.col("qid") * 111 % 36500).alias("day"), (F.col("qid") % 13 == 0).alias("placed")).withColumn("c", cal.gregorian_civil("day"))
+    month = F.element_at(F.array(*map(F.lit, cal.MONTHS)), F.col("c.m"))
+    two = F.concat(F.lit("On "), (1 + F.col("qid") % 28).cast("string"), F.lit(" March and May "), (1 + F.col("qid") % 9).cast("string"))
+    line = F.when(F.col("qid") % 17 == 0, F.concat(F.lit("in "), F.col("c.d").cast("string"), F.lit(" "), month)).when(F.col("qid") % 17 == 1, two).otherwise("no date")
+    return audits.opening_faults(o.select("id", "day", "placed", line.alias("line")), e.select(F.col("qid").alias("id"), "t0", (F.col("t1") + 3000).alias("t1")), closure(bind.frame(spark, sf_dir, bind.PARENT)), _LAST_DAY)
 
 
 @query("VQ4", "WITH v AS (SELECT s_suppkey % 15 AS step, count(*) AS n FROM supplier GROUP BY 1), d AS (SELECT s_suppkey % 15 AS step, count(*) AS n FROM supplier WHERE s_suppkey % 9 <> 0 GROUP BY 1), a AS (SELECT s_suppkey % 15 AS step, count(*) AS n FROM supplier WHERE s_suppkey % 27 = 0 GROUP BY 1) SELECT step, CAST(coalesce(d.n, 0) - v.n + coalesce(a.n, 0) AS BIGINT) AS off FROM v LEFT JOIN d USING (step) LEFT JOIN a USING (step) WHERE coalesce(d.n, 0) - v.n + coalesce(a.n, 0) <> 0")
@@ -112,11 +122,12 @@ _BOX = "SELECT s_suppkey AS id, s_suppkey * 31 % 40 AS x0, s_suppkey * 17 % 40 A
 
 @query("ST6", f"{bind.ctes(b=_BOX)}, d AS (SELECT DISTINCT x0, y0, x1, y1 FROM b) SELECT * FROM d WHERE NOT EXISTS (SELECT 1 FROM d o WHERE o.x0 <= d.x0 AND o.y0 <= d.y0 AND o.x1 >= d.x1 AND o.y1 >= d.y1 AND (o.x0, o.y0, o.x1, o.y1) <> (d.x0, d.y0, d.x1, d.y1))")
 def set_outer_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes that lie in no other, found by an equi-join on the unit cells of corners."""
+    """Boxes that lie in no other, found by an equi-join on the tiles of corners."""
     b = bind.frame(spark, sf_dir, _BOX).select("x0", "y0", "x1", "y1").distinct()
-    wide = b.select(*[F.col(c).alias("o" + c) for c in b.columns]).withColumn("x0", F.explode(F.sequence("ox0", "ox1"))).withColumn("y0", F.explode(F.sequence("oy0", "oy1")))
+    wide = b.select(*[F.col(c).alias("o" + c) for c in b.columns]).withColumn("tx", F.explode(F.sequence(F.floor(F.col("ox0") / 8), F.floor(F.col("ox1") / 8)))).withColumn("ty", F.explode(F.sequence(F.floor(F.col("oy0") / 8), F.floor(F.col("oy1") / 8))))
     other = (F.col("ox0") != F.col("x0")) | (F.col("oy0") != F.col("y0")) | (F.col("ox1") != F.col("x1")) | (F.col("oy1") != F.col("y1"))
-    inside = b.join(wide, ["x0", "y0"]).where((F.col("ox1") >= F.col("x1")) & (F.col("oy1") >= F.col("y1")) & other)
+    corners = b.withColumn("tx", F.floor(F.col("x0") / 8)).withColumn("ty", F.floor(F.col("y0") / 8))
+    inside = corners.join(wide, ["tx", "ty"]).where((F.col("ox0") <= F.col("x0")) & (F.col("oy0") <= F.col("y0")) & (F.col("ox1") >= F.col("x1")) & (F.col("oy1") >= F.col("y1")) & other)
     return b.join(inside.select("x0", "y0", "x1", "y1").distinct(), ["x0", "y0", "x1", "y1"], "left_anti")
 
 

@@ -54,13 +54,14 @@ FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey"""
 EVENT_CLASS = """SELECT * FROM (VALUES (0, '1-URGENT', CAST(3.0 AS DOUBLE), CAST(NULL AS STRING)), (1, '2-HIGH', CAST(2.0 AS DOUBLE), '1-URGENT'),
   (2, '3-MEDIUM', CAST(2.0 AS DOUBLE), '2-HIGH'), (3, '4-NOT SPECIFIED', CAST(1.0 AS DOUBLE), '1-URGENT'), (4, '9-ABSENT', CAST(1.5 AS DOUBLE), '3-MEDIUM')) AS t(ord, cls, weight, within)"""
 
-#: Curated boosts, dates and places of some events, one of them unknown.
+#: Curated boosts, dates, ends and places of some events, one of them unknown.
 CURATED = """SELECT c_custkey AS qid, CASE WHEN c_custkey % 40 = 1 THEN CAST(c_custkey % 5 AS DOUBLE) END AS boost,
   CASE WHEN c_custkey % 40 = 2 THEN CAST(1000 + c_custkey AS BIGINT) END AS day,
+  CASE WHEN c_custkey % 40 = 1 OR c_custkey % 80 = 2 THEN CAST(500000 + c_custkey AS BIGINT) END AS until,
   CASE WHEN c_custkey % 14 = 0 THEN CAST(c_custkey % 360 - 180 AS DOUBLE) END AS lon,
   CASE WHEN c_custkey % 14 = 0 THEN CAST(c_custkey % 180 - 90 AS DOUBLE) END AS lat
 FROM {customer} WHERE c_custkey % 40 IN (1, 2) OR c_custkey % 14 = 0
-UNION ALL SELECT CAST(999999999 AS BIGINT), CAST(1.0 AS DOUBLE), NULL, NULL, NULL"""
+UNION ALL SELECT CAST(999999999 AS BIGINT), CAST(1.0 AS DOUBLE), NULL, NULL, NULL, NULL"""
 
 #: Scored, located, spanned rows of the parts table, with a forest of parents.
 EVENT_ROW = """SELECT p_partkey AS qid, p_name AS label, (p_partkey * 7919 % 36000) / 1e2 - 180 AS lon, (p_partkey * 104729 % 17800) / 1e2 - 89 AS lat,

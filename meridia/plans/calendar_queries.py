@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from meridia.functions import cal
 from meridia.plans import bind
+from meridia.plans.event_queries import month_start
 from meridia.registry import query
 
 #: Day numbers from 600 BCE to 2300, one per order.
 DAYS = "SELECT o_orderkey AS k, CAST(o_orderkey * 7919 % 1060000 - 219000 AS BIGINT) AS day, CAST(9 + o_orderkey % 3 AS INT) AS prec, o_orderkey * 31 % 900 AS more FROM {orders}"
 _CIVIL = "CAST(year(DATE '0001-01-01' + CAST({0} AS INT)) AS BIGINT) AS {1}y, CAST(month(DATE '0001-01-01' + CAST({0} AS INT)) AS INT) AS {1}m, CAST(day(DATE '0001-01-01' + CAST({0} AS INT)) AS INT) AS {1}d"
-# In Julian dates four years are 1461 days; day numbers count from 0001-01-03 of that calendar.
-_JULIAN = """j AS (SELECT *, day + 308 - 1461 * CAST(floor((day + 308) / 1461) AS BIGINT) AS l, CAST(floor((day + 308) / 1461) AS BIGINT) AS e FROM days_),
-j2 AS (SELECT *, least(l // 365, 3) AS o FROM j), j3 AS (SELECT *, l - 365 * o AS r FROM j2),
-j4 AS (SELECT *, (5 * r + 2) // 153 AS mp FROM j3),
-jul AS (SELECT k, day, CAST(e * 4 + o + CASE WHEN mp >= 10 THEN 1 ELSE 0 END AS BIGINT) AS jy, CAST(CASE WHEN mp < 10 THEN mp + 3 ELSE mp - 9 END AS INT) AS jm, CAST(r - (153 * mp + 2) // 5 + 1 AS INT) AS jd FROM j4)"""
+# Julian dates by years and months: a year's number is sought next to the mean, a month is the last that begins by the day.
+_JANUARY = "(365 * ({0} - 1) + CAST(floor(({0} - 1) / 4.0) AS BIGINT) - 2)"
+_JULIAN = f"""j AS (SELECT *, CAST(floor((day + 2) / 365.25) AS BIGINT) AS near FROM days_),
+j2 AS (SELECT * EXCLUDE (near), list_max(list_filter([near, near + 1, near + 2], lambda y: {_JANUARY.format("y")} <= day)) AS jy FROM j),
+j3 AS (SELECT *, CAST(day - {_JANUARY.format("jy")} AS INT) AS r, CASE WHEN jy % 4 = 0 THEN [0, 31, 60, 91, 121, 152, 182, 213, 244, 274, 305, 335] ELSE [0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334] END AS starts FROM j2),
+jul AS (SELECT *, CAST(len(list_filter(starts, lambda x: x <= r)) AS INT) AS jm, CAST(r - list_max(list_filter(starts, lambda x: x <= r)) + 1 AS INT) AS jd FROM j3)"""
 
 
 @query(
@@ -36,17 +38,17 @@ def sc_calendars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "SC7 SC8 SC29",
-    f"""WITH days_ AS ({bind.duck(DAYS)}), g AS (SELECT *, DATE '0001-01-01' + CAST(day AS INT) AS t FROM days_),
-s AS (SELECT k, prec, CASE prec WHEN 9 THEN date_trunc('year', t) WHEN 10 THEN date_trunc('month', t) ELSE t END AS a, t FROM g)
-SELECT k, CAST(date_diff('day', DATE '0001-01-01', CAST(a AS DATE)) AS BIGINT) AS first_day,
-  CAST(date_diff('day', DATE '0001-01-01', CAST(CASE prec WHEN 9 THEN a + INTERVAL 1 YEAR - INTERVAL 1 DAY WHEN 10 THEN a + INTERVAL 1 MONTH - INTERVAL 1 DAY ELSE a END AS DATE)) AS BIGINT) AS last_day,
-  CAST(day(last_day(t)) AS INT) AS month_days, prec < 11 AS soft FROM s""",
+    f"""WITH days_ AS ({bind.duck(DAYS)}), g AS (SELECT k, {_CIVIL.format("day", "g")} FROM days_), {_JULIAN},
+h AS (SELECT jul.k, day, prec, gy, gm, CASE WHEN day >= 577735 THEN gy ELSE jy END AS y, CASE WHEN day >= 577735 THEN gm ELSE jm END AS m FROM jul JOIN g USING (k))
+SELECT k, CASE prec WHEN 9 THEN {month_start("y", "1")} WHEN 10 THEN {month_start("y", "m")} ELSE day END AS first_day,
+  CASE prec WHEN 9 THEN ({month_start("(y + 1)", "1")}) - 1 WHEN 10 THEN ({month_start("(y + m // 12)", "(m % 12 + 1)")}) - 1 ELSE day END AS last_day,
+  CAST(day(last_day(make_date(gy, gm, 1))) AS INT) AS month_days, prec < 11 AS soft FROM h""",
 )
 def sc_precision_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The days that a date names at its precision, its month's length, and whether it is soft."""
-    of = bind.frame(spark, sf_dir, DAYS).withColumn("g", cal.gregorian_civil("day"))
-    date = (of["g"]["y"], of["g"]["m"], of["g"]["d"])
-    return of.select("k", cal.first_day(*date, "prec").alias("first_day"), cal.last_day(*date, "prec").alias("last_day"), cal.month_length(*date[:2]).alias("month_days"), (F.col("prec") < cal.DAY).alias("soft"))
+    """The days that a date as written then names at its precision, its Gregorian month's length, and whether it is soft."""
+    of = bind.frame(spark, sf_dir, DAYS).withColumn("h", cal.historical_civil("day")).withColumn("g", cal.gregorian_civil("day"))
+    date = (of["h"]["y"], of["h"]["m"], of["h"]["d"])
+    return of.select("k", cal.first_day(*date, "prec").alias("first_day"), cal.last_day(*date, "prec").alias("last_day"), cal.month_length(of["g"]["y"], of["g"]["m"]).alias("month_days"), (F.col("prec") < cal.DAY).alias("soft"))
 
 
 _SPOKEN = "CASE {p} WHEN 9 THEN {y} WHEN 10 THEN monthname({t}) || ' ' || {y} ELSE day({t}) || ' ' || monthname({t}) || ' ' || {y} END"
@@ -73,20 +75,20 @@ def sc_date_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "SC22",
-    f"""WITH days_ AS ({bind.duck(DAYS)}), g AS (SELECT k, DATE '0001-01-01' + CAST(day AS INT) AS t, DATE '0001-01-01' + CAST(day + more AS INT) AS u FROM days_ WHERE day > 0)
+    f"""WITH days_ AS ({bind.duck(DAYS)}), g AS (SELECT k, DATE '0001-01-01' + CAST(day AS INT) AS t, DATE '0001-01-01' + CAST(day + more AS INT) AS u FROM days_)
 SELECT k, 'month' AS kind, CAST(date_diff('day', DATE '0001-01-01', CAST(m AS DATE)) AS BIGINT) AS mark FROM (SELECT k, unnest(generate_series(CAST(date_trunc('month', t) AS TIMESTAMP), CAST(u AS TIMESTAMP), INTERVAL 1 MONTH)) AS m FROM g)
-UNION ALL SELECT k, 'year' AS kind, y * 2 AS mark FROM (SELECT k, unnest(generate_series((year(t) + 1) // 2, year(u) // 2)) AS y FROM g)""",
+UNION ALL SELECT k, 'year' AS kind, y * 2 AS mark FROM (SELECT k, unnest(generate_series(CAST(ceil(year(t) / 2.0) AS BIGINT), CAST(floor(year(u) / 2.0) AS BIGINT))) AS y FROM g)""",
 )
 def sc_spines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Months and even years that a span touches."""
-    rows = bind.frame(spark, sf_dir, DAYS).where("day > 0").select("k", "day", (F.col("day") + F.col("more")).alias("last"))
+    rows = bind.frame(spark, sf_dir, DAYS).select("k", "day", (F.col("day") + F.col("more")).alias("last"))
     months = rows.select("k", F.lit("month").alias("kind"), F.explode(cal.months_of("day", "last")).alias("mark"))
     return months.unionByName(rows.select("k", F.lit("year").alias("kind"), F.explode(cal.years_of("day", "last", 2)).alias("mark")))
 
 
 @query(
     "SC23",
-    f"""WITH days_ AS ({bind.duck(DAYS)}), g AS (SELECT k, day, CAST(date_trunc('month', DATE '0001-01-01' + CAST(day AS INT)) AS DATE) AS t FROM days_ WHERE day > 400),
+    f"""WITH days_ AS ({bind.duck(DAYS)}), g AS (SELECT k, day, CAST(date_trunc('month', DATE '0001-01-01' + CAST(day AS INT)) AS DATE) AS t FROM days_),
 m AS (SELECT k, day, unnest([t - INTERVAL 1 MONTH, t, t + INTERVAL 1 MONTH]) AS s FROM g),
 n AS (SELECT k, day, year(s) * 12 + month(s) - 1 AS month, date_diff('day', DATE '0001-01-01', CAST(s AS DATE)) + day(last_day(s)) / 2 AS mid FROM m),
 p AS (SELECT k, day, month, mid, lead(mid) OVER (PARTITION BY k ORDER BY month) AS next FROM n)
@@ -94,5 +96,5 @@ SELECT k, CAST(month AS BIGINT) AS before, CAST(month + 1 AS BIGINT) AS after, r
 )
 def sc_month_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two months around a day and the weight of the second."""
-    of = bind.frame(spark, sf_dir, DAYS).where("day > 400").select("k", cal.month_blend("day").alias("b"))
+    of = bind.frame(spark, sf_dir, DAYS).select("k", cal.month_blend("day").alias("b"))
     return of.select("k", "b.before", "b.after", F.round("b.weight", 9).alias("weight"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meridia.operators import cells
 from meridia.plans import bind
-from meridia.registry import query
+from meridia.registry import SQL, query
 
 W, H = 80, 50
 _P = bind.POLITY
@@ -110,13 +110,6 @@ def grid_all(spark: SparkSession) -> DataFrame:
 _D = f"least(abs(o.i - a.i), {W} - abs(o.i - a.i))"
 
 
-@query("GE2", f"""{CELLS}, {_NOW}, {_ALL}, h AS (SELECT j, i, min(name) AS id FROM n GROUP BY j, i) SELECT a.j, a.i, arg_min(o.id, ((o.j - a.j) * (o.j - a.j) + {_D} * {_D}, o.id)) AS id FROM a JOIN h o ON abs(o.j - a.j) <= 3 AND {_D} <= 3 WHERE (a.j, a.i) NOT IN (SELECT (j, i) FROM h) GROUP BY a.j, a.i""")
-def cell_nearest_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Empty cells filled with the nearest name within three cells."""
-    held = now(spark, sf_dir).groupBy("j", "i").agg(F.min("name").alias("id"))
-    return cells.nearest_fill(held, grid_all(spark).join(held, ["j", "i"], "left_anti"), W, 3)
-
-
 @query("GE2", f"""{CELLS}, {_NOW}, {_ALL}, h AS (SELECT j, i, min(name) AS id FROM n GROUP BY j, i) SELECT a.j, a.i, arg_min(o.id, ((o.j - a.j) * (o.j - a.j) + {_D} * {_D}, o.id)) AS id FROM a, h o WHERE (a.j, a.i) NOT IN (SELECT (j, i) FROM h) GROUP BY a.j, a.i""")
 def cell_nearest_fill_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every empty cell filled with the nearest name, however far."""
@@ -124,6 +117,12 @@ def cell_nearest_fill_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.nearest_fill_all(held, grid_all(spark).join(held, ["j", "i"], "left_anti"), W)
 
 
+@query("GE2", SQL["cell_nearest_fill_whole"])
+def cell_nearest_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another name of cell_nearest_fill_whole."""
+    return cell_nearest_fill_whole(spark, sf_dir)
+
+
 @query("GE3", f"""{CELLS}, {_NOW}, {_ALL}, f AS (SELECT a.j, a.i, (a.j, a.i) IN (SELECT (j, i) FROM n) AS flag FROM a) SELECT a.j, a.i, a.flag, round(CASE WHEN a.flag THEN 1 ELSE -1 END * least(4.0, sqrt(coalesce(min((o.j - a.j) * (o.j - a.j) + {_D} * {_D}), 16))), 6) AS distance FROM f a LEFT JOIN f o ON o.flag <> a.flag AND abs(o.j - a.j) <= 4 AND {_D} <= 4 GROUP BY a.j, a.i, a.flag""")
 def cell_signed_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance to the border of held land, within four cells."""
@@ -132,16 +131,22 @@ def cell_signed_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.signed_distance(flags, W, 4).select("j", "i", "flag", F.round("distance", 6).alias("distance"))
 
 
-@query("GE4")
+_OWN = "h AS (SELECT j, i, arg_min(row_id, (area, row_id)) AS id FROM pc GROUP BY j, i)"
+
+
+@query("GE4", f"""{CELLS}, {_OWN}, nb AS (SELECT a.j, a.i, a.id, o.id AS other FROM h a JOIN h o ON a.id <> o.id AND ((o.j = a.j AND (a.i = (o.i + 1) % {W} OR o.i = (a.i + 1) % {W})) OR (o.i = a.i AND abs(o.j - a.j) = 1))),
+bo AS (SELECT DISTINCT j, i, CASE WHEN other > id THEN -1 ELSE 1 END AS side, abs(other - id) = 1 AS soft FROM nb WHERE abs(other - id) IN (1, 3, 5)),
+be AS (SELECT a.j, a.i, min((least(abs(o.i - a.i), {W} - abs(o.i - a.i)) * least(abs(o.i - a.i), {W} - abs(o.i - a.i)) + (o.j - a.j) * (o.j - a.j), side, soft)) AS b FROM h a JOIN bo o ON abs(o.j - a.j) <= 3 AND least(abs(o.i - a.i), {W} - abs(o.i - a.i)) <= 3 GROUP BY a.j, a.i)
+SELECT CAST(j AS INT) AS j, CAST(i AS INT) AS i, round(b[2] * (sqrt(b[1]) + 0.5), 6) AS distance, b[3] AS soft FROM be""")
 def cell_border_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance to borders between even and odd ids, soft where they lie close."""
     held = cells.by_priority(all_cells(spark, sf_dir).withColumnRenamed("row_id", "id"))
     ids = held.select("id").distinct()
     pairs = ids.withColumnRenamed("id", "lower").join(ids.withColumnRenamed("id", "upper"), (F.col("upper") - F.col("lower")).isin(1, 3, 5)).withColumn("soft", F.col("upper") - F.col("lower") == 1)
-    return cells.border_distance(held, pairs, W, 3)
+    return cells.border_distance(held, pairs, W, 3).select(F.col("j").cast("int").alias("j"), F.col("i").cast("int").alias("i"), F.round("distance", 6).alias("distance"), "soft")
 
 
-@query("GE8 GE9", f"""{CELLS}, {_NOW}, {_ALL}, l AS (SELECT DISTINCT CAST(c_custkey * 7 % {H} AS INT) AS j, CAST(c_custkey * 11 % {W} AS INT) AS i FROM customer WHERE c_custkey % 30 = 0)
+@query("GE8", f"""{CELLS}, {_NOW}, {_ALL}, l AS (SELECT DISTINCT CAST(c_custkey * 7 % {H} AS INT) AS j, CAST(c_custkey * 11 % {W} AS INT) AS i FROM customer WHERE c_custkey % 30 = 0)
 SELECT a.j, a.i FROM a WHERE (a.j, a.i) NOT IN (SELECT (j, i) FROM n) AND EXISTS (SELECT 1 FROM l o WHERE abs(o.j - a.j) <= 2 AND {_D} <= 2) AND EXISTS (SELECT 1 FROM n o WHERE abs(o.j - a.j) <= 2 AND {_D} <= 2)""")
 def cell_both_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Empty cells with both a lake and held land near."""

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.functions import cal
 from meridia.functions.geo import great_circle_km
 from meridia.operators import events
 from meridia.plans import bind
@@ -14,16 +13,28 @@ from meridia.registry import query
 
 _EDGES = [700000 + 1500 * i for i in range(25)]
 _DAY0 = "CAST(date_diff('day', DATE '0001-01-01', {0}) AS BIGINT)"
-_FIRST = _DAY0.format("CASE prec WHEN 9 THEN make_date(y, 1, 1) WHEN 10 THEN make_date(y, m, 1) ELSE make_date(y, m, d) END")
-_LAST = _DAY0.format("CASE prec WHEN 9 THEN make_date(y, 12, 31) WHEN 10 THEN last_day(make_date(y, m, 1)) ELSE make_date(y, m, d) END")
+# Days up to a Julian January: 365 a year and one each fourth; then the months' lengths. October 1582 is the last Julian month.
+_JANUARY = "(365 * ({0} - 1) + CAST(floor(({0} - 1) / 4.0) AS BIGINT) - 2)"
+_JULIAN = "(" + _JANUARY.format("{0}") + " + ([0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334])[{1}] + CASE WHEN {1} > 2 AND {0} % 4 = 0 THEN 1 ELSE 0 END)"
+
+
+def month_start(y: str, m: str) -> str:
+    """DuckDB SQL of the day number on which a month as written then begins."""
+    return f"CASE WHEN {y} * 100 + {m} > 158210 THEN {_DAY0.format(f'make_date(CAST({y} AS BIGINT), CAST({m} AS BIGINT), 1)')} ELSE {_JULIAN.format(y, m)} END"
+
+
+_FIRST = f"CASE prec WHEN 9 THEN {month_start('y', '1')} WHEN 10 THEN {month_start('y', 'm')} ELSE {_DAY0.format('make_date(y, m, d)')} END"
+_LAST = f"CASE prec WHEN 9 THEN ({month_start('(y + 1)', '1')}) - 1 WHEN 10 THEN ({month_start('(y + m // 12)', '(m % 12 + 1)')}) - 1 ELSE {_DAY0.format('make_date(y, m, d)')} END"
 _INDEX = f"""{bind.ctes(st=bind.STATEMENT, cl=bind.EVENT_CLASS, cu=bind.CURATED)},
 u AS (SELECT st.*, weight, {_FIRST} AS s0, {_LAST} AS s1, CASE prop WHEN 'point' THEN 0 WHEN 'start' THEN 1 ELSE 2 END AS pr FROM st JOIN cl USING (cls) WHERE prec >= 9),
 c AS (SELECT qid, max(n) > 1 AS conflict FROM (SELECT qid, prop, count(DISTINCT (y, m, d, prec)) AS n FROM u GROUP BY ALL) GROUP BY qid),
+dt AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY qid ORDER BY pr, prec DESC, y, m, d, line_no) = 1),
+sp AS (SELECT u.qid, min(u.s0) FILTER (u.prop = 'start') AS b0, max(u.s1) FILTER (u.prop = 'end') AS b1 FROM u JOIN dt USING (qid) LEFT JOIN cu USING (qid)
+  WHERE NOT (cu.day IS NOT NULL AND (u.prop, u.y, u.m, u.d, u.prec) = (dt.prop, dt.y, dt.m, dt.d, dt.prec)) AND NOT (cu.until IS NOT NULL AND u.prop = 'end') GROUP BY u.qid),
 g AS (SELECT qid, arg_min(label, line_no) FILTER (label <> '') AS label, arg_min(enwiki, line_no) FILTER (enwiki IS NOT NULL) AS enwiki, arg_min(lon, line_no) FILTER (lon IS NOT NULL) AS plon, arg_min(lat, line_no) FILTER (lon IS NOT NULL) AS plat,
-  arg_max(cls, (weight, -line_no)) AS cls, max(weight) AS weight, min((pr, -prec, y, m, d, line_no, s0, s1, prec)) AS b,
-  min(s0) FILTER (prop <> 'point') AS b0, max(s1) FILTER (prop <> 'point') AS b1, max(editions) AS editions, list_sort(list(DISTINCT parent) FILTER (parent IS NOT NULL)) AS parents FROM u GROUP BY qid),
-j AS (SELECT g.*, c.conflict, cu.boost, cu.day, coalesce(cu.lon, plon) AS lon, coalesce(cu.lat, plat) AS lat, b[7] AS c0, b[8] AS c1, b[9] AS cp FROM g JOIN c USING (qid) LEFT JOIN cu USING (qid)),
-ix AS (SELECT qid, label, enwiki, cls, lon, lat, coalesce(day, c0) AS date, CAST(CASE WHEN day IS NOT NULL THEN 11 ELSE cp END AS INT) AS prec, least(coalesce(day, c0), b0) AS t0, greatest(coalesce(day, c1), b1) AS t1, editions,
+  arg_max(cls, (weight, -line_no)) AS cls, max(weight) AS weight, max(editions) AS editions, list_sort(list(DISTINCT parent) FILTER (parent IS NOT NULL)) AS parents FROM u GROUP BY qid),
+j AS (SELECT g.*, b0, b1, c.conflict, cu.boost, cu.day, cu.until, coalesce(cu.lon, plon) AS lon, coalesce(cu.lat, plat) AS lat, dt.s0 AS c0, CASE WHEN day IS NULL AND NOT (until IS NOT NULL AND dt.prop = 'end') THEN dt.s1 END AS c1, dt.prec AS cp FROM g JOIN c USING (qid) JOIN dt USING (qid) LEFT JOIN sp USING (qid) LEFT JOIN cu USING (qid)),
+ix AS (SELECT qid, label, enwiki, cls, lon, lat, coalesce(day, c0) AS date, CAST(CASE WHEN day IS NOT NULL THEN 11 ELSE cp END AS INT) AS prec, least(coalesce(day, c0), b0) AS t0, greatest(coalesce(day, c0), until, c1, b1) AS t1, editions,
   round(log2(1 + editions) * weight + coalesce(boost, 0.0), 6) AS score, conflict, coalesce(parents, []) AS parents FROM j WHERE label <> '' AND editions > 0 AND lon IS NOT NULL)"""
 
 
@@ -37,6 +48,16 @@ def event_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, sf_dir)
 
 
+_LISTED = "SELECT c_custkey AS qid FROM {customer} WHERE c_custkey % 25 = 3 UNION ALL SELECT CAST(-c_custkey AS BIGINT) FROM {customer} WHERE c_custkey % 100 = 50"
+
+
+@query("JN5", f"{_INDEX}, li AS ({bind.duck(_LISTED)}) SELECT DISTINCT li.qid, ix.qid IS NOT NULL AS there, ix.label, ix.score FROM li LEFT JOIN ix ON ix.qid = li.qid")
+def event_forced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed events, those that the index lacks reported."""
+    rows, missing = events.forced(_index(spark, sf_dir), bind.frame(spark, sf_dir, _LISTED))
+    return rows.select("qid", F.lit(True).alias("there"), "label", "score").unionByName(missing.select("qid", F.lit(False).alias("there")), allowMissingColumns=True)
+
+
 @query("TK1", f"{_INDEX} SELECT qid, label, score, date FROM ix ORDER BY score DESC, qid LIMIT 100")
 def event_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred best events."""
@@ -169,5 +190,3 @@ def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = (F.col("score") > 500) & F.col("parent").isNotNull()
     return bind.frame(spark, sf_dir, bind.EVENT_ROW).groupBy("cls").agg(F.count(F.lit(1)).alias("events"), F.count_if("located").alias("located"), F.count_if(pool).alias("candidates"))
 
-
-__all__ = ["cal"]

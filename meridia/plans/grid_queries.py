@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meridia.operators import grid
 from meridia.plans import bind
-from meridia.registry import query
+from meridia.registry import SQL, query
 
 _G = bind.GRID
 _PTS = "SELECT c_custkey AS id, (c_custkey * 7919 % 12800) / 1e2 AS x, (c_custkey * 104729 % 6400) / 1e2 AS y FROM {customer}"
@@ -48,7 +48,7 @@ def grid_texels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.texel_means(t, bind.frame(spark, sf_dir, _FULL), 32, 32).select("id", F.round("mean", 6).alias("mean"))
 
 
-@query("AG19 IO6 JN24", f"""{bind.ctes(m=_MONTHS)}, f AS (SELECT year * 100 + month AS frame, cell, CASE WHEN cell % 9 <> 0 THEN value END AS value FROM m), o AS (SELECT *, min(value) OVER w AS lo, max(value) OVER w AS hi FROM f WINDOW w AS (PARTITION BY frame)),
+@query("AG19 JN24", f"""{bind.ctes(m=_MONTHS)}, f AS (SELECT year * 100 + month AS frame, cell, CASE WHEN cell % 9 <> 0 THEN value END AS value FROM m), o AS (SELECT *, min(value) OVER w AS lo, max(value) OVER w AS hi FROM f WINDOW w AS (PARTITION BY frame)),
 s AS (SELECT *, CASE WHEN hi > lo THEN (hi - lo) / 254 ELSE 1.0 END AS scale FROM o) SELECT frame, cell, CAST(CASE WHEN value IS NULL THEN 255 ELSE round_even((value - lo) / scale, 0) END AS INT) AS code, CASE WHEN value IS NOT NULL THEN round(lo + round_even((value - lo) / scale, 0) * scale, 4) END AS decoded FROM s""")
 def grid_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly frames as codes of their own range, and decoded."""
@@ -56,12 +56,13 @@ def grid_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.quantise(frames).select("frame", "cell", "code", F.round("decoded", 4).alias("decoded"))
 
 
-@query("JN24", f"""{bind.ctes(m=_MONTHS)}, a AS (SELECT cell, value FROM m WHERE year = 1996 AND month = 3), b AS (SELECT cell, value FROM m WHERE year = 1996 AND month = 4)
-SELECT cell, round(coalesce(a.value + (b.value - a.value) * 0.25, a.value, b.value), 6) AS value FROM a FULL JOIN b USING (cell)""")
+@query("JN24", f"""{bind.ctes(m=_MONTHS)}, k AS (SELECT year * 12 + month - 1 AS frame, cell, value FROM m), a AS (SELECT frame, cell, value FROM k WHERE (cell + frame) % 5 <> 0), b AS (SELECT frame - 1 AS frame, cell, value FROM k WHERE (cell + frame) % 7 <> 0)
+SELECT frame, cell, round(coalesce(a.value + (b.value - a.value) * 0.25, a.value, b.value), 6) AS value FROM a FULL JOIN b USING (frame, cell)""")
 def grid_month_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A frame between two months; one-sided cells keep their value."""
-    m = bind.frame(spark, sf_dir, _MONTHS).where("year = 1996")
-    return grid.blend(m.where("month = 3"), m.where("month = 4"), 0.25).select("cell", F.round("value", 6).alias("value"))
+    """Frames a quarter of the way from each month to the next; cells that one month lacks keep the other's value."""
+    m = bind.frame(spark, sf_dir, _MONTHS).select((F.col("year") * 12 + F.col("month") - 1).alias("frame"), "cell", "value")
+    here, there = m.where((F.col("cell") + F.col("frame")) % 5 != 0), m.where((F.col("cell") + F.col("frame")) % 7 != 0).withColumn("frame", F.col("frame") - 1)
+    return grid.blend(here, there, 0.25, ("frame", "cell")).select("frame", "cell", F.round("value", 6).alias("value"))
 
 
 @query("AG19", f"{bind.ctes(m=_MONTHS)} SELECT cell, year, round(avg(value), 6) AS mean FROM m GROUP BY cell, year HAVING count(*) = 12")
@@ -104,13 +105,6 @@ def grid_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.grown(spark.range(1).select(F.lit(0).alias("x"), F.lit(0).alias("y")), wanted, 7)
 
 
-@query("AG28", "SELECT CAST(o_orderkey // 32768 + 1 AS BIGINT) AS bucket, count(DISTINCT o_orderkey) AS bits FROM orders WHERE o_orderkey % 3 = 1 GROUP BY 1".replace("o_orderkey // 32768 + 1", "(o_orderkey - 1) // 32768 + 1"))
-def grid_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packed presence of order keys."""
-    ids = bind.table(spark, sf_dir, "orders").where("o_orderkey % 3 = 1").select(F.col("o_orderkey").alias("id"))
-    return grid.presence(ids).select("bucket", F.col("bits").cast("long").alias("bits"))
-
-
 @query("AG28", "SELECT CAST(CASE WHEN o_orderkey > 0 THEN (o_orderkey - 1) // 32768 + 1 ELSE o_orderkey // 32768 END AS BIGINT) AS bucket, count(DISTINCT o_orderkey) AS bits FROM orders GROUP BY 1")
 def grid_presence_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed presence of all order keys."""
@@ -118,6 +112,12 @@ def grid_presence_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.presence(ids).select("bucket", F.col("bits").cast("long").alias("bits"))
 
 
+@query("AG28", SQL["grid_presence_whole"])
+def grid_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another name of grid_presence_whole."""
+    return grid_presence_whole(spark, sf_dir)
+
+
 _SAMPLES = "SELECT s_nationkey AS tile, CAST(s_suppkey * 7 % 64 AS INT) AS j, CAST((s_suppkey * 3 % 20 + 118) % 128 AS INT) AS i FROM {supplier}"
 
 

@@ -2,33 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridia.functions import geo
 from meridia.operators import joins
 from meridia.plans import bind
-from meridia.registry import query
+from meridia.registry import SQL, query
 
 KM = "2 * 6371.0088 * asin(sqrt(least(1.0, greatest(0.0, pow(sin((radians({3}) - radians({1})) / 2), 2) + cos(radians({1})) * cos(radians({3})) * pow(sin(radians({2} - {0}) / 2), 2)))))"
 _HOUSES = f"SELECT s_suppkey AS a, {bind.geo('s_suppkey')} FROM {{supplier}}"
 _GUESTS = f"SELECT c_custkey AS b, {bind.geo('(c_custkey + 5)')} FROM {{customer}}"
 
 
-@query(
-    "SC16",
-    f"""{bind.ctes(h=_HOUSES, g=_GUESTS)}, p AS (SELECT b, g.lon AS lon1, g.lat AS lat1, h.lon AS lon2, h.lat AS lat2 FROM g JOIN h ON h.a = g.b % 10 AND b % 10 <> 0),
-q AS (SELECT *, ((degrees(atan2(sin(radians(lon2 - lon1)) * cos(radians(lat2)), cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2 - lon1)))) + 360) % 360) AS deg FROM p)
-SELECT b, round({KM.format("lon1", "lat1", "lon2", "lat2")}, 5) AS km, round(deg, 5) AS degrees, (['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'])[CAST(floor(deg / 45 + 0.5) AS INT) % 8 + 1] AS compass FROM q""",
-)
-def sc_great_circle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance, bearing and compass point from customers to a supplier."""
-    h, g = bind.frame(spark, sf_dir, _HOUSES), bind.frame(spark, sf_dir, _GUESTS)
-    pairs = g.where("b % 10 <> 0").join(h.select("a", F.col("lon").alias("lon2"), F.col("lat").alias("lat2")), F.col("a") == F.col("b") % 10)
-    deg = geo.bearing("lon", "lat", "lon2", "lat2")
-    return pairs.select("b", F.round(geo.great_circle_km("lon", "lat", "lon2", "lat2"), 5).alias("km"), F.round(deg, 5).alias("degrees"), geo.compass(deg).alias("compass"))
-
-
 @query(
     "SC16",
     f"""{bind.ctes(h=_HOUSES, g=_GUESTS)}, z AS (SELECT count(*) AS z FROM h), p AS (SELECT b, g.lon AS lon1, g.lat AS lat1, h.lon AS lon2, h.lat AS lat2 FROM g, z JOIN h ON h.a = g.b % z + (SELECT min(a) FROM h)),
@@ -44,6 +30,12 @@ def sc_great_circle_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("b", F.round(geo.great_circle_km("lon", "lat", "lon2", "lat2"), 5).alias("km"), F.round(deg, 5).alias("degrees"), geo.compass(deg).alias("compass"))
 
 
+@query("SC16", SQL["sc_great_circle_whole"])
+def sc_great_circle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another name of sc_great_circle_whole."""
+    return sc_great_circle_whole(spark, sf_dir)
+
+
 _EDGE = """SELECT DISTINCT p_partkey AS child, p_partkey DIV 7 AS parent FROM {part} WHERE p_partkey > 0
 UNION SELECT p_partkey, p_partkey + 1 FROM {part} WHERE p_partkey % 100 = 50 UNION SELECT p_partkey, p_partkey - 1 FROM {part} WHERE p_partkey % 100 = 51"""
 
@@ -59,16 +51,7 @@ def jn_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SPANS = "SELECT o_orderkey AS k, DAYNO(o_orderdate) AS d0, DAYNO(o_orderdate) + o_orderkey % 11 AS d1 FROM {orders}"
-_WINDOWS = "SELECT c_custkey AS f, 727900 + c_custkey * 37 % 2400 AS w0, 727900 + c_custkey * 37 % 2400 + c_custkey % 5 AS w1 FROM {customer} WHERE c_custkey % 10 = 3"
-
-
-@query("JN9", f"""{bind.ctes(s=_SPANS, w=_WINDOWS)} SELECT f, k FROM s JOIN w ON d0 <= w1 AND w0 <= d1""")
-def jn_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders whose span of days overlaps a window."""
-    return joins.interval_join(bind.frame(spark, sf_dir, _SPANS), bind.frame(spark, sf_dir, _WINDOWS), "d0", "d1", "w0", "w1", 8).select("f", "k")
-
-
-_ALL_WINDOWS = _WINDOWS.removesuffix(" WHERE c_custkey % 10 = 3")
+_ALL_WINDOWS = "SELECT c_custkey AS f, 727900 + c_custkey * 37 % 2400 AS w0, 727900 + c_custkey * 37 % 2400 + c_custkey % 5 AS w1 FROM {customer}"
 
 
 @query("JN9", f"""{bind.ctes(s=_SPANS, w=_ALL_WINDOWS)} SELECT f, k FROM s JOIN w ON d0 <= w1 AND w0 <= d1""")
@@ -77,6 +60,12 @@ def jn_interval_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.interval_join(bind.frame(spark, sf_dir, _SPANS), bind.frame(spark, sf_dir, _ALL_WINDOWS), "d0", "d1", "w0", "w1", 8).select("f", "k")
 
 
+@query("JN9", SQL["jn_interval_whole"])
+def jn_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another name of jn_interval_whole."""
+    return jn_interval_whole(spark, sf_dir)
+
+
 @query("JN10 JN16", f"""{bind.ctes(h=_HOUSES, g=_GUESTS)} SELECT a, b, round({KM.format("h.lon", "h.lat", "g.lon", "g.lat")}, 5) AS km FROM h, g WHERE {KM.format("h.lon", "h.lat", "g.lon", "g.lat")} <= 1500""")
 def jn_within_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers within 1500 km of a supplier."""
@@ -84,16 +73,6 @@ def jn_within_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("a", "b", F.round("km", 5).alias("km"))
 
 
-_SEEN = "SELECT user_id AS u, ts AS at, event_id AS k FROM {events} WHERE event_id % 3 = 0"
-_STATE = "SELECT user_id AS u, ts AS at, event_id AS last_id, event_type AS last_type FROM {events} WHERE event_id % 3 = 1"
-
-
-@query("JN12", f"""{bind.ctes(s=_SEEN, t=_STATE)} SELECT k, last_id, last_type FROM (SELECT k, last_id, last_type, row_number() OVER (PARTITION BY k ORDER BY t.at DESC, last_id DESC, last_type DESC) AS n FROM s LEFT JOIN t ON s.u = t.u AND t.at <= s.at) WHERE n = 1""")
-def jn_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each event the user's last event of another kind before it."""
-    return joins.asof_join(bind.frame(spark, sf_dir, _SEEN), bind.frame(spark, sf_dir, _STATE), ["u"], "at", ["last_id", "last_type"]).select("k", "last_id", "last_type")
-
-
 _DEEDS = "SELECT user_id AS u, ts AS at, event_id AS k FROM {events} WHERE event_type IN ('purchase', 'error')"
 _OTHERS = "SELECT user_id AS u, ts AS at, event_id AS last_id, event_type AS last_type FROM {events} WHERE event_type IS NULL OR event_type NOT IN ('purchase', 'error')"
 
@@ -104,6 +83,12 @@ def jn_asof_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.asof_join(bind.frame(spark, sf_dir, _DEEDS), bind.frame(spark, sf_dir, _OTHERS), ["u"], "at", ["last_id", "last_type"]).select("k", "last_id", "last_type")
 
 
+@query("JN12", SQL["jn_asof_whole"])
+def jn_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another name of jn_asof_whole."""
+    return jn_asof_whole(spark, sf_dir)
+
+
 _DAYS = "SELECT o_orderkey AS k, DAYNO(o_orderdate) AS day FROM {orders}"
 _STEPS = "SELECT DISTINCT 727900 + s_suppkey * 7919 % 2500 AS step FROM {supplier}"
 
@@ -119,15 +104,6 @@ def jn_step_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", "step", F.when(F.col("step").isNull(), None).when(F.col("next").isNull(), a.cast("double")).otherwise(F.round(a + (b - a) * (F.col("day") - F.col("step")) / (F.col("next") - F.col("step")), 6)).alias("value"))
 
 
-@query("JN11", f"""{bind.ctes(d=_DAYS, s=_STEPS)} SELECT k, arg_min(step, (abs(day - step), step)) AS nearest FROM d, s WHERE k % 5 = 0 GROUP BY k""")
-def jn_nearest_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The step fewest days from a day, the earlier of equals: one of the two around it."""
-    steps = bind.frame(spark, sf_dir, _STEPS).agg(F.array_sort(F.collect_list("step")).alias("steps"))
-    rows = bind.frame(spark, sf_dir, _DAYS).where("k % 5 = 0").crossJoin(F.broadcast(steps))
-    near = rows.select("k", "day", joins.last_before(F.col("steps"), F.col("day")).alias("a"), F.get(F.filter("steps", lambda s: s > F.col("day")), 0).alias("b"))
-    return near.select("k", F.when(F.col("a").isNull() | (F.col("b") - F.col("day") < F.col("day") - F.col("a")), F.col("b")).otherwise(F.col("a")).alias("nearest"))
-
-
 @query("JN11", f"""{bind.ctes(d=_DAYS, s=_STEPS)}, n AS (SELECT day, arg_min(step, (abs(day - step), step)) AS nearest FROM (SELECT DISTINCT day FROM d), s GROUP BY day) SELECT k, nearest FROM d JOIN n USING (day)""")
 def jn_nearest_in_time_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The step fewest days from the day of every order, the earlier of equals."""
@@ -137,6 +113,12 @@ def jn_nearest_in_time_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("k", F.when(F.col("a").isNull() | (F.col("b") - F.col("day") < F.col("day") - F.col("a")), F.col("b")).otherwise(F.col("a")).alias("nearest"))
 
 
+@query("JN11", SQL["jn_nearest_in_time_whole"])
+def jn_nearest_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another name of jn_nearest_in_time_whole."""
+    return jn_nearest_in_time_whole(spark, sf_dir)
+
+
 _BOX = """SELECT * FROM (VALUES (0, 'west', -180e0, -90e0, -30e0, 90e0), (1, 'north', -180e0, 30e0, 180e0, 90e0), (2, 'east', 60e0, -90e0, 180e0, 90e0), (3, 'middle', -30e0, -60e0, 60e0, 40e0)) AS t(ord, name, west, south, east, north)"""
 
 
@@ -157,7 +139,7 @@ def jn_valid_in_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.interval_join(bind.frame(spark, sf_dir, bind.POLITY), years.withColumn("until", F.col("year")), "first", "last", "year", "until", 10).select("year", "row_id", "name")
 
 
-@query("JN25 JN3 JN5", f"""{bind.ctes(e=bind.EVENT_ROW, c=bind.CURATED)} SELECT e.qid, e.label, p.label AS parent_label, e.parent IS NOT NULL AND (p.qid IS NULL OR NOT p.located) AS partial,
+@query("JN25 JN3", f"""{bind.ctes(e=bind.EVENT_ROW, c=bind.CURATED)} SELECT e.qid, e.label, p.label AS parent_label, e.parent IS NOT NULL AND (p.qid IS NULL OR NOT p.located) AS partial,
   coalesce(c.lon, e.lon) AS lon, CASE WHEN coalesce(c.boost, 0) <> 0 THEN e.score + c.boost ELSE e.score END AS score, c.qid IS NOT NULL AS curated FROM e LEFT JOIN (SELECT * FROM e WHERE located) p ON p.qid = e.parent LEFT JOIN c ON c.qid = e.qid""")
 def jn_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parents' labels (partial where the parent isn't among the located), curated values over source values."""
@@ -202,5 +184,3 @@ def jn_class_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = bind.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("b"), "c_mktsegment")
     return bind.frame(spark, sf_dir, _GUESTS).join(seg, "b").join(F.broadcast(groups), "c_mktsegment", "left").select("b", "grp", (F.col("lat") < 0).alias("mirrored"))
 
-
-__all__ = ["KM", "Window"]

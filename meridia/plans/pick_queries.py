@@ -39,20 +39,46 @@ def pick_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(spark, sf_dir).select("frame", "id")
 
 
+_BEATS = """SELECT day % 3 AS story, day AS ord, 700000 + day * 37 % 3000 AS day, 700000 + day * 37 % 3000 - 40 AS w0, 700000 + day * 37 % 3000 + day % 90 AS w1,
+  (day * 7919 % 36000) / 1e2 - 180 AS lon, (day * 104729 % 17800) / 1e2 - 89 AS lat FROM (SELECT DISTINCT DAYNO(ts) AS day FROM {events}) AS x"""
+_MONTH = "date_diff('day', DATE '0001-01-01', CAST({0} AS DATE))"
+_MONTHS = f"""b AS ({bind.duck(_BEATS)}), sp AS (SELECT story, year(DATE '0001-01-01' + CAST(min(w0) AS INT)) AS y0, year(DATE '0001-01-01' + CAST(max(w1) AS INT)) AS y1 FROM b GROUP BY story),
+mo AS (SELECT story, unnest(range(y0 * 12, y1 * 12 + 12)) AS month FROM sp), md AS (SELECT story, month, make_date(month // 12, month % 12 + 1, 1) AS t FROM mo),
+mf AS (SELECT story, month, {_MONTH.format("t")} AS n0, {_MONTH.format("last_day(t)")} AS n1, ({_MONTH.format("t")} + {_MONTH.format("last_day(t)")}) // 2 AS day FROM md),
+mt AS (SELECT mf.story, month, arg_min((b.lon, b.lat), (abs(b.day - mf.day), b.ord)) AS pl FROM mf JOIN b USING (story) GROUP BY mf.story, month),
+fr AS (SELECT story, month, day, n0, n1, least(n0, day - 30) AS w0, greatest(n1, day + 30) AS w1, pl[1] AS lon, pl[2] AS lat FROM mf JOIN mt USING (story, month))"""
+
+
+@query("TK5 SC22", f"WITH {_MONTHS} SELECT * FROM fr")
+def pick_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame for each month of three stories, away from its nearest beat."""
+    return picks.month_frames(bind.frame(spark, sf_dir, _BEATS), 30)
+
+
 @query("TK3 TK10")
 def pick_elsewhere(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five picks for each frame, pinned and near in time first, apart from each other."""
+    """Five picks for each frame: pinned ones, then near in time, apart from each other and no kin."""
+    from meridia.shared import stored
+
     rows = _candidates(spark, sf_dir)
-    near = F.abs(F.col("t0") - F.col("w0") - 10)
-    rows = rows.select("frame", "id", "score", (F.col("id") % 97 == 0).alias("pinned"), F.when(near <= 5, 0).otherwise(1).alias("tier"), near.cast("double").alias("nearness"), (F.col("id") % 4).alias("used"), "lon", "lat")
-    return picks.elsewhere(rows, 5, 800.0)
+    nearness = F.abs(F.col("t0") - F.col("w0") - 10)
+    rows = rows.select("frame", "id", "score", (F.col("id") % 97 == 0).alias("pinned"), (nearness <= 5).alias("near"), nearness.alias("nearness"), (F.col("id") % 4).alias("used"), "lon", "lat")
+    lineage = stored(joins.closure(bind.frame(spark, sf_dir, bind.PARENT)), "lineage")
+    return picks.choose(picks.with_kin(rows, lineage), 5, 800.0, 8).select("frame", "id", "place")
 
 
 @query("TK4")
 def pick_in_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Picks for the frames of ten series in turn, without quick repeats."""
-    rows = _candidates(spark, sf_dir).select((F.col("frame") % 10).alias("series"), "frame", "id", "score", "lon", "lat")
-    return picks.in_turn(rows, 3, 800.0)
+    """Picks for the frames of ten series in turn, without quick repeats; short ones relax."""
+    from meridia.shared import stored
+
+    rows = _candidates(spark, sf_dir)
+    order = stored(rows.select("frame").distinct().withColumn("series", F.col("frame") % 10), "frames")
+    order = order.withColumn("turn", F.row_number().over(Window.partitionBy("series").orderBy("frame")) - 1)  # one row per frame
+    nearness = F.abs(F.col("t0") - F.col("w0") - 10)
+    rows = rows.select("frame", "id", "score", (F.col("id") % 97 == 0).alias("pinned"), (nearness <= 5).alias("near"), nearness.alias("nearness"), (F.col("w0") + 10).alias("day"), F.col("t0").alias("first"), F.col("t0").alias("last"), "w0", "w1", "lon", "lat").join(order, "frame")
+    lineage = stored(joins.closure(bind.frame(spark, sf_dir, bind.PARENT)), "lineage")
+    return picks.in_turn(picks.with_kin(rows, lineage), 3, 800.0, 8, ((400.0, 30),))
 
 
 _VIEWS = """SELECT CAST(v AS BIGINT) AS view, e.qid AS id, e.score, CAST((e.qid * 389 + v * 577) % 1440 AS DOUBLE) AS px, CAST((e.qid * 631 + v * 211) % 900 AS DOUBLE) AS py,
@@ -100,9 +126,17 @@ def pick_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("TK11")
 def pick_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of eight views placed in order of score without overlap."""
-    rows = _views(spark, sf_dir).where("score > 600")
-    return picks.labels(rows.select("view", "id", (-F.col("score")).alias("rank"), F.col("px").alias("x0"), F.col("py").alias("y0"), (F.col("px") + 90).alias("x1"), (F.col("py") + 14).alias("y1")), 60)
+    """Labels of eight views placed in order of score without overlap; new ones need more room than those kept."""
+    rows = _views(spark, sf_dir)
+    return picks.labels(rows.select("view", "id", (-F.col("score")).alias("rank"), F.col("incumbent").alias("kept"), F.col("px").alias("x0"), F.col("py").alias("y0"), (F.col("px") + 90).alias("x1"), (F.col("py") + 14).alias("y1")), 60, 4.0)
+
+
+@query("TK11", f"""{bind.ctes(e=_E)}, {_V}, w AS ({_VIEWS}), r AS (SELECT view * 10 + id % 7 AS region, id % 4 AS level, max(score / 1000.0) AS r, any_value((view + id % 7) % 4) AS b FROM w WHERE score > 0 GROUP BY 1, 2),
+g AS (SELECT region, min(level) FILTER (r >= 0.995) AS f, min(level) AS lo, max(level) FILTER (level = b AND r >= 0.5) AS st FROM r GROUP BY region) SELECT region, CASE WHEN st IS NOT NULL AND (f IS NULL OR f >= st) THEN st ELSE coalesce(f, lo) END AS level FROM g""")
+def pick_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The level at which each region of a view shows its names."""
+    rows = _views(spark, sf_dir).select((F.col("view") * 10 + F.col("id") % 7).alias("region"), (F.col("id") % 4).alias("level"), (F.col("score") / 1000).alias("reveal"), ((F.col("view") + F.col("id") % 7) % 4).alias("before"))
+    return picks.level_of(rows, 0.995, 0.5)
 
 
 _SEEN = "SELECT user_id AS user_, ts AS seen_at, event_id % 40 AS id FROM {events}"

@@ -47,12 +47,15 @@ def route_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("route", "day", "idx", F.when(F.col("lon2").isNull(), F.round("lon", 5)).alias("last_lon"))
 
 
-@query("WN20")
+@query("WN20", f"""{_V}, q AS (SELECT DISTINCT route, day + 0.5 AS qd FROM v), m AS (SELECT q.route, q.qd, max(idx) AS idx FROM q JOIN v ON v.route = q.route AND v.day <= q.qd GROUP BY ALL),
+a AS (SELECT m.route, m.qd, lon, lat, lon2, lat2, CASE WHEN day2 > day THEN (qd - day) / (day2 - day) ELSE 0.0 END AS t, acos(least(1, greatest(-1, sin(radians(lat)) * sin(radians(lat2)) + cos(radians(lat)) * cos(radians(lat2)) * cos(radians(lon2 - lon))))) AS g FROM m JOIN lg ON lg.route = m.route AND lg.idx = m.idx),
+b AS (SELECT *, sin((1 - t) * g) / sin(g) AS p, sin(t * g) / sin(g) AS q FROM a), c AS (SELECT *, p * cos(radians(lat)) * cos(radians(lon)) + q * cos(radians(lat2)) * cos(radians(lon2)) AS x, p * cos(radians(lat)) * sin(radians(lon)) + q * cos(radians(lat2)) * sin(radians(lon2)) AS y, p * sin(radians(lat)) + q * sin(radians(lat2)) AS z FROM b)
+SELECT route, CAST(qd AS DOUBLE) AS day, round(CASE WHEN lon2 IS NULL OR t = 0 THEN lon ELSE degrees(atan2(y, x)) END, 5) AS lon, round(CASE WHEN lon2 IS NULL OR t = 0 THEN lat ELSE degrees(atan2(z, sqrt(x * x + y * y))) END, 5) AS lat FROM c""")
 def route_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions of routes at each half day."""
     v = _vertices(spark, sf_dir).withColumn("day", F.col("day").cast("double"))
-    q = v.select("route", (F.col("day") + 0.5).alias("day")).distinct().withColumn("q", F.col("route") * 1000 + F.pmod(F.col("day"), F.lit(1000)))
-    return routes.positions(q, v)
+    q = v.select("route", (F.col("day") + 0.5).alias("day")).distinct().withColumn("q", F.col("day"))
+    return routes.positions(q, v).select("route", "day", F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"))
 
 
 @query("AG27 WN10", f"""{_V}, s AS (SELECT route, lat, idx, CASE WHEN idx = 0 THEN lon ELSE (((lon - lag(lon) OVER (PARTITION BY route ORDER BY idx) + 180) % 360) + 360) % 360 - 180 END AS st FROM v),

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meridia.operators import cells, steps
+from meridia.operators import audits, cells, grid, steps
 from meridia.operators.joins import interval_join
 from meridia.plans import bind
-from meridia.plans.cell_queries import CELLS, W, all_cells
+from meridia.plans.cell_queries import CELLS, H, W, all_cells
 from meridia.registry import query
 from meridia.shared import stored
 
@@ -23,19 +23,30 @@ def step_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.change_years(bind.frame(spark, sf_dir, _P)).withColumn("step", F.col("step").cast("long"))
 
 
-def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """step, row_id, name of rows valid at fifteen steps of four years."""
-    years = spark.range(15).select(F.col("id").cast("int").alias("step"), (1800 + 4 * F.col("id")).cast("int").alias("year"))
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """step, year of all change years of the polity table."""
+    return stored(steps.change_years(bind.frame(spark, sf_dir, _P)).select(F.col("step").cast("int").alias("step"), F.col("year").cast("int").alias("year")), "changes")
+
+
+def _held(spark: SparkSession, sf_dir: str, years: DataFrame) -> DataFrame:
+    """step, row_id, name of rows valid at each change year."""
     return interval_join(bind.frame(spark, sf_dir, _P), years.withColumn("until", F.col("year")), "first", "last", "year", "until", 10)
 
 
-_HELD = "hd AS (SELECT step, row_id, name FROM p, (SELECT unnest(range(15)) AS step) WHERE first <= 1800 + 4 * step AND 1800 + 4 * step <= last)"
+_HELD = "hd AS (SELECT step, row_id, name FROM p, st WHERE first <= year AND year <= last)"
+_RUNS = f"""{_YEARS}, {_HELD}, d AS (SELECT DISTINCT name, step FROM hd), r AS (SELECT name, step, step - row_number() OVER (PARTITION BY name ORDER BY step) AS k FROM d) SELECT name, CAST(min(step) AS INT) AS first, CAST(max(step) AS INT) AS last FROM r GROUP BY name, k"""
 
 
-@query("WN7 WN8", f"""{bind.ctes(p=_P)}, {_HELD}, d AS (SELECT DISTINCT name, step FROM hd), g AS (SELECT name, step, step - row_number() OVER (PARTITION BY name ORDER BY step) AS g FROM d) SELECT name, CAST(min(step) AS INT) AS first, CAST(max(step) AS INT) AS last FROM g GROUP BY name, g""")
+@query("WN7 WN8", _RUNS)
 def step_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of steps in which a name is drawn."""
-    return steps.merged(_held(spark, sf_dir).select("name", "step").distinct(), ["name"])
+    """Runs of change steps in which a name is drawn."""
+    return steps.merged(_held(spark, sf_dir, _changes(spark, sf_dir)).select("name", "step").distinct(), ["name"])
+
+
+@query("WN7 WN8", _RUNS)
+def step_runs_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another name of step_runs."""
+    return step_runs(spark, sf_dir)
 
 
 @query("WN11", f"""{bind.ctes(p=_P)}, s AS (SELECT name, first, max(last) OVER (PARTITION BY name ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM p) SELECT name, seen + 1 AS gone, first AS back FROM s WHERE first > seen + 1""")
@@ -52,78 +63,170 @@ def step_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("name", rank.cast("long").alias("id"), "line", "ids", F.array_sort(F.array_distinct(F.split("name", ""))).alias("chars"))
 
 
-_HELD_CHANGES = "hd AS (SELECT step, row_id, name FROM p, st WHERE first <= year AND year <= last)"
+# Each cell's holder at every change year.
+_HOLD = f"""{_YEARS}, pc{CELLS.split(", pc", 1)[1]}, hc AS (SELECT step, j, i, min(name) AS name FROM pc, st WHERE first <= year AND year <= last GROUP BY step, j, i),
+al AS (SELECT st.step, c.j, c.i, hc.name, st.year FROM (SELECT DISTINCT j, i FROM pc) c CROSS JOIN st LEFT JOIN hc ON hc.step = st.step AND hc.j = c.j AND hc.i = c.i)"""
 
 
-@query("WN7 WN8", f"""{_YEARS}, {_HELD_CHANGES}, d AS (SELECT DISTINCT name, step FROM hd), r AS (SELECT name, step, step - row_number() OVER (PARTITION BY name ORDER BY step) AS k FROM d) SELECT name, CAST(min(step) AS INT) AS first, CAST(max(step) AS INT) AS last FROM r GROUP BY name, k""")
-def step_runs_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of change steps in which a name is drawn: step_runs over every change year."""
+def _holders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each cell's holder at each change year, null where it has none, and the years."""
+    years = _changes(spark, sf_dir)
+    rows = all_cells(spark, sf_dir)
+    held = interval_join(rows, years.withColumn("until", F.col("year")), "first", "last", "year", "until", 10).groupBy("step", "j", "i").agg(F.min("name").alias("name"))
+    spine = rows.select("j", "i").distinct().crossJoin(F.broadcast(years.select("step")))  # one row per step
+    return stored(spine.join(held, ["step", "j", "i"], "left"), "holders"), years
+
+
+def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """step, name, j, i of all rows valid at each change year, overlaps and all."""
     years = _changes(spark, sf_dir).withColumn("until", F.col("year"))
-    held = interval_join(bind.frame(spark, sf_dir, _P), years, "first", "last", "year", "until", 10)
-    return steps.merged(held.select("name", "step").distinct(), ["name"])
+    return interval_join(all_cells(spark, sf_dir), years, "first", "last", "year", "until", 10).select("step", "name", "j", "i").distinct()
 
 
-_HOLD = f"""{CELLS}, hc AS (SELECT step, j, i, min(name) AS name FROM pc, (SELECT unnest(range(15)) AS step) WHERE first <= 1800 + 4 * step AND 1800 + 4 * step <= last GROUP BY step, j, i),
-al AS (SELECT s.step, c.j, c.i, hc.name, 1800 + 4 * s.step AS year FROM (SELECT DISTINCT j, i FROM pc) c CROSS JOIN (SELECT unnest(range(15)) AS step) s LEFT JOIN hc ON hc.step = s.step AND hc.j = c.j AND hc.i = c.i)"""
+_DRAWN = f"""{_YEARS}, pc{CELLS.split(", pc", 1)[1]}, dr AS (SELECT DISTINCT CAST(step AS INT) AS step, name, CAST(j AS INT) AS j, CAST(i AS INT) AS i FROM pc, st WHERE first <= year AND year <= last)"""
 
+_GONE = """m AS (SELECT *, last_value(name IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, first_value(name IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b,
+  max(CASE WHEN name IS NOT NULL THEN step END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM al WINDOW w AS (PARTITION BY j, i ORDER BY step))"""
+_CARRIED = f"""{_HOLD}, {_GONE}
+SELECT CAST(step AS INT) AS step, CAST(j AS INT) AS j, CAST(i AS INT) AS i, a AS name FROM (SELECT *, min(CASE WHEN name IS NULL THEN year END) OVER (PARTITION BY j, i, s) AS f FROM m) WHERE name IS NULL AND a = b AND year - f <= 12"""
 
-def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """step, year of all change years of the polity table."""
-    return stored(steps.change_years(bind.frame(spark, sf_dir, _P)).select(F.col("step").cast("int").alias("step"), F.col("year").cast("int").alias("year")), "changes")
+
+@query("WN12", _CARRIED)
+def step_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unclaimed cells carried through between the same holder, over every change year."""
+    held, years = _holders(spark, sf_dir)
+    return steps.carried(held, years, 12)
 
 
-def _holders(spark: SparkSession, sf_dir: str, years: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Each cell's holder at each of the years, by default fifteen of four years."""
-    if years is None:
-        years = spark.range(15).select(F.col("id").cast("int").alias("step"), (1800 + 4 * F.col("id")).cast("int").alias("year"))
-    rows = all_cells(spark, sf_dir)
-    held = interval_join(rows, years.withColumn("until", F.col("year")), "first", "last", "year", "until", 10).groupBy("step", "j", "i").agg(F.min("name").alias("name"))
-    spine = rows.select("j", "i").distinct().crossJoin(F.broadcast(years.select("step")))  # one row per step
-    return spine.join(held, ["step", "j", "i"], "left"), years
+@query("WN12", _CARRIED)
+def step_carried_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another name of step_carried."""
+    return step_carried(spark, sf_dir)
 
 
-_CARRIED = """m AS (SELECT *, last_value(name IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, first_value(name IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b,
-  max(CASE WHEN name IS NOT NULL THEN step END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM al WINDOW w AS (PARTITION BY j, i ORDER BY step))
-SELECT step, j, i, a AS name FROM (SELECT *, min(CASE WHEN name IS NULL THEN year END) OVER (PARTITION BY j, i, s) AS f FROM m) WHERE name IS NULL AND a = b AND year - f <= 12"""
+_UNITS = "un AS (SELECT name, 'U' || CAST(row_id % 7 AS VARCHAR) AS outer_unit, h * w AS cells FROM p)"
 
 
-@query("WN12 GE15", f"{_HOLD}, {_CARRIED}")
-def step_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unclaimed cells carried through between the same holder."""
+@query("WN12 GE15", f"""{_HOLD}, {_UNITS}, {_GONE}, cr AS ({_CARRIED.split(_GONE, 1)[1]}),
+k AS (SELECT c.step, c.name, c.j + y.d AS j, (c.i + x.d + {W}) % {W} AS i FROM cr c, (SELECT unnest([-1, 0, 1]) AS d) y, (SELECT unnest([-1, 0, 1]) AS d) x),
+e AS (SELECT step, name, j, i FROM k GROUP BY ALL HAVING count(*) = 9), wd AS (SELECT cr.* FROM cr WHERE EXISTS (SELECT 1 FROM e WHERE e.step = cr.step AND e.name = cr.name AND abs(e.j - cr.j) <= 1 AND (abs(e.i - cr.i) <= 1 OR abs(e.i - cr.i) = {W - 1}))),
+u AS (SELECT name, arg_max(outer_unit, (cells, outer_unit)) AS outer_unit FROM un GROUP BY name) SELECT step, wd.name, coalesce(outer_unit, wd.name) AS outer_unit, count(*) AS cells FROM wd LEFT JOIN u USING (name) GROUP BY ALL""")
+def step_carried_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide parts of what is carried through, with the outer unit of the largest of the name's rows."""
     held, years = _holders(spark, sf_dir)
-    return steps.carried(held, years, 12)
+    wide = steps.wide_only(stored(steps.carried(held, years, 12), "carried"), W)
+    units = bind.frame(spark, sf_dir, _P).select("name", F.concat(F.lit("U"), (F.col("row_id") % 7).cast("string")).alias("outer"), (F.col("h") * F.col("w")).alias("cells"))
+    return steps.carried_units(wide, units).withColumnRenamed("outer", "outer_unit")
 
 
-@query("WN12 GE15", f"""{_YEARS}, pc{CELLS.split(", pc", 1)[1]}, hc AS (SELECT step, j, i, min(name) AS name FROM pc, st WHERE first <= year AND year <= last GROUP BY step, j, i),
-al AS (SELECT st.step, c.j, c.i, hc.name, st.year FROM (SELECT DISTINCT j, i FROM pc) c CROSS JOIN st LEFT JOIN hc ON hc.step = st.step AND hc.j = c.j AND hc.i = c.i), {_CARRIED.replace("SELECT step, j, i, a AS name", "SELECT CAST(step AS INT) AS step, CAST(j AS INT) AS j, CAST(i AS INT) AS i, a AS name")}""")
-def step_carried_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unclaimed cells carried through between the same holder: step_carried over every change year."""
-    held, years = _holders(spark, sf_dir, _changes(spark, sf_dir))
-    return steps.carried(held, years, 12)
+_AREA = f"6371.0088 * 6371.0088 * (2 * pi() / {W}) * (sin(radians(-90 + ({{0}} + 1) * 180.0 / {H})) - sin(radians(-90 + {{0}} * 180.0 / {H})))"
+_SPAN_KEYS = ("a", "b", "first", "last")
 
 
-@query("WN13 GE14")
+@query("WN13", f"""{_HOLD.replace("WITH", "WITH RECURSIVE", 1)}, {_GONE}, o AS (SELECT j, i, s, a, b, min(step) AS first, max(step) AS last, min(year) AS y0, max(year) AS y1 FROM m WHERE name IS NULL AND a IS NOT NULL AND b IS NOT NULL GROUP BY ALL),
+n AS (SELECT DISTINCT a, b, first, last, j, i FROM o WHERE y1 - y0 <= 40),
+r AS (SELECT *, j * {W} + i AS c FROM n UNION SELECT n.*, r.c FROM r JOIN n ON {" AND ".join(f"n.{k} = r.{k}" for k in _SPAN_KEYS)} AND ((n.j = r.j AND (n.i = (r.i + 1) % {W} OR r.i = (n.i + 1) % {W})) OR (n.i = r.i AND abs(n.j - r.j) = 1))),
+lb AS (SELECT a, b, first, last, j, i, min(c) AS region FROM r GROUP BY ALL), f AS (SELECT a, b, first, last, region, count(*) AS cells, sum({_AREA.format("j")}) AS km2 FROM lb GROUP BY ALL HAVING sum({_AREA.format("j")}) >= 300000)
+SELECT a, b, CAST(first AS INT) AS first, CAST(last AS INT) AS last, CAST(region AS BIGINT) AS region, cells, round(km2, 3) AS km2 FROM f WHERE NOT EXISTS (SELECT 1 FROM p WHERE 'P' || CAST(row_id * 3 % 40 AS VARCHAR) = f.a AND name = f.b AND row_id % 20 <= f.first AND f.last <= row_id % 20 + 30)""")
 def step_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions unclaimed for a while between two holders, classed."""
-    held, years = _holders(spark, sf_dir, _changes(spark, sf_dir))
-    found = steps.unresolved(held, years, 40, 2, W)
-    facts = found.select("a", "b", "first", "last", "region", "cells", (F.col("cells") % 7).alias("wide"), (F.col("region") % 5 == 0).alias("lake"), (F.col("region") % 3 == 0).alias("coast"), F.when(F.col("a") == F.col("b"), 1).otherwise(2).alias("units"))
-    return steps.classify(facts, 2, 30)
+    """Regions unclaimed for a while between two holders, those acknowledged left out."""
+    held, years = _holders(spark, sf_dir)
+    said = bind.frame(spark, sf_dir, _P).select(F.concat(F.lit("P"), (F.col("row_id") * 3 % 40).cast("string")).alias("a"), F.col("name").alias("b"), (F.col("row_id") % 20).alias("first"), (F.col("row_id") % 20 + 30).alias("last"))
+    return steps.unresolved(held, years, 40, 300_000.0, H, W, said).withColumn("km2", F.round("km2", 3))
+
+
+def lake_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """j, i of lakes: one of five rows and six columns for each nation."""
+    n = bind.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"))
+    cell = n.select((F.col("n") * 7 % 45).alias("j0"), (F.col("n") * 13 % W).alias("i0")).select(F.explode(F.sequence("j0", F.col("j0") + 4)).alias("j"), "i0")
+    return cell.select(F.col("j").cast("int").alias("j"), F.explode(F.sequence("i0", F.col("i0") + 5)).alias("i")).select("j", F.pmod("i", F.lit(W)).cast("int").alias("i")).distinct()
+
+
+_LAKES = f"lk AS (SELECT DISTINCT CAST(n_nationkey * 7 % 45 + y AS INT) AS j, CAST((n_nationkey * 13 % {W} + x) % {W} AS INT) AS i FROM nation, (SELECT unnest(range(5)) AS y), (SELECT unnest(range(6)) AS x))"
+
+
+def dry_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """j, i of the land, off the lakes."""
+    dry = bind.table(spark, sf_dir, "orders").select((F.col("o_orderkey") % (H - 4) + 2).cast("int").alias("j"), F.expr(f"cast(o_orderkey div 50 % {W} as int)").alias("i")).distinct()
+    return dry.join(lake_cells(spark, sf_dir), ["j", "i"], "left_anti")
+
+
+@query("GE14")
+def step_unclaimed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of land that none holds at each change year, with what the map says of them and what becomes of them."""
+    held = stored(_drawn(spark, sf_dir), "drawn")
+    outer = held.select("name").distinct().withColumn("outer", F.concat(F.lit("U"), F.col("name").substr(2, 1)))
+    return steps.classify(steps.unclaimed(stored(dry_cells(spark, sf_dir), "dry"), held, stored(lake_cells(spark, sf_dir), "lakes"), outer, H, W), 2_000_000.0).withColumn("km2", F.round("km2", 3))
+
+
+@query("AG25", f"""{_DRAWN}, z AS (SELECT step, name, count(*) AS size FROM dr GROUP BY ALL), o AS (SELECT x.step, x.name AS a, y.name AS b, count(*) AS shared FROM dr x JOIN dr y ON x.step = y.step AND x.j = y.j AND x.i = y.i AND x.name < y.name GROUP BY ALL),
+q AS (SELECT o.*, shared / least(za.size, zb.size) AS share, CASE WHEN zb.size < za.size THEN b ELSE a END AS winner FROM o JOIN z za ON za.step = o.step AND za.name = a JOIN z zb ON zb.step = o.step AND zb.name = b),
+k AS (SELECT 'P' || CAST(row_id * 7 % 40 AS VARCHAR) AS a, name AS b, row_id % 30 AS f, row_id % 30 + 25 AS l FROM p), d AS (SELECT q.*, share >= 0.5 AS dup, EXISTS (SELECT 1 FROM k WHERE k.a = q.a AND k.b = q.b AND f <= step AND step <= l) AS known FROM q)
+SELECT a, b, min(step) AS first, count(*) AS steps, max(shared) AS cells, round(max(share), 9) AS share, list_sort(list(DISTINCT winner)) AS winners, count(*) FILTER (dup) AS duplicate, count(*) FILTER (dup AND NOT known) AS unacknowledged FROM d GROUP BY a, b""")
+def step_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the overlaps of each pair of names come to over all change years."""
+    pairs = steps.overlap_pairs(stored(_drawn(spark, sf_dir), "drawn"))
+    said = bind.frame(spark, sf_dir, _P).select(F.concat(F.lit("P"), (F.col("row_id") * 7 % 40).cast("string")).alias("a"), F.col("name").alias("b"), (F.col("row_id") % 30).alias("first"), (F.col("row_id") % 30 + 25).alias("last"))
+    return steps.review(pairs, said, 0.5).withColumn("share", F.round("share", 9))
+
 
+_AROUND = "(SELECT unnest([-1, 0, 1]) AS d) y, (SELECT unnest([-1, 0, 1]) AS d) x"
+_BAND = f"""wl AS (SELECT l.j, l.i FROM lk l, {_AROUND}, lk o WHERE o.j = l.j + y.d AND o.i = (l.i + x.d + {W}) % {W} GROUP BY l.j, l.i HAVING count(*) = 9),
+bd AS (SELECT DISTINCT l.j + y.d AS j, (l.i + x.d + {W}) % {W} AS i FROM lk l, {_AROUND}), ba AS (SELECT * FROM bd WHERE (j, i) NOT IN (SELECT (j, i) FROM lk) AND EXISTS (SELECT 1 FROM wl WHERE abs(wl.j - bd.j) <= 3 AND least(abs(wl.i - bd.i), {W} - abs(wl.i - bd.i)) <= 3))"""
 
-@query("GE12 GE13 JN26")
+
+@query("GE9", f"WITH {_LAKES}, {_BAND} SELECT CAST(j AS INT) AS j, CAST(i AS INT) AS i FROM ba")
+def cell_shore_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells beside a lake where it is wide."""
+    return cells.shore_band(lake_cells(spark, sf_dir), [], W)
+
+
+@query("VQ6 GE6", f"""{_HOLD.replace("WITH", "WITH RECURSIVE", 1)}, {_LAKES}, {_BAND}, hb AS (SELECT DISTINCT a.step, a.j, a.i FROM hc a JOIN hc b ON a.step = b.step AND a.name <> b.name AND ((a.j = b.j AND (a.i = (b.i + 1) % {W} OR b.i = (a.i + 1) % {W})) OR (a.i = b.i AND abs(a.j - b.j) = 1))),
+n AS (SELECT hb.* FROM hb JOIN ba ON ba.j = hb.j AND ba.i = hb.i), r AS (SELECT *, j * {W} + i AS c FROM n UNION SELECT n.*, r.c FROM r JOIN n ON n.step = r.step AND abs(n.j - r.j) <= 1 AND (abs(n.i - r.i) <= 1 OR abs(n.i - r.i) = {W - 1})),
+lb AS (SELECT step, j, i, min(c) AS region FROM r GROUP BY ALL), x AS (SELECT step, region, count(*) AS cells, min(j) AS j0, min(i) AS i0, max(j) AS j1, max(i) AS i1 FROM lb GROUP BY ALL),
+k AS (SELECT *, round(400 * sqrt((j1 - j0 + 1) * (j1 - j0 + 1) + (i1 - i0 + 1) * (i1 - i0 + 1)), 6) AS km FROM x)
+SELECT CAST(step AS INT) AS step, CAST(region AS BIGINT) AS region, cells, km FROM k WHERE km > 1000 AND NOT EXISTS (SELECT 1 FROM st, region WHERE st.step = k.step AND r_regionkey * 10 <= j1 AND r_regionkey * 10 + 3 >= j0 AND st.step % 60 <= i1 AND st.step % 60 + 8 >= i0)""")
+def audit_shore_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Borders that run beside a shore for more than 1,000 km at any change year, those with an excuse left out."""
+    held, years = _holders(spark, sf_dir)
+    border = cells.border_cells(held.where("name is not null"), ["step"], W)
+    band = cells.shore_band(lake_cells(spark, sf_dir), [], W)
+    runs = cells.shore_runs(border, years.select("step").crossJoin(F.broadcast(band)), ["step"], W, 400.0)  # a shore band of bounded lakes
+    row = bind.table(spark, sf_dir, "region").select((F.col("r_regionkey") * 10).alias("j0"), (F.col("r_regionkey") * 10 + 3).alias("j1"))
+    excuses = years.select("step", (F.col("step") % 60).alias("i0"), (F.col("step") % 60 + 8).alias("i1")).crossJoin(F.broadcast(row))  # five regions
+    return audits.shore_faults(runs, excuses, ["step"], 1000.0).select("step", "region", "cells", F.round("km", 6).alias("km"))
+
+
+_CORRECTIONS = [
+    {"kind": "rename", "name": "P1", "to": "P1 north", "y0": 0, "y1": 7},
+    {"kind": "drop", "name": "P2", "y0": 3, "y1": 9},
+    {"kind": "add", "name": "P3", "y0": 2, "y1": 5, "within": (0, 0, 2, 3)},
+    {"kind": "carry", "name": "P8", "y0": 0, "y1": 12, "year": 1820},
+    {"kind": "give", "name": "P4", "to": "P5", "y0": 0, "y1": 20, "inside": ("P8", 1820)},
+    {"kind": "give", "name": "P4", "to": "P5", "y0": 0, "y1": 14, "within": (0, 0, 30, 40)},
+    {"kind": "pocket", "name": "P6", "to": "P7", "y0": 0, "y1": 30, "at": (36, 17)},
+    {"kind": "drop", "name": "P9", "y0": 0, "y1": 30, "within": (0, 0, 30, 79)},
+]
+_PIECE = f"((c.j = f.j AND (c.i = (f.i + 1) % {W} OR f.i = (c.i + 1) % {W})) OR (c.i = f.i AND abs(c.j - f.j) = 1))"
+
+
+@query("GE12 GE13 JN26", f"""{_HOLD.replace("WITH", "WITH RECURSIVE", 1)}, sh AS (SELECT DISTINCT j, i FROM pc WHERE name = 'P8' AND first <= 1820 AND 1820 <= last), c0 AS (SELECT step, name, j, i FROM hc),
+c1 AS (SELECT step, CASE WHEN name = 'P1' AND step <= 7 THEN 'P1 north' ELSE name END AS name, j, i FROM c0), c2 AS (SELECT * FROM c1 WHERE NOT (name = 'P2' AND step BETWEEN 3 AND 9)),
+c3 AS (SELECT * FROM c2 UNION SELECT step, 'P3', j, i FROM (SELECT DISTINCT step FROM c2 WHERE step BETWEEN 2 AND 5), (SELECT unnest(range(0, 3)) AS j), (SELECT unnest(range(0, 4)) AS i)),
+c4 AS (SELECT * FROM c3 UNION SELECT step, 'P8', j, i FROM (SELECT DISTINCT step FROM c3 WHERE step <= 12 AND step NOT IN (SELECT step FROM c3 WHERE name = 'P8')), sh),
+c5 AS (SELECT DISTINCT step, CASE WHEN name = 'P4' AND step <= 20 AND (j, i) IN (SELECT (j, i) FROM sh) THEN 'P5' ELSE name END AS name, j, i FROM c4),
+c6 AS (SELECT DISTINCT step, CASE WHEN name = 'P4' AND step <= 14 AND j BETWEEN 0 AND 30 AND i BETWEEN 0 AND 40 THEN 'P5' ELSE name END AS name, j, i FROM c5),
+f AS (SELECT step, j, i FROM c6 WHERE name = 'P6' AND step <= 30 AND j = 36 AND i = 17 UNION SELECT c.step, c.j, c.i FROM f JOIN c6 c ON c.step = f.step AND c.name = 'P6' AND {_PIECE}),
+c7 AS (SELECT DISTINCT c.step, CASE WHEN c.name = 'P6' AND f.step IS NOT NULL THEN 'P7' ELSE c.name END AS name, c.j, c.i FROM c6 c LEFT JOIN f ON f.step = c.step AND f.j = c.j AND f.i = c.i),
+st9 AS (SELECT step, j, i FROM c7 WHERE name = 'P9' AND step <= 30 AND j > 30 UNION SELECT c.step, c.j, c.i FROM st9 f JOIN c7 c ON c.step = f.step AND c.name = 'P9' AND {_PIECE}),
+c8 AS (SELECT * FROM c7 c WHERE NOT (name = 'P9' AND step <= 30 AND NOT EXISTS (SELECT 1 FROM st9 WHERE st9.step = c.step AND st9.j = c.j AND st9.i = c.i)))
+SELECT CAST(step AS INT) AS step, name, count(*) AS cells FROM c8 GROUP BY step, name""")
 def step_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of names per step after corrections."""
+    """Cells of names at each change year after corrections in order."""
     held, _ = _holders(spark, sf_dir)
-    rows = held.where("name is not null").select("step", "name", "j", "i")
-    ordered = [
-        {"kind": "rename", "name": "P1", "to": "P1 north", "y0": 0, "y1": 7},
-        {"kind": "drop", "name": "P2", "y0": 3, "y1": 9},
-        {"kind": "add", "name": "P3", "y0": 2, "y1": 5, "within": (0, 0, 2, 3)},
-        {"kind": "give", "name": "P4", "to": "P5", "y0": 0, "y1": 14, "within": (0, 0, 30, 40)},
-        {"kind": "pocket", "name": "P6", "to": "P7", "y0": 0, "y1": 14, "at": (10, 10)},
-    ]
-    return steps.corrected(rows, ordered, W).groupBy("step", "name").agg(F.count(F.lit(1)).alias("cells"))
+    rows = held.where("name is not null").select("step", "name", F.col("j").cast("int").alias("j"), F.col("i").cast("int").alias("i"))
+    source = all_cells(spark, sf_dir).select("name", "first", "last", F.col("j").cast("int").alias("j"), F.col("i").cast("int").alias("i"))
+    return steps.corrected(rows, _CORRECTIONS, W, source).groupBy("step", "name").agg(F.count(F.lit(1)).alias("cells"))
 
 
 _EDGES = "SELECT DISTINCT 'P' || CAST(s_suppkey % 40 AS STRING) AS child, 'P' || CAST(s_suppkey % 40 DIV 3 AS STRING) AS parent, CASE WHEN s_suppkey % 40 % 5 = 4 THEN 'other' WHEN s_suppkey % 2 = 0 THEN 'member' ELSE 'vassal' END AS kind FROM {supplier} WHERE s_suppkey % 40 > 2"
@@ -144,20 +247,31 @@ def step_tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.tracked(holes, 4).join(holes, "hole").groupBy("track").agg(F.count(F.lit(1)).alias("holes"), F.max("cells").alias("most"), F.min("step").alias("first"), F.max("step").alias("last"))
 
 
-@query("GE16 GE17")
+@query("GE16 GE17", f"""{_DRAWN.replace("WITH", "WITH RECURSIVE", 1)}, {_LAKES}, dy AS (SELECT DISTINCT CAST(o_orderkey % {H - 4} + 2 AS INT) AS j, CAST(o_orderkey // 50 % {W} AS INT) AS i FROM orders),
+n AS (SELECT step, name, j, i FROM dr SEMI JOIN (SELECT * FROM dy WHERE (j, i) NOT IN (SELECT (j, i) FROM lk)) d USING (j, i)),
+r AS (SELECT *, j * {W} + i AS c FROM n UNION SELECT n.*, r.c FROM r JOIN n ON n.step = r.step AND n.name = r.name AND ((n.j = r.j AND (n.i = (r.i + 1) % {W} OR r.i = (n.i + 1) % {W})) OR (n.i = r.i AND abs(n.j - r.j) = 1))),
+lb AS (SELECT step, name, j, i, min(c) AS region FROM r GROUP BY ALL) SELECT step, name, CAST(region AS BIGINT) AS region, count(*) AS cells, round(sum({_AREA.format("j")}), 3) AS km2, sum({_AREA.format("j")}) < 1500000 AS minor FROM lb GROUP BY ALL""")
 def step_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of each name on dry land in 1830, small ones marked minor."""
-    dry = bind.table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 50).cast("int").alias("j"), F.expr(f"cast(o_orderkey div 50 % {W} as int)").alias("i")).distinct()
-    held = all_cells(spark, sf_dir).where("first <= 1830 and 1830 <= last").select("name", "j", "i").distinct().join(dry, ["j", "i"], "left_semi")
-    pieces = cells.regions(held, ["name"], W).groupBy("name", "region").agg(F.count(F.lit(1)).alias("cells"))
-    return pieces.withColumn("minor", F.col("cells") < 10)
+    """Pieces of each name on dry land at each change year, those of a small area marked minor."""
+    held = _drawn(spark, sf_dir).join(stored(dry_cells(spark, sf_dir), "dry"), ["j", "i"], "left_semi")
+    pieces = cells.regions(held, ["step", "name"], W).groupBy("step", "name", "region").agg(F.count(F.lit(1)).alias("cells"), F.sum(grid.km2(F.col("j"), H, W)).alias("km2"))
+    return pieces.select("step", "name", "region", "cells", F.round("km2", 3).alias("km2"), (F.col("km2") < 1_500_000).alias("minor"))
 
 
-@query("GE5")
+_POCKET = f"least(abs(o.i - a.i), {W} - abs(o.i - a.i))"
+
+
+@query("GE5", f"""{_HOLD}, em AS (SELECT step, j, i, 'U' || CAST((j // 5 + i // 8) % 4 AS VARCHAR) AS unit, (j + i) % 2 = 0 AS hole FROM al WHERE name IS NULL), ow AS (SELECT step, j, i, name AS id, 'U' || CAST(CAST(substr(name, 2) AS INT) % 4 AS VARCHAR) AS unit FROM hc),
+h1 AS (SELECT a.step, a.j, a.i, arg_min(o.id, ((o.j - a.j) * (o.j - a.j) + {_POCKET} * {_POCKET}, o.id)) AS id FROM em a JOIN ow o ON o.step = a.step AND o.unit = a.unit WHERE a.hole GROUP BY ALL),
+re AS (SELECT em.* FROM em ANTI JOIN h1 USING (step, j, i)), h2 AS (SELECT a.step, a.j, a.i, arg_min(o.id, ((o.j - a.j) * (o.j - a.j) + {_POCKET} * {_POCKET}, o.id)) AS id FROM re a JOIN ow o ON o.step = a.step GROUP BY ALL)
+SELECT CAST(step AS INT) AS step, CAST(j AS INT) AS j, CAST(i AS INT) AS i, id FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2)""")
 def step_pockets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Empty cells at each change year filled by their nearest holder of that year."""
-    held, _ = _holders(spark, sf_dir, _changes(spark, sf_dir))
-    return cells.nearest_fill_all(held.where("name is not null").select("step", "j", "i", F.col("name").alias("id")), held.where("name is null").select("step", "j", "i"), W, ("step",))
+    """Empty cells at each change year: holes are filled from their own unit's land, what is left from the nearest holder of that year."""
+    held, _ = _holders(spark, sf_dir)
+    unit = F.concat(F.lit("U"), F.pmod(F.floor(F.col("j") / 5) + F.floor(F.col("i") / 8), F.lit(4)).cast("string"))
+    empty = held.where("name is null").select("step", "j", "i", unit.alias("unit"), (F.pmod(F.col("j") + F.col("i"), F.lit(2)) == 0).alias("hole"))
+    own = held.where("name is not null").select("step", "j", "i", F.col("name").alias("id"), F.concat(F.lit("U"), (F.substring("name", 2, 9).cast("int") % 4).cast("string")).alias("unit"))
+    return cells.fill_pockets(own, empty, W, ("step",))
 
 
 @query("IO7", f"""{bind.ctes(p=_P)} SELECT name, c AS chunk, greatest(first - 1800, c * 16) AS s0, least(last - 1800, c * 16 + 15) AS s1, dense_rank() OVER (PARTITION BY c ORDER BY name) - 1 AS name_no FROM p, (SELECT unnest(range(0, 8)) AS c) WHERE first - 1800 <= c * 16 + 15 AND last - 1800 >= c * 16""")
@@ -169,22 +283,21 @@ def step_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked(rows, 16).withColumn("name_no", F.col("name_no").cast("long"))
 
 
-@query("AG26", f"""{bind.ctes(p=_P)}, {_HELD}, k AS (SELECT row_id AS ord, CAST(row_id % 15 AS INT) AS y0, CAST(row_id % 15 + 3 AS INT) AS y1, 'P' || CAST((row_id * 3 % 50) AS STRING) AS name FROM p WHERE row_id % 4 = 0),
-x AS (SELECT ord, step FROM k, (SELECT unnest(range(15)) AS step) WHERE step >= y0 AND step <= y1 AND NOT EXISTS (SELECT 1 FROM hd WHERE hd.step = range_.step AND hd.name = k.name)) SELECT ord, CAST(count(*) AS BIGINT) AS idle_steps, CAST(min(step) AS INT) AS first FROM x GROUP BY ord""".replace("(SELECT unnest(range(15)) AS step) WHERE step >= y0", "(SELECT unnest(range(15)) AS step) range_ WHERE step >= y0"))
-def step_idle_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corrections that change nothing in steps of their range."""
-    k = bind.frame(spark, sf_dir, _P).where("row_id % 4 = 0").select(F.col("row_id").alias("ord"), (F.col("row_id") % 15).cast("int").alias("y0"), (F.col("row_id") % 15 + 3).cast("int").alias("y1"), F.concat(F.lit("P"), (F.col("row_id") * 3 % 50).cast("string")).alias("name"))
-    due = k.withColumn("step", F.explode(F.sequence("y0", F.least(F.col("y1"), F.lit(14)))))
-    return due.join(_held(spark, sf_dir).select("step", "name"), ["step", "name"], "left_anti").groupBy("ord").agg(F.count(F.lit(1)).alias("idle_steps"), F.min("step").alias("first"))
+_IDLE = f"""{_YEARS}, {_HELD}, z AS (SELECT count(*) AS z FROM st), k AS (SELECT row_id AS ord, row_id % z AS y0, row_id % z + 3 AS y1, 'P' || CAST((row_id * 3 % 50) AS STRING) AS name FROM p, z),
+x AS (SELECT ord, st.step FROM k, st WHERE st.step >= y0 AND st.step <= y1 AND NOT EXISTS (SELECT 1 FROM hd WHERE hd.step = st.step AND hd.name = k.name)) SELECT ord, CAST(count(*) AS BIGINT) AS idle_steps, CAST(min(step) AS INT) AS first FROM x GROUP BY ord"""
 
 
-@query("AG26", f"""{_YEARS}, {_HELD_CHANGES}, z AS (SELECT count(*) AS z FROM st), k AS (SELECT row_id AS ord, row_id % z AS y0, row_id % z + 3 AS y1, 'P' || CAST((row_id * 3 % 50) AS STRING) AS name FROM p, z),
-x AS (SELECT ord, st.step FROM k, st WHERE st.step >= y0 AND st.step <= y1 AND NOT EXISTS (SELECT 1 FROM hd WHERE hd.step = st.step AND hd.name = k.name)) SELECT ord, CAST(count(*) AS BIGINT) AS idle_steps, CAST(min(step) AS INT) AS first FROM x GROUP BY ord""")
-def step_idle_corrections_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corrections that change nothing in steps of their range, one for each row, over every change year."""
+@query("AG26", _IDLE)
+def step_idle_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrections, one for each row, that change nothing in steps of their range."""
     years = _changes(spark, sf_dir)
     n = years.count()
-    held = interval_join(bind.frame(spark, sf_dir, _P), years.withColumn("until", F.col("year")), "first", "last", "year", "until", 10)
     k = bind.frame(spark, sf_dir, _P).select(F.col("row_id").alias("ord"), (F.col("row_id") % n).cast("int").alias("y0"), F.concat(F.lit("P"), (F.col("row_id") * 3 % 50).cast("string")).alias("name"))
     due = k.withColumn("step", F.explode(F.sequence("y0", F.least(F.col("y0") + 3, F.lit(n - 1)))))
-    return due.join(held.select("step", "name"), ["step", "name"], "left_anti").groupBy("ord").agg(F.count(F.lit(1)).alias("idle_steps"), F.min("step").alias("first"))
+    return due.join(_held(spark, sf_dir, years).select("step", "name"), ["step", "name"], "left_anti").groupBy("ord").agg(F.count(F.lit(1)).alias("idle_steps"), F.min("step").alias("first"))
+
+
+@query("AG26", _IDLE)
+def step_idle_corrections_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another name of step_idle_corrections."""
+    return step_idle_corrections(spark, sf_dir)

@@ -44,13 +44,13 @@ _CLEAN = "trim(regexp_replace(name, '\\s+', ' ', 'g'))"
     f"""{bind.ctes(t=NAMES)}
 SELECT k, list_filter(list_transform(string_split(list, ';'), lambda x: trim(x)), lambda x: x <> '') AS parts, k % 6 = 1 AS composite,
   CASE WHEN k % 6 = 2 THEN 'Vassalage' END AS kind, CASE WHEN k % 6 = 2 THEN regexp_extract(name, ' of (.+) to (.+)$', 1) END AS of_name, CASE WHEN k % 6 = 2 THEN regexp_extract(name, ' of (.+) to (.+)$', 2) END AS to_name,
-  {_CLEAN} AS cleaned, CASE WHEN round(price, 1) = floor(price) THEN CAST(CAST(floor(price) AS BIGINT) AS VARCHAR) ELSE printf('%.1f', round(price, 1)) END AS short_price
-FROM t WHERE abs(price * 10 - floor(price * 10) - 0.5) > 1e-6""",
+  {_CLEAN} AS cleaned, regexp_replace(printf('%.2f', price), '\\.?0+$', '') AS short_price
+FROM t""",
 )
 def sc_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists and relations in names, clean names, and short decimals."""
-    rows = bind.frame(spark, sf_dir, NAMES).where("abs(price * 10 - floor(price * 10) - 0.5) > 1e-6").withColumn("r", text.relation("name"))
-    rows = rows.select("k", text.split_list("list").alias("parts"), text.composite("name").alias("composite"), F.col("r.kind").alias("kind"), F.col("r.of").alias("of_name"), F.col("r.to").alias("to_name"), text.clean("name").alias("cleaned"), text.decimals("price", 1).alias("short_price"))
+    rows = bind.frame(spark, sf_dir, NAMES).withColumn("r", text.relation("name"))
+    rows = rows.select("k", text.split_list("list").alias("parts"), text.composite("name").alias("composite"), F.col("r.kind").alias("kind"), F.col("r.of").alias("of_name"), F.col("r.to").alias("to_name"), text.clean("name").alias("cleaned"), text.decimals("price", 2).alias("short_price"))
     return rows
 
 

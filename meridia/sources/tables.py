@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meridia.shared import stored
+
 STATEMENTS = "cls string, event string, label string, enwiki string, prop string, date string, prec string, coord string, place_coord string, editions string, parents string"
 
 
@@ -22,6 +24,23 @@ def read_statements(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("cls", text.item_number("event").alias("qid"), F.coalesce("label", F.lit("")).alias("label"), "enwiki", "prop", F.col("d.y").alias("y"), F.col("d.m").alias("m"), F.col("d.d").alias("d"), F.col("prec").cast("int").alias("prec"), F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat"), F.col("editions").cast("int").alias("editions"))
 
 
+EVENTS = "qid long, label string, enwiki string, cls string, lon double, lat double, date long, prec int, t0 long, t1 long, editions int, score double, conflict boolean, parents array<long>"
+
+
+def write_events(df: DataFrame, path: str) -> None:
+    """The event index as Parquet in the columns EVENTS."""
+    schema = df.sparkSession.createDataFrame([], EVENTS).schema
+    df.select([F.col(f.name).cast(f.dataType) for f in schema]).write.parquet(path)
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """The event index; a table of other columns or types is refused."""
+    df = spark.read.parquet(path)
+    if [(f.name, f.dataType.simpleString()) for f in df.schema] != [(f.name, f.dataType.simpleString()) for f in spark.createDataFrame([], EVENTS).schema]:
+        raise ValueError(f"{path} is no event index: {df.schema.simpleString()}")
+    return df
+
+
 def write_partitioned(df: DataFrame, path: str, *by: str) -> None:
     """Parquet with a folder per value: pages of events, years of climate, chunks of names."""
     df.repartition(*by).write.partitionBy(*by).parquet(path)
@@ -36,6 +55,15 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return points.select("fid", "name", "ring", "idx", F.get("p", 0).alias("lon"), F.get("p", 1).alias("lat"))
 
 
+_ROUTE = """features array<struct<properties:struct<fid:bigint,kind:string,epoch:string,dates:array<string>,legs:array<struct<`from`:bigint,`to`:bigint,uncertain:boolean,sea:boolean>>,vertices:array<struct<name:string>>>,geometry:struct<type:string,coordinates:array<array<double>>>>>"""
+
+
+def read_routes(spark: SparkSession, path: str) -> DataFrame:
+    """fid, kind, type, points, epoch, dates, legs, names of routes in GeoJSON, one feature collection per line, as they stand there."""
+    f = spark.read.schema(_ROUTE).option("mode", "FAILFAST").json(path).select(F.explode("features").alias("f")).select("f.properties.*", "f.geometry.*")
+    return f.select("fid", "kind", "type", F.col("coordinates").alias("points"), "epoch", "dates", "legs", F.transform("vertices", lambda v: v["name"]).alias("names"))
+
+
 def chunked(rows: DataFrame, per: int) -> DataFrame:
     """rows(name, s0, s1) once per chunk of `per` steps that they meet, cut to it, with the number of the name in its chunk."""
     from pyspark.sql import Window
@@ -45,12 +73,18 @@ def chunked(rows: DataFrame, per: int) -> DataFrame:
     return out.withColumn("name_no", F.dense_rank().over(Window.partitionBy("chunk").orderBy("name")) - 1).select("name", "chunk", "s0", "s1", "name_no")
 
 
-def fingerprint(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """by, rows, sha: a digest of a set of rows in two levels: rows' digests are summed up in 256 buckets, the buckets in order."""
-    one = F.sha2(F.to_json(F.struct(*columns)), 256)
-    buckets = rows.select(*by, one.alias("s")).groupBy(*by, F.substring("s", 1, 2).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("s")), "\n"), 256).alias("s"))
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "s"))), lambda x: F.concat_ws(" ", x["b"], x["s"])), "\n")
-    return buckets.groupBy(*by).agg(F.sum("n").alias("rows"), F.sha2(listed, 256).alias("sha"))
+def fingerprint(rows: DataFrame, by: list[str], columns: list[str], digits: tuple[int, ...] = (6, 4, 2)) -> DataFrame:
+    """by, rows, sha: a digest of a set of rows, whatever their order.
+
+    Rows' digests are gathered by their first hexadecimal digits, the gathered digests by fewer, and so on: with six
+    digits 16 million groups hold some 600 rows each of 10^10, and no later level gathers more than 256.
+    """
+    level = rows.select(*by, F.sha2(F.to_json(F.struct(*columns)), 256).alias("s"), F.lit(1).cast("long").alias("n")).withColumn("b", F.col("s"))
+    for n in (*digits, 0):
+        line = F.col("s") if n == digits[0] else F.concat_ws(" ", "b", "s")
+        grouped = level.groupBy(*by, F.substring("b", 1, n).alias("p")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("s"))
+        level = grouped.withColumnRenamed("p", "b")
+    return level.select(*by, F.col("n").alias("rows"), F.col("s").alias("sha"))
 
 
 def publish(df: DataFrame, root: str, columns: list[str]) -> str:
@@ -64,9 +98,33 @@ def publish(df: DataFrame, root: str, columns: list[str]) -> str:
     return version
 
 
+def manifest(spark: SparkSession, stage: str, version: str, root: str) -> DataFrame:
+    """One row of a release's manifest: stage, version, and the rows that the published version holds."""
+    return spark.read.parquet(f"{root}/ver={version}").agg(F.lit(stage).alias("stage"), F.lit(version).alias("version"), F.count(F.lit(1)).alias("rows"))
+
+
+def release(parts: list[DataFrame]) -> DataFrame:
+    """The union of manifests (stage, version, rows) with `release`, the first 16 digits of the digest of them all."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    rows = stored(rows, "manifest")
+    sha = fingerprint(rows.withColumn("one", F.lit(0)), ["one"], ["stage", "version", "rows"])
+    return rows.crossJoin(F.broadcast(sha.select(F.substring("sha", 1, 16).alias("release"))))  # one row
+
+
+def present(spark: SparkSession, path: str) -> DataFrame:
+    """path (below the folder), bytes, sha256 of all files under a folder."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    below = F.substring_index("path", f"{full}/", -1)
+    return files.select(below.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 def audit_manifest(spark: SparkSession, pins: DataFrame, path: str) -> DataFrame:
     """path, fault of pins(path, bytes, sha256) against the files of a folder: absent, unpinned, other size, other content."""
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("path"), F.col("length").alias("has"), F.sha2("content", 256).alias("is"))
+    files = present(spark, path).select("path", F.col("bytes").alias("has"), F.col("sha256").alias("is"))
     both = pins.join(files, "path", "full")
     fault = F.when(F.col("is").isNull(), "absent").when(F.col("sha256").isNull(), "unpinned").when(F.col("has") != F.col("bytes"), "other size").when(F.col("is") != F.col("sha256"), "other content")
     return both.select("path", fault.alias("fault")).where("fault is not null")

@@ -120,7 +120,262 @@ def test_planted_route_faults_are_caught(spark):
     assert got == {(1, 1): "place", (1, 2): "backward", (1, 4): "gap", (2, 1): "opposite"}
 
 
-def test_in_turn_lets_ids_rest(spark):
-    rows = [(1, f, i, 10 - i, 40.0 * i, 0.0) for f in range(3) for i in range(4)]
-    got = picks.in_turn(spark.createDataFrame(rows, "series long, frame long, id long, score int, lon double, lat double"), 2, 100.0).orderBy("frame", "place").collect()
-    assert [x["id"] for x in got] == [0, 1, 2, 3, 0, 1]
+CANDIDATE = "series long, turn int, frame long, id long, score int, pinned boolean, near boolean, nearness long, day long, first long, last long, w0 long, w1 long, lon double, lat double"
+
+
+def greedy(rows, n, apart, reach, used, above, taken=()):
+    """One frame's picks in order, one after the other; rows and results are dicts."""
+    clash = lambda r, t: r["id"] == t["id"] or r["id"] in above[t["id"]] or t["id"] in above[r["id"]] or km((r["lon"], r["lat"]), (t["lon"], t["lat"])) < apart
+    out = list(taken) or sorted((r for r in rows if r["pinned"]), key=lambda r: (-r["score"], r["id"]))
+    early = sorted((r for r in rows if r["near"]), key=lambda r: (-r["score"], r["id"]))
+    rest = sorted((r for r in rows if not r["near"]), key=lambda r: (r["nearness"], -r["score"], r["id"]))
+    early += [r for r in rest if r["nearness"] <= reach]
+    for tier in (early, [r for r in rest if r["nearness"] > reach]):
+        for most in sorted({0, *used.values()}):
+            for r in tier:
+                if len(out) < n and used.get(r["id"], 0) <= most and not any(clash(r, t) for t in out):
+                    out.append(r)
+    return out
+
+
+def test_picks_equal_sequential_ones(spark):
+    r = random.Random(11)
+    parent = {i: (i // 3 if i else None) for i in range(60)}
+    above = {}
+    for i in parent:
+        above[i], at = set(), parent[i]
+        while at is not None:
+            above[i].add(at)
+            at = parent[at] if at else None
+    place = {i: (r.uniform(-60, 60), r.uniform(-40, 40)) for i in parent}
+    rows = []
+    for series in (1, 2):
+        for turn in range(4):
+            frame, day = 100 * series + turn, 50 * turn
+            for i in sorted(r.sample(range(60), 25)):
+                first = day + r.randint(-90, 90)
+                middle = first + 2
+                near = first <= day + 10 and first + 4 >= day - 10
+                rows.append((series, turn, frame, i, r.randint(0, 9), near and i % 20 == 7, near, abs(middle - day), day, first, first + 4, day - 40, day + 40, *place[i]))
+    df = spark.createDataFrame(rows, CANDIDATE)
+    lineage = spark.createDataFrame([(i, a) for i, x in above.items() for a in x], "node long, ancestor long")
+    names = df.columns
+    by = {}
+    for x in rows:
+        by.setdefault(x[2], []).append(dict(zip(names, x, strict=True)))
+    inside = lambda rs: [x for x in rs if x["first"] <= x["w1"] and x["last"] >= x["w0"]]
+    got = {}
+    for x in picks.choose(picks.with_kin(df.withColumn("used", F.col("id") % 3), lineage), 4, 900.0, 25).orderBy("frame", "place").collect():
+        got.setdefault(x["frame"], []).append(x["id"])
+    want = {f: [x["id"] for x in greedy(rs, 4, 900, 25, {x["id"]: x["id"] % 3 for x in rs}, above)] for f, rs in by.items()}
+    assert got == want and any(len(x) < 4 for x in want.values()) or got == want
+    # In turn, with what the frames before and the next one take, and relaxation.
+    sparse = ((500.0, 60), (100.0, 120))
+    expected = {}
+    for series in (1, 2):
+        frames = [by[100 * series + t] for t in range(4)]
+        alone = [greedy(inside(rs), 4, 900, 25, {}, above) for rs in frames]
+        lists = []
+        for t, rs in enumerate(frames):
+            shown = {}
+            for got_before in lists:
+                for x in got_before:
+                    if x["near"]:
+                        shown[x["id"]] = shown.get(x["id"], 0) + 1
+            if t < 3:
+                mine = {x["id"]: x for x in rs}
+                for x in alone[t + 1]:
+                    if x["id"] in mine and (x["pinned"] or x["nearness"] < mine[x["id"]]["nearness"]):
+                        shown[x["id"]] = shown.get(x["id"], 0) + 1
+            chosen = greedy(inside(rs), 4, 900, 25, shown, above)
+            for spacing, wide in sparse:
+                if len(chosen) < 4:
+                    near_enough = [x for x in rs if x["first"] <= max(x["w1"], x["day"] + wide) and x["last"] >= min(x["w0"], x["day"] - wide)]
+                    chosen = greedy(near_enough, 4, spacing, 25, shown, above, chosen)
+            lists.append(chosen)
+            expected[100 * series + t] = [x["id"] for x in chosen]
+    got = {}
+    for x in picks.in_turn(picks.with_kin(df, lineage), 4, 900.0, 25, sparse).orderBy("frame", "place").collect():
+        got.setdefault(x["frame"], []).append(x["id"])
+    assert got == expected
+    assert picks.in_turn(picks.with_kin(df.limit(0), lineage), 4, 900.0, 25).count() == 0
+
+
+def test_spaced_needs_no_pairs_and_several_batches(spark, monkeypatch):
+    monkeypatch.setattr(picks, "BATCH", 7)
+    r = random.Random(12)
+    rows = [(i, r.randint(0, 5), r.uniform(-30, 30), r.uniform(-30, 30)) for i in range(200)]
+    taken = []
+    for row in sorted(rows, key=lambda x: (-x[1], x[0])):
+        if all(km(row[2:], t[2:]) >= 900 for t in taken):
+            taken.append(row)
+    df = spark.createDataFrame(rows, "id long, score int, lon double, lat double")
+    assert [x["id"] for x in picks.spaced(df, 900.0, 15).collect()] == [t[0] for t in taken[:15]]
+    assert picks.spaced(df.limit(0), 900.0, 15).count() == 0
+
+
+def test_labels_equal_sequential_placing(spark, monkeypatch):
+    monkeypatch.setattr(picks, "BATCH", 10)
+    r = random.Random(13)
+    rows = []
+    for view in range(3):
+        for i in range(120):
+            x, y = r.uniform(0, 400 + 600 * view), r.uniform(0, 300)
+            rows.append((view, i, r.randint(0, 9), r.random() < 0.3, x, y, x + 60, y + 12))
+    want = set()
+    for view in range(3):
+        placed = []
+        for b in sorted((b for b in rows if b[0] == view), key=lambda b: (b[2], b[1])):
+            p = 0 if b[3] else 5
+            if len(placed) < 20 and all(b[6] + p <= t[4] or t[6] <= b[4] - p or b[7] + p <= t[5] or t[7] <= b[5] - p for t in placed):
+                placed.append(b)
+        want |= {(b[0], b[1]) for b in placed}
+    got = {tuple(x) for x in picks.labels(spark.createDataFrame(rows, "view long, id long, rank int, kept boolean, x0 double, y0 double, x1 double, y1 double"), 20, 5.0).collect()}
+    assert got == want
+
+
+def test_unclaimed_pieces_from_the_map(spark):
+    """The facts of each piece, and its rule, against a flood fill."""
+    r = random.Random(14)
+    rows, cols = 16, 24
+    dry = {(j, i) for j in range(rows) for i in range(cols) if j and r.random() < 0.995}
+    lakes = {(j, i) for j in range(5, 9) for i in range(6, 10)}
+    dry -= lakes
+    held, unit = set(), {"A": "U1", "B": "U1", "C": "U2"}
+    for step in (0, 1):
+        for name in unit:
+            j0, i0 = r.randint(0, 9), r.randint(0, 17)
+            held |= {(step, name, j, i) for j in range(j0, j0 + 7) for i in range(i0, i0 + 7) if (j, i) not in ((j0 + 3, i0 + 3), (j0 + 3, i0 + 4)) and j < rows}
+    table = lambda x, schema: spark.createDataFrame(sorted(x), schema)
+    out = steps.classify(steps.unclaimed(table(dry, "j int, i int"), table(held, "step int, name string, j int, i int"), table(lakes, "j int, i int"), table(unit.items(), "name string, outer string"), rows, cols), 4e6)
+    got = {(x["step"], x["region"]): (x["cells"], x["wide"], x["core"], x["lake"], x["coast"], x["states"], x["state"], x["rule"]) for x in out.collect()}
+    area = {x["region"]: x["km2"] for x in out.collect() if x["step"] == 0}
+    want = {}
+    around = lambda j, i: [(j + a, (i + b) % cols) for a in (-1, 0, 1) for b in (-1, 0, 1) if 0 <= j + a < rows]
+    for step in (0, 1):
+        free = dry - {(j, i) for s, _, j, i in held if s == step}
+        own = {}
+        for s, n, j, i in held:
+            if s == step:
+                own.setdefault((j, i), set()).add(unit[n])
+        core = set()
+        for j, i in free:
+            block = [(j + a, (i + b) % cols) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+            if all(c in free for c in block):
+                core |= set(block)
+        left = set(free)
+        while left:
+            stack, piece = [left.pop()], set()
+            while stack:
+                j, i = stack.pop()
+                piece.add((j, i))
+                for c in ((j + 1, i), (j - 1, i), (j, (i + 1) % cols), (j, (i - 1) % cols)):
+                    if c in left:
+                        left.remove(c)
+                        stack.append(c)
+            beside = {c for p in piece for c in around(*p)}
+            units = {u for c in beside for u in own.get(c, ())}
+            lake, coast, wide = bool(beside & lakes), bool(beside - dry - lakes), bool(piece & core)
+            region = min(j * cols + i for j, i in piece)
+            km2 = area.get(region, 0) if step == 0 else next(x["km2"] for x in out.where(f"step = 1 and region = {region}").collect())
+            rule = ("kept" if wide else "sliver") if coast else "state" if len(units) == 1 else "lake" if lake and km2 < 4e6 else "kept" if wide else "narrow"
+            want[step, region] = (len(piece), wide, len(piece & core), lake, coast, len(units), min(units) if len(units) == 1 else None, rule)
+    assert got == want and len(set(x[-1] for x in want.values())) > 2
+    told = spark.createDataFrame([(0, min(k[1] for k in want if k[0] == 0 and want[k][-1] in ("kept", "sliver")), False)], "step int, region long, stateless boolean")
+    small = out.drop("rule").withColumn("km2", F.lit(1.0))
+    assert steps.classify(small, 4e6, told).where("rule = 'correction'").count() == 1
+
+
+def test_tracked_holes_equal_a_chain(spark):
+    r = random.Random(15)
+    holes = [(k, r.randint(0, 6), r.randint(0, 40), r.randint(0, 40), 1) for k in range(120)]
+    root = {h[0]: h[0] for h in holes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in holes:
+        for b in holes:
+            if b[1] == a[1] + 1 and abs(a[2] - b[2]) <= 3 and abs(a[3] - b[3]) <= 3:
+                x, y = find(a[0]), find(b[0])
+                root[max(x, y)] = min(x, y)
+    got = {x["hole"]: x["track"] for x in steps.tracked(spark.createDataFrame(holes, "hole long, step int, j int, i int, cells int"), 3).collect()}
+    assert got == {h[0]: find(h[0]) for h in holes}
+
+
+def test_spans_of_events(spark):
+    """Spans: a start and an end widen one side each; corrected dates leave; years and months before the reform are Julian."""
+    schema = "line_no long, cls string, qid long, label string, enwiki string, prop string, y long, m int, d int, prec int, lon double, lat double, editions int, parent long"
+    row = lambda n, qid, prop, y, m, d, prec: (n, "war", qid, "x", None, prop, y, m, d, prec, 1.0, 2.0, 3, None)
+    rows = [
+        row(1, 1, "start", 1914, 7, 28, 11), row(2, 1, "point", 1918, 11, 11, 11), row(3, 1, "end", 1918, 11, 11, 11),
+        row(4, 2, "start", 1817, 9, 29, 11), row(5, 2, "end", 1818, 9, 9, 11),
+        row(6, 3, "point", 1815, 10, 17, 11), row(7, 3, "point", 1815, 10, 17, 11),
+        row(8, 4, "start", 1453, 4, 15, 11), row(9, 4, "end", 1453, 5, 29, 11), row(10, 4, "end", 1453, 5, 20, 11),
+        row(11, 5, "point", 1066, 1, 1, 9), row(12, 6, "point", 1520, 12, 1, 10), row(13, 7, "point", -700, 1, 1, 9), row(14, 8, "point", 1066, 10, 20, 11),
+        row(15, 9, "start", 1337, 5, 24, 11), row(16, 9, "end", 1453, 1, 1, 9),
+        row(17, 10, "end", 1900, 1, 1, 9), row(18, 10, "point", 1950, 1, 1, 9), row(19, 10, "start", 1990, 1, 1, 9),
+    ]
+    import datetime
+
+    day = lambda y, m, d: datetime.date(y, m, d).toordinal() - 1
+    classes = spark.createDataFrame([("war", 2.0)], "cls string, weight double")
+    curated = spark.createDataFrame([(2, None, day(1816, 9, 30), None, None, None), (3, None, day(1813, 10, 17), None, None, None), (4, None, None, day(1453, 6, 7), None, None)], "qid long, boost double, day long, until long, lon double, lat double")
+    got = {x["qid"]: (x["date"], x["t0"], x["t1"]) for x in events.index(spark.createDataFrame(rows, schema), classes, curated).collect()}
+    assert got[1] == (day(1918, 11, 11), day(1914, 7, 28), day(1918, 11, 11))
+    assert got[2] == (day(1816, 9, 30), day(1816, 9, 30), day(1818, 9, 9))
+    assert got[3] == (day(1813, 10, 17),) * 3
+    assert got[4] == (day(1453, 4, 15), day(1453, 4, 15), day(1453, 6, 7))
+    assert got[5] == (day(1066, 1, 7), day(1066, 1, 7), day(1067, 1, 6))
+    assert got[6] == (day(1520, 12, 11), day(1520, 12, 11), day(1521, 1, 10))
+    assert got[8] == (day(1066, 10, 20),) * 3
+    assert got[9] == (day(1337, 5, 24), day(1337, 5, 24), day(1454, 1, 9))
+    assert got[10] == (day(1950, 1, 1), day(1950, 1, 1), day(1950, 12, 31))  # a start after and an end before widen nothing
+    assert got[7][2] - got[7][1] == 365  # a Julian leap year
+
+
+def test_forced_events_strict_or_lenient(spark):
+    import pytest
+
+    index = spark.createDataFrame([(1, "a"), (2, "b")], "qid long, label string")
+    listed = spark.createDataFrame([(2,), (2,), (7,)], "qid long")
+    rows, missing = events.forced(index, listed)
+    assert [tuple(x) for x in rows.collect()] == [(2, "b")] and [x["qid"] for x in missing.collect()] == [7]
+    with pytest.raises(ValueError, match="7"):
+        events.forced(index, listed, strict=True)
+
+
+def test_densified_plan_works_each_arc_out_once(spark):
+    from meridia.operators import routes
+
+    v = spark.createDataFrame([(1, 0, 0.0, 0.0, 0), (1, 1, 20.0, 10.0, 5), (1, 2, 20.0, 10.0, 9), (1, 3, -170.0, 80.0, 10)], "route long, idx int, lon double, lat double, day long")
+    out = routes.densified(v, 500.0)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ACOS") + plan.count("acos") == 1 and plan.lower().count("sin(") < 20, plan
+    rows = out.orderBy("n").collect()
+    assert [x["n"] for x in rows] == list(range(len(rows))) and all(km((a["lon"], a["lat"]), (b["lon"], b["lat"])) <= 500.001 for a, b in zip(rows, rows[1:], strict=False))
+
+
+def test_routes_are_refused(spark):
+    from meridia.operators import routes
+
+    good = {"fid": 1, "kind": "route", "type": "LineString", "points": [[0.0, 0.0], [1.0, 1.0], [2.0, 2.0]], "epoch": "1850-02-27", "dates": ["1850-02-27", "1850-02-28", "1850-02-28"], "legs": [(0, 1, False, True), (1, 2, True, False)], "names": ["a", None, "b"]}
+    cases = [("no route", {"kind": "track"}), ("no route", {"type": None}), ("too few vertices", {"points": [[0.0, 0.0]]}), ("place", {"points": [[0.0, 0.0], [1.0, 91.0], [2.0, 2.0]]}), ("place", {"points": [[0.0], [1.0, 1.0], [2.0, 2.0]]}), ("dates", {"dates": ["1850-02-27"] * 2}), ("dates", {"dates": None}), ("no date", {"dates": ["1850-02-27", "1850-02-29", "1850-03-01"]}), ("no date", {"dates": ["1850-02-27", None, "1850-03-01"]}), ("backward", {"dates": ["1850-02-27", "1850-03-02", "1850-03-01"]}), ("too few vertices", {"points": None}), ("legs", {"legs": [(0, 1, False, True)]}), ("leg", {"legs": [(0, 1, False, True), (1, 3, False, True)]}), ("leg", {"legs": [(0, 1, None, True), (1, 2, False, True)]}), ("names", {"names": ["a"]})]
+    schema = "fid long, kind string, type string, points array<array<double>>, epoch string, dates array<string>, legs array<struct<`from`:long,`to`:long,uncertain:boolean,sea:boolean>>, names array<string>"
+    rows = [tuple((good | {"fid": k} | c).values()) for k, (_, c) in enumerate([("", {})] + cases)]
+    got = {x["fid"]: x["fault"] for x in routes.route_faults(routes.route_rows(spark.createDataFrame(rows, schema))).collect()}
+    assert got == {k + 1: f for k, (f, _) in enumerate(cases)}
+    v = [tuple(x) for x in routes.route_vertices(routes.route_rows(spark.createDataFrame(rows[:1], schema))).orderBy("idx").collect()]
+    assert v == [(0, 0, 0.0, 0.0, 0, "a", 2), (0, 1, 1.0, 1.0, 1, None, 1), (0, 2, 2.0, 2.0, 1, "b", 1)]
+
+
+def test_fingerprint_tells_sets_apart(spark):
+    from meridia.sources import tables
+
+    rows = spark.range(3000).select(F.col("id") % 2 == 0, "id").toDF("even", "id")
+    sha = lambda df: {x["even"]: (x["rows"], x["sha"]) for x in tables.fingerprint(df, ["even"], ["id"]).collect()}
+    assert sha(rows) == sha(rows.repartition(7).orderBy(F.col("id").desc())) and sha(rows)[True][0] == 1500
+    other = sha(rows.where("id <> 1234"))
+    assert other[False] == sha(rows)[False] and other[True] != sha(rows)[True]

@@ -11,8 +11,8 @@ from meridia import registry
 from meridia.operators import cells
 
 SF = "/root/testdata/sf0.01"
-TABLES = "customer supplier orders events".split()
-WHOLE = [n for n in ("step_runs_changes", "step_carried_changes", "step_idle_corrections_changes", "jn_nearest_in_time_whole", "jn_interval_whole", "jn_asof_whole", "sc_great_circle_whole", "grid_presence_whole", "cell_nearest_fill_whole", "audit_tile_borders") if os.path.isdir(SF)]
+TABLES = "region nation customer supplier part orders lineitem events".split()
+WHOLE = [n for n in ("step_runs_changes", "step_carried_changes", "step_review", "audit_shore_runs", "cell_shore_band", "step_corrected", "step_unresolved", "step_carried_units", "io_routes", "io_route_faults", "io_release", "io_pages", "io_climate", "io_manifest", "pick_months", "sc_calendars", "sc_precision_spans", "event_forced", "cell_border_distance", "route_positions", "step_idle_corrections_changes", "jn_nearest_in_time_whole", "jn_interval_whole", "jn_asof_whole", "sc_great_circle_whole", "grid_presence_whole", "cell_nearest_fill_whole", "audit_tile_borders") if os.path.isdir(SF)]
 
 
 def both(spark, name):
@@ -75,11 +75,6 @@ def test_pockets_are_filled_at_every_change_year(spark):
     assert filled.select("step").distinct().count() > n // 2 and filled.groupBy("step", "j", "i").count().where("count > 1").count() == 0
 
 
-def test_entries_not_built_are_not_claimed():
-    registry.load()
-    assert not {"VQ6", "AG25"} & {e for covers in registry.COVERS.values() for e in covers}
-
-
 def test_border_mismatches_to_both_sides(spark):
     from meridia.operators import audits
 
