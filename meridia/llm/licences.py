@@ -1,10 +1,12 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance down directories.
 
-Every line of every file is held against the templates as a sparse TF-IDF vector; the
-document frequencies of the templates' terms are counted over all files, and any other
-term weighs as one that a single file has. A file without a licence of its own takes
-that of the nearest directory above it, or its own, that holds a licence file; each
-directory is resolved once, by joins of paths, and files join their directory.
+Every line of every file is held against short header lines; every line, every block of lines (a header
+comment, a licence's title, a paragraph) and, of licence files, the whole text is held against the notices
+and texts of licences: sparse TF-IDF vectors, with the document frequencies of the templates' terms counted
+over all files; any other term weighs as one that a single file has. A template can be as near as the
+threshold only where one of its heaviest terms (anchors) occurs, so most lines are passed by unweighed.
+A file without a licence of its own takes that of the nearest directory above it, or its own, that holds a
+licence file; each directory is resolved once, by joins of paths, and files join their directory.
 """
 
 from __future__ import annotations
@@ -31,77 +33,193 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license, 3-Clause"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
+# Notices, titles and texts of licences, as they stand in files.
+NOTICES: tuple[tuple[str, str], ...] = (
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("CC-BY-4.0", "SPDX-License-Identifier: CC-BY-4.0"),
+    ("CC-BY-NC-4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    (
+        "Apache-2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    ),
+    (
+        "GPL-3.0",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    ),
+    (
+        "MPL-2.0",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file,
+You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    ),
+    (
+        "MIT",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
+to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense,
+and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ),
+    (
+        "BSD-3-Clause",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software
+without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO,
+THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE
+LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS
+OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    ),
+    (
+        "ISC",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF
+USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    ),
+)
 THRESHOLD = 0.6
 _TERM = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)"
+_LICENCE_FILE = re.compile(LICENCE_FILE)
 
 
 def terms(text: str) -> list[str]:
     return _TERM.findall(text.lower())
 
 
+def vocabulary(*lists: tuple[tuple[str, str], ...]) -> frozenset[str]:
+    """The terms of templates."""
+    return frozenset(t for templates in lists for _, text in templates for t in terms(text))
+
+
 class Scanner:
     """Templates weighed by the document frequencies of their terms."""
 
-    def __init__(self, frequency: dict[str, int], files: int, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> None:
+    def __init__(self, frequency: dict[str, int], files: int, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = THRESHOLD) -> None:
+        self.least = least
         self.other = math.log((1 + files) / 2) + 1
-        vocabulary = {t for _, text in templates for t in terms(text)}
-        self.idf = {t: math.log((1 + files) / (1 + frequency.get(t, 0))) + 1 for t in vocabulary}
-        self.templates = []
-        for name, text in templates:
+        self.idf = {t: math.log((1 + files) / (1 + frequency.get(t, 0))) + 1 for t in vocabulary(templates)}
+        self.names: list[str] = []
+        #: By term, the templates that it weighs in, and its weight there.
+        self.holds: dict[str, list[tuple[int, float]]] = {}
+        anchors = set()
+        for i, (name, text) in enumerate(templates):
+            self.names.append(name)
             w = {t: n * self.idf[t] for t, n in Counter(terms(text)).items()}
             norm = math.sqrt(sum(x * x for x in w.values()))
-            self.templates.append((name, {t: x / norm for t, x in w.items()}))
-        self.vocabulary = frozenset(vocabulary)
-
-    def line(self, words: list[str], least: float) -> tuple[float, int]:
-        """The best cosine of a line, and the number of its template; (0, -1) below `least`."""
-        shared = self.vocabulary.intersection(words)
-        best, norm = (0.0, -1), 0.0
-        for i, (_, w) in enumerate(self.templates):
-            # What the shared terms can give at most.
-            if sum(w[t] ** 2 for t in shared if t in w) < least * least:
-                continue
-            if not norm:
-                counts = Counter(words)
-                mine = {t: n * self.idf.get(t, self.other) for t, n in counts.items()}
-                norm = math.sqrt(sum(x * x for x in mine.values()))
-            cosine = round(sum(mine[t] * w[t] for t in shared if t in w) / norm, 9)
-            if cosine >= least and cosine > best[0]:
-                best = (cosine, i)
-        return best
-
-    def text(self, text: str, least: float = THRESHOLD) -> tuple[str | None, float, int | None]:
-        """Licence, cosine and number of the line of a text that is most like a template; of equals the first template, then the first line."""
-        best, at = (0.0, -1), None
-        for n, line in enumerate(text.split("\n")):
+            rest = 1.0
+            for t, x in sorted(w.items(), key=lambda p: (-p[1], p[0])):
+                self.holds.setdefault(t, []).append((i, x / norm))
+                # Without any of the terms so far, what is left is too light for the threshold.
+                if rest >= (least - 1e-9) ** 2:
+                    anchors.add(t)
+                rest -= (x / norm) ** 2
+        self.anchors = frozenset(anchors)
+
+    def best(self, words: list[str]) -> tuple[float, int]:
+        """The best cosine of words to a template, and the first template that has it; (0, -1) below the threshold."""
+        if self.anchors.isdisjoint(words):
+            return 0.0, -1
+        counts = Counter(words)
+        norm, dots = 0.0, [0.0] * len(self.names)
+        for t, n in counts.items():
+            x = n * self.idf.get(t, self.other)
+            norm += x * x
+            for i, w in self.holds.get(t, ()):
+                dots[i] += x * w
+        top = max(dots)
+        cosine = round(top / math.sqrt(norm), 9)
+        if cosine < self.least:
+            return 0.0, -1
+        return cosine, min(i for i, d in enumerate(dots) if round(d / math.sqrt(norm), 9) == cosine)
+
+
+#: What of a file was found to be like a template, in the order in which equals count.
+KINDS = ("line", "notice", "block", "file")
+
+
+class Scan:
+    """The two template lists over the lines, blocks and whole texts of files."""
+
+    def __init__(self, frequency: dict[str, int], files: int, least: float = THRESHOLD, lines: tuple[tuple[str, str], ...] = TEMPLATES, notices: tuple[tuple[str, str], ...] = NOTICES) -> None:
+        self.lines, self.notices = Scanner(frequency, files, lines, least), Scanner(frequency, files, notices, least)
+
+    def text(self, text: str, licence_file: bool) -> tuple[str | None, float, int | None, str | None]:
+        """Licence, cosine, number of the (first) line and kind of what is most like a template; of equals the first kind, then the first template, then the first line."""
+        best: tuple | None = None
+        block, began, whole = [], 0, []
+        lines = text.split("\n")
+
+        def offer(scanner: Scanner, words: list[str], kind: int, at: int) -> None:
+            nonlocal best
+            cosine, i = scanner.best(words)
+            if i >= 0 and (best is None or (-cosine, kind, i, at) < best[:4]):
+                best = (-cosine, kind, i, at, scanner.names[i])
+
+        for n, line in enumerate(lines):
             words = terms(line)
-            if words and not self.vocabulary.isdisjoint(words):
-                got = self.line(words, least)
-                if got[1] >= 0 and (got[0] > best[0] or (got[0] == best[0] and got[1] < best[1])):
-                    best, at = got, n
-        return (self.templates[best[1]][0] if at is not None else None), best[0], at
-
-
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    vocabulary = frozenset(t for _, text in TEMPLATES for t in terms(text))
-    found: Counter[str] = Counter()
-    files = 0
-    for batch in batches:
-        for text in batch.column("text"):
-            found.update(vocabulary.intersection(terms(text.as_py())))
-            files += 1
-    rows = [*found.items(), ("", files)]  # no term is empty
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64())], ["term", "files"])
-
-
-def _scan(shared, least: float):
+            if words:
+                offer(self.lines, words, 0, n)
+                offer(self.notices, words, 1, n)
+                began = began if block else n
+                block += words
+                if licence_file:
+                    whole += words
+            if block and (not words or n + 1 == len(lines)):
+                if began < n - (not words):  # one line alone has been looked at
+                    offer(self.notices, block, 2, began)
+                block = []
+        if licence_file and whole:
+            offer(self.notices, whole, 3, 0)
+        return (best[4], -best[0], best[3], KINDS[best[1]]) if best else (None, 0.0, None, None)
+
+
+def _frequencies(known: frozenset[str]):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[str] = Counter()
+        files = 0
+        for batch in batches:
+            for text in batch.column("text"):
+                found.update(known.intersection(terms(text.as_py())))
+                files += 1
+        rows = [*found.items(), ("", files)]  # no term is empty
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64())], ["term", "files"])
+
+    return count
+
+
+def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner: Scanner = shared.value
+        scan: Scan = shared.value
         for batch in batches:
-            got = [scanner.text(t.as_py(), least) for t in batch.column("text")]
-            cols = [pa.array([g[0] for g in got], pa.string()), pa.array(np.array([g[1] for g in got], float)), pa.array([g[2] for g in got], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("path"), *cols], ["doc_id", "path", "own_license", "similarity", "line"])
+            named = [bool(_LICENCE_FILE.match(p.as_py().rpartition("/")[2])) for p in batch.column("path")]
+            got = [scan.text(t.as_py(), f) for t, f in zip(batch.column("text"), named, strict=True)]
+            cols = [pa.array([g[0] for g in got], pa.string()), pa.array(np.array([g[1] for g in got], float)), pa.array([g[2] for g in got], pa.int64()), pa.array([g[3] for g in got], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("path"), *cols], ["doc_id", "path", "own_license", "similarity", "line", "matched"])
 
     return run
 
@@ -117,19 +235,20 @@ def ancestors(folder: Column) -> Column:
     return F.when(folder == "", F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.size(parts), F.lit(0), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), "/")))
 
 
-def scan(files: DataFrame, least: float = THRESHOLD) -> DataFrame:
-    """One row per file of files(doc_id, path, text): doc_id, path, own_license, similarity, line, license, inherited_from.
+def scan(files: DataFrame, least: float = THRESHOLD, lines: tuple[tuple[str, str], ...] = TEMPLATES, notices: tuple[tuple[str, str], ...] = NOTICES) -> DataFrame:
+    """One row per file of files(doc_id, path, text): doc_id, path, own_license, similarity, line, matched (KINDS), license, inherited_from.
 
     inherited_from is the directory that a licence comes from, null where it is the
     file's own or there is none. Of several licence files in one directory the most similar
-    line counts, then the first path. Null texts are empty, null paths ''; rows that
-    repeat are scanned each; an empty table gives no rows.
+    counts, then the first path. Null texts are empty, null paths ''; rows that
+    repeat are scanned each; an empty table gives no rows; other columns aren't looked at.
     """
     files = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counts = {r["term"]: r["n"] for r in files.select("text").mapInArrow(_frequencies, "term string, files long").groupBy("term").agg(F.sum("files").alias("n")).collect()}  # the templates' vocabulary
+    known = vocabulary(lines, notices)  # the bound of what is collected
+    counts = {r["term"]: r["n"] for r in files.select("text").mapInArrow(_frequencies(known), "term string, files long").groupBy("term").agg(F.sum("files").alias("n")).collect()}
     n = counts.pop("", 0)
-    shared = files.sparkSession.sparkContext.broadcast(Scanner(counts, n))
-    rows = files.mapInArrow(_scan(shared, least), "doc_id long, path string, own_license string, similarity double, line long")
+    shared = files.sparkSession.sparkContext.broadcast(Scan(counts, n, least, lines, notices))
+    rows = files.mapInArrow(_scan(shared), "doc_id long, path string, own_license string, similarity double, line long, matched string")
     rows = stored(rows.withColumn("folder", directory(F.col("path"))), "licences")
     name = F.regexp_extract("path", r"[^/]*$", 0)
     held = rows.where(F.col("own_license").isNotNull() & name.rlike(LICENCE_FILE)).groupBy("folder").agg(F.min_by("own_license", F.struct(-F.col("similarity"), "path")).alias("given"))
@@ -137,7 +256,7 @@ def scan(files: DataFrame, least: float = THRESHOLD) -> DataFrame:
     folders = rows.select("folder").distinct().select("folder", F.posexplode(ancestors(F.col("folder"))).alias("up", "above"))
     nearest = stored(join_bounded(folders, held, ["above"], "inner").groupBy("folder").agg(F.min_by(F.struct("above", "given"), "up").alias("from")), "nearest")
     lone = F.col("own_license").isNull()
-    return join_bounded(rows, nearest, ["folder"]).select("doc_id", "path", "own_license", "similarity", "line", F.coalesce("own_license", "from.given").alias("license"), F.when(lone, F.col("from.above")).alias("inherited_from"))
+    return join_bounded(rows, nearest, ["folder"]).select("doc_id", "path", "own_license", "similarity", "line", "matched", F.coalesce("own_license", "from.given").alias("license"), F.when(lone, F.col("from.above")).alias("inherited_from"))
 
 
 def bound_paths(docs: DataFrame) -> DataFrame:

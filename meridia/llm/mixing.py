@@ -2,9 +2,10 @@
 
 Documents are counted into cells (source, language, topic) of token totals. Raking
 scales the cells until their sums meet the targets of each of the three marginals
-in turn. A cell's documents are sampled with its factor as their probability, 1 at most;
+in turn: given weights, or else tempered shares. A cell's documents are sampled with its factor as their probability, 1 at most;
 what is above 1 stays as their weight, so probability times weight is calibrated and
-no rare cell thins out all others. sample() puts the weight into effect by repeating rows. DataFrame functions only; the rounds work on cells, never on
+no rare cell thins out all others. sample() puts the weight into effect by repeating
+rows. fit() reports how near the targets were come, as some cannot be met at once. DataFrame functions only; the rounds work on cells, never on
 documents.
 """
 
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from meridia.llm.common import join_bounded, stored
 
 MARGINS = ("source", "lang", "topic")
-ROUNDS, ALPHA = 12, 0.7
+#: Rounds at least and at most, the relative difference that ends them between, and the power of the tempered shares.
+ROUNDS, MOST, TOLERANCE, ALPHA = 12, 60, 1e-6, 0.7
 
 
 def topic(text: Column) -> Column:
@@ -41,56 +43,113 @@ def uniform(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def rake(cells: DataFrame, margins: tuple[str, ...] = MARGINS, rounds: int = ROUNDS, alpha: float = ALPHA, every: int = 4) -> DataFrame:
-    """cells(*margins, w) with factor: w * factor meets each marginal's targets, the total times its tempered shares.
+def goals(cells: DataFrame, margin: str, alpha: float, targets: DataFrame | None) -> DataFrame:
+    """margin's values with goal_<margin>: what their cells are to sum up to.
 
-    A value's target share is its share of tokens to the power alpha, normalised.
-    Values without tokens keep the factor 1.
+    targets(margin, value, weight): the values named there share, by their weights, what the
+    margin's other values leave; these keep their share of tokens. A margin without
+    targets has shares of tokens to the power alpha. Named values without tokens, null and negative weights are left out.
     """
-    total = F.sum("w").over(Window.partitionBy())
-    for m in margins:  # targets by value; few rows, gathered per value first
-        by = cells.groupBy(m).agg(F.sum("w").alias("w"))
-        shares = by.select(m, F.when(F.col("w") > 0, F.pow(F.col("w") / total, F.lit(alpha))).otherwise(0.0).alias("s"), total.alias("t"))
-        targets = shares.select(m, (F.col("t") * F.col("s") / F.sum("s").over(Window.partitionBy())).alias(f"goal_{m}"))
-        cells = cells.join(targets, m)
+    total = F.sum("w").over(Window.partitionBy())  # a margin's values: few rows
+    by = cells.groupBy(margin).agg(F.sum("w").alias("w"))
+    if targets is not None:
+        own = targets.where((F.col("margin") == margin) & (F.col("weight") >= 0)).groupBy(F.col("value").alias(margin)).agg(F.sum("weight").cast("double").alias("t"))
+        if not own.isEmpty():
+            named = by.join(own, margin, "left").withColumn("t", F.when(F.col("w") > 0, F.col("t")))
+            every = Window.partitionBy()
+            rest = F.sum(F.when(F.col("t").isNotNull(), F.col("w"))).over(every)
+            share = F.when(F.sum("t").over(every) > 0, F.col("t") / F.sum("t").over(every)).otherwise(0.0)
+            return named.select(margin, F.when(F.col("t").isNull(), F.col("w")).otherwise(rest * share).alias(f"goal_{margin}"))
+    shares = by.select(margin, F.when(F.col("w") > 0, F.pow(F.col("w") / total, F.lit(alpha))).otherwise(0.0).alias("s"), total.alias("t"))
+    return shares.select(margin, (F.col("t") * F.col("s") / F.sum("s").over(Window.partitionBy())).alias(f"goal_{margin}"))
+
+
+def rake(cells: DataFrame, margins: tuple[str, ...] = MARGINS, rounds: int = ROUNDS, alpha: float = ALPHA, every: int = 4, targets: DataFrame | None = None, most: int = MOST, tolerance: float = TOLERANCE) -> DataFrame:
+    """cells(*margins, w) with factor and goal_<margin>: the sums of w * factor meet each marginal's goals.
+
+    `rounds` rounds are made, and more up to `most` while a sum is further from its goal than `tolerance` of it.
+    Values without tokens keep the factor 1. Equal cells are to be one row; an empty table gives no rows.
+    """
+    cells = stored(cells, "margins")
+    for m in margins:
+        cells = cells.join(goals(cells.select(*margins, "w"), m, alpha, targets), m)
     cells = stored(cells.withColumn("factor", F.lit(1.0)), "cells")
-    for i in range(rounds):
+    i = 0
+    while True:
         for m in margins:
             now = F.sum(F.col("w") * F.col("factor")).over(Window.partitionBy(m))
             cells = cells.withColumn("now", now).withColumn("factor", F.when(F.col("now") > 0, F.col("factor") * F.col(f"goal_{m}") / F.col("now")).otherwise(F.col("factor"))).drop("now")
-        if (i + 1) % every == 0 or i + 1 == rounds:
+        i += 1
+        if i % every == 0 or i == rounds:
             cells = stored(cells, "cells")
-    return cells.select(*margins, "w", "factor")
+            if i >= rounds and (i >= most or residual(cells, margins) <= tolerance):
+                return cells
+
+
+def residual(cells: DataFrame, margins: tuple[str, ...] = MARGINS) -> float:
+    """How far the sums of raked cells are from their goals at most, as a share of the goal; 0 without cells."""
+    return max((reached(cells, m).agg(F.max(F.abs(F.col("reached") - F.col("goal")) / F.greatest("goal", F.lit(1e-9))).alias("r")).first()["r"] or 0.0 for m in margins), default=0.0)
+
+
+def reached(cells: DataFrame, margin: str) -> DataFrame:
+    """margin, value, goal, reached of raked cells, in tokens."""
+    return cells.groupBy(F.col(margin).alias("value")).agg(F.first(f"goal_{margin}").alias("goal"), F.sum(F.col("w") * F.col("factor")).alias("reached")).select(F.lit(margin).alias("margin"), "value", "goal", "reached")
+
+
+def counted(docs: DataFrame, text_col: str, source_col: str, lang_col: str) -> DataFrame:
+    """The cells of documents: source, lang, topic and w, their tokens."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(label(source_col).alias("source"), label(lang_col).alias("lang"), topic(text).alias("topic"), tokens(text).alias("n_tokens"))
+    return rows.groupBy(*MARGINS).agg(F.sum("n_tokens").cast("double").alias("w"))
+
+
+def fit(docs: DataFrame, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", rounds: int = ROUNDS, alpha: float = ALPHA, targets: DataFrame | None = None, tolerance: float = 1e-3) -> DataFrame:
+    """margin, value, goal, reached, met: each value's tokens as they ought to be and as the mixture has them.
+
+    met is false where the two differ by more than `tolerance` of the goal, and where targets name a value that has
+    no tokens (goal null): no weights can meet such targets. Nulls and an empty table as in mix().
+    """
+    cells = stored(rake(counted(docs, text_col, source_col, lang_col), MARGINS, rounds, alpha, targets=targets), "raked")
+    out = reached(cells, MARGINS[0])
+    for m in MARGINS[1:]:
+        out = out.unionByName(reached(cells, m))
+    if targets is not None:
+        named = targets.where(F.col("weight") > 0).select("margin", "value").distinct()
+        missing = named.join(out.where("reached > 0").select("margin", "value"), ["margin", "value"], "left_anti")
+        out = out.unionByName(missing.select("margin", "value", F.lit(None).cast("double").alias("goal"), F.lit(0.0).alias("reached")).join(out.select("margin", "value"), ["margin", "value"], "left_anti"))
+    return out.withColumn("met", F.coalesce(F.abs(F.col("reached") - F.col("goal")) <= tolerance * F.col("goal"), F.lit(False)))
+
+
+def label(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", rounds: int = ROUNDS, alpha: float = ALPHA) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", rounds: int = ROUNDS, alpha: float = ALPHA, targets: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, source, lang, topic, n_tokens, probability, weight, sampled.
 
     Null sources and languages count as '', null texts as empty. A document without
     tokens has the probability of its cell; rows that repeat a doc_id are drawn
-    alike; a null doc_id draws the number of the empty id. An empty table gives no rows.
+    alike; a null doc_id draws the number of the empty id. An empty table gives no rows. `targets` as in goals().
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    label = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), label(source_col).alias("source"), label(lang_col).alias("lang"), topic(text).alias("topic"), tokens(text).alias("n_tokens")), "mix")
-    cells = rake(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").cast("double").alias("w")), MARGINS, rounds, alpha)
+    cells = rake(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").cast("double").alias("w")), MARGINS, rounds, alpha, targets=targets)
     one = F.lit(1.0)
     chance = cells.select(*MARGINS, F.round(F.least("factor", one), 9).alias("probability"), F.round(F.greatest("factor", one), 9).alias("weight"))
     return join_bounded(rows, chance, list(MARGINS), "inner").select("doc_id", *MARGINS, "n_tokens", "probability", "weight", (uniform(F.col("doc_id")) < F.col("probability")).alias("sampled"))
 
 
-def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", rounds: int = ROUNDS, alpha: float = ALPHA) -> DataFrame:
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", rounds: int = ROUNDS, alpha: float = ALPHA, targets: DataFrame | None = None) -> DataFrame:
     """The rows of docs, all columns, each as often as its cell's factor says: the whole part of the factor times, and once more with the rest as probability.
 
     A cell above 1 so grows by repeated rows and one below 1 is thinned, and the tokens of what
     comes out have the target shares. The draw goes by the doc_id's number, as in mix().
-    Rows without tokens have no share to raise and are not repeated.
+    Rows without tokens have no share to raise and are not repeated. Null sources, languages and texts count as '';
+    rows that repeat a doc_id are drawn alike, a null doc_id draws the number of the empty id; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    label = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     own = [f"_mix_{m}" for m in MARGINS]
-    cells = stored(docs.select(label(source_col).alias(own[0]), label(lang_col).alias(own[1]), topic(text).alias(own[2]), tokens(text).alias("n")).groupBy(*own).agg(F.sum("n").cast("double").alias("w")), "mix")
-    factors = rake(cells.withColumnsRenamed(dict(zip(own, MARGINS, strict=True))), MARGINS, rounds, alpha)
+    factors = rake(counted(docs, text_col, source_col, lang_col), MARGINS, rounds, alpha, targets=targets)
     times = factors.select(*[F.col(m).alias(o) for m, o in zip(MARGINS, own, strict=True)], F.round("factor", 9).alias("_mix_factor"))
     rows = docs.withColumns({own[0]: label(source_col), own[1]: label(lang_col), own[2]: topic(text)})
     factor = F.when(text.rlike(r"[^ \t\n\r]"), F.col("_mix_factor")).otherwise(F.least("_mix_factor", F.lit(1.0)))

@@ -34,7 +34,7 @@ from meridia.operators.graph import components
 
 BANDS, ROWS, BITS = 52, 6, 1024
 #: BLOCK counts sets, HEAVY shingles.
-SMALL, HUBS, BLOCK, HEAVY = 16, 3, 512, 1 << 18
+SMALL, HUBS, BLOCK, HEAVY = 16, 3, 256, 1 << 18
 
 
 def sketch_limit(threshold: float, samples: int = BANDS * ROWS, bits: int = BITS, deviations: float = 4.5) -> int:

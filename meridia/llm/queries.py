@@ -42,7 +42,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = stored(transport.write_streams(table(spark, sf_dir, "documents")), "media")
-    return transport.read_streams(media).drop("times", "random_access")
+    return transport.read_streams(media)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,10 @@
 A payload is an elementary stream cut into access units of 576 bytes, GROUP of them to
 a PES packet with a presentation time. PES packets are dealt over 188-byte transport
 packets; a program association and a program map table stand before each random-access
-point. Reading parses the tables (with their CRC), follows the program to its
+point. The table holds each stream with an index of its presentation times and random-access
+points. Reading parses the tables (with their CRC), follows the program to its
 elementary stream, checks continuity counters, reassembles the PES packets and takes
-their times and random-access points. Packets are numpy rows, so Python runs per
+their times and random-access points, which have to be those of the index. Packets are numpy rows, so Python runs per
 document and packet size, not per packet.
 """
 
@@ -189,25 +190,37 @@ def feature(s: Stream) -> str:
     return f"program={s.program};pid={s.pid};type={s.stream_type};packets={s.packets};discontinuities={s.discontinuities};pes={len(s.times)};first={s.times[0]};last={s.times[-1]};random_access={len(s.random_access)}"
 
 
+def index(payload_bytes: int) -> tuple[list[int], list[int]]:
+    """Presentation times of a payload's PES packets, and of those at random-access points."""
+    times = (np.arange(-(-payload_bytes // (UNIT * GROUP)), dtype=np.int64) * TICKS % (1 << 33)).tolist()
+    return times, times[::RANDOM_EVERY]
+
+
 def _writer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    longs = pa.list_(pa.int64())
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
-        start, size, media = 0, 0, []
+        start, size, rows = 0, 0, []
         for i, t in enumerate(texts):
-            media.append(pack(pad(t.as_py())))
-            size += len(media[-1])
+            text = t.as_py()
+            payload = pad(text)
+            rows.append((len(text), pack(payload), *index(len(payload))))
+            size += len(rows[-1][1])
             if size > 8 << 20 or i + 1 == len(texts):
-                n = pa.array([len(x.as_py()) for x in texts.slice(start, len(media))], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(media)), n, pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
-                start, size, media = i + 1, 0, []
+                cols = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), longs, longs), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(rows)), *cols], ["doc_id", "n_bytes", "media", "times", "random_access"])
+                start, size, rows = i + 1, 0, []
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for m in batch.column("media"):
-            s = unpack(m.as_py())
-            out.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-32:]), len(m.as_py()), hashlib.sha256(m.as_py()).hexdigest(), feature(s), s.times.tolist(), s.random_access.tolist()))
+        for m, times, points in zip(batch.column("media"), batch.column("times").to_pylist(), batch.column("random_access").to_pylist(), strict=True):
+            media = m.as_py()
+            s = unpack(media)
+            if s.times.tolist() != times or s.random_access.tolist() != points:
+                raise ValueError("a stream whose times are not those of its index")
+            out.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(s), times, points))
         types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         cols = [pa.array([r[i] for r in out], t) for i, t in enumerate(types)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *cols], [c.split()[0] for c in READ.split(", ")])
@@ -217,10 +230,17 @@ READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, ta
 
 
 def write_streams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes (of the text in UTF-8) and media, the transport stream of each text. Null counts as empty; each row is taken by itself."""
-    return documents(docs, id_col, text_col).mapInArrow(_writer, "doc_id long, n_bytes long, media binary")
+    """doc_id, n_bytes (of the text in UTF-8), media (the transport stream of each text), and its index: times and random_access.
+
+    Null texts count as empty, a null doc_id stays null, each of repeated rows is taken by itself, other columns
+    aren't looked at, an empty table gives no rows.
+    """
+    return documents(docs, id_col, text_col).mapInArrow(_writer, "doc_id long, n_bytes long, media binary, times array<long>, random_access array<long>")
 
 
 def read_streams(media: DataFrame) -> DataFrame:
-    """The columns READ of write_streams()'s rows, from the stored bytes alone. A damaged stream is an error; an empty table gives no rows."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_reader, READ)
+    """The columns READ of write_streams()'s rows, from the stored bytes alone; the index is checked against them.
+
+    A damaged or null stream, or one with another index, is an error; rows that repeat are read each, an empty table gives no rows.
+    """
+    return media.select("doc_id", "n_bytes", "media", "times", "random_access").mapInArrow(_reader, READ)

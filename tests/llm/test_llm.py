@@ -265,6 +265,43 @@ def test_licences_equal_brute_force(spark):
     assert licences.scan(df.limit(0)).count() == 0
 
 
+def test_licences_of_real_files(spark):
+    notice = dict((n, t) for n, t in licences.NOTICES)
+    first = lambda name, word: next(t for n, t in licences.NOTICES if n == name and word in t)
+    comment = lambda text, mark: "\n".join(f"{mark} {line}" for line in text.split("\n"))
+    apache, gpl = first("Apache-2.0", "compliance"), first("GPL-3.0", "redistribute")
+    files = [
+        ("a/LICENSE", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n\n" + "words of the terms " * 300, "Apache-2.0"),
+        ("b/COPYING", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n" + "preamble " * 300, "GPL-3.0"),
+        ("c/LICENSE", "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + notice["MIT"].replace("\n", " "), "MIT"),
+        ("d/LICENSE.txt", "Copyright (c) 2020, Some Body\nAll rights reserved.\n\n" + notice["BSD-3-Clause"], "BSD-3-Clause"),
+        ("e/LICENSE", "Copyright (c) 2020 Some Body\n\n" + notice["ISC"], "ISC"),
+        ("f/x.py", "# Copyright 2020 Some Body\n#\n" + comment(apache, "#") + "\n\nimport os\n", "Apache-2.0"),
+        ("f/x.c", "/*\n" + comment(gpl, " *") + "\n */\nint main() { return 0; }\n", "GPL-3.0"),
+        ("f/y.rs", "// Copyright 2020 Some Body\n// SPDX-License-Identifier: MIT\nfn main() {}\n", "MIT"),
+        ("f/z.js", "// SPDX-License-Identifier: Apache-2.0\n", "Apache-2.0"),
+        ("f/m.cpp", comment(first("MPL-2.0", "Form"), "//") + "\nvoid f();\n", "MPL-2.0"),
+        ("f/n.py", "def f(software, copyright, notice):\n    return 'the license of the software'\n", None),
+        ("c/src/deep/g.py", "print('ok')\n", "MIT"),
+    ] + [(f"prose/p{k}", f"Nothing of the kind is said here, in text number {k}.\nIt is of the usual sort.\n", None) for k in range(40)]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(files)], "doc_id long, path string, text string")
+    got = {x["path"]: x for x in licences.scan(df).collect()}
+    assert {p: got[p]["license"] for p, _, _ in files} == {p: w for p, _, w in files}
+    assert got["c/src/deep/g.py"]["inherited_from"] == "c" and got["f/x.py"]["matched"] == "block" and got["f/y.rs"]["line"] == 1
+    # A scanner passes by only what is below the threshold.
+    own = licences.Scanner({"license": 30, "the": 40}, 52, licences.NOTICES)
+    r = random.Random(15)
+    for _ in range(300):
+        words = [w for _, t in r.sample(licences.NOTICES, 2) for w in licences.terms(t) if r.random() < 0.7] + r.choices(["other", "words"], k=r.randint(0, 9))
+        vec = {t: n * own.idf.get(t, own.other) for t, n in Counter(words).items()}
+        cosines = []
+        for _, text in licences.NOTICES:
+            w = {t: n * own.idf[t] for t, n in Counter(licences.terms(text)).items()}
+            cosines.append(sum(x * w.get(t, 0) for t, x in vec.items()) / math.sqrt(sum(x * x for x in vec.values()) * sum(x * x for x in w.values())) if vec else 0)
+        cosine, i = own.best(words)
+        assert (cosine == pytest.approx(max(cosines), abs=1e-8) and cosines[i] == pytest.approx(max(cosines), abs=1e-8)) if max(cosines) > 0.6 + 1e-8 else i == -1 or max(cosines) > 0.6 - 1e-8
+
+
 MESSAGE = "conv_id long, node_id long, parent_id long, role string, text string, score double"
 
 
@@ -388,7 +425,13 @@ def test_transport_streams_round_trip(spark):
     del media[188 * 20 : 188 * 21]
     with pytest.raises(ValueError):
         transport.unpack(bytes(media))
-    rows = transport.read_streams(transport.write_streams(docs(spark, EDGE))).collect()
+    media_table = transport.write_streams(docs(spark, EDGE + [(60, "y" * 100_000)]))
+    long = media_table.where("doc_id = 60").first()
+    assert long["times"] == [k * transport.TICKS for k in range(11)] and long["random_access"] == [0, 8 * transport.TICKS]
+    with pytest.raises(Exception, match="index"):
+        transport.read_streams(media_table.withColumn("times", F.reverse("times"))).collect()
+    assert transport.read_streams(transport.write_streams(docs(spark, []))).count() == 0
+    rows = transport.read_streams(media_table.where("doc_id is null or doc_id <> 60")).collect()
     for x, (i, t) in zip(sorted(rows, key=lambda x: (x["doc_id"] or 0, x["n_bytes"])), sorted(EDGE, key=lambda e: (e[0] or 0, len((e[1] or "").encode()))), strict=True):
         p = transport.pad((t or "").encode())
         assert (x["doc_id"], x["n_bytes"], x["payload_bytes"], x["payload_sha256"], x["tail_crc32"]) == (i, len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
@@ -411,6 +454,68 @@ def test_warc_round_trip_of_awkward_payloads(spark):
     assert warc.archive(df.limit(0)).count() == 0
 
 
+def test_warc_headers_keep_the_standard(spark, tmp_path):
+    pages = [(1, "u", "h" * 300), (2, "u", "h" * 300), (3, "u", "x" * 1000), (4, "u", "short"), (5, "u", "r" * 150), (5, "u", "r" * 150), (6, "u", "r" * 150)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for k in (0, 1):
+        warc.write_archives(df, f"{tmp_path}/{k}", chunk=400)
+    read = lambda k: sorted(r for f in sorted((tmp_path / str(k)).glob("part-*")) for r in f.read_bytes().split(warc.VERSION) if r)
+    records = [dict(line.split(": ", 1) for line in r.partition(b"\r\n\r\n")[0].decode().split("\r\n")) | {"block": int(len(r.partition(b"\r\n\r\n")[2]))} for r in read(0)]
+    assert read(0) == read(1)  # identifiers too: a task that runs again writes the same
+    by = {}
+    for f in records:
+        by.setdefault(f["X-Page-Id"], []).append(f)
+    assert len({f["WARC-Record-ID"] for f in records}) == len(records)
+    assert all("WARC-Segment-Number" not in f and "WARC-Segment-Total-Length" not in f for p in ("1", "2", "4", "5", "6") for f in by[p])
+    parts = sorted(by["3"], key=lambda f: int(f["WARC-Segment-Number"]))
+    assert [f["WARC-Type"] for f in parts] == ["response", "continuation", "continuation"] and ["WARC-Segment-Total-Length" in f for f in parts] == [False, False, True]
+    assert int(parts[2]["WARC-Segment-Total-Length"]) == sum(int(f["Content-Length"]) for f in parts) == 1000 + len(warc.HTTP)
+    assert {f["WARC-Segment-Origin-ID"] for f in parts[1:]} == {parts[0]["WARC-Record-ID"]}
+    assert by["2"][0]["WARC-Type"] == "revisit" and by["2"][0]["WARC-Refers-To"] == by["1"][0]["WARC-Record-ID"]
+    assert [f["WARC-Type"] for f in by["5"]] == ["response"] * 2 and "WARC-Refers-To" not in by["6"][0] and by["6"][0]["X-Refers-To-Page"] == "5"
+
+
+def test_mixing_to_given_targets(spark):
+    r = random.Random(16)
+    rows = [(i, " ".join(r.choices(WORDS, k=r.randint(100, 900))) + r.choice(["", " | "])) for i in range(400)]
+    given = docs(spark, rows)
+    targets = spark.createDataFrame([("source", "s0", 3.0), ("source", "s1", 1.0), ("topic", "table", 1.0), ("topic", "none there", 1.0), ("lang", "", None)], "margin string, value string, weight double")
+    mixed = mixing.mix(given, targets=targets).toPandas()
+    w = mixed.n_tokens * mixed.probability * mixed.weight
+    assert abs(w[mixed.source == "s0"].sum() / w.sum() - 0.75) < 1e-6
+    own = mixed.n_tokens[mixed.topic == "table"].sum() / mixed.n_tokens.sum()
+    assert abs(w[mixed.topic == "table"].sum() / w.sum() - own) < 1e-6  # named alone, it shares with none
+    report = {(x["margin"], x["value"]): x for x in mixing.fit(given, targets=targets).collect()}
+    assert report["source", "s0"]["met"] and report["source", "s0"]["reached"] == pytest.approx(0.75 * mixed.n_tokens.sum(), rel=1e-6)
+    assert not report["topic", "none there"]["met"] and report["topic", "none there"]["goal"] is None
+    # One source in one language alone: the two marginals cannot be met together, and the report says so.
+    apart = given.withColumn("lang", F.when(F.col("source") == "s0", "aa").otherwise("bb"))
+    both = spark.createDataFrame([("source", "s0", 3.0), ("source", "s1", 1.0), ("lang", "aa", 1.0), ("lang", "bb", 3.0)], "margin string, value string, weight double")
+    assert not all(x["met"] for x in mixing.fit(apart, targets=both).collect())
+    assert mixing.fit(given.limit(0)).count() == 0 and mixing.mix(given.limit(0), targets=targets).count() == 0
+
+
+def test_pipeline_mixing_keeps_the_token_shares(spark, tmp_path):
+    """Tokens of what the mixing stage puts out, over all three marginals, against the tempered shares of what went in."""
+    import corpus_pipeline
+
+    r = random.Random(17)
+    kinds = ["", "", "", " | ", "###"]
+    rows = [(i, " ".join(r.choices(WORDS, k=r.randint(20, 60))) + r.choice(kinds), r.choice(["en"] * 5 + ["de"]), r.choice(["big"] * 6 + ["s1", "s2"]), 0) for i in range(12_000)]
+    given = spark.createDataFrame(rows, DOC)
+    count = lambda t: len(t.split())
+    look = lambda t: "table" if " | " in t else "markup" if "###" in t else "short" if len(t) < 500 else "medium"
+    before, after = {}, {}
+    for side, data in ((before, rows), (after, [tuple(x) for x in corpus_pipeline.mixing_stage(spark, given, str(tmp_path)).collect()])):
+        for _, t, lang, source, _ in data:
+            for key in (("lang", lang), ("source", source), ("topic", look(t))):
+                side[key] = side.get(key, 0) + count(t)
+    for m in ("lang", "source", "topic"):
+        total, kept = sum(n for k, n in before.items() if k[0] == m), sum(n for k, n in after.items() if k[0] == m)
+        want = {k: (n / total) ** mixing.ALPHA for k, n in before.items() if k[0] == m}
+        assert max(abs(after[k] / kept - x / sum(want.values())) for k, x in want.items()) < 0.01
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
@@ -460,7 +565,15 @@ def test_pipeline_stages_on_null_repeated_and_no_rows(spark, tmp_path):
         for df in (given, given.limit(0)):
             out = stage(spark, df, str(tmp_path))
             rows = out.collect()
-            assert len(rows) <= len(EDGE) + 1 and (df is given or not rows)
+            assert (k == 3 or len(rows) <= len(EDGE) + 1) and (df is given or not rows)
+            if k == 3 and df is given:  # repeats by the factors: as many of each row as mix() says
+                mixed = mixing.mix(given).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability").collect()
+                share = lambda i: int(hashlib.md5(str("" if i is None else i).encode()).hexdigest()[:8], 16) / 2**32
+                due = Counter()
+                for x in mixed:
+                    f = round(x["weight"] * x["probability"], 9) if x["n_tokens"] else min(1.0, x["probability"])
+                    due[x["doc_id"]] += int(f) + (share(x["doc_id"]) < f - int(f))
+                assert Counter(x["doc_id"] for x in rows) == +due
             assert k == 4 or out.columns == given.columns
             if k == 4 and df is given:
                 assert len(rows) == len(EDGE) + 1
