@@ -17,27 +17,43 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null and empty texts are scored like texts without words; rows that repeat a doc_id share its fate; without labels, and of
+    an empty table, no rows are left.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the largest doc_id stays."""
+    """Of equal texts one row stays, that of the largest doc_id.
+
+    Null and empty texts are equal; a null doc_id stays only where its text has no other; repeated rows become one; an empty
+    table gives no rows.
+    """
     return exact_dedup.keep_one(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates (five words, 0.8) the smallest doc_id stays."""
+    """Of near-duplicates (five words, 0.8) the smallest doc_id stays.
+
+    Null and empty texts are linked with nothing and stay; a null doc_id stays unless an exact copy has one; repeated rows become
+    one; an empty table gives no rows.
+    """
     return near_dedup.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are thinned or repeated by the factors that meet the target weights."""
+    """Documents are thinned or repeated by the factors that meet the target weights.
+
+    Null sources, languages and texts count as ''; documents without tokens are never repeated; rows that repeat a doc_id are
+    drawn alike; an empty table gives no rows.
+    """
     return mixing.sample(docs)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' ids and decoded texts, as digests."""
+    """The documents' ids and decoded texts, as digests, one row for each that comes in: null and empty texts have no tokens."""
     return bpe.encode_decode(docs)
 
 

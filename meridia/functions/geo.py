@@ -115,6 +115,18 @@ def screen(m: list[Column], x, y, z, width, height) -> Column:
     return F.struct(((row(0) / w + 1) / 2 * col(width)).alias("px"), ((1 - row(1) / w) / 2 * col(height)).alias("py"), (w > 0).alias("front"))
 
 
+def lattice(west, south, east, north, n: int) -> list[tuple[Column, Column]]:
+    """The (lon, lat) of n x n points of an extent, its corners among them; west > east where it goes across 180 degrees."""
+    w, s = col(west), col(south)
+    wide = F.pmod(col(east) - w, F.lit(360.0))
+    return [(F.pmod(w + wide * (k / (n - 1)) + 180, F.lit(360.0)) - 180, s + (col(north) - s) * (m / (n - 1))) for k in range(n) for m in range(n)]
+
+
+def extent_reach(lon, lat, west, south, east, north) -> Column:
+    """Kilometres from a place to the furthest of nine points of an extent."""
+    return F.greatest(*[great_circle_km(lon, lat, a, b) for a, b in lattice(west, south, east, north, 3)])
+
+
 def smoothstep(a: float, b: float, x) -> Column:
     t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (col(x) - a) / (b - a)))
     return t * t * (3 - 2 * t)

@@ -179,6 +179,29 @@ def changes(shown: DataFrame, order: str = "view") -> DataFrame:
     return both.select(order, "id", F.when(F.col("was").isNull(), "enter").when(F.col("now").isNull(), "exit").otherwise("stay").alias("change"))
 
 
+def extent_pixels(rows: DataFrame, matrix: list[float], width: float, height: float, least: float = 0.0) -> DataFrame:
+    """id, px, seen of rows(id, west, south, east, north): the larger side in pixels of the box around those of an extent's 5 x 5 points that are
+    before the horizon of a view (w over `least`), and how many are; extents behind it have no row."""
+    n = 5
+    at = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))))
+    lon = F.col("west") + F.pmod(F.col("east") - F.col("west"), F.lit(360.0)) * F.pmod("_k", F.lit(n)) / (n - 1)
+    lat = F.col("south") + (F.col("north") - F.col("south")) * F.floor(F.col("_k") / n) / (n - 1)
+    at = at.withColumns({"_a": F.radians(lon), "_b": F.radians(lat)}).withColumns({"_x": F.cos("_b") * F.cos("_a"), "_y": F.cos("_b") * F.sin("_a"), "_z": F.sin("_b")})
+    row = lambda r: matrix[4 * r] * F.col("_x") + matrix[4 * r + 1] * F.col("_y") + matrix[4 * r + 2] * F.col("_z") + matrix[4 * r + 3]
+    at = at.withColumn("_w", row(3)).where(F.col("_w") > least)
+    at = at.withColumns({"_px": (row(0) / F.col("_w") + 1) / 2 * width, "_py": (1 - row(1) / F.col("_w")) / 2 * height})
+    side = lambda c: F.max(c) - F.min(c)
+    return at.groupBy("id").agg(F.greatest(side("_px"), side("_py")).alias("px"), F.count(F.lit(1)).alias("seen"))
+
+
+def expansion(rows: DataFrame, split: float, merge: float) -> DataFrame:
+    """rows(view, id, px) with expanded: a parent opens where its extent has `split` pixels, closes below `merge`, and between the two
+    stays as it was in the view before (closed at first)."""
+    told = F.when(F.col("px") >= split, True).when(F.col("px") < merge, False)
+    w = Window.partitionBy("id").orderBy("view").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("expanded", F.coalesce(F.last(told, ignorenulls=True).over(w), F.lit(False)))
+
+
 def collapse(visible: DataFrame, lineage: DataFrame) -> DataFrame:
     """visible(view, id, expanded) without rows that a visible, not expanded ancestor of lineage(node, ancestor) stands for; with `hidden`."""
     standing = visible.where("not expanded").select("view", F.col("id").alias("ancestor"))

@@ -37,19 +37,25 @@ def gaps(spans: DataFrame) -> DataFrame:
     return spans.withColumn("seen", seen).where(F.col("first") > F.col("seen") + 1).select("name", (F.col("seen") + 1).alias("gone"), F.col("first").alias("back"))
 
 
+def gap_runs(holders: DataFrame) -> DataFrame:
+    """j, i, before, after, first, last: the runs of steps in which a cell of holders(step, j, i, name) is unclaimed between two holders.
+
+    Only rows with a name count, so that no cell has to be there at every step.
+    """
+    w = Window.partitionBy("j", "i").orderBy("step")
+    held = holders.where("name is not null").select("step", "j", "i", F.col("name").alias("before"), F.lead("step").over(w).alias("back"), F.lead("name").over(w).alias("after"))
+    return held.where(F.col("back") > F.col("step") + 1).select("j", "i", "before", "after", (F.col("step") + 1).alias("first"), (F.col("back") - 1).alias("last"))
+
+
 def carried(holders: DataFrame, years: DataFrame, most: int) -> DataFrame:
     """step, j, i, name of unclaimed cells between the same holder on both sides, where no more than `most` years lie from the run's first step to the step itself.
 
-    holders(step, j, i, name null where unclaimed) has each cell at every step; years(step, year).
+    holders(step, j, i, name) has one holder to a cell, null or no row where unclaimed; years(step, year), steps without gaps.
     """
-    rows = join_bounded(holders, years, ["step"], "inner")
-    w = Window.partitionBy("j", "i").orderBy("step")
-    before = F.last("name", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("name", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    began = F.max(F.when(F.col("name").isNotNull(), F.col("step"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.withColumn("a", before).withColumn("b", after).withColumn("s", began)
-    first = F.min(F.when(F.col("name").isNull(), F.col("year"))).over(Window.partitionBy("j", "i", "s"))
-    return marked.withColumn("f", first).where(F.col("name").isNull() & (F.col("a") == F.col("b")) & (F.col("year") - F.col("f") <= most)).select("step", "j", "i", F.col("a").alias("name"))
+    year = lambda x, y: years.select(F.col("step").alias(x), F.col("year").alias(y))
+    runs_ = join_bounded(gap_runs(holders).where("before = after"), year("first", "_from"), ["first"], "inner")
+    rows = join_bounded(runs_.withColumn("step", F.explode(F.sequence("first", "last"))), year("step", "_at"), ["step"], "inner")
+    return rows.where(F.col("_at") - F.col("_from") <= most).select("step", "j", "i", F.col("before").alias("name"))
 
 
 def wide_only(carry: DataFrame, columns: int, reach: int = 1) -> DataFrame:
@@ -67,14 +73,8 @@ def carried_units(carry: DataFrame, units: DataFrame) -> DataFrame:
 def unresolved(holders: DataFrame, years: DataFrame, most: int, least_km2: float, rows: int, columns: int, acknowledged: DataFrame | None = None) -> DataFrame:
     """a, b, first, last, region, cells, km2: regions of cells that are unclaimed over the same run of steps, `most` years at most, between two
     holders, of `least_km2` at least. acknowledged(a, b, first, last) leaves out the runs between its names that lie in its steps."""
-    held = join_bounded(holders, years, ["step"], "inner")
-    w = Window.partitionBy("j", "i").orderBy("step")
-    a = F.last("name", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    b = F.first("name", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    s = F.max(F.when(F.col("name").isNotNull(), F.col("step"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    open_ = held.withColumn("a", a).withColumn("b", b).withColumn("s", s).where("name is null and a is not null and b is not null")
-    open_ = open_.withColumnsRenamed({"a": "before", "b": "after"})
-    spans = open_.groupBy("j", "i", "s", "before", "after").agg(F.min("step").alias("first"), F.max("step").alias("last"), F.min("year").alias("y0"), F.max("year").alias("y1")).where(F.col("y1") - F.col("y0") <= most)
+    year = lambda x, y: years.select(F.col("step").alias(x), F.col("year").alias(y))
+    spans = join_bounded(join_bounded(gap_runs(holders), year("first", "y0"), ["first"], "inner"), year("last", "y1"), ["last"], "inner").where(F.col("y1") - F.col("y0") <= most)
     by = ["before", "after", "first", "last"]
     found = regions(spans, by, columns).groupBy(*by, "region").agg(F.count(F.lit(1)).alias("cells"), F.sum(km2(F.col("j"), rows, columns)).alias("km2"))
     found = found.where(F.col("km2") >= least_km2).withColumnsRenamed({"before": "a", "after": "b"})

@@ -124,6 +124,13 @@ def pick_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picks.collapse(visible, lineage).join(parents, "id", "left").select("view", "id", "expanded", "hidden", F.coalesce("context_parents", F.lit(0)).alias("context_parents"))
 
 
+@query("TK7", f"""{bind.ctes(e=_E)}, {_V}, w AS ({_VIEWS}), t AS (SELECT view, id, px, CASE WHEN px >= 900 THEN true WHEN px < 500 THEN false END AS told FROM w)
+SELECT view, id, coalesce(last_value(told IGNORE NULLS) OVER (PARTITION BY id ORDER BY view ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS expanded FROM t""")
+def pick_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which parents stand open in each of eight views, as their extents grow and shrink."""
+    return picks.expansion(_views(spark, sf_dir).select("view", "id", "px"), 900.0, 500.0).select("view", "id", "expanded")
+
+
 @query("TK11")
 def pick_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of eight views placed in order of score without overlap; new ones need more room than those kept."""
@@ -202,3 +209,18 @@ def sc_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     pad = F.greatest(F.lit(1.0), (F.col("t1") - F.col("t0")) * 0.1)
     w = Window.partitionBy("cls").orderBy("t0", "qid")
     return bind.frame(spark, sf_dir, _E).select("qid", F.greatest(F.col("t0") - pad, F.lit(700000.0)).alias("w0"), F.least(F.col("t1") + pad, F.lit(730000.0)).alias("w1"), F.floor(F.col("qid") / 16).alias("chunk"), F.lag("qid").over(w).alias("before"), F.lead("qid").over(w).alias("after"))
+
+
+_EXTENT = f"SELECT p_partkey AS qid, {bind.geo('p_partkey')}, ((p_partkey * 7919 % 36000) / 1e2 - 180) - p_partkey % 9 AS west, ((p_partkey * 104729 % 17800) / 1e2 - 89) * 0.9 - p_partkey % 4 AS south, ((p_partkey * 7919 % 36000) / 1e2 - 180) + p_partkey % 7 AS east, ((p_partkey * 104729 % 17800) / 1e2 - 89) * 0.9 + p_partkey % 5 AS north FROM {{part}}"
+_LATTICE = "SELECT x.*, west + (((east - west) % 360 + 360) % 360) * a / {0}.0 AS plon, south + (north - south) * b / {0}.0 AS plat FROM x, (SELECT unnest(range({1})) AS a), (SELECT unnest(range({1})) AS b)"
+
+
+@query("SC20 SC29", f"""{bind.ctes(x=_EXTENT)}, l3 AS ({_LATTICE.format(2, 3)}), l5 AS ({_LATTICE.format(4, 5)}), r AS (SELECT qid, max({KM.format("lon", "lat", "plon", "plat")}) AS km FROM l3 GROUP BY qid),
+u AS (SELECT qid, cos(radians(plat)) * cos(radians(plon)) AS x, cos(radians(plat)) * sin(radians(plon)) AS y, sin(radians(plat)) AS z FROM l5), w AS (SELECT *, 0.7 * x + 0.2 * y + 0.1 * z + 0.4 AS w FROM u),
+p AS (SELECT qid, ((1.2 * x + 0.1 * y + 0.1) / w + 1) / 2 * 1440 AS px, (1 - (1.5 * y + 0.2 * z) / w) / 2 * 900 AS py FROM w WHERE w > 0.05), s AS (SELECT qid, greatest(max(px) - min(px), max(py) - min(py)) AS px, count(*) AS n FROM p GROUP BY qid)
+SELECT r.qid, round(km, 4) AS reach_km, CASE WHEN n = 25 THEN round(px, 4) END AS px FROM r LEFT JOIN s USING (qid)""")
+def sc_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far extents reach from their places, and their size in a view that shows them whole."""
+    x = bind.frame(spark, sf_dir, _EXTENT).withColumnRenamed("qid", "id")
+    px = picks.extent_pixels(x, _MATRIX, 1440, 900, 0.05).select("id", F.when(F.col("seen") == 25, F.round("px", 4)).alias("px"))
+    return x.join(px, "id", "left").select(F.col("id").alias("qid"), F.round(geo.extent_reach("lon", "lat", "west", "south", "east", "north"), 4).alias("reach_km"), "px")

@@ -68,13 +68,18 @@ _HOLD = f"""{_YEARS}, pc{CELLS.split(", pc", 1)[1]}, hc AS (SELECT step, j, i, m
 al AS (SELECT st.step, c.j, c.i, hc.name, st.year FROM (SELECT DISTINCT j, i FROM pc) c CROSS JOIN st LEFT JOIN hc ON hc.step = st.step AND hc.j = c.j AND hc.i = c.i)"""
 
 
-def _holders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Each cell's holder at each change year, null where it has none, and the years."""
+def _holding(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The holder of each cell that has one at each change year, and the years."""
     years = _changes(spark, sf_dir)
-    rows = all_cells(spark, sf_dir)
-    held = interval_join(rows, years.withColumn("until", F.col("year")), "first", "last", "year", "until", 10).groupBy("step", "j", "i").agg(F.min("name").alias("name"))
-    spine = rows.select("j", "i").distinct().crossJoin(F.broadcast(years.select("step")))  # one row per step
-    return stored(spine.join(held, ["step", "j", "i"], "left"), "holders"), years
+    rows = interval_join(all_cells(spark, sf_dir), years.withColumn("until", F.col("year")), "first", "last", "year", "until", 10)
+    return stored(rows.groupBy("step", "j", "i").agg(F.min("name").alias("name")), "holders"), years
+
+
+def _holders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cell's holder at each change year, null where it has none: what is to be filled is every empty cell of every map."""
+    held, years = _holding(spark, sf_dir)
+    spine = all_cells(spark, sf_dir).select("j", "i").distinct().crossJoin(F.broadcast(years.select("step")))  # one row per step
+    return stored(spine.join(held, ["step", "j", "i"], "left"), "maps")
 
 
 def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +99,7 @@ SELECT CAST(step AS INT) AS step, CAST(j AS INT) AS j, CAST(i AS INT) AS i, a AS
 @query("WN12", _CARRIED)
 def step_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unclaimed cells carried through between the same holder, over every change year."""
-    held, years = _holders(spark, sf_dir)
+    held, years = _holding(spark, sf_dir)
     return steps.carried(held, years, 12)
 
 
@@ -113,7 +118,7 @@ e AS (SELECT step, name, j, i FROM k GROUP BY ALL HAVING count(*) = 9), wd AS (S
 u AS (SELECT name, arg_max(outer_unit, (cells, outer_unit)) AS outer_unit FROM un GROUP BY name) SELECT step, wd.name, coalesce(outer_unit, wd.name) AS outer_unit, count(*) AS cells FROM wd LEFT JOIN u USING (name) GROUP BY ALL""")
 def step_carried_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide parts of what is carried through, with the outer unit of the largest of the name's rows."""
-    held, years = _holders(spark, sf_dir)
+    held, years = _holding(spark, sf_dir)
     wide = steps.wide_only(stored(steps.carried(held, years, 12), "carried"), W)
     units = bind.frame(spark, sf_dir, _P).select("name", F.concat(F.lit("U"), (F.col("row_id") % 7).cast("string")).alias("outer"), (F.col("h") * F.col("w")).alias("cells"))
     return steps.carried_units(wide, units).withColumnRenamed("outer", "outer_unit")
@@ -130,7 +135,7 @@ lb AS (SELECT a, b, first, last, j, i, min(c) AS region FROM r GROUP BY ALL), f
 SELECT a, b, CAST(first AS INT) AS first, CAST(last AS INT) AS last, CAST(region AS BIGINT) AS region, cells, round(km2, 3) AS km2 FROM f WHERE NOT EXISTS (SELECT 1 FROM p WHERE 'P' || CAST(row_id * 3 % 40 AS VARCHAR) = f.a AND name = f.b AND row_id % 20 <= f.first AND f.last <= row_id % 20 + 30)""")
 def step_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions unclaimed for a while between two holders, those acknowledged left out."""
-    held, years = _holders(spark, sf_dir)
+    held, years = _holding(spark, sf_dir)
     said = bind.frame(spark, sf_dir, _P).select(F.concat(F.lit("P"), (F.col("row_id") * 3 % 40).cast("string")).alias("a"), F.col("name").alias("b"), (F.col("row_id") % 20).alias("first"), (F.col("row_id") % 20 + 30).alias("last"))
     return steps.unresolved(held, years, 40, 300_000.0, H, W, said).withColumn("km2", F.round("km2", 3))
 
@@ -188,7 +193,7 @@ k AS (SELECT *, round(400 * sqrt((j1 - j0 + 1) * (j1 - j0 + 1) + (i1 - i0 + 1) *
 SELECT CAST(step AS INT) AS step, CAST(region AS BIGINT) AS region, cells, km FROM k WHERE km > 1000 AND NOT EXISTS (SELECT 1 FROM st, region WHERE st.step = k.step AND r_regionkey * 10 <= j1 AND r_regionkey * 10 + 3 >= j0 AND st.step % 60 <= i1 AND st.step % 60 + 8 >= i0)""")
 def audit_shore_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Borders that run beside a shore for more than 1,000 km at any change year, those with an excuse left out."""
-    held, years = _holders(spark, sf_dir)
+    held, years = _holding(spark, sf_dir)
     border = cells.border_cells(held.where("name is not null"), ["step"], W)
     band = cells.shore_band(lake_cells(spark, sf_dir), [], W)
     runs = cells.shore_runs(border, years.select("step").crossJoin(F.broadcast(band)), ["step"], W, 400.0)  # a shore band of bounded lakes
@@ -223,7 +228,7 @@ c8 AS (SELECT * FROM c7 c WHERE NOT (name = 'P9' AND step <= 30 AND NOT EXISTS (
 SELECT CAST(step AS INT) AS step, name, count(*) AS cells FROM c8 GROUP BY step, name""")
 def step_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of names at each change year after corrections in order."""
-    held, _ = _holders(spark, sf_dir)
+    held, _ = _holding(spark, sf_dir)
     rows = held.where("name is not null").select("step", "name", F.col("j").cast("int").alias("j"), F.col("i").cast("int").alias("i"))
     source = all_cells(spark, sf_dir).select("name", "first", "last", F.col("j").cast("int").alias("j"), F.col("i").cast("int").alias("i"))
     return steps.corrected(rows, _CORRECTIONS, W, source).groupBy("step", "name").agg(F.count(F.lit(1)).alias("cells"))
@@ -267,7 +272,7 @@ re AS (SELECT em.* FROM em ANTI JOIN h1 USING (step, j, i)), h2 AS (SELECT a.ste
 SELECT CAST(step AS INT) AS step, CAST(j AS INT) AS j, CAST(i AS INT) AS i, id FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2)""")
 def step_pockets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Empty cells at each change year: holes are filled from their own unit's land, what is left from the nearest holder of that year."""
-    held, _ = _holders(spark, sf_dir)
+    held = _holders(spark, sf_dir)
     unit = F.concat(F.lit("U"), F.pmod(F.floor(F.col("j") / 5) + F.floor(F.col("i") / 8), F.lit(4)).cast("string"))
     empty = held.where("name is null").select("step", "j", "i", unit.alias("unit"), (F.pmod(F.col("j") + F.col("i"), F.lit(2)) == 0).alias("hole"))
     own = held.where("name is not null").select("step", "j", "i", F.col("name").alias("id"), F.concat(F.lit("U"), (F.substring("name", 2, 9).cast("int") % 4).cast("string")).alias("unit"))

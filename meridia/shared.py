@@ -8,18 +8,29 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: By application: the folder that its tables are written to.
 _OWN: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset a temporary one, on a local master only."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if there:
-        return there.rstrip("/")
+    """This application's folder below the one named in spark.checkpoint.dir; where that is unset below a temporary one, on a local master only.
+
+    It is deleted with all that stored() wrote there when the driver's JVM ends.
+    """
     context = spark.sparkContext
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return _OWN.setdefault(context.applicationId, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    own = context.applicationId
+    if own not in _OWN:
+        there = spark.conf.get("spark.checkpoint.dir", None)
+        if not there:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            there = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{there.rstrip('/')}/meridia-{own}")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _OWN[own] = path.toString()
+    return _OWN[own]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
