@@ -35,7 +35,8 @@ def best_paths(messages: DataFrame, best: int = 1) -> DataFrame:
     messages(conv_id, node_id, parent_id, score): a message whose parent is null, itself
     or absent is a root. Paths are ranked by the sum of their scores (null: 0), then by
     length, then by the smaller leaf. Messages in a circle of replies have no root and are
-    on no path. node_id is to be unique in its conversation.
+    on no path. node_id is to be unique in its conversation: rows that repeat one multiply the ways
+    through it. Null conversations and ids are left out; other columns aren't looked at; an empty table gives no rows.
     """
     nodes = messages.select("conv_id", "node_id", "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     parents = nodes.select("conv_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("there"))

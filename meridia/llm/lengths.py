@@ -52,7 +52,11 @@ def _counter(shared):
 
 
 def encoded_lengths(docs: DataFrame, path: str | None = None, split: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and n_tokens of each document; null counts as empty."""
+    """doc_id and n_tokens of each document.
+
+    Null texts count as empty, a null doc_id stays null, rows that repeat are encoded each, other columns aren't looked at, an
+    empty table gives no rows.
+    """
     with open(path or rank_file(), "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast((f.read(), split or pattern()))
     return documents(docs, id_col, text_col).mapInArrow(_counter(shared), "doc_id long, n_tokens long")

@@ -55,12 +55,13 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     real = kind[starts + 1] != 0
     starts, ends = starts[real], ends[real]
     bucket = (span_hashes(buffer, starts, ends) % np.uint64(BUCKETS - 8)).astype(np.uint16)
+    before = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts]))
+    text = np.repeat(np.arange(len(texts)), np.diff(before))
     again = np.zeros(len(bucket), bool)
-    again[1:] |= bucket[1:] == bucket[:-1]
-    again[2:] |= bucket[2:] == bucket[:-2]
+    for d in (1, 2):  # within a text: what stands beside it in a batch says nothing of it
+        again[d:] |= (bucket[d:] == bucket[:-d]) & (text[d:] == text[:-d])
     bucket = np.where(again, (kind[starts + 1].astype(np.uint16) + (BUCKETS - 8)).astype(np.uint16), bucket)
-    begin = np.cumsum([0] + [len(t) + 1 for t in texts])
-    return bucket, np.searchsorted(starts, begin)
+    return bucket, before
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -182,7 +183,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     of these only sets the temperature. Null and empty texts are scored like a text
     without words. A null doc_id is not held out; labels that are null, or disagree for one
     doc_id, are left out. Without labels each score is 0.5. Rows that repeat a
-    doc_id are scored each; other columns aren't looked at; an empty table gives no rows.
+    doc_id are scored each, and of their texts that of the least pooled vector is fitted on; other columns aren't looked at; an empty table gives no rows.
     """
     docs = documents(docs, id_col, text_col)
     context = docs.sparkSession.sparkContext
@@ -192,7 +193,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "y")
     vectors = word_vectors(docs)
     texts = docs.join(F.broadcast(chosen), "doc_id")  # `sample` rows of two numbers
-    rows = texts.select("doc_id", "text").mapInArrow(_pooler(context.broadcast(vectors)), "doc_id long, x array<double>").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    rows = texts.select("doc_id", "text").mapInArrow(_pooler(context.broadcast(vectors)), "doc_id long, x array<double>").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).toPandas().sort_values("doc_id")
     network = None
     if len(rows):
         apart = np.array([zlib.crc32(b"t%d" % i) % 5 == 0 for i in rows["doc_id"]])
@@ -202,6 +203,10 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, all columns, that are predicted good."""
+    """The rows of docs, all columns, that are predicted good.
+
+    Rows that repeat a doc_id stay together where one of them is predicted good; null ids, texts and labels as in score(); an
+    empty table, or one without labels (each score is 0.5), gives no rows.
+    """
     good = score(docs, labels, id_col, text_col, **options).where("predicted = 1").select(F.col("doc_id").alias("_good_id")).distinct()
     return docs.join(good, F.col(id_col).cast("long").eqNullSafe(F.col("_good_id")), "left_semi")

@@ -215,6 +215,42 @@ def test_quality_learns_and_leaves_held_out_labels_alone(spark):
     assert {x["score"] for x in quality.score(docs(spark, EDGE), lab.limit(0)).collect()} == {0.5}
 
 
+def test_quality_vectors_and_pooling_equal_a_plain_twin(spark):
+    np = pytest.importorskip("numpy")
+    r = random.Random(18)
+    parts = ["the", "The", "THE", "ABc", "x1", "12", "##", "ok.", "Zug", "é", "a-b", "  ", "\t"]
+    texts = ["", "one", "One"] + [" ".join(r.choices(parts + WORDS, k=r.randint(0, 60))) for _ in range(60)]
+    kind = lambda b: 0 if b in b" \t\n\x0b\x0c\r" else 2 if chr(b).isascii() and chr(b).isupper() else 4 if chr(b) in "0123456789" else 1 if b >= 128 or chr(b).islower() else 3
+
+    def words(text):
+        b, out, at = text.encode(), [], 0
+        while at < len(b):
+            end = at + 1
+            while end < len(b) and (kind(b[end]) == kind(b[end - 1]) or (kind(b[end]) == 1 and kind(b[end - 1]) == 2 and (end < 2 or kind(b[end - 2]) != 2))):
+                end += 1
+            if kind(b[at]):
+                out.append((b[at:end], kind(b[at])))
+            at = end
+        raw = [int(quality.span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0] % np.uint64(quality.BUCKETS - 8)) for w, _ in out]
+        return [quality.BUCKETS - 8 + out[i][1] if x in raw[max(0, i - 2) : i] else x for i, x in enumerate(raw)]
+
+    index = quality.index_vectors().astype(np.int64)
+    total = np.zeros((quality.BUCKETS, quality.DIMENSIONS))
+    for t in texts:
+        w = words(t)
+        for i, x in enumerate(w):
+            for k in range(max(0, i - quality.REACH), min(len(w), i + quality.REACH + 1)):
+                if k != i:
+                    total[x] += index[w[k]]
+    total -= np.outer(np.abs(total).sum(axis=1), total.sum(axis=0) / np.abs(total).sum())
+    unit = total / np.maximum(1e-9, np.linalg.norm(total, axis=1, keepdims=True))
+    got = quality.word_vectors(docs(spark, list(enumerate(texts))).select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    assert np.allclose(got, unit, atol=1e-5)
+    for t, x in zip(texts, quality.pool([t.encode() for t in texts], got), strict=True):
+        w = words(t)
+        assert np.allclose(x[:-1], np.mean([unit[k] for k in w], axis=0) if w else 0, atol=1e-5) and abs(x[-1] - math.log1p(len(w))) < 1e-9
+
+
 def test_licences_equal_brute_force(spark):
     r = random.Random(5)
     lines = [t for _, t in licences.TEMPLATES] + ["the work is under a license", "nothing here", "", "Licensed under the Apache licence 2.0"]
