@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: By application: the folder that its tables are written to.
-_OWN: dict[str, str] = {}
+#: By application and setting: the folder that its tables are written to.
+_OWN: dict[tuple[str, str | None], str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
@@ -18,14 +18,14 @@ def scratch(spark: SparkSession) -> str:
     It is deleted with all that stored() wrote there when the driver's JVM ends.
     """
     context = spark.sparkContext
-    own = context.applicationId
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    own = context.applicationId, there
     if own not in _OWN:
-        there = spark.conf.get("spark.checkpoint.dir", None)
         if not there:
             if not context.master.startswith("local") or context.master.startswith("local-cluster"):
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             there = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{there.rstrip('/')}/meridia-{own}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{there.rstrip('/')}/meridia-{own[0]}")
         files = path.getFileSystem(spark._jsc.hadoopConfiguration())
         files.mkdirs(path)
         files.deleteOnExit(path)
