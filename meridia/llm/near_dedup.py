@@ -11,7 +11,7 @@ A bucket of up to SMALL sets proposes all its pairs. A larger one first proposes
 its members with a few hubs; where the links found so far leave it in several
 components, the members outside of the largest are held against all members by
 their sketches, in blocks of bounded size; members with a possible partner come again
-with their full sets, in blocks of bounded bytes. Blocks put out members and links, never
+with their full sets, in blocks of bounded numbers and bytes. Blocks put out members and links, never
 mere candidates. So no group is ever gathered whole, pairs
 already known to be connected are never formed, and no link that could join two
 components goes unlooked at.
@@ -33,7 +33,7 @@ from meridia.llm.words import mix, shingle_sets
 from meridia.operators.graph import components
 
 BANDS, ROWS, BITS = 52, 6, 1024
-#: BLOCK counts sets, HEAVY shingles.
+#: BLOCK counts sets, HEAVY shingles: a block of full sets has 2 * BLOCK of the ones and about HEAVY of the others at most.
 SMALL, HUBS, BLOCK, HEAVY = 16, 3, 256, 1 << 18
 
 
@@ -191,8 +191,10 @@ def _residual(members: DataFrame, sets: DataFrame, links: DataFrame, docs: DataF
     full = shingles(docs, found.select(F.col("rep").alias("doc_id")), k)
     rows = stored(rows.join(found, ["key", "rep"]), "bucket-rows")
     asking = F.when(F.col("component") != F.col("main"), F.col("n"))
-    weights = rows.join(buckets.select("key", "main"), "key").groupBy("key", "main").agg(F.sum("n").alias("all"), F.coalesce(F.sum(asking), F.lit(0)).alias("own")).where("own > 0")
-    pieces = weights.select("key", "main", F.ceil(F.col("all") / HEAVY).cast("int").alias("p"), F.ceil(F.col("own") / HEAVY).cast("int").alias("q"))
+    sums = [F.sum("n").alias("all"), F.count(F.lit(1)).alias("all_n"), F.coalesce(F.sum(asking), F.lit(0)).alias("own"), F.count(asking).alias("own_n")]
+    weights = rows.join(buckets.select("key", "main"), "key").groupBy("key", "main").agg(*sums).where("own > 0")
+    dealt = lambda shingles_, sets_: F.greatest(F.ceil(F.col(shingles_) / HEAVY), F.ceil(F.col(sets_) / (2 * BLOCK))).cast("int")
+    pieces = weights.select("key", "main", dealt("all", "all_n").alias("p"), dealt("own", "own_n").alias("q"))
     rows = rows.join(full, F.col("rep") == F.col("doc_id")).drop("doc_id")
     return stored(_in_blocks(rows, pieces, ["shingles"]).groupBy("key", "i", "j").applyInArrow(_linked(limit, percent), "a long, b long").distinct(), "residual")
 
