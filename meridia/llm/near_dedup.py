@@ -33,7 +33,7 @@ from meridia.llm.words import mix, shingle_sets
 from meridia.operators.graph import components
 
 BANDS, ROWS, BITS = 52, 6, 1024
-#: BLOCK counts sets, HEAVY shingles: a block of full sets has 2 * BLOCK of the ones and about HEAVY of the others at most.
+#: BLOCK counts sets, HEAVY shingles: a block deals with about BLOCK by BLOCK sets, of about HEAVY shingles on each side at most.
 SMALL, HUBS, BLOCK, HEAVY = 16, 3, 256, 1 << 18
 
 
@@ -193,7 +193,7 @@ def _residual(members: DataFrame, sets: DataFrame, links: DataFrame, docs: DataF
     asking = F.when(F.col("component") != F.col("main"), F.col("n"))
     sums = [F.sum("n").alias("all"), F.count(F.lit(1)).alias("all_n"), F.coalesce(F.sum(asking), F.lit(0)).alias("own"), F.count(asking).alias("own_n")]
     weights = rows.join(buckets.select("key", "main"), "key").groupBy("key", "main").agg(*sums).where("own > 0")
-    dealt = lambda shingles_, sets_: F.greatest(F.ceil(F.col(shingles_) / HEAVY), F.ceil(F.col(sets_) / (2 * BLOCK))).cast("int")
+    dealt = lambda shingles_, sets_: F.greatest(F.ceil(F.col(shingles_) / HEAVY), F.ceil(F.col(sets_) / BLOCK)).cast("int")
     pieces = weights.select("key", "main", dealt("all", "all_n").alias("p"), dealt("own", "own_n").alias("q"))
     rows = rows.join(full, F.col("rep") == F.col("doc_id")).drop("doc_id")
     return stored(_in_blocks(rows, pieces, ["shingles"]).groupBy("key", "i", "j").applyInArrow(_linked(limit, percent), "a long, b long").distinct(), "residual")
