@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridia.llm import bpe, chat, exact_dedup, lengths, licences, mixing, near_dedup, quality, transport, warc
+from meridia.llm import alignment, bpe, chat, exact_dedup, importance, lengths, licences, mixing, near_dedup, quality, suffix_dedup, transport, warc
 from meridia.llm.common import stored, table
 
 
@@ -53,9 +53,35 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash_near_dedup, op2_quality_classifier, op3_license_scan, op4_chat_format, op5_exact_dedup, op6_token_lengths, op7_bpe, op8_transport_stream, op9_mixing, op10_warc)
+    for f in (
+        op1_minhash_near_dedup,
+        op2_quality_classifier,
+        op3_license_scan,
+        op4_chat_format,
+        op5_exact_dedup,
+        op6_token_lengths,
+        op7_bpe,
+        op8_transport_stream,
+        op9_mixing,
+        op10_warc,
+        op11_importance_resampling,
+        op12_suffix_dedup,
+        op13_tokenizer_alignment,
+    )
 }
 
 OP5_SQL = """SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
@@ -67,4 +93,5 @@ SQL: dict[str, str] = {
     "op5_exact_dedup": OP5_SQL,
     "op9_mixing": f"WITH {mixing.mix_sql('documents')}\nSELECT * FROM mixed",
     "op10_warc": warc.WARC_SQL,
+    "op11_importance_resampling": importance.RESAMPLE_SQL,
 }
