@@ -6,7 +6,9 @@ years are astronomical (0 is 1 BCE). All are BIGINT, as dates reach far beyond D
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: First day of the Gregorian calendar, 1582-10-15, and the last Julian day before it.
@@ -92,6 +94,18 @@ def last_day(y: Column | str, m: Column | str, d: Column | str, precision: Colum
     return F.when(p > MONTH, historical_day(y, m, d)).otherwise(after)
 
 
+def with_period(df: DataFrame, y: str, m: str, d: str, precision: str, first: str, last: str, exact: Callable[..., Column] = historical_day) -> DataFrame:
+    """df with first and last, the days that a date names: a day by `exact`, a month or a year as written then.
+
+    Where the period and the one after it begin is worked out in a projection of its own, so that what is generated for the days stays small.
+    """
+    p, year = F.col(precision), F.col(precision) <= YEAR
+    turn = year | (F.col(m) == 12)
+    begins = df.select("*", F.when(year, 1).otherwise(F.col(m)).alias("_m0"), (F.col(y).cast("long") + F.when(turn, 1).otherwise(0)).alias("_y1"), F.when(turn, 1).otherwise(F.col(m) + 1).alias("_m1"))
+    days = begins.select("*", F.when(p > MONTH, exact(y, m, d)).alias("_day"), F.when(p <= MONTH, historical_day(y, "_m0", 1)).alias("_first"), F.when(p <= MONTH, historical_day("_y1", "_m1", 1)).alias("_next"))
+    return days.select(*df.columns, F.coalesce("_day", "_first").alias(first), F.coalesce("_day", F.col("_next") - 1).alias(last))
+
+
 def astronomical(y: Column | str) -> Column:
     """A source's year without a year zero."""
     return F.when(col(y) < 0, col(y) + 1).otherwise(col(y))

@@ -21,8 +21,7 @@ def usable(statements: DataFrame, classes: DataFrame) -> DataFrame:
     """
     listed = classes.select("cls", "weight")
     dated = join_bounded(statements.where(F.col("prec") >= cal.YEAR), listed, ["cls"], "inner")
-    exact = lambda f: F.when(F.col("prec") > cal.MONTH, cal.gregorian_day("y", "m", "d")).otherwise(f("y", "m", "d", "prec"))
-    return dated.withColumn("s0", exact(cal.first_day)).withColumn("s1", exact(cal.last_day))
+    return cal.with_period(dated, "y", "m", "d", "prec", "s0", "s1", cal.gregorian_day)
 
 
 def index(statements: DataFrame, classes: DataFrame, curated: DataFrame) -> DataFrame:
