@@ -161,15 +161,38 @@ def spherical_centroid(lon: str, lat: str) -> tuple[Column, Column]:
     return F.when(none, least[lon]).otherwise(F.degrees(F.atan2(y, x))), F.when(none, least[lat]).otherwise(F.degrees(F.atan2(z, F.sqrt(x * x + y * y))))
 
 
-def smallest_extent(points: DataFrame, by: list[str]) -> DataFrame:
-    """by, west, south, east, north of points(by, lon, lat): the shortest arc of longitudes (west > east across 180 degrees) and the range of latitudes."""
+def smallest_extent(points: DataFrame, by: list[str], widths: Sequence[float] = (1.0, 1 / 1024)) -> DataFrame:
+    """by, west, south, east, north of points(by, lon, lat): the shortest arc of longitudes (west > east across 180 degrees) and the range of latitudes.
+
+    The arc is what the widest gap between longitudes leaves over; of equal gaps that which begins first. A group's longitudes are first
+    merged to the least and greatest of each bucket of `widths[0]` degrees, before the shuffle. A gap between buckets that is as wide as a bucket
+    is wider than any gap within one, so most groups are done with at most 360 rows each. Groups without
+    such a gap lie all around the globe: they go on with the next width, and at last with all gaps of each of its
+    buckets. No task orders the longitudes of a whole group. Nulls are left out.
+    """
+    points = points.where("lon is not null and lat is not null")
     lat = points.groupBy(*by).agg(F.min("lat").alias("south"), F.max("lat").alias("north"))
-    lons = points.select(*by, "lon").distinct()
-    w = Window.partitionBy(*by).orderBy("lon")
-    first = F.first("lon").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    gaps = lons.withColumn("next", F.coalesce(F.lead("lon").over(w), first)).withColumn("gap", F.when(F.col("next") > F.col("lon"), F.col("next") - F.col("lon")).otherwise(F.col("next") - F.col("lon") + 360))
-    # The widest gap lies outside; of equal gaps that which begins first.
-    arc = gaps.groupBy(*by).agg(F.max_by(F.struct(F.col("next").alias("west"), F.col("lon").alias("east")), F.struct("gap", -F.col("lon"))).alias("a"))
+    gap = F.when(F.col("next") > F.col("lon"), F.col("next") - F.col("lon")).otherwise(F.col("next") - F.col("lon") + 360)
+    best = F.max(F.struct(gap.alias("gap"), (-F.col("lon")).alias("order"), F.col("next").alias("west"), F.col("lon").alias("east"))).alias("a")
+    rest, found = points.select(*by, "lon"), []
+    for width in widths:
+        buckets = stored(rest.groupBy(*by, F.floor((F.col("lon") + 180) / width).alias("bucket")).agg(F.min("lon").alias("low"), F.max("lon").alias("lon")), "buckets")
+        w = Window.partitionBy(*by).orderBy("bucket")  # as many rows as there are buckets
+        first = F.first("low").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        between = stored(buckets.withColumn("next", F.coalesce(F.lead("low").over(w), first)).groupBy(*by).agg(best), "gaps")
+        found.append(between.where(F.col("a.gap") >= width))
+        left = between.where(F.col("a.gap") < width)
+        if left.isEmpty():
+            break
+        rest = rest.join(left.select(*by), by, "left_semi")
+    else:
+        bucket = F.floor((F.col("lon") + 180) / widths[-1])
+        within = Window.partitionBy(*by, "bucket").orderBy("lon")
+        gaps = rest.distinct().withColumn("bucket", bucket).withColumn("next", F.lead("lon").over(within)).where("next is not null")
+        found.append(gaps.groupBy(*by).agg(best).unionByName(left).groupBy(*by).agg(F.max("a").alias("a")))
+    arc = found[0]
+    for more in found[1:]:
+        arc = arc.unionByName(more)
     return arc.join(lat, by).select(*by, "a.west", "south", "a.east", "north")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -142,6 +142,71 @@ def corner_means(texels: DataFrame, side: int) -> DataFrame:
     return around.where(F.col("j").between(1, side - 1)).groupBy("j", "i").agg(F.sum("value").alias("s"), F.count("value").alias("n")).where("n = 4").select("j", "i", away(F.col("s") / 4).alias("value"))
 
 
+def face_sides(spark: SparkSession) -> DataFrame:
+    """face, side, other, other_side, turned of the 24 face sides (sides 0 and 1 have s = 0 and 1, sides 2 and 3 t = 0 and 1)."""
+    from meridia.functions.geo import face_edges
+
+    return spark.createDataFrame([(*e[:4], bool(e[4])) for e in face_edges()], "face int, side int, other int, other_side int, turned boolean")
+
+
+def neighbours(tiles: DataFrame, level: int) -> DataFrame:
+    """Four rows of each row of tiles(face, x, y, ...): side, face2, x2, y2, side2 (the neighbour's side that meets it) and turned (it runs the other way).
+
+    Inside a face the neighbour is the next tile; across a face edge it is found among the 24 face sides, sent to every task.
+    """
+    last = (1 << level) - 1
+    rows = tiles.withColumn("side", F.explode(F.array(*map(F.lit, range(4)))))
+    dx, dy = (F.when(F.col("side") == k, -1).when(F.col("side") == k + 1, 1).otherwise(0) for k in (0, 2))
+    rows = rows.withColumn("_x", F.col("x") + dx).withColumn("_y", F.col("y") + dy)
+    inside = F.col("_x").between(0, last) & F.col("_y").between(0, last)
+    rows = rows.join(F.broadcast(face_sides(tiles.sparkSession)), ["face", "side"])
+    along = F.when(F.col("side") < 2, F.col("y")).otherwise(F.col("x"))
+    along = F.when(F.col("turned"), last - along).otherwise(along)
+    across = F.when(F.col("other_side") % 2 == 1, last).otherwise(0)
+    upright = F.col("other_side") < 2
+    opposite = F.col("side").bitwiseXOR(F.lit(1))
+    out = {
+        "face2": F.when(inside, F.col("face")).otherwise(F.col("other")),
+        "x2": F.when(inside, F.col("_x")).when(upright, across).otherwise(along),
+        "y2": F.when(inside, F.col("_y")).when(upright, along).otherwise(across),
+        "side2": F.when(inside, opposite).otherwise(F.col("other_side")),
+        "turned": ~inside & F.col("turned"),
+    }
+    return rows.select(*tiles.columns, "side", *[v.alias(k) for k, v in out.items()])
+
+
+def corner_owners(spark: SparkSession, side: int) -> DataFrame:
+    """face, j, i, owner: the address of each corner on an edge of a face of `side` texels a side, and that of the same point on the lowest face that has it.
+
+    At an edge two faces meet, at a corner of the cube three. As many rows as the faces have corners on their edges.
+    """
+    points = face_sides(spark).withColumn("along", F.explode(F.sequence(F.lit(0), F.lit(side))))
+    image = F.when(F.col("turned"), side - F.col("along")).otherwise(F.col("along"))
+
+    def address(face: str, at: str, along: Column) -> Column:
+        across = F.when(F.col(at) % 2 == 1, side).otherwise(0)
+        upright = F.col(at) < 2
+        return F.struct(F.col(face).alias("face"), F.when(upright, along).otherwise(across).alias("j"), F.when(upright, across).otherwise(along).alias("i"))
+
+    pairs = points.select(address("face", "side", F.col("along")).alias("own"), address("other", "other_side", image).alias("image"))
+    return pairs.groupBy("own").agg(F.least(F.col("own"), F.min("image")).alias("owner")).select("own.*", "owner")
+
+
+def face_corner_values(texels: DataFrame, side: int) -> DataFrame:
+    """face, j, i, owner, texels, value of every corner on a face's edge: the mean, rounded half away from zero, of the texels(face, j, i, value) around the point.
+
+    Corners are known by the lowest face that has the point, so all faces get one value: of four texels along an
+    edge, of three at a corner of the cube, of fewer where texels lack or are null. A corner without any has no row.
+    """
+    from meridia.functions.codes import away
+
+    owners = corner_owners(texels.sparkSession, side)
+    around = texels.select("face", F.explode(F.array(*[F.struct((F.col("j") + a).alias("j"), (F.col("i") + b).alias("i")) for a in (0, 1) for b in (0, 1)])).alias("c"), "value").select("face", "c.*", "value")
+    edge = around.where(F.col("j").isin(0, side) | F.col("i").isin(0, side))
+    sums = edge.join(owners, ["face", "j", "i"]).groupBy("owner").agg(F.sum("value").alias("s"), F.count("value").alias("texels")).where("texels > 0")
+    return owners.join(sums, "owner").select("face", "j", "i", "owner", "texels", away(F.col("s") / F.col("texels")).alias("value"))
+
+
 def votes(flags: DataFrame, k: int) -> DataFrame:
     """tile, chosen (at least k of its flags), any_set, all_set."""
     return flags.groupBy("tile").agg((F.sum(F.col("flag").cast("int")) >= k).alias("chosen"), F.bool_or("flag").alias("any_set"), F.bool_and("flag").alias("all_set"))

@@ -223,13 +223,53 @@ def classify(pieces: DataFrame, pocket_km2: float, corrections: DataFrame | None
     return told.withColumn("rule", said).drop("stateless")
 
 
-def tracked(holes: DataFrame, reach: int) -> DataFrame:
-    """hole, track of holes(hole, step, j, i, cells): holes of consecutive steps within `reach` cells are one; a track bears its smallest hole."""
-    from meridia.operators.graph import components
-
-    a = holes.select(F.col("hole").alias("a"), "step", F.col("j").alias("ja"), F.col("i").alias("ia"), F.floor(F.col("j") / reach).alias("bj"), F.floor(F.col("i") / reach).alias("bi"))
-    near = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)])
-    a = a.withColumn("c", F.explode(near)).withColumn("bj", F.col("bj") + F.col("c.x")).withColumn("bi", F.col("bi") + F.col("c.y")).withColumn("step", F.col("step") + 1)
-    b = holes.select(F.col("hole").alias("b"), "step", F.col("j").alias("jb"), F.col("i").alias("ib"), F.floor(F.col("j") / reach).alias("bj"), F.floor(F.col("i") / reach).alias("bi"))
-    links = a.join(b, ["step", "bj", "bi"]).where((F.abs(F.col("ja") - F.col("jb")) <= reach) & (F.abs(F.col("ia") - F.col("ib")) <= reach)).select("a", "b")
-    return holes.select("hole").join(components(links), F.col("hole") == F.col("node"), "left").select("hole", F.coalesce("component", "hole").alias("track"))
+def linked(holes: DataFrame, reach: float) -> DataFrame:
+    """hole, up of holes(hole, step, ord, lon, lat): the first hole, by `ord`, of the step before that lies within `reach` degrees both ways. Holes without one are left out."""
+    bucket = lambda x: F.floor(F.col(x) / reach)
+    a = holes.select(F.col("hole").alias("up"), F.col("ord").alias("up_ord"), (F.col("step") + 1).alias("step"), F.col("lon").alias("lon0"), F.col("lat").alias("lat0"))
+    around = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)])
+    a = a.withColumn("c", F.explode(around)).select("*", (bucket("lon0") + F.col("c.x")).alias("bx"), (bucket("lat0") + F.col("c.y")).alias("by")).drop("c")
+    b = holes.select("hole", "step", "lon", "lat", bucket("lon").alias("bx"), bucket("lat").alias("by"))
+    near = a.join(b, ["step", "bx", "by"]).where((F.abs(F.col("lon") - F.col("lon0")) <= reach) & (F.abs(F.col("lat") - F.col("lat0")) <= reach))
+    return near.groupBy("hole").agg(F.min_by("up", F.struct("up_ord", "up")).alias("up"))
+
+
+def tracked(holes: DataFrame, reach: float) -> DataFrame:
+    """hole, track of holes(hole, step, ord, lon, lat): a hole goes on the track of the first hole of the step before within reach; others begin one, which bears their number.
+
+    `step` counts the steps. A hole has one hole before it at most, so tracks are trees whose roots are found by doubling:
+    as many rounds as the logarithm of the number of steps. Nulls in lon or lat are near nothing; an empty table gives no rows.
+    """
+    at = stored(holes.select("hole").join(linked(holes, reach), "hole", "left").select("hole", F.coalesce("up", "hole").alias("track")), "tracks")
+    while True:
+        far = at.select(F.col("hole").alias("track"), F.col("track").alias("next"))
+        after = stored(at.join(far, "track").select("hole", F.col("next").alias("track"), (F.col("next") != F.col("track")).alias("moved")), "tracks")
+        if after.where("moved").isEmpty():
+            return after.select("hole", "track")
+        at = after.select("hole", "track")
+
+
+def owed_holes(holes: DataFrame, ends: DataFrame, reach: float, known: DataFrame | None = None) -> DataFrame:
+    """One row per track of holes(hole, step, ord, lon, lat, clon, clat, km2, states, lake): id, first, last, lon, lat, km2, states, lake, holes, acknowledged.
+
+    ends(step, year, until) gives each step its first year and its last. A track's place is that of its largest hole (of equals
+    the first met), its states those of all holes, sorted. The id names the years and the largest hole's centroid to the
+    whole degree; tracks that would share one are told apart by numbers in the order in which they begin. known(id) are acknowledged.
+    """
+    rows = tracked(holes, reach).join(holes, "hole").join(ends, "step")
+    best = F.max_by(F.struct("lon", "lat", "clon", "clat", "km2"), F.struct("km2", -F.col("step"), -F.col("ord"))).alias("best")
+    told = rows.select("*", F.explode_outer("states").alias("state"))
+    states = told.groupBy("track").agg(F.array_sort(F.collect_set("state")).alias("states"))  # of one place
+    begun = F.min(F.struct("step", "ord", "hole")).alias("begun")
+    places = rows.groupBy("track").agg(best, F.min("year").alias("first"), F.max("until").alias("last"), F.bool_or("lake").alias("lake"), F.count(F.lit(1)).alias("holes"), begun).join(states, "track")
+    degree = lambda x: F.floor(F.col(f"best.{x}") + 0.5)
+    side = lambda x, plus, minus: F.concat(F.abs(degree(x)).cast("string"), F.when(degree(x) < 0, minus).otherwise(plus))
+    base = F.concat(F.lit("hole "), F.col("first").cast("string"), F.lit(".."), F.col("last").cast("string"), F.lit(" "), side("clon", "E", "W"), F.lit(" "), side("clat", "N", "S"))
+    places = places.withColumn("base", base)
+    same = Window.partitionBy("base")  # tracks of the same years within one degree
+    number = F.row_number().over(same.orderBy("begun"))
+    named = places.withColumn("id", F.when(F.count(F.lit(1)).over(same) > 1, F.concat("base", F.lit(" #"), number.cast("string"))).otherwise(F.col("base")))
+    out = named.select("track", "id", "first", "last", "best.lon", "best.lat", "best.km2", "states", "lake", "holes")
+    if known is None:
+        return out.withColumn("acknowledged", F.lit(False))
+    return join_bounded(out, known.select("id").distinct().withColumn("acknowledged", F.lit(True)), ["id"]).withColumn("acknowledged", F.coalesce("acknowledged", F.lit(False))).select(*out.columns, "acknowledged")

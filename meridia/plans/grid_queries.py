@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meridia.functions import geo
 from meridia.operators import grid
 from meridia.plans import bind
 from meridia.registry import SQL, query
@@ -138,6 +139,42 @@ def grid_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.corner_means(cells, 32).join(chosen, ["j", "i"])
 
 
+# Corners of texels as whole-numbered points of a cube, on which all faces agree; nothing here knows of face sides.
+_CUBE = "fv(face, ox, oy, oz, sx, sy, sz, tx, ty, tz) AS (VALUES " + ", ".join(str((f, *o, *s, *t)) for f, (o, s, t) in enumerate(geo.FACES)) + ")"
+
+
+def _point(n: int, i: str, j: str) -> str:
+    return "(" + ", ".join(f"{n} * o{c} + (2 * ({i}) - {n}) * s{c} + (2 * ({j}) - {n}) * t{c}" for c in "xyz") + ")"
+
+
+_FACE_TEXELS = "SELECT CAST(o_orderkey % 6 AS INT) AS face, CAST(o_orderkey DIV 6 % 16 AS INT) AS j, CAST(o_orderkey DIV 96 % 16 AS INT) AS i, CAST(sum(CASE WHEN o_orderkey % 7 < 3 THEN -o_custkey ELSE o_custkey END) AS BIGINT) AS value FROM {orders} GROUP BY 1, 2, 3"
+
+
+@query("AG23", f"""{bind.ctes(x=_FACE_TEXELS)}, {_CUBE}, o AS (SELECT face, j + dj AS j, i + di AS i, value FROM x, (SELECT unnest([0, 1]) AS dj), (SELECT unnest([0, 1]) AS di)),
+v AS (SELECT {_point(16, "i", "j")} AS p, value FROM o JOIN fv USING (face)),
+s AS (SELECT p, sum(value) AS s, count(*) AS texels FROM v GROUP BY p),
+a AS (SELECT face, j, i, {_point(16, "i", "j")} AS p FROM fv, (SELECT unnest(range(17)) AS j), (SELECT unnest(range(17)) AS i) WHERE j IN (0, 16) OR i IN (0, 16)),
+w AS (SELECT *, min(face) OVER (PARTITION BY p) AS owner_face FROM a)
+SELECT CAST(face AS INT) AS face, CAST(j AS INT) AS j, CAST(i AS INT) AS i, CAST(owner_face AS INT) AS owner_face, texels, CAST(CASE WHEN abs(s / texels) - floor(abs(s / texels)) >= 0.5 THEN floor(abs(s / texels)) + 1 ELSE floor(abs(s / texels)) END * sign(s) AS BIGINT) AS value FROM w JOIN s USING (p)""")
+def grid_face_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of corners on the edges of six faces, one for all faces that share them."""
+    got = grid.face_corner_values(bind.frame(spark, sf_dir, _FACE_TEXELS), 16)
+    return got.select("face", "j", "i", F.col("owner.face").alias("owner_face"), "texels", "value")
+
+
+_TILES = "SELECT o_orderkey AS k, CAST(o_orderkey % 6 AS INT) AS face, CAST(o_orderkey DIV 6 % 16 AS INT) AS x, CAST(o_orderkey DIV 96 % 16 AS INT) AS y FROM {orders}"
+
+
+@query("SC18", f"""{bind.ctes(k=_TILES)}, {_CUBE}, t AS (SELECT face, x, y, side FROM (SELECT unnest(range(6)) AS face), (SELECT unnest(range(16)) AS x), (SELECT unnest(range(16)) AS y), (SELECT unnest(range(4)) AS side)),
+e AS (SELECT t.*, CASE side WHEN 0 THEN {_point(16, "x", "y")} WHEN 1 THEN {_point(16, "x + 1", "y")} WHEN 2 THEN {_point(16, "x", "y")} ELSE {_point(16, "x", "y + 1")} END AS p,
+  CASE side WHEN 0 THEN {_point(16, "x", "y + 1")} WHEN 1 THEN {_point(16, "x + 1", "y + 1")} WHEN 2 THEN {_point(16, "x + 1", "y")} ELSE {_point(16, "x + 1", "y + 1")} END AS q FROM t JOIN fv USING (face)),
+n AS (SELECT a.face, a.x, a.y, a.side, b.face AS face2, b.x AS x2, b.y AS y2, b.side AS side2, a.p <> b.p AS turned FROM e a JOIN e b ON least(a.p, a.q) = least(b.p, b.q) AND greatest(a.p, a.q) = greatest(b.p, b.q) AND (a.face, a.x, a.y) <> (b.face, b.x, b.y))
+SELECT k.k, CAST(n.side AS INT) AS side, CAST(face2 AS INT) AS face2, CAST(x2 AS INT) AS x2, CAST(y2 AS INT) AS y2, CAST(side2 AS INT) AS side2, turned FROM k JOIN n USING (face, x, y)""")
+def sc_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles across each side, over the faces' edges too."""
+    return grid.neighbours(bind.frame(spark, sf_dir, _TILES), 4).drop("face", "x", "y")
+
+
 @query("AG21", f"{bind.ctes(g=_G)} SELECT j % 4 AS grp, round(sum(6371.0088 * 6371.0088 * (2 * pi() / 128) * (sin(radians(-90 + (j + 1) * 180.0 / 64)) - sin(radians(-90 + j * 180.0 / 64)))), 3) AS km2 FROM g WHERE value > 0 GROUP BY 1")
 def grid_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas of cells above zero by group."""

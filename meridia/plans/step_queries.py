@@ -245,11 +245,23 @@ def step_outer_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.outer_units(edges, edges.select(F.col("child").alias("name")).distinct()).withColumnRenamed("outer", "outer_unit")
 
 
-@query("WN14")
+# Holes of fifteen steps of six years, from customers; their largest states and lakes.
+_HOLES = """SELECT c_custkey AS hole, CAST(c_custkey % 15 AS INT) AS step, CAST(c_custkey * 31 % 1009 AS INT) AS ord, CAST((c_custkey * c_custkey * 7 + c_custkey * 7919) % 6000 AS DOUBLE) / 100 - 30 AS lon, CAST((c_custkey * c_custkey * 13 + c_custkey * 104729) % 5987 AS DOUBLE) / 100 - 20 AS lat,
+CAST((c_custkey * c_custkey * 7 + c_custkey * 7919) % 6000 AS DOUBLE) / 100 - 29.75 AS clon, CAST((c_custkey * c_custkey * 13 + c_custkey * 104729) % 5987 AS DOUBLE) / 100 - 20.25 AS clat, CAST(c_custkey % 17 + 1 AS DOUBLE) * 1000 AS km2, c_mktsegment AS state, c_nationkey % 7 = 0 AS lake FROM {customer}"""
+_KNOWN_HOLES = "SELECT 'hole ' || CAST(1800 + n_nationkey % 15 * 6 AS STRING) || '..' || CAST(1805 + n_nationkey % 15 * 6 AS STRING) || ' 11E 12N' AS id FROM {nation}"
+
+
+@query("WN14", f"""WITH RECURSIVE h AS ({bind.duck(_HOLES)}), l AS (SELECT b.hole, arg_min(a.hole, (a.ord, a.hole)) AS up FROM h a JOIN h b ON b.step = a.step + 1 AND abs(a.lon - b.lon) <= 2 AND abs(a.lat - b.lat) <= 2 GROUP BY b.hole),
+r AS (SELECT hole, hole AS track FROM h WHERE hole NOT IN (SELECT hole FROM l) UNION ALL SELECT l.hole, r.track FROM r JOIN l ON l.up = r.hole),
+t AS (SELECT track, arg_max((lon, lat, km2, floor(clon + 0.5), floor(clat + 0.5)), (km2, -step, -ord)) AS b, 1800 + min(step) * 6 AS first, 1805 + max(step) * 6 AS last, list_sort(list(DISTINCT state)) AS states, bool_or(lake) AS lake, count(*) AS holes, min((step, ord, hole)) AS begun FROM r JOIN h USING (hole) GROUP BY track),
+n AS (SELECT *, 'hole ' || first || '..' || last || ' ' || CAST(abs(b[4]) AS BIGINT) || CASE WHEN b[4] < 0 THEN 'W' ELSE 'E' END || ' ' || CAST(abs(b[5]) AS BIGINT) || CASE WHEN b[5] < 0 THEN 'S' ELSE 'N' END AS base FROM t),
+i AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY base) > 1 THEN base || ' #' || row_number() OVER (PARTITION BY base ORDER BY begun) ELSE base END AS id FROM n)
+SELECT track, id, first, last, b[1] AS lon, b[2] AS lat, b[3] AS km2, states, lake, holes, id IN ({bind.duck(_KNOWN_HOLES)}) AS acknowledged FROM i""")
 def step_tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Holes followed through consecutive steps."""
-    holes = bind.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("hole"), (F.col("c_custkey") % 15).cast("int").alias("step"), (F.col("c_custkey") * 7 % 60).cast("int").alias("j"), (F.col("c_custkey") * 11 % 60).cast("int").alias("i"), (F.col("c_custkey") % 9 + 1).alias("cells"))
-    return steps.tracked(holes, 4).join(holes, "hole").groupBy("track").agg(F.count(F.lit(1)).alias("holes"), F.max("cells").alias("most"), F.min("step").alias("first"), F.max("step").alias("last"))
+    """Holes followed through consecutive steps, with their stable ids."""
+    holes = bind.frame(spark, sf_dir, _HOLES).withColumn("states", F.array("state")).drop("state")
+    ends = spark.range(15).select(F.col("id").cast("int").alias("step"), (1800 + F.col("id") * 6).cast("int").alias("year"), (1805 + F.col("id") * 6).cast("int").alias("until"))
+    return steps.owed_holes(holes, ends, 2.0, bind.frame(spark, sf_dir, _KNOWN_HOLES))
 
 
 @query("GE16 GE17", f"""{_DRAWN.replace("WITH", "WITH RECURSIVE", 1)}, {_LAKES}, dy AS (SELECT DISTINCT CAST(o_orderkey % {H - 4} + 2 AS INT) AS j, CAST(o_orderkey // 50 % {W} AS INT) AS i FROM orders),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
 from math import asin, cos, radians, sin, sqrt
 
 from pyspark.sql import functions as F
 
-from meridia.operators import audits, cells, events, joins, picks, steps
+from meridia.functions import geo
+from meridia.operators import audits, cells, events, grid, joins, picks, steps
 from meridia.operators.graph import components
 
 
@@ -286,23 +288,108 @@ def test_unclaimed_pieces_from_the_map(spark):
     assert steps.classify(small, 4e6, told).where("rule = 'correction'").count() == 1
 
 
-def test_tracked_holes_equal_a_chain(spark):
-    r = random.Random(15)
-    holes = [(k, r.randint(0, 6), r.randint(0, 40), r.randint(0, 40), 1) for k in range(120)]
-    root = {h[0]: h[0] for h in holes}
+HOLE = "hole long, step int, ord int, lon double, lat double, clon double, clat double, km2 double, states array<string>, lake boolean"
+
+
+def owed_in_order(holes, ends, reach, known):
+    """The same by going through the steps, holding on to the holes of the step before."""
+    places, last, before = [], [], None
+    for step, year, until in ends:
+        now = []
+        for h in sorted((h for h in holes if h[1] == step), key=lambda h: h[2]):
+            place = next((p for p, x, y in last if abs(x - h[3]) <= reach and abs(y - h[4]) <= reach), None) if before == step - 1 else None
+            if place is None:
+                place = {"track": h[0], "km2": 0.0, "first": year, "states": set(), "lake": False, "holes": 0}
+                places.append(place)
+            place["last"] = until
+            if h[7] > place["km2"]:
+                place |= {"km2": h[7], "lon": h[3], "lat": h[4], "c": (math.floor(h[5] + 0.5), math.floor(h[6] + 0.5))}
+            place["states"] |= set(h[8])
+            place["lake"] |= h[9]
+            place["holes"] += 1
+            now.append((place, h[3], h[4]))
+        last, before = now, step
+    for p in places:
+        x, y = p["c"]
+        p["base"] = f"hole {p['first']}..{p['last']} {abs(x)}{'W' if x < 0 else 'E'} {abs(y)}{'S' if y < 0 else 'N'}"
+    out, seen = {}, {}
+    for p in places:
+        n = seen[p["base"]] = seen.get(p["base"], 0) + 1
+        name = p["base"] if sum(q["base"] == p["base"] for q in places) == 1 else f"{p['base']} #{n}"
+        out[p["track"]] = (name, p["first"], p["last"], p["lon"], p["lat"], p["km2"], sorted(p["states"]), p["lake"], p["holes"], name in known)
+    return out
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
 
-    for a in holes:
-        for b in holes:
-            if b[1] == a[1] + 1 and abs(a[2] - b[2]) <= 3 and abs(a[3] - b[3]) <= 3:
-                x, y = find(a[0]), find(b[0])
-                root[max(x, y)] = min(x, y)
-    got = {x["hole"]: x["track"] for x in steps.tracked(spark.createDataFrame(holes, "hole long, step int, j int, i int, cells int"), 3).collect()}
-    assert got == {h[0]: find(h[0]) for h in holes}
+def test_owed_holes_equal_a_walk_through_the_steps(spark):
+    r = random.Random(15)
+    holes = [(k, r.choice([0, 1, 2, 3, 5, 6]), 300 - k, float(r.randint(-12, 12)), float(r.randint(-6, 6)), r.randint(-30, 30) / 10, r.randint(-20, 20) / 10, float(r.randint(1, 5)), r.sample(["East", "West", "North"], r.randint(0, 2)), r.random() < 0.3) for k in range(160)]
+    ends = [(s, 1800 + 10 * s, 1809 + 10 * s) for s in range(7)]
+    plain = owed_in_order(holes, ends, 2, set())
+    known = {name for k, (name, *_) in plain.items() if k % 3 == 0} | {"hole 1700..1709 1E 1N"}
+    args = spark.createDataFrame(holes, HOLE), spark.createDataFrame(ends, "step int, year int, until int"), 2.0
+    got = {x["track"]: tuple(x)[1:] for x in steps.owed_holes(*args, spark.createDataFrame([(k,) for k in known], "id string")).collect()}
+    want = owed_in_order(holes, ends, 2, known)
+    assert got == want and len(want) < 120 and any("#2" in x[0] for x in want.values())
+    assert steps.owed_holes(args[0].limit(0), *args[1:]).count() == 0
+
+
+def test_owed_places_of_one_id_are_told_apart_in_order(spark):
+    piece = (20_000.0, ["East", "West"], False)
+    holes = [(7, 0, 0, 10.1, 5.4, 10.2, 5.1, *piece), (3, 0, 1, 14.0, 5.0, 9.6, 4.8, *piece), (9, 0, 2, -12.5, -2.0, -12.9, -2.1, *piece)]
+    got = [x["id"] for x in steps.owed_holes(spark.createDataFrame(holes, HOLE), spark.createDataFrame([(0, 1800, 1809)], "step int, year int, until int"), 2.0).collect()]
+    assert sorted(got) == ["hole 1800..1809 10E 5N #1", "hole 1800..1809 10E 5N #2", "hole 1800..1809 13W 2S"]
+
+
+def test_smallest_extent_without_ordering_a_group(spark):
+    """Groups in one bucket, across 180 degrees, all around, all around and dense, with equal gaps: the same as with all longitudes in order."""
+    r = random.Random(4)
+    groups = [[10.0], [10.0, 10.25, 10.5], [179.0, -179.0, 178.5], [0.0, 90.0, 180.0, -90.0], [r.uniform(-180, 180) for _ in range(40)], [k * 0.5 - 180 for k in range(720)], [k * 0.5 - 180 + (0.25 if k % 2 else 0.1) for k in range(720)], [round(r.uniform(-180, 180), 2) for _ in range(2000)] * 2, [-180.0, 180.0, 3.0]]
+    rows = [(g, x, float(g)) for g, xs in enumerate(groups) for x in xs] + [(0, None, 5.0), (1, 5.0, None)]
+    points = spark.createDataFrame(rows, "g int, lon double, lat double")
+    for widths in ((1.0, 1 / 1024), (60.0, 5.0), (0.7,), (360.0, 45.0)):
+        got = {x["g"]: (x["west"], x["east"]) for x in events.smallest_extent(points, ["g"], widths).collect()}
+        for g, xs in enumerate(groups):
+            lons = sorted(set(xs))
+            gaps = [((b - a if b > a else b - a + 360), -a, b, a) for a, b in zip(lons, [*lons[1:], lons[0]], strict=True)]
+            assert got[g] == max(gaps)[2:], (g, widths)
+
+
+def test_corners_and_neighbours_over_face_edges(spark):
+    """Neighbours are mutual and meet at the same two points; corners have one value on all faces, found by their place in space."""
+    level, side = 2, 4
+    tiles = [(f, x, y) for f in range(6) for x in range(side) for y in range(side)]
+    got = {(x["face"], x["x"], x["y"], x["side"]): (x["face2"], x["x2"], x["y2"], x["side2"], x["turned"]) for x in grid.neighbours(spark.createDataFrame(tiles, "face int, x int, y int"), level).collect()}
+    assert len(got) == 4 * len(tiles)
+
+    def at(face, i, j):
+        out, s, t = geo.FACES[face]
+        return tuple(side * o + (2 * i - side) * a + (2 * j - side) * b for o, a, b in zip(out, s, t, strict=True))
+
+    def ends(face, x, y, k):
+        return {0: (at(face, x, y), at(face, x, y + 1)), 1: (at(face, x + 1, y), at(face, x + 1, y + 1)), 2: (at(face, x, y), at(face, x + 1, y)), 3: (at(face, x, y + 1), at(face, x + 1, y + 1))}[k]
+
+    for key, (f, x, y, k, turned) in got.items():
+        assert got[f, x, y, k] == (*key, turned)
+        a, b = ends(*key), ends(f, x, y, k)
+        assert a == (b[::-1] if turned else b)
+    r = random.Random(2)
+    texels = [(f, j, i, r.randint(-50, 50) if r.random() < 0.9 else None) for f, i, j in tiles if r.random() < 0.95]
+    around = {}
+    for f, j, i, v in texels:
+        for a in (0, 1):
+            for b in (0, 1):
+                around.setdefault(at(f, i + a, j + b), []).append(v)
+    want = {}
+    for f in range(6):
+        for j in range(side + 1):
+            for i in range(side + 1):
+                held = [v for v in around.get(at(f, i, j), []) if v is not None]
+                if (j in (0, side) or i in (0, side)) and held:
+                    mean = sum(held) / len(held)
+                    owner = min(g for g in range(6) for u in range(side + 1) for v in range(side + 1) if at(g, u, v) == at(f, i, j))
+                    want[f, j, i] = (owner, len(held), math.floor(abs(mean) + 0.5) * (1 if mean >= 0 else -1))
+    rows = grid.face_corner_values(spark.createDataFrame(texels, "face int, j int, i int, value long"), side).collect()
+    assert {(x["face"], x["j"], x["i"]): (x["owner"]["face"], x["texels"], x["value"]) for x in rows} == want
 
 
 def test_spans_of_events(spark):
