@@ -8,6 +8,7 @@ from its end in blocks of lengths, so no task orders all lengths.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 from meridia.llm.common import documents, stored
 
 BLOCK = 512
+#: Blanks as the public pattern knows them (Unicode's white space), and how many in a row are counted apart.
+BLANKS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+LONG_RUN = 1000
 
 
 def rank_file() -> str:
@@ -41,11 +45,34 @@ def load(ranks: bytes, split: str):
     return tiktoken.Encoding("own", pat_str=split, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
 
 
+@lru_cache(maxsize=4)
+def _runs(least: int) -> re.Pattern:
+    return re.compile(f"[{BLANKS}]{{{least},}}")
+
+
+def token_count(encoding, text: str, blanks_apart: bool = True, least: int = LONG_RUN) -> int:
+    """How many tokens a text has.
+
+    The library's matcher overflows on very long runs of blanks, so these are counted apart. The public pattern parts such a run in a
+    known way: all of it is one piece at the end of the text; else its last blank goes to what follows, and the rest is one piece.
+    """
+    if not blanks_apart:
+        return len(encoding.encode_ordinary(text))
+    total, start = 0, 0
+    for run in _runs(least).finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        if end > run.start():
+            total += len(encoding.encode_ordinary(text[start : run.start()])) + len(encoding._encode_single_piece(text[run.start() : end].encode()))
+            start = end
+    return total + len(encoding.encode_ordinary(text[start:]))
+
+
 def _counter(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = load(*shared.value).encode_ordinary
+        ranks, split, public = shared.value
+        encoding = load(ranks, split)
         for batch in batches:
-            n = [len(encode(t.as_py())) for t in batch.column("text")]
+            n = [token_count(encoding, t.as_py(), public) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
     return run
@@ -54,11 +81,11 @@ def _counter(shared):
 def encoded_lengths(docs: DataFrame, path: str | None = None, split: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and n_tokens of each document.
 
-    Null texts count as empty, a null doc_id stays null, rows that repeat are encoded each, other columns aren't looked at, an
+    `split` is a pattern other than the public one. Null texts count as empty, a null doc_id stays null, rows that repeat are encoded each, other columns aren't looked at, an
     empty table gives no rows.
     """
     with open(path or rank_file(), "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast((f.read(), split or pattern()))
+        shared = docs.sparkSession.sparkContext.broadcast((f.read(), split or pattern(), split is None))
     return documents(docs, id_col, text_col).mapInArrow(_counter(shared), "doc_id long, n_tokens long")
 
 

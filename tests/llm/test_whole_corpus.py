@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from test_llm import DOC, EDGE, WORDS, docs
 
-from meridia.llm import alignment, importance, suffix_dedup
+from meridia.llm import alignment, importance, lengths, suffix_dedup
 
 
 def sorted_rows(df):
@@ -207,4 +207,23 @@ def test_pieces_and_memory_in_process(monkeypatch):
         for t, w in zip(texts, whole, strict=True):
             parts = aligner.stretches([t])[0]
             assert tuple(sum(p[i] for p in parts) for i in range(3)) == w[:3] and b"".join(p[4] for p in parts) == w[4]
-            assert np.concatenate([p[3] for p in parts]).tolist() == w[3].tolist()
+            assert b"".join(p[3] for p in parts) == w[3]
+
+
+def test_runs_of_blanks_are_counted_apart_alike():
+    with open(lengths.rank_file(), "rb") as f:
+        encoding = lengths.load(f.read(), lengths.pattern())
+    r = random.Random(12)
+    for _ in range(3000):
+        text = "".join(r.choices([" ", "  ", "\n", "\t", "\u00a0", "\u2003", "\u3000", "\x85", "\x1c", "a", "b1", "'s", "!", "é"], k=r.randint(0, 14)))
+        for least in (1, 2, 3):
+            assert lengths.token_count(encoding, text, least=least) == len(encoding.encode_ordinary(text)), repr(text)
+
+
+def test_lengths_of_very_long_texts(spark):
+    """Runs of 1 and 16 million blanks, letters and line ends, at the end of a text and within it."""
+    n = 1_000_000
+    rows = [(1, " " * n), (2, "\n" * n + "x"), (3, "a" * n), (4, "x" + " " * 16 * n + "y"), (5, "\n" * 4 * n), (6, "é" * 4 * n)]
+    got = {x["doc_id"]: x["n_tokens"] for x in lengths.encoded_lengths(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # A blank is a token of its own; line ends go in pairs; the blank before y goes with it.
+    assert got == {1: n, 2: (n - 1 + 1) // 2 + 2, 3: n // 4, 4: 1 + 16 * n - 1 + 1, 5: 2 * n, 6: 4 * n}
