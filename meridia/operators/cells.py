@@ -187,6 +187,28 @@ def near_segments(points: DataFrame, segments: DataFrame, columns: int) -> DataF
     return p.join(s, ["i", "j"]).withColumn("d", d).where("d <= half").groupBy("id").agg(F.min("d").alias("distance"))
 
 
+def straight_bands(cells: DataFrame, by: list[str], h: int, prefer: str | float, rows: int, near: float = 0.97) -> DataFrame:
+    """by, length, row, first, end of the longest straight band `h` rows high within each shape of cells(by, j, i): `row` is its lowest row, `end` the column behind it.
+
+    Of the rows whose longest band has `near` of the greatest length or more, that whose middle is nearest to `prefer`, a number or a
+    column of the shape; of equals the lowest; in a row the first of the longest. Runs of a column give the rows that a band can begin in, runs of
+    these along a row the bands, so rows grow with the shape's cells. Shapes without a band, and all where `h` reaches `rows`, have no row. Columns don't wrap.
+    """
+    if h >= rows:
+        return cells.select(*by, *[F.lit(None).cast("long").alias(c) for c in ("length", "row", "first", "end")]).limit(0)
+    own = cells.select(*by, "j", "i").distinct()
+    tall = runs(own, [*by, "i"], "j").where(F.col("last") - F.col("first") >= h - 1)
+    starts = tall.select(*by, "i", F.explode(F.sequence("first", F.col("last") - (h - 1))).alias("row"))
+    bands = runs(starts, [*by, "row"], "i").select(*by, F.col("row").cast("long").alias("row"), F.col("first").cast("long").alias("first"), (F.col("last") + 1).cast("long").alias("end"), (F.col("last") + 1 - F.col("first")).cast("long").alias("length"))
+    longest = bands.groupBy(*by, "row").agg(F.max_by(F.struct("length", "first", "end"), F.struct("length", -F.col("first"))).alias("b")).select(*by, "row", "b.*")
+    most = longest.groupBy(*by).agg(F.max("length").alias("most"))
+    middle = F.col(prefer) if isinstance(prefer, str) else F.lit(float(prefer))
+    wanted = cells.groupBy(*by).agg(F.first(middle).alias("prefer"))
+    fit = longest.join(most, by).where(F.col("length") >= F.col("most") * near).join(wanted, by)
+    best = F.min_by(F.struct("length", "row", "first", "end"), F.struct(F.abs(F.col("row") + h / 2 - F.col("prefer")), "row")).alias("b")
+    return fit.groupBy(*by).agg(best).select(*by, "b.*")
+
+
 def runs(rows: DataFrame, by: list[str], at: str) -> DataFrame:
     """by, first, last of runs of consecutive whole numbers `at`."""
     island = F.col(at) - F.row_number().over(Window.partitionBy(*by).orderBy(at))

@@ -146,6 +146,70 @@ def outer_units(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(found, "name", "left").select("name", F.coalesce("outer", "name").alias("outer"), F.coalesce("roots", F.lit(1)).alias("roots"))
 
 
+def memberships(rows: DataFrame, kinds: DataFrame, relations: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """step, child, parent: who stands under whom at each step, from rows(step, name, polity, components, member_of) valid then.
+
+    In order of precedence: a composite's components; for a polity that no valid composite lists, the composites that it says it is a member
+    of; the vassal of a relation under its paramount, where relations(name, counts) says that it counts, either party being the composite of its
+    name where one is valid; and members(step, child, parent), told outright, where both are there. Steps upward that lead to a composite not classed as
+    an 'empire' by kinds(name, kind) are left out. Rows that share a name at a step count together.
+    """
+    from meridia.functions.text import composite, relation
+
+    named = stored(rows.where("polity").groupBy("step", "name").agg(F.flatten(F.collect_list("components")).alias("components"), F.flatten(F.collect_list("member_of")).alias("member_of")).withColumn("composite", composite("name")), "polities")
+    listed = named.where("composite").select("step", F.explode("components").alias("child"), F.col("name").alias("parent"))
+    said = named.select("step", F.col("name").alias("child"), F.explode("member_of").alias("parent")).join(listed.select("step", "child").distinct(), ["step", "child"], "left_anti")
+    valid = named.select("step", F.col("name").alias("parent"), "composite")
+    said = said.join(valid.where("composite").select("step", "parent"), ["step", "parent"], "left_semi").select("step", "child", "parent")
+    told = join_bounded(rows.where("not polity").select("step", "name"), relations.where("counts").select("name"), ["name"], "inner").withColumn("r", relation("name")).where("r.kind = 'Vassalage'")
+
+    def party(df: DataFrame, side: str) -> DataFrame:
+        """The party's composite where one is valid, else the polity of its name; rows without either go."""
+        there = named.select("step", F.col("name").alias("found"))
+        both = df.join(there.withColumn(side, F.regexp_replace("found", r"^\((.*)\)$", "$1")), ["step", side])
+        return both.groupBy("step", "name", *[c for c in ("vassal", "paramount") if c in df.columns and c != side]).agg(F.min_by("found", F.struct(~composite("found"), "found")).alias(side))
+
+    parties = told.select("step", "name", F.col("r.of").alias("vassal"), F.col("r.to").alias("paramount"))
+    under = party(party(parties, "vassal"), "paramount").select("step", F.col("vassal").alias("child"), F.col("paramount").alias("parent"))
+    edges = listed.unionByName(said).unionByName(under)
+    if members is not None:
+        there = named.select("step", "name")
+        edges = edges.unionByName(members.select("step", "child", "parent").join(there.withColumnRenamed("name", "child"), ["step", "child"], "left_semi").join(there.withColumnRenamed("name", "parent"), ["step", "parent"], "left_semi").select("step", "child", "parent"))
+    edges = join_bounded(edges.where("child <> parent").distinct().join(valid, ["step", "parent"], "left"), kinds.select(F.col("name").alias("parent"), "kind"), ["parent"])
+    return edges.where(~F.coalesce("composite", F.lit(False)) | F.coalesce(F.col("kind") == "empire", F.lit(False))).select("step", "child", "parent")
+
+
+def membership_review(rows: DataFrame, kinds: DataFrame, relations: DataFrame) -> DataFrame:
+    """step, what, name: composites and relations that no table classes ('composite', 'relation'), and polities whose memberships name no valid composite ('unsettled')."""
+    from meridia.functions.text import composite, relation
+
+    polities = rows.where("polity")
+    known = polities.select("step", "name", composite("name").alias("composite"), "components", "member_of")
+    listed = known.where("composite").select("step", F.col("name").alias("parent"), F.explode("components").alias("name")).where("name <> parent").select("step", "name").distinct()
+    claims = known.where(F.size("member_of") > 0).join(listed, ["step", "name"], "left_anti").select("step", "name", F.explode("member_of").alias("of"))
+    there = known.where("composite").select("step", F.col("name").alias("of"), F.lit(True).alias("there")).distinct()
+    settled = claims.join(there, ["step", "of"], "left").groupBy("step", "name").agg(F.bool_or(F.coalesce("there", F.lit(False)) & (F.col("of") != F.col("name"))).alias("settled"))
+    lone = join_bounded(known.where("composite").select("step", "name").distinct(), kinds.select("name"), ["name"], "left_anti").select("step", F.lit("composite").alias("what"), "name")
+    loose = join_bounded(rows.where("not polity").where(relation("name")["kind"] == "Vassalage").select("step", "name").distinct(), relations.select("name"), ["name"], "left_anti").select("step", F.lit("relation").alias("what"), "name")
+    return lone.unionByName(loose).unionByName(settled.where("not settled").select("step", F.lit("unsettled").alias("what"), "name"))
+
+
+def outer_units_by_step(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """step, name, outer, roots of each of nodes(step, name): what outer_units() says at each step, by edges(step, child, parent). Of a circle without a way out each node is its own."""
+    at = lambda c: F.struct("step", F.col(c).alias("name"))
+    found = outer_units(edges.select(at("child").alias("child"), at("parent").alias("parent"), F.lit("member").alias("kind")), nodes.select(at("name").alias("name")))
+    return found.select("name.step", "name.name", F.col("outer.name").alias("outer"), "roots")
+
+
+def parts_of_units(cells: DataFrame, outer: DataFrame, minor_km2: float, rows: int, columns: int) -> DataFrame:
+    """step, name, outer, minor, j, i: each name's cells(step, name, j, i), as they lie in a piece of its outer unit's land (outer(step, name, outer); else its own) that is smaller than `minor_km2` or not."""
+    owned = cells.join(outer.select("step", "name", "outer"), ["step", "name"], "left").withColumn("outer", F.coalesce("outer", "name"))
+    owned = stored(owned, "owned")
+    pieces = stored(regions(owned.select("step", "outer", "j", "i").distinct(), ["step", "outer"], columns), "pieces")
+    size = pieces.groupBy("step", "outer", "region").agg((F.sum(km2(F.col("j"), rows, columns)) < minor_km2).alias("minor"))
+    return owned.join(pieces.join(size, ["step", "outer", "region"]).select("step", "outer", "j", "i", "minor"), ["step", "outer", "j", "i"]).select("step", "name", "outer", "minor", "j", "i")
+
+
 def shape_at(rows: DataFrame, name: str, year: int) -> DataFrame:
     """j, i of what rows(name, first, last, j, i) give a name in a year."""
     return rows.where((F.col("name") == name) & (F.col("first") <= year) & (F.col("last") >= year)).select("j", "i").distinct()

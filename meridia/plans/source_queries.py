@@ -50,6 +50,26 @@ def io_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_features(spark, path).select("fid", "name", "idx", "lon", "lat")
 
 
+_POLITIES = """SELECT s_suppkey AS fid, CASE WHEN s_suppkey % 9 = 4 THEN ' (Union ' || CAST(s_suppkey % 5 AS STRING) || ')' ELSE s_name END AS name, CAST(s_suppkey * 37 % 5000 - 3400 AS BIGINT) AS y0, CAST(s_suppkey * 37 % 5000 - 3400 + s_suppkey % 90 AS BIGINT) AS y1,
+CASE WHEN s_suppkey % 9 = 5 THEN 'RELATION' ELSE 'POLITY' END AS type, CASE WHEN s_suppkey % 3 > 0 THEN 'Q' || CAST(s_suppkey AS STRING) END AS wikidata, CASE WHEN s_suppkey % 9 = 4 THEN ' A' || CAST(s_suppkey % 7 AS STRING) || ';; B ' END AS components, CASE WHEN s_suppkey % 4 = 0 THEN '(Union 1); (Union 2)' ELSE '' END AS member_of, CAST(s_suppkey % 90 AS DOUBLE) AS x, CAST(s_suppkey % 45 AS DOUBLE) AS y FROM {supplier}"""
+
+
+@query("IO4", f"""{bind.ctes(p=_POLITIES)}, v AS (SELECT * FROM (VALUES (0, 0, 0, 0.0, 0.0), (0, 0, 1, 3.0, 0.0), (0, 0, 2, 3.0, 2.0), (0, 0, 3, 0.0, 0.0), (1, 0, 0, 10.0, 0.0), (1, 0, 1, 14.0, 0.0), (1, 0, 2, 14.0, 4.0), (1, 0, 3, 10.0, 0.0), (1, 1, 0, 12.0, 0.5), (1, 1, 1, 13.0, 0.5), (1, 1, 2, 13.0, 1.0), (1, 1, 3, 12.0, 0.5)) AS v(part, ring, idx, dx, dy))
+SELECT fid, trim(name) AS name, CASE WHEN y0 < 0 THEN y0 + 1 ELSE y0 END AS first, CASE WHEN y1 < 0 THEN y1 + 1 ELSE y1 END AS last, type = 'POLITY' AS polity, coalesce(wikidata, '') AS wikidata, CASE WHEN components IS NULL THEN CAST([] AS VARCHAR[]) ELSE ['A' || fid % 7, 'B'] END AS components,
+CASE WHEN member_of = '' THEN CAST([] AS VARCHAR[]) ELSE ['(Union 1)', '(Union 2)'] END AS member_of, part, ring, idx, x + dx AS lon, y + dy AS lat FROM p, v WHERE part = 0 OR fid % 2 = 1""")
+def io_polities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dated polities of one or more polygons, with their links, written as GeoJSON and read as rows and vertices."""
+    rows = bind.frame(spark, sf_dir, _POLITIES)
+    ring = lambda *at: F.array(*[F.array(F.col("x") + a, F.col("y") + b) for a, b in at])
+    one = F.array(ring((0, 0), (3, 0), (3, 2), (0, 0)))
+    two = F.array(ring((10, 0), (14, 0), (14, 4), (10, 0)), ring((12, 0.5), (13, 0.5), (13, 1), (12, 0.5)))
+    properties = F.struct("fid", F.col("name").alias("Name"), F.col("y0").alias("FromYear"), F.col("y1").alias("ToYear"), F.lit(1.5).alias("Area"), F.col("type").alias("Type"), F.col("wikidata").alias("Wikidata"), F.col("components").alias("Components"), F.col("member_of").alias("MemberOf"))
+    text = lambda kind, coordinates: F.to_json(F.struct(F.array(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")).alias("geometry"))).alias("features")))
+    rows.select(F.when(F.col("fid") % 2 == 1, text("MultiPolygon", F.array(one, two))).otherwise(text("Polygon", one)).alias("value")).write.text(path := _path(spark, "polities"))
+    read = stored(tables.read_polities(spark, path), "polities")
+    return read.drop("parts").join(tables.ring_vertices(read), "fid")
+
+
 _TRACKS = f"""{bind.ctes(r=bind.ROUTE)}, v AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY ts, event_id) - 1 AS idx, count(*) OVER (PARTITION BY route) AS n, min(day) OVER (PARTITION BY route) AS epoch FROM r),
 ft AS (SELECT DISTINCT route, CASE WHEN n < 2 THEN 'too few vertices' WHEN route % 11 = 2 THEN 'place' WHEN route % 11 = 3 THEN 'no date' WHEN route % 11 = 0 THEN 'backward' WHEN route % 11 = 1 THEN 'legs' WHEN route % 11 = 4 THEN 'leg' END AS fault FROM v)"""
 

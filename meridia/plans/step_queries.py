@@ -245,6 +245,55 @@ def step_outer_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.outer_units(edges, edges.select(F.col("child").alias("name")).distinct()).withColumnRenamed("outer", "outer_unit")
 
 
+# Polities, composites (E0) to (E5) and relations, valid as the polity table says; lists as the source writes them.
+_UNITS = """SELECT CASE WHEN s_suppkey % 10 = 3 THEN '(E' || CAST(s_suppkey DIV 10 % 6 AS STRING) || ')' WHEN s_suppkey % 10 = 7 THEN 'Vassalage of P' || CAST(s_suppkey DIV 10 % 40 AS STRING) || ' to E' || CAST(s_suppkey DIV 20 % 3 AS STRING) ELSE 'P' || CAST(s_suppkey % 40 AS STRING) END AS name,
+CAST(1800 + s_suppkey * 17 % 60 AS INT) AS first, CAST(1800 + s_suppkey * 17 % 60 + s_suppkey * 7 % 30 AS INT) AS last, s_suppkey % 10 <> 7 AS polity,
+CASE WHEN s_suppkey % 10 = 3 THEN 'P' || CAST(s_suppkey % 19 AS STRING) || ' ; P' || CAST(s_suppkey % 40 + 1 AS STRING) ELSE '' END AS components, CASE WHEN s_suppkey % 4 = 1 THEN '(E1);(E' || CAST(s_suppkey % 7 AS STRING) || ')' WHEN s_suppkey % 20 = 3 THEN '(E0)' ELSE '' END AS member_of FROM {supplier}"""
+_KINDS = "SELECT '(E' || CAST(r_regionkey AS STRING) || ')' AS name, CASE WHEN r_regionkey < 3 THEN 'empire' ELSE 'grouping' END AS kind FROM {region}"
+_RELATIONS = "SELECT 'Vassalage of P' || CAST(n_nationkey AS STRING) || ' to E' || CAST(r_regionkey AS STRING) AS name, (n_nationkey + r_regionkey) % 3 > 0 AS counts FROM {nation}, {region} WHERE r_regionkey < 3"
+_UNDER = f"""{_YEARS}, un AS ({bind.duck(_UNITS)}), ki AS ({bind.duck(_KINDS)}), re AS ({bind.duck(_RELATIONS)}), va AS (SELECT step, name, polity, components, member_of FROM un, st WHERE first <= year AND year <= last),
+na AS (SELECT DISTINCT step, name, name[1] = '(' AS comp FROM va WHERE polity),
+li AS (SELECT DISTINCT step, trim(c) AS child, name AS parent FROM (SELECT step, name, unnest(string_split(components, ';')) AS c FROM va WHERE polity AND name[1] = '(') WHERE trim(c) NOT IN ('', name)),
+cl AS (SELECT DISTINCT step, name, trim(c) AS parent FROM (SELECT step, name, unnest(string_split(member_of, ';')) AS c FROM va WHERE polity) WHERE trim(c) <> ''),
+sa AS (SELECT cl.step, cl.name AS child, cl.parent FROM cl JOIN na ON na.step = cl.step AND na.name = cl.parent AND comp WHERE cl.name <> cl.parent AND NOT EXISTS (SELECT 1 FROM li WHERE li.step = cl.step AND li.child = cl.name)),
+rl AS (SELECT DISTINCT va.step, regexp_extract(name, 'of (.*) to (.*)', 1) AS v, regexp_extract(name, 'of (.*) to (.*)', 2) AS q FROM va JOIN re USING (name) WHERE NOT polity AND counts),
+rp AS (SELECT rl.step, CASE WHEN a.name IS NOT NULL THEN a.name ELSE b.name END AS child, CASE WHEN c.name IS NOT NULL THEN c.name ELSE d.name END AS parent FROM rl LEFT JOIN na a ON a.step = rl.step AND a.name = '(' || v || ')' LEFT JOIN na b ON b.step = rl.step AND b.name = v
+  LEFT JOIN na c ON c.step = rl.step AND c.name = '(' || q || ')' LEFT JOIN na d ON d.step = rl.step AND d.name = q),
+al AS (SELECT step, child, parent FROM (SELECT * FROM li UNION SELECT * FROM sa UNION SELECT * FROM rp) e LEFT JOIN na ON na.step = e.step AND na.name = e.parent LEFT JOIN ki ON ki.name = e.parent WHERE child <> parent AND child IS NOT NULL AND parent IS NOT NULL AND (NOT coalesce(comp, false) OR coalesce(kind = 'empire', false))),
+up AS (SELECT step, child AS node, parent AS anc FROM al UNION SELECT up.step, up.node, al.parent FROM up JOIN al ON al.step = up.step AND al.child = up.anc),
+tp AS (SELECT step, node, min(anc) AS o, count(DISTINCT anc) AS k FROM up WHERE NOT EXISTS (SELECT 1 FROM al WHERE al.step = up.step AND al.child = up.anc) GROUP BY ALL),
+ou AS (SELECT na.step, na.name, coalesce(o, na.name) AS outer_unit, coalesce(k, 1) AS roots FROM na LEFT JOIN tp ON tp.step = na.step AND tp.node = na.name WHERE NOT comp)""".replace("WITH", "WITH RECURSIVE", 1).replace("SELECT step, child, parent FROM (SELECT * FROM li", "SELECT e.step, child, parent FROM (SELECT * FROM li")
+
+
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of polities, composites and relations valid at each change year."""
+    from meridia.functions.text import split_list
+
+    years = _changes(spark, sf_dir).withColumn("until", F.col("year"))
+    rows = bind.frame(spark, sf_dir, _UNITS).select("name", "first", "last", "polity", split_list("components").alias("components"), split_list("member_of").alias("member_of"))
+    return stored(interval_join(rows, years, "first", "last", "year", "until", 10).select("step", "name", "polity", "components", "member_of"), "units")
+
+
+def _outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _units(spark, sf_dir)
+    edges = steps.memberships(rows, bind.frame(spark, sf_dir, _KINDS), bind.frame(spark, sf_dir, _RELATIONS))
+    return steps.outer_units_by_step(edges, rows.where("polity and not startswith(name, '(')").select("step", "name").distinct())
+
+
+@query("GE11", f"{_UNDER} SELECT CAST(step AS INT) AS step, name, outer_unit, roots FROM ou")
+def step_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outer unit of each polity at each change year by components, memberships and vassalage; more than one root is an error to be looked at."""
+    return _outer(spark, sf_dir).withColumnRenamed("outer", "outer_unit")
+
+
+@query("GE11 AG25", f"""{_UNDER} SELECT CAST(step AS INT) AS step, what, name FROM (SELECT step, 'composite' AS what, name FROM na WHERE comp AND name NOT IN (SELECT name FROM ki)
+UNION ALL SELECT DISTINCT step, 'relation', name FROM va WHERE NOT polity AND name NOT IN (SELECT name FROM re)
+UNION ALL SELECT DISTINCT step, 'unsettled', name FROM cl WHERE NOT EXISTS (SELECT 1 FROM li WHERE li.step = cl.step AND li.child = cl.name) AND NOT EXISTS (SELECT 1 FROM cl m JOIN na ON na.step = m.step AND na.name = m.parent AND comp WHERE m.step = cl.step AND m.name = cl.name AND m.parent <> m.name))""")
+def step_membership_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What no table classes, and who is a member of nothing that is there."""
+    return steps.membership_review(_units(spark, sf_dir), bind.frame(spark, sf_dir, _KINDS), bind.frame(spark, sf_dir, _RELATIONS))
+
+
 # Holes of fifteen steps of six years, from customers; their largest states and lakes.
 _HOLES = """SELECT c_custkey AS hole, CAST(c_custkey % 15 AS INT) AS step, CAST(c_custkey * 31 % 1009 AS INT) AS ord, CAST((c_custkey * c_custkey * 7 + c_custkey * 7919) % 6000 AS DOUBLE) / 100 - 30 AS lon, CAST((c_custkey * c_custkey * 13 + c_custkey * 104729) % 5987 AS DOUBLE) / 100 - 20 AS lat,
 CAST((c_custkey * c_custkey * 7 + c_custkey * 7919) % 6000 AS DOUBLE) / 100 - 29.75 AS clon, CAST((c_custkey * c_custkey * 13 + c_custkey * 104729) % 5987 AS DOUBLE) / 100 - 20.25 AS clat, CAST(c_custkey % 17 + 1 AS DOUBLE) * 1000 AS km2, c_mktsegment AS state, c_nationkey % 7 = 0 AS lake FROM {customer}"""
@@ -275,6 +324,32 @@ def step_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("step", "name", "region", "cells", F.round("km2", 3).alias("km2"), (F.col("km2") < 1_500_000).alias("minor"))
 
 
+_PARTS = f"""pc{CELLS.split(", pc", 1)[1]}, dr AS (SELECT DISTINCT CAST(step AS INT) AS step, name, CAST(j AS INT) AS j, CAST(i AS INT) AS i FROM pc, st WHERE first <= year AND year <= last), {_LAKES}, dy AS (SELECT DISTINCT CAST(o_orderkey % {H - 4} + 2 AS INT) AS j, CAST(o_orderkey // 50 % {W} AS INT) AS i FROM orders),
+n2 AS (SELECT dr.step, dr.name, coalesce(outer_unit, dr.name) AS outer_unit, dr.j, dr.i FROM dr SEMI JOIN (SELECT * FROM dy WHERE (j, i) NOT IN (SELECT (j, i) FROM lk)) d USING (j, i) LEFT JOIN ou ON ou.step = dr.step AND ou.name = dr.name), n3 AS (SELECT DISTINCT step, outer_unit, j, i FROM n2),
+r AS (SELECT *, j * {W} + i AS c FROM n3 UNION SELECT n3.*, r.c FROM r JOIN n3 ON n3.step = r.step AND n3.outer_unit = r.outer_unit AND ((n3.j = r.j AND (n3.i = (r.i + 1) % {W} OR r.i = (n3.i + 1) % {W})) OR (n3.i = r.i AND abs(n3.j - r.j) = 1))),
+lb AS (SELECT step, outer_unit, j, i, min(c) AS region FROM r GROUP BY ALL), sz AS (SELECT step, outer_unit, region, sum({_AREA.format("j")}) < 1500000 AS minor FROM lb GROUP BY ALL)"""
+
+
+@query("GE16 GE17", f"""{_UNDER}, {_PARTS}
+SELECT CAST(step AS INT) AS step, name, outer_unit, minor, count(*) AS cells FROM n2 JOIN lb USING (step, outer_unit, j, i) JOIN sz USING (step, outer_unit, region) GROUP BY ALL""")
+def step_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of each name on dry land at each change year, by pieces of its outer unit that are minor or not."""
+    held = _drawn(spark, sf_dir).join(stored(dry_cells(spark, sf_dir), "dry"), ["j", "i"], "left_semi").select("step", "name", "j", "i")
+    got = steps.parts_of_units(held, stored(_outer(spark, sf_dir), "outer"), 1_500_000.0, H, W)
+    return got.groupBy("step", "name", F.col("outer").alias("outer_unit"), "minor").agg(F.count(F.lit(1)).alias("cells"))
+
+
+@query("WN17", f"""{_DRAWN}, v AS (SELECT *, j - row_number() OVER (PARTITION BY step, name, i ORDER BY j) AS g FROM dr), t AS (SELECT step, name, i, min(j) AS a, max(j) AS b FROM v GROUP BY step, name, i, g HAVING count(*) >= 3),
+s AS (SELECT step, name, i, unnest(range(a, b - 1)) AS r FROM t), w AS (SELECT *, i - row_number() OVER (PARTITION BY step, name, r ORDER BY i) AS g FROM s), b AS (SELECT step, name, r, min(i) AS first, max(i) + 1 AS e, count(*) AS length FROM w GROUP BY step, name, r, g),
+l AS (SELECT step, name, r, arg_max((length, first, e), (length, -first)) AS x, max(length) AS n FROM b GROUP BY ALL), m AS (SELECT *, max(n) OVER (PARTITION BY step, name) AS top FROM l), p2 AS (SELECT step, name, min(j) AS low FROM dr GROUP BY ALL)
+SELECT step, name, CAST(x[1] AS BIGINT) AS length, CAST("row" AS BIGINT) AS "row", CAST(x[2] AS BIGINT) AS first, CAST(x[3] AS BIGINT) AS "end" FROM (SELECT step, name, arg_min(x, (abs(r + 1.5 - low - 4), r)) AS x, arg_min(r, (abs(r + 1.5 - low - 4), r)) AS "row" FROM m JOIN p2 USING (step, name) WHERE n >= top * 0.97 GROUP BY step, name)""")
+def step_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest straight band three rows high in each name's land at each change year, near the fourth row of it."""
+    held = _drawn(spark, sf_dir)
+    low = held.groupBy("step", "name").agg((F.min("j") + 4).alias("middle"))
+    return cells.straight_bands(held.join(low, ["step", "name"]), ["step", "name"], 3, "middle", H)
+
+
 _POCKET = f"least(abs(o.i - a.i), {W} - abs(o.i - a.i))"
 
 

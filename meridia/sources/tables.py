@@ -55,6 +55,45 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return points.select("fid", "name", "ring", "idx", F.get("p", 0).alias("lon"), F.get("p", 1).alias("lat"))
 
 
+#: What a polity's feature has: properties as the source writes them, and a geometry that is looked at by its type.
+_POLITY = """features array<struct<properties:struct<fid:bigint,Name:string,FromYear:bigint,ToYear:bigint,Type:string,Wikidata:string,Components:string,MemberOf:string>,geometry:string>>"""
+
+
+def read_polities(spark: SparkSession, path: str) -> DataFrame:
+    """fid, name, first, last, polity, wikidata, components, member_of, parts of dated polities in GeoJSON, one feature collection per line.
+
+    Years are astronomical, lists are parted at semicolons, texts are trimmed and empty where they lack. parts holds rings of [lon, lat] points for each
+    polygon: one for a Polygon, several for a MultiPolygon, none without a geometry; a geometry of another type is an error. A feature
+    without `fid` bears its place in its collection, from 0.
+    """
+    from meridia.functions import cal
+    from meridia.functions.text import split_list
+
+    rows = spark.read.schema(_POLITY).option("mode", "FAILFAST").json(path).select(F.posexplode("features").alias("pos", "f")).select("pos", "f.properties.*", F.from_json("f.geometry", "type string, coordinates string", {"mode": "FAILFAST"}).alias("g"))
+    rings = "array<array<array<double>>>"
+    read = lambda t: F.from_json("g.coordinates", t, {"mode": "FAILFAST"})
+    other = F.raise_error(F.concat(F.lit("a polity's geometry is a "), F.col("g.type"))).cast(f"array<{rings}>")
+    parts = F.when(F.col("g.type").isNull(), F.array().cast(f"array<{rings}>")).when(F.col("g.type") == "Polygon", F.array(read(rings))).when(F.col("g.type") == "MultiPolygon", read(f"array<{rings}>")).otherwise(other)
+    said = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    return rows.select(
+        F.coalesce("fid", F.col("pos").cast("long")).alias("fid"),
+        said("Name").alias("name"),
+        cal.astronomical("FromYear").alias("first"),
+        cal.astronomical("ToYear").alias("last"),
+        (said("Type") == "POLITY").alias("polity"),
+        said("Wikidata").alias("wikidata"),
+        split_list(said("Components")).alias("components"),
+        split_list(said("MemberOf")).alias("member_of"),
+        parts.alias("parts"),
+    )
+
+
+def ring_vertices(rows: DataFrame) -> DataFrame:
+    """fid, part, ring, idx, lon, lat of the vertices of rows(fid, parts)."""
+    rings = rows.select("fid", F.posexplode("parts").alias("part", "p")).select("fid", "part", F.posexplode("p").alias("ring", "r"))
+    return rings.select("fid", "part", "ring", F.posexplode("r").alias("idx", "v")).select("fid", "part", "ring", "idx", F.get("v", F.lit(0)).alias("lon"), F.get("v", F.lit(1)).alias("lat"))
+
+
 _ROUTE = """features array<struct<properties:struct<fid:bigint,kind:string,epoch:string,dates:array<string>,legs:array<struct<`from`:bigint,`to`:bigint,uncertain:boolean,sea:boolean>>,vertices:array<struct<name:string>>>,geometry:struct<type:string,coordinates:array<array<double>>>>>"""
 
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 from math import asin, cos, radians, sin, sqrt
 
+import pytest
 from pyspark.sql import functions as F
 
 from meridia.functions import geo
 from meridia.operators import audits, cells, events, grid, joins, picks, steps
 from meridia.operators.graph import components
+from meridia.sources import tables
 
 
 def km(a, b):
@@ -466,3 +469,100 @@ def test_fingerprint_tells_sets_apart(spark):
     assert sha(rows) == sha(rows.repartition(7).orderBy(F.col("id").desc())) and sha(rows)[True][0] == 1500
     other = sha(rows.where("id <> 1234"))
     assert other[False] == sha(rows)[False] and other[True] != sha(rows)[True]
+
+
+def band_in_order(mask, h, prefer):
+    """The same on one mask, row by row."""
+    rows, columns = len(mask), len(mask[0])
+    found = []
+    for r in range(rows - h + 1):
+        row, best, n = [all(mask[r + k][i] for k in range(h)) for i in range(columns)], (0, 0, 0), 0
+        for i, inside in enumerate(row):
+            n = n + 1 if inside else 0
+            if n > best[0]:
+                best = (n, i + 1 - n, i + 1)
+        found.append((best[0], r, best[1], best[2]))
+    top = max((f[0] for f in found), default=0)
+    if h >= rows or not top:
+        return None
+    return min((f for f in found if f[0] >= 0.97 * top), key=lambda f: (abs(f[1] + h / 2 - prefer), f[1]))
+
+
+def test_straight_bands_equal_a_walk_over_rows(spark):
+    r = random.Random(17)
+    masks = {k: [[r.random() < p for _ in range(60)] for _ in range(9)] for k, p in enumerate([0.5, 0.8, 0.9, 0.97, 1.0, 0.05] * 3)}
+    cells_ = [(k, j, i) for k, m in masks.items() for j, row in enumerate(m) for i, inside in enumerate(row) if inside]
+    df = spark.createDataFrame(cells_, "k int, j int, i int")
+    for h in (1, 2, 4, 9):
+        got = {x["k"]: (x["length"], x["row"], x["first"], x["end"]) for x in cells.straight_bands(df, ["k"], h, 4.2, 9).collect()}
+        assert got == {k: b for k, m in masks.items() if (b := band_in_order(m, h, 4.2))}
+
+
+ROWS = "step int, name string, polity boolean, components array<string>, member_of array<string>"
+
+
+def outer_of(spark, rows, kinds=(), relations=(), members=None):
+    df = spark.createDataFrame([(r[0], r[1], r[2], list(r[3]), list(r[4])) for r in rows], ROWS)
+    kinds = spark.createDataFrame(list(kinds), "name string, kind string")
+    relations = spark.createDataFrame(list(relations), "name string, counts boolean")
+    told = None if members is None else spark.createDataFrame(members, "step int, child string, parent string")
+    edges = steps.memberships(df, kinds, relations, told)
+    leaves = df.where("polity and not startswith(name, '(')").select("step", "name").distinct()
+    review = sorted(map(tuple, steps.membership_review(df, kinds, relations).collect()))
+    return {(x["step"], x["name"]): (x["outer"], x["roots"]) for x in steps.outer_units_by_step(edges, leaves).collect()}, review
+
+
+def test_memberships_in_order_of_precedence(spark):
+    rows = [
+        (0, "West", True, (), ()),
+        (0, "East", True, (), ("(Empire)",)),  # not among its components
+        (0, "North", True, (), ("(Old Empire)",)),  # of which none is valid
+        (0, "South", True, (), ("(Empire)",)),  # listed elsewhere: what it says doesn't count
+        (0, "(Empire)", True, ("West",), ()),
+        (0, "(States)", True, ("South",), ()),
+        (1, "West", True, (), ()),
+        (1, "Duchy", True, (), ()),
+        (1, "March", True, (), ()),
+        (1, "(Kingdom)", True, ("West",), ()),
+        (1, "Kingdom", True, (), ()),
+        (1, "Vassalage of Duchy to Kingdom", False, (), ()),
+        (1, "Vassalage of March to West", False, (), ()),
+        (1, "Vassalage of March to Nowhere", False, (), ()),
+    ]
+    kinds = [("(Empire)", "empire"), ("(Kingdom)", "empire")]
+    relations = [("Vassalage of Duchy to Kingdom", True), ("Vassalage of March to West", False)]
+    got, review = outer_of(spark, rows, kinds, relations)
+    assert got == {
+        (0, "West"): ("(Empire)", 1), (0, "East"): ("(Empire)", 1), (0, "North"): ("North", 1), (0, "South"): ("South", 1),
+        (1, "West"): ("(Kingdom)", 1), (1, "Duchy"): ("(Kingdom)", 1), (1, "March"): ("March", 1), (1, "Kingdom"): ("Kingdom", 1),
+    }
+    assert review == [(0, "composite", "(States)"), (0, "unsettled", "North"), (1, "relation", "Vassalage of March to Nowhere")]
+    got, _ = outer_of(spark, rows, [*kinds, ("(States)", "empire")], [("Vassalage of March to West", True)], [(0, "South", "(Empire)"), (1, "Kingdom", "Nowhere"), (1, "Duchy", "March")])
+    assert got[0, "South"] == ("(Empire)", 2) and got[1, "March"] == got[1, "Duchy"] == ("(Kingdom)", 1) and got[1, "Kingdom"] == ("Kingdom", 1)
+    assert outer_of(spark, []) == ({}, [])
+
+
+def test_members_count_toward_their_units_pieces(spark):
+    cells_ = [(0, "Duchy", 20, 10), *[(0, "Kingdom", j, i) for j in range(20, 26) for i in range(11, 20)], (0, "Isle", 40, 50), (0, "Kingdom", 40, 30)]
+    df = spark.createDataFrame(cells_, "step int, name string, j int, i int")
+    alone = {(x["name"], x["minor"]) for x in steps.parts_of_units(df, spark.createDataFrame([], "step int, name string, outer string"), 500_000.0, 50, 80).collect()}
+    assert alone == {("Duchy", True), ("Kingdom", False), ("Kingdom", True), ("Isle", True)}
+    outer = spark.createDataFrame([(0, "Duchy", "(Empire)"), (0, "Kingdom", "(Empire)")], "step int, name string, outer string")
+    got = {(x["name"], x["outer"], x["minor"]) for x in steps.parts_of_units(df, outer, 500_000.0, 50, 80).collect()}
+    assert got == {("Duchy", "(Empire)", False), ("Kingdom", "(Empire)", False), ("Kingdom", "(Empire)", True), ("Isle", "Isle", True)}
+
+
+def test_polities_are_read_with_years_links_and_either_nesting(spark, tmp_path):
+    ring = [[10, 40], [12, 40], [12, 42], [10, 40]]
+    feature = lambda properties, geometry: {"type": "Feature", "properties": properties, "geometry": geometry}
+    rome = {"Name": " Roman Republic", "FromYear": -44, "ToYear": 0, "Area": 1.0, "Type": "POLITY", "Wikidata": "Q17167", "SeshatID": "", "Components": "", "MemberOf": "(Mediterranean); (Italy)"}
+    features = [feature(rome, {"type": "Polygon", "coordinates": [ring]}), feature({"Name": "(Isles)", "FromYear": 1, "ToYear": 5, "Type": "POLITY", "Components": "A;;B "}, {"type": "MultiPolygon", "coordinates": [[ring, ring], [ring]]}), feature({"Name": "Vassalage of A to B", "FromYear": -1, "ToYear": 7}, None)]
+    (tmp_path / "a.json").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    rows = tables.read_polities(spark, str(tmp_path / "a.json"))
+    got = {x["fid"]: (x["name"], x["first"], x["last"], x["polity"], x["wikidata"], x["components"], x["member_of"], [len(p) for p in x["parts"]]) for x in rows.collect()}
+    assert got == {0: ("Roman Republic", -43, 0, True, "Q17167", [], ["(Mediterranean)", "(Italy)"], [1]), 1: ("(Isles)", 1, 5, True, "", ["A", "B"], [], [2, 1]), 2: ("Vassalage of A to B", 0, 7, False, "", [], [], [])}
+    at = [(x["fid"], x["part"], x["ring"]) for x in tables.ring_vertices(rows).where("idx = 1 and lon = 12 and lat = 40").collect()]
+    assert sorted(at) == [(0, 0, 0), (1, 0, 0), (1, 0, 1), (1, 1, 0)]
+    (tmp_path / "b.json").write_text(json.dumps({"features": [feature(rome, {"type": "Point", "coordinates": [1, 2]})]}))
+    with pytest.raises(Exception, match="a polity's geometry is a Point"):
+        tables.read_polities(spark, str(tmp_path / "b.json")).collect()
