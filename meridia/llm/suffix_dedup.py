@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.llm.common import documents, stored
@@ -35,7 +35,7 @@ LENGTH = 200
 #: Windows of a stretch, and of a text that are looked at at once.
 STRETCH, SEGMENT = 256, 1 << 18
 #: Different stretches of an anchor beyond which its windows are dealt by digest; stretches of a batch and about those of a task.
-HOT, BATCH, TASK = 2048, 512, 4096
+HOT, BATCH, TASK = 512, 512, 4096
 
 
 def anchor_size(length: int) -> int:
@@ -109,27 +109,20 @@ def _finder(length: int):
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
             for part, texts in _slices(batch):
-                marks = [hashlib.md5(t).digest() for t in texts]
-                ids = part.column("doc_id").to_pylist()
+                found = [[np.zeros(0, np.int64)] * 5]
                 for numbers, offsets, group in _segments(texts, length):
                     sizes = np.array([len(t) for t in group])
                     ends = np.cumsum(sizes)
                     data = b"".join(group)
                     text, begin, n, anchor, twice = stretches(np.frombuffer(data, np.uint8), ends - sizes, ends, length)
                     digests = [int.from_bytes(hashlib.blake2b(data[b : b + k + length - 1], digest_size=8).digest(), "little", signed=True) for b, k in zip(begin.tolist(), n.tolist(), strict=True)]
-                    of = text.tolist()
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([marks[numbers[t]] for t in of], pa.binary()),
-                            pa.array([ids[numbers[t]] for t in of], pa.int64()),
-                            pa.array(begin - (ends - sizes)[text] + np.array(offsets, np.int64)[text], pa.int64()),
-                            pa.array(n.astype(np.int32)),
-                            pa.array(anchor),
-                            pa.array(digests, pa.int64()),
-                            pa.array(twice),
-                        ],
-                        ["mark", "doc_id", "start", "n", "anchor", "digest", "twice"],
-                    )
+                    # Where a window may occur twice, the number of windows is put out as negative.
+                    found.append([np.array(numbers)[text], begin - (ends - sizes)[text] + np.array(offsets, np.int64)[text], np.where(twice, -n, n), anchor, np.array(digests, np.int64)])
+                of, start, n, anchor, digest = (np.concatenate(x) for x in zip(*found, strict=True))
+                offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(texts))))).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (start, n.astype(np.int32), anchor, digest)]
+                marks = pa.array([hashlib.md5(t).digest() for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([marks, part.column("doc_id"), *lists], ["mark", "doc_id", "start", "n", "anchor", "digest"])
 
     return run
 
@@ -297,13 +290,15 @@ def _finisher(keep: bool):
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """mark (a text's digest) and spans, the byte ranges a to b of its stretches' repeated windows, for texts of rows(doc_id, mark, text) that have any."""
-    schema = "mark binary, doc_id long, start long, n int, anchor long, digest long, twice boolean"
-    found = rows.select("doc_id", "text").mapInArrow(_finder(length), schema)
+    schema = "mark binary, doc_id long, start array<long>, n array<int>, anchor array<long>, digest array<long>"
+    found = rows.select("doc_id", "text").mapInArrow(_finder(length), schema).where(F.size("start") > 0)
     # A text that repeats is one text that occurs often.
-    occurs = stored(found.groupBy("mark", "start", "n", "anchor", "digest", "twice").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id")), "stretches")
+    lists = ["start", "n", "anchor", "digest"]
+    texts = stored(found.groupBy("mark").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in lists]), "texts")
+    occurs = texts.select("mark", "doc_id", "copies", F.explode(F.arrays_zip(*lists)).alias("s")).select("mark", "doc_id", "copies", "s.start", F.abs("s.n").alias("n"), "s.anchor", "s.digest", (F.col("s.n") < 0).alias("twice"))
     where = F.min(F.struct("mark", "doc_id", "start", "n")).alias("at")
     contents = stored(occurs.groupBy("anchor", "digest").agg(F.sum("copies").alias("times"), F.bool_or("twice").alias("twice"), where), "contents")
-    anchors = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.bool_or("twice").alias("any"))
+    anchors = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     contents = stored(contents.join(anchors, "anchor").where((F.col("kinds") > 1) | (F.col("times") > 1) | F.col("twice")), "contents")
     whole = contents.where("times > 1").select("anchor", "digest", F.lit(0).cast("long").alias("first"), F.col("at.n").cast("long").alias("last"))
 
@@ -319,12 +314,15 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     # Windows of anchors with very many stretches, counted by digest.
     seen = stored(many.dropDuplicates(["anchor", "digest"]).select("anchor", "digest", "bytes").mapInArrow(_windows(length), "anchor long, digest long, first long, window binary"), "hot-windows")
     twice = stored(seen.groupBy("window").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("window"), "hot-repeats")
-    single = seen.join(twice, "window", "left_semi").select("anchor", "digest", "first", (F.col("first") + 1).alias("last"))
-
-    ranges = stored(whole.unionByName(ranges).unionByName(single), "ranges")
-    hits = occurs.select("mark", "start", "anchor", "digest").join(ranges, ["anchor", "digest"])
-    span = F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + (length - 1)).alias("b"))
-    return stored(hits.groupBy("mark").agg(F.collect_list(span).alias("spans")), "spans")  # of one text
+    single = seen.join(twice, "window", "left_semi").select("anchor", "digest", "first")
+    island = F.col("first") - F.row_number().over(Window.partitionBy("anchor", "digest").orderBy("first"))  # windows of one stretch
+    joint = single.withColumn("island", island).groupBy("anchor", "digest", "island").agg(F.min("first").alias("first"), (F.max("first") + 1).alias("last")).drop("island")
+
+    # One row per stretch, so that an occurrence meets one.
+    every = whole.unionByName(ranges).unionByName(joint).groupBy("anchor", "digest").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    hits = occurs.select("mark", "start", "anchor", "digest").join(stored(every, "ranges"), ["anchor", "digest"])
+    span = lambda r: F.struct((F.col("start") + r["first"]).alias("a"), (F.col("start") + r["last"] + (length - 1)).alias("b"))
+    return stored(hits.groupBy("mark").agg(F.flatten(F.collect_list(F.transform("ranges", span))).alias("spans")), "spans")  # of one text
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
