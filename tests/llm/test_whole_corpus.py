@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from test_llm import DOC, EDGE, WORDS, docs
 
-from meridia.llm import alignment, importance, lengths, suffix_dedup
+from meridia.llm import alignment, importance, lengths, licences, suffix_dedup
 
 
 def sorted_rows(df):
@@ -227,3 +227,32 @@ def test_lengths_of_very_long_texts(spark):
     got = {x["doc_id"]: x["n_tokens"] for x in lengths.encoded_lengths(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     # A blank is a token of its own; line ends go in pairs; the blank before y goes with it.
     assert got == {1: n, 2: (n - 1 + 1) // 2 + 2, 3: n // 4, 4: 1 + 16 * n - 1 + 1, 5: 2 * n, 6: 4 * n}
+
+
+def gnu(name, version):
+    return f"// Copyright (C) 2019 A. Author\n//\n// This program is free software; you can redistribute it and/or modify\n// it under the terms of the GNU {name} as published by\n// the Free Software Foundation; either version {version} of the License, or\n// (at your option) any later version.\n//\n// This program is distributed in the hope that it will be useful,\n// but WITHOUT ANY WARRANTY; without even the implied warranty of\n// MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n// GNU {name} for more details.\nint main;\n"
+
+
+def test_relatives_are_told_apart_or_unknown(spark):
+    bsd = next(t for n, t in licences.NOTICES if n == "BSD-2-Clause" and "Redistribution" in t)
+    files = [
+        ("a/x.c", gnu("General Public License", "2"), "GPL-2.0"),
+        ("b/x.c", gnu("General Public License", "3"), "GPL-3.0"),
+        ("c/x.c", gnu("Lesser General Public License", "3"), "LGPL-3.0"),
+        ("d/x.c", gnu("Lesser General Public License", "2.1"), "LGPL-2.1"),
+        ("e/x.c", gnu("Affero General Public License", "3"), "AGPL-3.0"),
+        ("f/x.c", gnu("Library General Public License", "2"), "unknown"),
+        ("g/x.c", gnu("General Public License", "4"), "unknown"),
+        ("h/LICENSE", "Copyright (c) 2019, A. Author\n\n" + bsd, "BSD-2-Clause"),
+        ("h/y.c", "int y;", "BSD-2-Clause"),
+        ("i/x.c", "// SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1"),
+        ("j/x.c", "// SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"),
+        ("k/x.c", "// SPDX-License-Identifier: CC0-1.0", "CC0-1.0"),
+        ("l/COPYING", "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc.\n\n" + "preamble " * 300, "AGPL-3.0"),
+        ("m/x.c", "// Licensed under the Apache License, Version 1.1", "unknown"),
+        ("n/x.c", "int n;", None),
+    ]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(files)], "doc_id long, path string, text string")
+    got = {x["path"]: (x["license"], x["inherited_from"]) for x in licences.scan(df).collect()}
+    assert {p: got[p][0] for p, _, _ in files} == {p: w for p, _, w in files}
+    assert got["h/y.c"][1] == "h"
