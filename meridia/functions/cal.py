@@ -162,3 +162,30 @@ def month_blend(day: Column | str) -> Column:
     around = F.transform(F.array(k - 1, k, k + 1), lambda n: F.struct(n.alias("n"), middle(n).alias("mid")))
     pair = F.filter(F.transform(F.sequence(F.lit(0), F.lit(1)), lambda i: F.struct(F.get(around, i).alias("a"), F.get(around, i + 1).alias("b"))), lambda p: (p["a"]["mid"] <= d) & (d < p["b"]["mid"]))
     return F.element_at(F.transform(pair, lambda p: F.struct(p["a"]["n"].alias("before"), p["b"]["n"].alias("after"), ((d - p["a"]["mid"]) / (p["b"]["mid"] - p["a"]["mid"])).alias("weight"))), 1)
+
+
+def year_marks(first: Column | str, last: Column | str, step: int, civil: Callable[..., Column] = gregorian_civil, day: Callable[..., Column] = gregorian_day) -> Column:
+    """Array of struct(year, start, end) of the marks of every `step` years that a span of days touches; `end` is the day on which the next begins.
+
+    Marks align with historical multiples: before the era's seam they lie `step` apart from 1 CE on (1000 BCE is -999), then come
+    1 CE and the multiples of `step`. Null days give null.
+    """
+    a, b = civil(first)["y"], civil(last)["y"]
+    if step == 1:
+        number, year = (lambda y: y), (lambda k: k)
+    else:
+        number = lambda y: F.when(y <= 0, floor_div(y - 1, step)).otherwise(floor_div(y, step))
+        year = lambda k: F.when(k <= 0, 1 + k * step).otherwise(k * step)
+    mark = lambda k: F.struct(year(k).cast("long").alias("year"), day(year(k), F.lit(1), F.lit(1)).cast("long").alias("start"), day(year(k + 1), F.lit(1), F.lit(1)).cast("long").alias("end"))
+    return F.transform(F.sequence(number(a).cast("long"), number(b).cast("long")), mark)
+
+
+def month_marks(first: Column | str, last: Column | str, step: int, civil: Callable[..., Column] = gregorian_civil, day: Callable[..., Column] = gregorian_day) -> Column:
+    """Array of struct(year, month, start, end) of every `step` months, aligned to January, that begin before the day `last` and end after `first`."""
+    at = lambda d: floor_div(civil(d)["y"] * 12 + civil(d)["m"] - 1, step) * step
+    a, b = at(first), at(col(last) - 1)
+    part = lambda n: (floor_div(n, 12), F.pmod(n, F.lit(12)) + 1)
+    start = lambda n: day(part(n)[0], part(n)[1], F.lit(1)).cast("long")
+    mark = lambda n: F.struct(part(n)[0].cast("long").alias("year"), part(n)[1].cast("int").alias("month"), start(n).alias("start"), start(n + step).alias("end"))
+    none = F.array().cast("array<struct<year:bigint,month:int,start:bigint,end:bigint>>")
+    return F.when(b < a, none).otherwise(F.transform(F.sequence(a, F.greatest(a, b), F.lit(step).cast("long")), mark))

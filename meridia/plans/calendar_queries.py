@@ -86,6 +86,19 @@ def sc_spines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return months.unionByName(rows.select("k", F.lit("year").alias("kind"), F.explode(cal.years_of("day", "last", 2)).alias("mark")))
 
 
+# Spans of up to some centuries around the era's seam.
+_SEAM = "SELECT o_orderkey AS k, CAST(o_orderkey * 7919 % 900000 - 500000 AS BIGINT) AS first, CAST(o_orderkey * 7919 % 900000 - 500000 + o_orderkey * 31 % 90000 AS BIGINT) AS last FROM {orders}"
+
+
+@query("SC22", f"""{bind.ctes(s=_SEAM)}, y AS (SELECT *, CAST(year(DATE '0001-01-01' + CAST(first AS INT)) AS BIGINT) AS a, CAST(year(DATE '0001-01-01' + CAST(last AS INT)) AS BIGINT) AS b FROM s),
+n AS (SELECT unnest(range(-3000, 3000)) AS year), g AS (SELECT year, lead(year) OVER (ORDER BY year) AS next FROM n WHERE (year <= 1 AND (1 - year) % 100 = 0) OR (year > 1 AND year % 100 = 0))
+SELECT k, year, CAST(date_diff('day', DATE '0001-01-01', make_date(year, 1, 1)) AS BIGINT) AS start, CAST(date_diff('day', DATE '0001-01-01', make_date(next, 1, 1)) AS BIGINT) AS "end" FROM y JOIN g ON year <= b AND next > a""")
+def sc_year_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centuries that spans touch, over the era's seam."""
+    rows = bind.frame(spark, sf_dir, _SEAM)
+    return rows.select("k", F.explode(cal.year_marks("first", "last", 100)).alias("m")).select("k", "m.*")
+
+
 @query(
     "SC23",
     f"""WITH days_ AS ({bind.duck(DAYS)}), g AS (SELECT k, day, CAST(date_trunc('month', DATE '0001-01-01' + CAST(day AS INT)) AS DATE) AS t FROM days_),

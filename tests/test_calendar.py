@@ -48,3 +48,36 @@ def test_rounding_away_from_zero_and_terms(spark):
     assert got == [3, -3, 0, -1]
     row = spark.createDataFrame([('"a\\u00e9 \\"b\\""@fr', "<http://x/Q5>")], "a string, b string").select(text.decode_term("a").alias("a"), text.decode_term("b").alias("b")).first()
     assert tuple(row) == ('aé "b"', "Q5")
+
+
+def marks_in_order(first, last, step):
+    """The same by walking from mark to mark."""
+    day = lambda y, m: 365 * (y - 1) + (y - 1) // 4 - (y - 1) // 100 + (y - 1) // 400 + sum((31, 29 if y % 4 == 0 and (y % 100 or y % 400 == 0) else 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)[: m - 1])
+    y = first // 366
+    while day(y + 1, 1) <= first:
+        y += 1
+    m = max(k for k in range(1, 13) if day(y, k) <= first)
+    at = y if step == 1 else 1 - -(-(1 - y) // step) * step if y <= 0 else max(1, y // step * step)
+    years = []
+    while day(at, 1) <= last:
+        after = at + 1 if step == 1 else min(1, at + step) if at <= 0 else step if at == 1 else at + step
+        years.append((at, day(at, 1), day(after, 1)))
+        at = after
+    n, months = (y * 12 + m - 1) // step * step, []
+    while day(n // 12, n % 12 + 1) < last:
+        months.append((n // 12, n % 12 + 1, day(n // 12, n % 12 + 1), day((n + step) // 12, (n + step) % 12 + 1)))
+        n += step
+    return years, months
+
+
+def test_marks_over_the_seam_of_the_era(spark):
+    import random
+
+    r = random.Random(22)
+    spans = [(k, a, a + r.choice([0, 1, 40, 400, 4000])) for k, a in enumerate([0, -1, -366, 365, -367, *[r.randint(-9000, 9000) for _ in range(60)]])]
+    df = spark.createDataFrame(spans, "k int, a long, b long")
+    for step in (1, 2, 3, 5, 12, 100):
+        got = df.select("k", cal.year_marks("a", "b", step).alias("y"), cal.month_marks("a", "b", step).alias("m")).collect()
+        for x in got:
+            _, a, b = spans[x["k"]]
+            assert ([tuple(t) for t in x["y"]], [tuple(t) for t in x["m"]]) == marks_in_order(a, b, step), (a, b, step)
