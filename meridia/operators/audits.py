@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,3 +138,26 @@ def timings(samples: DataFrame, by: list[str], budget: float) -> DataFrame:
     inside = F.greatest(F.lit(0), F.least("c", first - (F.col("upto") - F.col("c"))))
     nearest = lambda p: F.min(F.when(F.col("upto") >= F.col("n") * p, F.col("ms")))
     return ranked.groupBy(*by).agg(F.sum("c").alias("samples"), nearest(0.5).alias("p50"), nearest(0.95).alias("p95"), (F.sum(F.col("ms") * inside) / F.sum(inside)).alias("interval_ms"), F.sum(F.when(F.col("ms") > budget, F.col("c")).otherwise(0)).alias("missed"))
+
+
+def correction_faults(corrections: DataFrame, eras: DataFrame, last_year: int, kinds: Sequence[str], unsourced: Sequence[str] = ("overlap",)) -> DataFrame:
+    """era, number, fault of corrections(era, number, kind, y0, y1, why, source): the first that holds, none for those in order.
+
+    A kind that isn't known, years that lack or run backward, an era that eras(era, low, high) lacks, a start outside its era (a null side is open), an
+    end past the last year, no reason, and no source where the kind needs one. Nulls count as lacking. Of rows that share era and number all are
+    'repeated', unless they have a fault of their own.
+    """
+    known = join_bounded(corrections.select("era", "number", "kind", "y0", "y1", "why", "source"), eras.select("era", "low", "high").withColumn("there", F.lit(True)), ["era"])
+    empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    fault = (
+        F.when(~F.coalesce(F.col("kind").isin(*kinds), F.lit(False)), "operation")
+        .when(F.col("y0").isNull() | F.col("y1").isNull() | (F.col("y0") > F.col("y1")), "years")
+        .when(F.col("there").isNull(), "era")
+        .when((F.col("y0") < F.col("low")) | (F.col("y0") > F.col("high")), "outside its era")
+        .when(F.col("y1") > last_year, "past the last year")
+        .when(empty("why"), "no reason")
+        .when(empty("source") & ~F.col("kind").isin(*unsourced), "no source")
+    )
+    twice = corrections.groupBy("era", "number").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("era", "number", F.lit(True).alias("twice"))
+    told = known.withColumn("fault", fault).join(twice, ["era", "number"], "left")
+    return told.select("era", "number", F.coalesce("fault", F.when(F.col("twice"), "repeated")).alias("fault")).where("fault is not null")

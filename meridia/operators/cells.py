@@ -145,6 +145,12 @@ def signed_distance(cells: DataFrame, columns: int, reach: int) -> DataFrame:
     return cells.join(got.select(F.col("oj").alias("j"), F.col("oi").alias("i"), "d2"), ["j", "i"], "left").select("j", "i", "flag", F.when(F.col("flag"), d).otherwise(-d).alias("distance"))
 
 
+def texel_distance(cells: DataFrame, columns: int, reach: int, k: int = 2) -> DataFrame:
+    """j, i, distance of texels of k x k cells(j, i, flag): the mean of their cells' signed_distance()."""
+    of = signed_distance(cells, columns, reach)
+    return of.groupBy(F.floor(F.col("j") / k).alias("j"), F.floor(F.col("i") / k).alias("i")).agg(F.avg("distance").alias("distance"))
+
+
 def border_distance(cells: DataFrame, pairs: DataFrame, columns: int, reach: int) -> DataFrame:
     """j, i, distance to the nearest border between two ids of pairs(lower, upper, soft); negative on the lower side; soft as the nearest pair says.
 

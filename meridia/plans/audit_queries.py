@@ -144,3 +144,21 @@ def filter_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bind.table(spark, sf_dir, "lineitem")
     kept = rows.where(F.col("l_returnflag").isin("A", "R") & ((F.col("l_linenumber") <= 3) | (F.col("l_orderkey") % 100 == 0)) & (F.col("l_quantity") > 0))
     return kept.groupBy(F.col("l_returnflag").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# The files of corrections by era, with the years that they begin in, and the kinds of corrections.
+_ERAS = [("bce", None, 0), ("0001-0999", 1, 999), ("1000-1499", 1000, 1499), ("1500-1799", 1500, 1799), ("1800-1913", 1800, 1913), ("1914-2000", 1914, 2000)]
+_KINDS = ("give", "carry", "add", "drop", "member", "rename", "pocket", "overlap")
+_CORRECTIONS = """SELECT CASE WHEN s_suppkey % 23 = 22 THEN '2001' WHEN y < 1 THEN 'bce' WHEN y < 1000 THEN '0001-0999' WHEN y < 1500 THEN '1000-1499' WHEN y < 1800 OR s_suppkey % 11 = 4 THEN '1500-1799' WHEN y < 1914 THEN '1800-1913' ELSE '1914-2000' END AS era,
+CASE WHEN s_suppkey % 37 = 36 THEN s_suppkey - 37 ELSE s_suppkey END AS number, CASE s_suppkey % 9 WHEN 0 THEN 'give' WHEN 1 THEN 'carry' WHEN 2 THEN 'add' WHEN 3 THEN 'drop' WHEN 4 THEN 'member' WHEN 5 THEN 'rename' WHEN 6 THEN 'pocket' WHEN 7 THEN 'overlap' ELSE CASE WHEN s_suppkey % 2 = 0 THEN 'merge' ELSE 'overlap' END END AS kind,
+y AS y0, CASE WHEN s_suppkey % 29 = 3 THEN NULL ELSE y + s_suppkey % 41 - 2 END AS y1, CASE WHEN s_suppkey % 31 = 5 THEN ' ' ELSE 'said' END AS why, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'book' END AS source FROM (SELECT s_suppkey, CAST(s_suppkey * 7919 % 3000 - 990 AS INT) AS y FROM {supplier}) q"""
+
+
+@query("VQ12", f"""{bind.ctes(c=_CORRECTIONS)}, er AS (SELECT * FROM (VALUES {", ".join(f"('{e}', {'NULL' if a is None else a}, {b})" for e, a, b in _ERAS)}) AS t(era, low, high)),
+f AS (SELECT c.era, number, count(*) OVER (PARTITION BY c.era, number) AS n, CASE WHEN kind NOT IN {_KINDS} THEN 'operation' WHEN y0 IS NULL OR y1 IS NULL OR y0 > y1 THEN 'years' WHEN er.era IS NULL THEN 'era'
+  WHEN y0 < coalesce(low, y0) OR y0 > coalesce(high, y0) THEN 'outside its era' WHEN y1 > 2000 THEN 'past the last year' WHEN trim(why) = '' THEN 'no reason' WHEN coalesce(source, '') = '' AND kind <> 'overlap' THEN 'no source' END AS fault FROM c LEFT JOIN er ON er.era = c.era)
+SELECT era, number, coalesce(fault, 'repeated') AS fault FROM f WHERE fault IS NOT NULL OR n > 1""")
+def audit_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of dated corrections: kinds, years, eras, reasons, sources."""
+    eras = spark.createDataFrame(_ERAS, "era string, low int, high int")
+    return audits.correction_faults(bind.frame(spark, sf_dir, _CORRECTIONS), eras, 2000, _KINDS)

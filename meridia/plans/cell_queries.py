@@ -131,6 +131,15 @@ def cell_signed_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.signed_distance(flags, W, 4).select("j", "i", "flag", F.round("distance", 6).alias("distance"))
 
 
+@query("GE3", f"""{CELLS}, {_ALL}, f AS (SELECT a.j, a.i, (a.j, a.i) IN (SELECT (j, i) FROM pc) AS flag FROM a), d AS (SELECT a.j, a.i, CASE WHEN a.flag THEN 1 ELSE -1 END * least(4.0, sqrt(coalesce(min((o.j - a.j) * (o.j - a.j) + {_D} * {_D}), 16))) AS distance FROM f a LEFT JOIN f o ON o.flag <> a.flag AND abs(o.j - a.j) <= 4 AND {_D} <= 4 GROUP BY a.j, a.i, a.flag)
+SELECT CAST(j // 2 AS BIGINT) AS j, CAST(i // 2 AS BIGINT) AS i, round(avg(distance), 6) AS distance FROM d GROUP BY 1, 2""")
+def cell_texel_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean distance, of texels of two by two cells, to the border of the land that any polity held in any year."""
+    held = all_cells(spark, sf_dir).select(F.col("j").cast("int").alias("j"), F.col("i").cast("int").alias("i"), F.lit(True).alias("h")).distinct()
+    flags = grid_all(spark).join(held, ["j", "i"], "left").select("j", "i", F.coalesce("h", F.lit(False)).alias("flag"))
+    return cells.texel_distance(flags, W, 4).select("j", "i", F.round("distance", 6).alias("distance"))
+
+
 _OWN = "h AS (SELECT j, i, arg_min(row_id, (area, row_id)) AS id FROM pc GROUP BY j, i)"
 
 

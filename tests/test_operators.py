@@ -566,3 +566,23 @@ def test_polities_are_read_with_years_links_and_either_nesting(spark, tmp_path):
     (tmp_path / "b.json").write_text(json.dumps({"features": [feature(rome, {"type": "Point", "coordinates": [1, 2]})]}))
     with pytest.raises(Exception, match="a polity's geometry is a Point"):
         tables.read_polities(spark, str(tmp_path / "b.json")).collect()
+
+
+def test_each_fault_of_a_correction_is_named(spark):
+    good = ("a", 1, "give", 5, 9, "why", "book")
+    rows = [good, ("a", 2, "take", 5, 9, "why", "book"), ("a", 3, None, 5, 9, "why", "book"), ("a", 4, "give", 9, 5, "why", "book"), ("a", 5, "give", None, 5, "why", "book"), ("c", 6, "give", 5, 9, "why", "book"), ("a", 7, "give", 0, 9, "why", "book"),
+            ("a", 8, "give", 5, 21, "why", "book"), ("a", 9, "give", 5, 9, " ", "book"), ("a", 10, "give", 5, 9, "why", None), ("a", 11, "overlap", 5, 9, "why", ""), ("b", 12, "give", -5000, 9, "why", "book"), ("a", 13, *good[2:]), ("a", 13, *good[2:]), (None, 14, *good[2:])]
+    df = spark.createDataFrame(rows, "era string, number int, kind string, y0 int, y1 int, why string, source string")
+    eras = spark.createDataFrame([("a", 1, 19), ("b", None, 0)], "era string, low int, high int")
+    got = sorted((x["number"], x["fault"]) for x in audits.correction_faults(df, eras, 20, ["give", "overlap"]).collect())
+    assert got == [(2, "operation"), (3, "operation"), (4, "years"), (5, "years"), (6, "era"), (7, "outside its era"), (8, "past the last year"), (9, "no reason"), (10, "no source"), (13, "repeated"), (13, "repeated"), (14, "era")]
+    assert audits.correction_faults(df.limit(0), eras, 20, ["give"]).count() == 0
+
+
+def test_texels_have_the_mean_of_their_cells(spark):
+    r = random.Random(33)
+    flags = [(j, i, r.random() < 0.4) for j in range(6) for i in range(8)]
+    df = spark.createDataFrame(flags, "j int, i int, flag boolean")
+    of = {(x["j"], x["i"]): x["distance"] for x in cells.signed_distance(df, 8, 3).collect()}
+    got = {(x["j"], x["i"]): x["distance"] for x in cells.texel_distance(df, 8, 3).collect()}
+    assert got == pytest.approx({(j, i): sum(of[2 * j + a, 2 * i + b] for a in (0, 1) for b in (0, 1)) / 4 for j in range(3) for i in range(4)})
