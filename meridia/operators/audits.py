@@ -21,17 +21,26 @@ def config_faults(classes: DataFrame) -> DataFrame:
     return rows.select("cls", fault.alias("fault")).where("fault is not null")
 
 
-def page_faults(rows: DataFrame) -> DataFrame:
-    """qid, fault of rows(page, row, qid, t0, t1, parent, score, lon, lat): each row bears the first fault that holds."""
-    w = Window.partitionBy("page").orderBy("row")
-    twice = F.count(F.lit(1)).over(Window.partitionBy("page", "qid"))
-    checked = rows.withColumn("before", F.lag("score").over(w)).withColumn("n", twice)
+def page_faults(rows: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """qid, fault of rows(page, row, qid, t0, t1, parent, score, lon, lat): each row bears the first fault that holds.
+
+    A row's score is held against that of the row before it on its page. Pages are looked at in blocks of `block` row numbers, and a block's
+    first row against the last of the block before, so no task orders a page. Ids that occur twice on a page are counted, not gathered. Nulls make no fault.
+    """
+    rows = rows.withColumn("_block", F.floor(F.col("row") / block))
+    ends = rows.groupBy("page", "_block").agg(F.max_by("score", "row").alias("_end"))
+    before = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy("page").orderBy("_block"))).select(F.col("page").alias("_page"), F.col("_block").alias("_of"), "_before")  # a row per block
+    before = before.where("_before is not null")
+    twice = rows.groupBy("page", "qid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("page").alias("_page"), F.col("qid").alias("_qid"), F.lit(True).alias("_twice"))
+    last = F.lag(F.struct("score")).over(Window.partitionBy("page", "_block").orderBy("row"))
+    checked = rows.withColumn("_last", last).join(before, F.col("page").eqNullSafe(F.col("_page")) & (F.col("_block") == F.col("_of")), "left").drop("_page")
+    checked = checked.join(twice, F.col("page").eqNullSafe(F.col("_page")) & F.col("qid").eqNullSafe(F.col("_qid")), "left")
     fault = (
         F.when(~F.col("lon").between(-180, 180) | ~F.col("lat").between(-90, 90), "place")
         .when(F.col("t0") > F.col("t1"), "span")
         .when(F.col("parent") == F.col("qid"), "own parent")
-        .when(F.col("score") > F.col("before"), "order")
-        .when(F.col("n") > 1, "id twice")
+        .when(F.col("score") > F.when(F.col("_last").isNotNull(), F.col("_last.score")).otherwise(F.col("_before")), "order")
+        .when(F.col("_twice"), "id twice")
     )
     return checked.select("qid", fault.alias("fault")).where("fault is not null")
 

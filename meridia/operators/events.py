@@ -95,7 +95,7 @@ def containment(members: DataFrame) -> DataFrame:
 
 def displayed_class(members: DataFrame, classes: DataFrame) -> DataFrame:
     """event, display: of an event's classes within its heaviest, one that has no deeper one among them; of equals the heavier, then the first listed."""
-    weighed = members.select("event", "cls").distinct().join(F.broadcast(classes.select("cls", "weight", "ord")), "cls")
+    weighed = members.select("event", "cls").distinct().transform(join_bounded, classes.select("cls", "weight", "ord"), ["cls"], "inner")
     heaviest = weighed.groupBy("event").agg(F.max_by("cls", F.struct("weight", -F.col("ord"))).alias("top"))
     inside = containment(members)
     own = weighed.join(heaviest, "event")

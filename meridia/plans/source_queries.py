@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meridia.plans import bind
 from meridia.plans.event_queries import _INDEX, _PAGES, _REGION
 from meridia.registry import SQL, query
-from meridia.shared import scratch, stored
+from meridia.shared import join_bounded, scratch, stored
 from meridia.sources import tables
 
 
@@ -228,4 +228,4 @@ def io_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     if not config_faults(classes).isEmpty():
         raise ValueError("the class list is faulty")
     used = bind.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("cls")).distinct()
-    return used.join(F.broadcast(classes), "cls").select("cls", "weight", "within")
+    return join_bounded(used, classes, ["cls"], "inner").select("cls", "weight", "within")

@@ -586,3 +586,26 @@ def test_texels_have_the_mean_of_their_cells(spark):
     of = {(x["j"], x["i"]): x["distance"] for x in cells.signed_distance(df, 8, 3).collect()}
     got = {(x["j"], x["i"]): x["distance"] for x in cells.texel_distance(df, 8, 3).collect()}
     assert got == pytest.approx({(j, i): sum(of[2 * j + a, 2 * i + b] for a in (0, 1) for b in (0, 1)) / 4 for j in range(3) for i in range(4)})
+
+
+def test_page_faults_across_blocks(spark):
+    """Scores in order across blocks of any size, ids twice on one page only, nulls."""
+    r = random.Random(41)
+    rows, want = [], {}
+    for page in ("a", "b", None):
+        before = None
+        ids = r.sample(range(1000), 58)
+        for k, n in enumerate(sorted(r.sample(range(200), 60))):
+            score = r.choice([5, 4, 3, None])
+            qid = ids[k % 58] + (0 if page else 5000)
+            lon = 500.0 if r.random() < 0.1 else 1.0
+            fault = "place" if lon > 180 else "order" if None not in (score, before) and score > before else "id twice" if k % 58 < 2 else None
+            if fault:
+                want[page, qid, fault] = want.get((page, qid, fault), 0) + 1
+            rows.append((page, n, qid, 0, 1, None, score, lon, 1.0))
+            before = score
+    df = spark.createDataFrame(rows, "page string, row long, qid long, t0 long, t1 long, parent long, score long, lon double, lat double")
+    whole = sorted((q, f) for (_, q, f), n in want.items() for _ in range(n))
+    for block in (1, 7, 50, 1 << 16):
+        got = sorted((x["qid"], x["fault"]) for x in audits.page_faults(df, block).collect())
+        assert got == whole
