@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridia.shared import join_bounded, scratch, stored
 
-__all__ = ["documents", "join_bounded", "kept_rows", "scratch", "stored", "table"]
+__all__ = ["by_bytes", "documents", "join_bounded", "kept_rows", "scratch", "stored", "table"]
+
+#: Bytes of texts that a task turns into Python objects at a time.
+TOGETHER = 1 << 23
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +32,18 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     )
 
 
+def by_bytes(batches: Iterable[pa.RecordBatch], column: str, most: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose values of `column`, strings or binaries, have `most` bytes at most, or are one row. Nulls have none; batches without rows are left out."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(ends):
+            before = int(ends[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def kept_rows(docs: DataFrame, kept: DataFrame, mark: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose doc_id and mark are in kept(doc_id, mark, times), where `times` rows of docs share the two.
 

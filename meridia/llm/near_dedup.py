@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridia.llm.common import documents, join_bounded, kept_rows, stored
+from meridia.llm.common import by_bytes, documents, join_bounded, kept_rows, stored
 from meridia.llm.words import mix, shingle_sets
 from meridia.operators.graph import components
 
@@ -52,7 +52,7 @@ def _signer(k: int, bands: int, rows: int, bits: int):
     place = np.arange(bands, dtype=np.uint64)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, "text"):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             marks = [hashlib.md5(t).digest() for t in texts]
             texts = [t.lower() for t in texts]  # bytes: A-Z alone
@@ -89,7 +89,7 @@ def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS, bi
 
 def _set_maker(k: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, "text"):
             texts = [t.lower() for t in batch.column("text").cast(pa.binary()).to_pylist()]
             sets = [s.tobytes() for s in shingle_sets(texts, k)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
@@ -99,7 +99,7 @@ def _set_maker(k: int):
 
 def _confirm(percent: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, "sa"):
             keep = []
             for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

@@ -91,7 +91,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""
 SQL: dict[str, str] = {
     "op4_chat_format": chat.CHAT_SQL,
     "op5_exact_dedup": OP5_SQL,
-    "op9_mixing": f"WITH {mixing.mix_sql('documents')}\nSELECT * FROM mixed",
+    "op9_mixing": f"WITH RECURSIVE {mixing.mix_sql('documents')}\nSELECT * FROM mixed",
     "op10_warc": warc.WARC_SQL,
     "op11_importance_resampling": importance.RESAMPLE_SQL,
 }

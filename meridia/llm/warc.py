@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm.common import join_bounded, scratch, stored
+from meridia.llm.common import by_bytes, join_bounded, scratch, stored
 
 VERSION = b"WARC/1.1\r\n"
 #: Bytes of payload in one segment; shorter payloads than LEAST are never revisits.
@@ -117,7 +117,7 @@ def write_archives(pages: DataFrame, path: str, chunk: int = CHUNK, least: int =
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in by_bytes(batches, "value"):
         out = []
         for v in batch.column("value"):
             record = v.as_py()
@@ -140,7 +140,11 @@ _FIELDS = [("record_id", pa.string()), ("segment", pa.int64()), ("total", pa.int
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """The chunked record table of WARC files: record_id, segment (null where there is one alone), total (bytes of all content blocks, on the last), block_bytes, page_id, url, kind, refers_to, stated and running digests, data."""
+    """The chunked record table of WARC files: record_id, segment (null where there is one alone), total (bytes of all content blocks, on the last), block_bytes, page_id, url, kind, refers_to, stated and running digests, data.
+
+    Fields that a record's head lacks are null; records that repeat are read each; a folder of empty files gives no rows; a record
+    of another length than it states is an error.
+    """
     lines = spark.read.schema("value string").option("lineSep", "\n" + VERSION.decode()).text(path)
     schema = "record_id string, segment long, total long, block_bytes long, page_id long, url string, kind string, refers_to long, stated string, running string, data binary"
     return lines.select(F.col("value").cast("binary").alias("value")).mapInArrow(_parse, schema)
@@ -173,7 +177,8 @@ def read_records(segments: DataFrame) -> DataFrame:
 
     Sizes and digests are measured on the bytes read, and checked against the headers;
     a revisit has those of the record that it refers to. Only records of several
-    segments are dealt out by their identifier.
+    segments are dealt out by their identifier. A null page_id stays null; records that
+    repeat give a row each; a revisit of a record that is not there has null payload_bytes; without segments there are no rows.
     """
     measured = "page_id long, payload_bytes long, payload_digest string"
     held = segments.where("kind <> 'revisit'")

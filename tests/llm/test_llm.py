@@ -473,6 +473,59 @@ def test_transport_streams_round_trip(spark):
         assert (x["doc_id"], x["n_bytes"], x["payload_bytes"], x["payload_sha256"], x["tail_crc32"]) == (i, len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
 
 
+def plain_stream(stream):
+    """Program, media PID, kind, payload, times and random-access times of a transport stream, read byte by byte as the standard lays it out."""
+    program = map_pid = media = kind = None
+    counters, pes, points = {}, [], []
+    for at in range(0, len(stream), 188):
+        p = stream[at : at + 188]
+        assert p[0] == 0x47
+        pid, start, control, counter = (p[1] & 0x1F) * 256 + p[2], p[1] & 0x40, p[3] >> 4 & 3, p[3] & 15
+        assert pid not in counters or counter == (counters[pid] + 1) % 16
+        counters[pid] = counter
+        body, random_access = 4, False
+        if control & 2:
+            random_access = p[4] > 0 and bool(p[5] & 0x40)
+            body = 5 + p[4]
+        data = p[body:]
+        if pid == 0 and start:
+            table = data[1 + data[0] :]
+            assert table[0] == 0
+            program, map_pid = table[8] * 256 + table[9], (table[10] & 0x1F) * 256 + table[11]
+        elif pid == map_pid and start:
+            table = data[1 + data[0] :]
+            assert table[0] == 2
+            first = 12 + (table[10] & 15) * 256 + table[11]
+            kind, media = table[first], (table[first + 1] & 0x1F) * 256 + table[first + 2]
+        elif pid == media:
+            if start:
+                pes.append(b"")
+                points.append(random_access)
+            pes[-1] += data
+    payload, times = b"", []
+    for x in pes:
+        assert x[:3] == b"\0\0\1" and x[4] * 256 + x[5] + 6 == len(x)
+        assert x[7] & 0x80 and x[9] >> 4 in (2, 3)
+        times.append((x[9] >> 1 & 7) << 30 | x[10] << 22 | x[11] >> 1 << 15 | x[12] << 7 | x[13] >> 1)
+        payload += x[9 + x[8] :]
+    return program, media, kind, payload, times, [t for t, r in zip(times, points, strict=True) if r]
+
+
+def test_transport_streams_against_a_plain_reader(spark):
+    rows = [*EDGE, (61, "z" * 200_000), (62, "é☃" * 7_000)]
+    media = transport.write_streams(docs(spark, rows))
+    read = {(x["doc_id"], x["n_bytes"]): x for x in transport.read_streams(media).collect()}
+    assert media.count() == len(rows)
+    texts = {((i, len((t or "").encode()))): (t or "").encode() for i, t in rows}
+    for x in media.collect():
+        program, pid, kind, payload, times, points = plain_stream(bytes(x["media"]))
+        own = read[x["doc_id"], x["n_bytes"]]
+        assert payload[: x["n_bytes"]].lower() == texts[x["doc_id"], x["n_bytes"]].lower() and set(payload[x["n_bytes"] :]) <= {255}
+        assert own["payload_bytes"] == len(payload) > 0 and len(payload) % 576 == 0 and own["tail_crc32"] == zlib.crc32(payload[-32:])
+        assert (own["times"], own["random_access"]) == (times, points) == (x["times"], x["random_access"])
+        assert own["feature"].startswith(f"program={program};pid={pid};type={kind};") and f";pes={len(times)};" in own["feature"]
+
+
 def test_warc_round_trip_of_awkward_payloads(spark):
     r = random.Random(11)
     v = "WARC/1.1\r\n"
@@ -528,9 +581,61 @@ def test_mixing_to_given_targets(spark):
     apart = given.withColumn("lang", F.when(F.col("source") == "s0", "aa").otherwise("bb"))
     both = spark.createDataFrame([("source", "s0", 3.0), ("source", "s1", 1.0), ("lang", "aa", 1.0), ("lang", "bb", 3.0)], "margin string, value string, weight double")
     assert not all(x["met"] for x in mixing.fit(apart, targets=both).collect())
+    looks = []
+    seen = mixing.residual
+    mixing.residual = lambda cells, margins=mixing.MARGINS: looks.append(seen(cells, margins)) or looks[-1]
+    try:
+        mixing.fit(apart, targets=both)
+    finally:
+        mixing.residual = seen
+    assert len(looks) <= 3  # the rounds end where they bring nothing more
     assert mixing.fit(given.limit(0)).count() == 0 and mixing.mix(given.limit(0), targets=targets).count() == 0
 
 
+def test_mixing_bounds_the_copies_of_a_rare_cell(spark):
+    """One document is to be half of all tokens: it comes out as often as the bound says, and the report says what that leaves unmet."""
+    r = random.Random(17)
+    rows = [(i, " ".join(r.choices(WORDS, k=100)), "en", "rare" if i == 7 else "common", 1) for i in range(600)]
+    given = spark.createDataFrame(rows, DOC)
+    targets = spark.createDataFrame([("source", "rare", 1.0), ("source", "common", 1.0)], "margin string, value string, weight double")
+    out = mixing.sample(given, targets=targets, copies=5).groupBy("doc_id").count().collect()
+    times = {x["doc_id"]: x["count"] for x in out}
+    assert times[7] == 5 and max(n for i, n in times.items() if i != 7) == 1
+    report = {x["value"]: x for x in mixing.fit(given, targets=targets, copies=5).where("margin = 'source'").collect()}
+    assert not report["rare"]["met"] and report["rare"]["reached"] == pytest.approx(5 * 100) and report["rare"]["goal"] == pytest.approx(30_000)
+    free = {x["value"]: x for x in mixing.fit(given, targets=targets).where("margin = 'source'").collect()}
+    assert free["rare"]["met"] and free["common"]["met"]
+
+
+def test_mixing_sql_follows_the_rounds_of_the_code(spark):
+    """Cells that converge slowly need more rounds than the least number; SQL and code stop at the same one."""
+    import duckdb
+
+    word = "w "
+    sizes = {("s0", "en", "a"): 900, ("s0", "de", "a | b"): 3, ("s1", "en", "a"): 2, ("s1", "de", "a | b"): 800, ("s1", "en", "### b"): 1, ("s0", "de", "### b"): 40, ("s2", "fr", "a"): 5, ("s2", "en", "a | b"): 700}
+    rows = [(i, text + " " + word * n, lang, source, 1) for i, ((source, lang, text), n) in enumerate(sizes.items())]
+    given = spark.createDataFrame(rows, DOC)
+    got = {x["doc_id"]: (x["probability"], x["weight"]) for x in mixing.mix(given).collect()}
+    con = duckdb.connect()
+    con.register("documents", given.toPandas())
+    want = {x[0]: x[1:] for x in con.sql(f"WITH RECURSIVE {mixing.mix_sql('documents')} SELECT doc_id, probability, weight FROM mixed").fetchall()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=2e-9) for i in got)
+    few = con.sql(f"WITH RECURSIVE {mixing.mix_sql('documents', most=mixing.ROUNDS)} SELECT doc_id, probability, weight FROM mixed").fetchall()
+    assert any(want[x[0]] != pytest.approx(x[1:], abs=2e-9) for x in few)  # more rounds than the least were made
+
+
+def test_batches_are_sliced_by_bytes():
+    import pyarrow as pa
+
+    from meridia.llm.common import by_bytes
+
+    texts = ["a" * 10, None, "b" * 25, "", "é" * 5, "c" * 4, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["doc_id", "text"])
+    parts = list(by_bytes([batch.slice(0, 0), batch, batch.slice(2, 3)], "text", 20))
+    assert [x for p in parts for x in p.column("doc_id").to_pylist()] == [*range(7), 2, 3, 4]
+    assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p.column("text").to_pylist()) <= 20 for p in parts)
+
+
 def test_pipeline_mixing_keeps_the_token_shares(spark, tmp_path):
     """Tokens of what the mixing stage puts out, over all three marginals, against the tempered shares of what went in."""
     import corpus_pipeline
