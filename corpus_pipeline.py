@@ -44,7 +44,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are thinned or repeated by the factors that meet the target weights.
+    """Documents are thinned or repeated, mixing.COPIES times at most, by the factors that meet the target weights.
 
     Null sources, languages and texts count as ''; documents without tokens are never repeated; rows that repeat a doc_id are
     drawn alike; an empty table gives no rows.
@@ -53,7 +53,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' ids and decoded texts, as digests, one row for each that comes in: null and empty texts have no tokens."""
+    """The documents' ids and decoded texts, as digests, one row for each that comes in.
+
+    Null and empty texts have no tokens; rows that repeat are encoded each; a null doc_id stays null; an empty table gives no rows.
+    """
     return bpe.encode_decode(docs)
 
 
