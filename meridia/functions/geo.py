@@ -64,6 +64,11 @@ def cube(x, y, z) -> Column:
     return F.struct(face.alias("face"), angle(1).alias("s"), angle(2).alias("t"))
 
 
+def along(u: Column, face: int, axis: int) -> Column:
+    """A direction's share along one of a face's axes: 0 outward, 1 that of s, 2 that of t."""
+    return _dot(FACES[face][axis], u["x"], u["y"], u["z"])
+
+
 def tile_index(s, level: int) -> Column:
     """Number of the tile along one side."""
     n = 1 << level

@@ -179,8 +179,8 @@ def changes(shown: DataFrame, order: str = "view") -> DataFrame:
     return both.select(order, "id", F.when(F.col("was").isNull(), "enter").when(F.col("now").isNull(), "exit").otherwise("stay").alias("change"))
 
 
-def extent_pixels(rows: DataFrame, matrix: list[float], width: float, height: float, least: float = 0.0) -> DataFrame:
-    """id, px, seen of rows(id, west, south, east, north): the larger side in pixels of the box around those of an extent's 5 x 5 points that are
+def extent_pixels(rows: DataFrame, matrix: list[float | Column], width: float, height: float, least: float = 0.0, by: tuple[str, ...] = ("id",)) -> DataFrame:
+    """by, px, seen of rows(by, west, south, east, north): the larger side in pixels of the box around those of an extent's 5 x 5 points that are
     before the horizon of a view (w over `least`), and how many are; extents behind it have no row."""
     n = 5
     at = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))))
@@ -191,7 +191,7 @@ def extent_pixels(rows: DataFrame, matrix: list[float], width: float, height: fl
     at = at.withColumn("_w", row(3)).where(F.col("_w") > least)
     at = at.withColumns({"_px": (row(0) / F.col("_w") + 1) / 2 * width, "_py": (1 - row(1) / F.col("_w")) / 2 * height})
     side = lambda c: F.max(c) - F.min(c)
-    return at.groupBy("id").agg(F.greatest(side("_px"), side("_py")).alias("px"), F.count(F.lit(1)).alias("seen"))
+    return at.groupBy(*by).agg(F.greatest(side("_px"), side("_py")).alias("px"), F.count(F.lit(1)).alias("seen"))
 
 
 def expansion(rows: DataFrame, split: float, merge: float) -> DataFrame:
@@ -209,6 +209,34 @@ def collapse(visible: DataFrame, lineage: DataFrame) -> DataFrame:
     return visible.join(blocked, ["view", "id"], "left").withColumn("hidden", F.coalesce("blocked", F.lit(False))).drop("blocked")
 
 
+def families(rows: DataFrame, lineage: DataFrame, split: float, merge: float, cell: int, markers: tuple[int, int], labelled: tuple[int, int]) -> DataFrame:
+    """view, id, role ('marker' or 'context'), label: what each view shows of rows that stand for one another, and which of it bears a label.
+
+    rows(view, id, score, px, py, size, seen, incumbent, focal) are those in the view's time, views being numbered in order; seen: on screen; size: the
+    extent's pixels, null without one. A row is a parent in a view where it is an ancestor in lineage(node, ancestor) of a row seen there; it stands
+    open as expansion() says. Rows seen that are neither open nor below a closed parent on screen, and the focal ones, are budgeted by
+    viewport() with `markers`, (most to a cell, most in all), into markers; their open ancestors are context, on screen or not. Markers and the context on screen
+    are budgeted again, with `labelled`. Lineage steps across rows out of the view's time count.
+    """
+    rows = stored(rows, "views")
+    held = rows.select("view", F.col("id").alias("ancestor"), "size", "seen")
+    above = rows.where("seen").select("view", "id").join(lineage.select(F.col("node").alias("id"), "ancestor"), "id")
+    pairs = stored(above.join(held, ["view", "ancestor"]).select("view", "id", "ancestor", F.col("seen").alias("above_seen")), "pairs")
+    parents = pairs.select("view", F.col("ancestor").alias("id")).distinct().withColumn("parent", F.lit(True))
+    marked = rows.join(parents, ["view", "id"], "left").withColumn("parent", F.coalesce("parent", F.lit(False)) & F.col("size").isNotNull())
+    told = expansion(marked.select("view", "id", "parent", F.when(F.col("parent"), F.col("size")).alias("px")), split, merge)
+    open_ = stored(told.where("parent and expanded").select("view", "id"), "open")
+    up = open_.select("view", F.col("id").alias("ancestor"))
+    blocked = pairs.where("above_seen").join(up, ["view", "ancestor"], "left_anti").select("view", "id").distinct()
+    hidden = open_.unionByName(blocked).distinct().withColumn("hidden", F.lit(True))
+    eligible = rows.where("seen").join(hidden, ["view", "id"], "left").where(F.col("focal") | F.col("hidden").isNull())
+    shown = stored(viewport(eligible, cell, *markers).distinct(), "shown")
+    context = pairs.join(shown, ["view", "id"]).join(up, ["view", "ancestor"]).select("view", F.col("ancestor").alias("id")).distinct().join(shown, ["view", "id"], "left_anti")
+    both = stored(shown.withColumn("role", F.lit("marker")).unionByName(context.withColumn("role", F.lit("context"))), "roles")
+    named = viewport(rows.join(both, ["view", "id"]).where("seen").withColumn("focal", F.col("focal") & (F.col("role") == "marker")), cell, *labelled)
+    return both.join(named.distinct().withColumn("label", F.lit(True)), ["view", "id"], "left").select("view", "id", "role", F.coalesce("label", F.lit(False)).alias("label"))
+
+
 def unseen(rows: DataFrame, seen: DataFrame, last: int, seed: int) -> DataFrame:
     """user, id: for every user of seen(user, at, id) an id of rows(id) that is not among the last `last` seen; null if all are.
 
@@ -273,6 +301,55 @@ def labels(boxes: DataFrame, cap: int, room: float = 0.0) -> DataFrame:
             return taken.select("view", "id")
 
 
+def capped(names: DataFrame, tile_px: int, across: int, down: int, cap: int, slots: int, grow: float = 1.0) -> DataFrame:
+    """view, id, tiles of names(view, id, rank, discs) that go into every tile of a view's across x down grid that one of their discs, `grow` times as wide, reaches.
+
+    In order of rank, then id: a name with a tile that holds `cap` names already, or with more tiles than the view has slots left, goes into none. discs is an
+    array of struct(x, y, r). The first BATCH names of each view are admitted or refused together; refusals are for good, so of the others
+    only those clear of full tiles come again. Names that reach no tile, or have nulls, are left out.
+    """
+    d = names.where("id is not null and view is not null and rank is not null").select("view", "id", "rank", F.explode("discs").alias("d"))
+    d = d.select("view", "id", "rank", F.col("d.x").cast("double").alias("_x"), F.col("d.y").cast("double").alias("_y"), (F.col("d.r") * grow).alias("_r")).dropna()
+    low = lambda c: F.greatest(F.lit(0), F.floor((F.col(c) - F.col("_r")) / tile_px).cast("int"))
+    high = lambda c, n: F.least(F.lit(n - 1), F.floor((F.col(c) + F.col("_r")) / tile_px).cast("int"))
+    d = d.withColumns({"_x0": low("_x"), "_x1": high("_x", across), "_y0": low("_y"), "_y1": high("_y", down)}).where("_x0 <= _x1 and _y0 <= _y1")
+    d = d.withColumn("_tx", F.explode(F.sequence("_x0", "_x1"))).withColumn("_ty", F.explode(F.sequence("_y0", "_y1")))
+    off = lambda c, t: F.col(c) - F.greatest(F.col(t) * tile_px, F.least(F.col(c), (F.col(t) + 1) * tile_px))
+    d = d.where(off("_x", "_tx") * off("_x", "_tx") + off("_y", "_ty") * off("_y", "_ty") <= F.col("_r") * F.col("_r"))
+    left = d.groupBy("view", "id", "rank").agg(F.array_sort(F.collect_set(F.col("_ty") * across + F.col("_tx"))).alias("tiles"))  # across * down at most
+    schema = left.select("view", "id", "tiles").schema
+    taken: DataFrame | None = None
+
+    def admit(pdf: pd.DataFrame) -> pd.DataFrame:
+        counts: dict[int, int] = {}
+        used, out = 0, []
+        for tiles in pdf[pdf.old].tiles:
+            used += len(tiles)
+            for t in tiles:
+                counts[t] = counts.get(t, 0) + 1
+        for r in pdf[~pdf.old].sort_values(["rank", "id"]).itertuples():
+            if used + len(r.tiles) <= slots and all(counts.get(t, 0) < cap for t in r.tiles):
+                used += len(r.tiles)
+                for t in r.tiles:
+                    counts[t] = counts.get(t, 0) + 1
+                out.append((r.view, r.id, r.tiles))
+        return pd.DataFrame(out, columns=["view", "id", "tiles"])
+
+    while True:
+        left = stored(left.withColumn("_n", F.row_number().over(Window.partitionBy("view").orderBy("rank", "id"))), "names")
+        top = left.where(F.col("_n") <= BATCH).drop("_n").withColumn("old", F.lit(False))
+        if taken is not None:
+            top = top.unionByName(taken.withColumn("old", F.lit(True)), allowMissingColumns=True)
+        got = stored(top.groupBy("view").applyInPandas(admit, schema), "admitted")  # BATCH names and the view's slots at most
+        taken = got if taken is None else stored(taken.unionByName(got), "admitted")
+        held = taken.select("view", F.explode("tiles").alias("t")).groupBy("view", "t").agg(F.count(F.lit(1)).alias("c"))
+        state = held.groupBy("view").agg(F.sum("c").alias("used"), F.collect_list(F.when(F.col("c") >= cap, F.col("t"))).alias("full"))  # a view's tiles
+        rest = join_bounded(left.where(F.col("_n") > BATCH).drop("_n"), stored(state, "tiles"), ["view"])
+        left = rest.where((F.coalesce("used", F.lit(0)) + F.size("tiles") <= slots) & (F.col("full").isNull() | ~F.arrays_overlap("tiles", "full"))).drop("used", "full")
+        if left.isEmpty():
+            return taken
+
+
 def level_of(entries: DataFrame, full: float, keep: float) -> DataFrame:
     """region, level: the level at which each region of entries(region, level, reveal, before) shows its names, none where nothing is revealed.
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridia.functions import geo
-from meridia.operators import grid
+from meridia.operators import coverage, grid
 from meridia.plans import bind
+from meridia.plans.join_queries import KM
 from meridia.registry import SQL, query
 
 _G = bind.GRID
@@ -175,6 +176,72 @@ def sc_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.neighbours(bind.frame(spark, sf_dir, _TILES), 4).drop("face", "x", "y")
 
 
+_DISCS = """SELECT s_suppkey AS id, (s_suppkey * 7919 % 36000) / 1e2 - 180 AS lon, (s_suppkey * 104729 % 17800) / 1e2 - 89 AS lat,
+  CAST(200 + s_suppkey % 13 * 60 AS DOUBLE) AS r3, CASE WHEN s_suppkey % 4 > 0 THEN CAST(30 + s_suppkey % 7 * 25 AS DOUBLE) END AS r4, CAST(20 + s_suppkey % 5 AS DOUBLE) AS r5 FROM {supplier} WHERE s_suppkey % 5 > 0"""
+#: A texel more than the border on each side, of a tile of 256 texels.
+_REACH = 5 / 256
+# Tiles by brute force: each tile of the levels against each disc's and each cell's position.
+_ALL_TILES = f"""{_CUBE}, tl AS (SELECT face, level, x, y, CAST(1 << level AS DOUBLE) AS n FROM (SELECT unnest(range(6)) AS face), (SELECT unnest(range(6)) AS level), (SELECT unnest(range(1 << level)) AS x), (SELECT unnest(range(1 << level)) AS y))"""
+_BY_DISCS = f"""ms AS (SELECT tl.*, tan((((x + a / 4.0) / n) - 0.5) * pi() / 2) AS u, tan((((y + b / 4.0) / n) - 0.5) * pi() / 2) AS v FROM tl, (SELECT unnest(range(5)) AS a), (SELECT unnest(range(5)) AS b) WHERE level >= 3),
+mp AS (SELECT ms.face, level, x, y, ox + u * sx + v * tx AS px, oy + u * sy + v * ty AS py, oz + u * sz + v * tz AS pz FROM ms JOIN fv USING (face)),
+ml AS (SELECT face, level, x, y, degrees(atan2(py, px)) AS plon, degrees(atan2(pz, sqrt(px * px + py * py))) AS plat FROM mp),
+dr AS (SELECT id, lon, lat, 3 AS level, r3 AS r FROM d UNION ALL SELECT id, lon, lat, 4, r4 FROM d WHERE r4 IS NOT NULL UNION ALL SELECT id, lon, lat, 5, r5 FROM d),
+dn AS (SELECT DISTINCT ml.face, ml.level, x, y FROM ml JOIN dr ON ml.level = dr.level AND abs(plat - lat) <= 10 WHERE {KM.format("lon", "lat", "plon", "plat")} <= r),
+du AS (SELECT *, cos(radians(lat)) * cos(radians(lon)) AS dx, cos(radians(lat)) * sin(radians(lon)) AS dy, sin(radians(lat)) AS dz FROM dr),
+df AS (SELECT du.*, face, dx * ox + dy * oy + dz * oz AS w, 0.5 + 2 / pi() * atan((dx * sx + dy * sy + dz * sz) / (dx * ox + dy * oy + dz * oz)) AS s, 0.5 + 2 / pi() * atan((dx * tx + dy * ty + dz * tz) / (dx * ox + dy * oy + dz * oz)) AS t FROM du, fv WHERE dx * ox + dy * oy + dz * oz > 0),
+dc AS (SELECT DISTINCT face, level, floor(s * (1 << level)) AS x, floor(t * (1 << level)) AS y FROM df WHERE s BETWEEN 0 AND 1 AND t BETWEEN 0 AND 1),
+wi AS (SELECT * FROM dn UNION SELECT * FROM dc)"""
+_BY_CELLS = f"""cu AS (SELECT cos(radians(lat)) * cos(radians(lon)) AS dx, cos(radians(lat)) * sin(radians(lon)) AS dy, sin(radians(lat)) AS dz FROM c),
+cf AS (SELECT face, 0.5 + 2 / pi() * atan((dx * sx + dy * sy + dz * sz) / (dx * ox + dy * oy + dz * oz)) AS s, 0.5 + 2 / pi() * atan((dx * tx + dy * ty + dz * tz) / (dx * ox + dy * oy + dz * oz)) AS t FROM cu, fv WHERE dx * ox + dy * oy + dz * oz > 0),
+wa AS (SELECT DISTINCT tl.face, level, x, y FROM tl JOIN cf ON cf.face = tl.face AND s >= (x - {_REACH}) / n AND s <= (x + 1 + {_REACH}) / n AND t >= (y - {_REACH}) / n AND t <= (y + 1 + {_REACH}) / n)"""
+_HIGH = f"SELECT -180 + (i + 0.5) * 360 / 128 AS lon, -90 + (j + 0.5) * 180 / 64 AS lat FROM ({_G}) AS g WHERE value > 2600"
+
+
+def _discs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("double")
+    return bind.frame(spark, sf_dir, _DISCS).select("lon", "lat", F.array(none, none, none, "r3", "r4", "r5").alias("radii"))
+
+
+@query("JN16", f"""{bind.ctes(d=_DISCS)}, {_ALL_TILES}, {_BY_DISCS} SELECT CAST(face AS INT) AS face, CAST(level AS INT) AS level, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM wi""")
+def grid_disc_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of three levels that discs reach, or whose centre lies in them, each level with radii of its own."""
+    return coverage.by_discs(_discs(spark, sf_dir), 5, 5)
+
+
+@query("JN28", f"""{bind.ctes(c=_HIGH)}, {_ALL_TILES}, {_BY_CELLS} SELECT CAST(face AS INT) AS face, CAST(level AS INT) AS level, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM wa""")
+def grid_cell_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of six levels that, widened by their border and a texel, hold the centre of a high cell."""
+    return coverage.by_cells(bind.frame(spark, sf_dir, _HIGH), 5, _REACH)
+
+
+@query("TK14 JN16 JN28", f"""{bind.ctes(c=_HIGH, d=_DISCS)}, {_ALL_TILES}, {_BY_CELLS}, {_BY_DISCS},
+g3 AS (SELECT face, level, x, y FROM wa WHERE level = 3), g4 AS (SELECT wa.* FROM wa JOIN wi USING (face, level, x, y) WHERE level = 4 AND (face, x // 2, y // 2) IN (SELECT (face, x, y) FROM g3)),
+g5 AS (SELECT wa.* FROM wa JOIN wi USING (face, level, x, y) WHERE level = 5 AND (face, x // 2, y // 2) IN (SELECT (face, x, y) FROM g4)),
+o AS (SELECT face, level, x, y FROM tl WHERE level < 3 UNION ALL SELECT * FROM g3 UNION ALL SELECT * FROM g4 UNION ALL SELECT * FROM g5) SELECT CAST(face AS INT) AS face, CAST(level AS INT) AS level, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM o""")
+def grid_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tile of three levels, then the children of kept tiles near high cells, and from level 4 on in the discs too."""
+    high = coverage.by_cells(bind.frame(spark, sf_dir, _HIGH), 5, _REACH)
+    return coverage.grow(spark, 5, 3, high, coverage.by_discs(_discs(spark, sf_dir), 5, 5), 4)
+
+
+# Heights of tiles, with their bounds as a file would bear them: some absent, wrong, twice there, of no tile, or wider than the parent's.
+_TILE_HEIGHTS = "SELECT CAST(p_partkey % 6 AS INT) AS face, CAST(3 + p_partkey % 2 AS INT) AS level, CAST(p_partkey DIV 12 % 8 AS INT) AS x, CAST(p_partkey DIV 96 % 8 AS INT) AS y, min(p_retailprice) AS low, max(p_retailprice) AS high, min(p_partkey) AS k FROM {part} GROUP BY 1, 2, 3, 4"
+_BOUNDS = f"""SELECT face, level, x, y, CAST(floor(low) AS BIGINT) - CASE WHEN level = 3 THEN 400 WHEN k % 17 = 0 THEN 1 ELSE 0 END AS low, CAST(ceil(high) AS BIGINT) + CASE WHEN level = 3 THEN 400 WHEN k % 19 = 0 THEN 3000 ELSE 0 END AS high FROM ({_TILE_HEIGHTS}) AS h WHERE k % 11 <> 0
+UNION ALL SELECT face, level, x, y, CAST(floor(low) AS BIGINT), CAST(ceil(high) AS BIGINT) FROM ({_TILE_HEIGHTS}) AS h WHERE k % 13 = 0"""
+
+
+@query("VQ7 AG17", f"""{bind.ctes(h=_TILE_HEIGHTS, b=_BOUNDS)}, av AS (SELECT face, level, x, y FROM h WHERE k % 23 <> 0), q AS (SELECT face, level, x, y, count(*) AS n, min(low) AS low, max(high) AS high, bool_or(low > high) AS bad FROM b GROUP BY ALL),
+o AS (SELECT face, level, x, y, 'absent' AS fault FROM av WHERE NOT EXISTS (SELECT 1 FROM q WHERE (q.face, q.level, q.x, q.y) = (av.face, av.level, av.x, av.y))
+UNION ALL SELECT face, level, x, y, 'unavailable' FROM q WHERE NOT EXISTS (SELECT 1 FROM av WHERE (q.face, q.level, q.x, q.y) = (av.face, av.level, av.x, av.y))
+UNION ALL SELECT face, level, x, y, 'repeated' FROM q WHERE n > 1 UNION ALL SELECT face, level, x, y, 'empty' FROM q WHERE bad
+UNION ALL SELECT face, level, x, y, 'range' FROM q JOIN h USING (face, level, x, y) WHERE n = 1 AND level = 4 AND (q.low <> floor(h.low) OR q.high <> ceil(h.high))
+UNION ALL SELECT c.face, c.level, c.x, c.y, 'parent' FROM q c JOIN q p ON p.face = c.face AND p.level = c.level - 1 AND p.x = c.x // 2 AND p.y = c.y // 2 WHERE c.low < p.low OR c.high > p.high) SELECT * FROM o""")
+def audit_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planted faults of tiles' bounds; ranges are held against the heights of the deepest level, whose bounds are of the tile alone."""
+    heights = bind.frame(spark, sf_dir, _TILE_HEIGHTS)
+    return coverage.bound_faults(bind.frame(spark, sf_dir, _BOUNDS), heights.where("k % 23 <> 0"), heights.where("level = 4"))
+
+
 @query("AG21", f"{bind.ctes(g=_G)} SELECT j % 4 AS grp, round(sum(6371.0088 * 6371.0088 * (2 * pi() / 128) * (sin(radians(-90 + (j + 1) * 180.0 / 64)) - sin(radians(-90 + j * 180.0 / 64)))), 3) AS km2 FROM g WHERE value > 0 GROUP BY 1")
 def grid_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas of cells above zero by group."""

@@ -224,3 +224,39 @@ def sc_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = bind.frame(spark, sf_dir, _EXTENT).withColumnRenamed("qid", "id")
     px = picks.extent_pixels(x, _MATRIX, 1440, 900, 0.05).select("id", F.when(F.col("seen") == 25, F.round("px", 4)).alias("px"))
     return x.join(px, "id", "left").select(F.col("id").alias("qid"), F.round(geo.extent_reach("lon", "lat", "west", "south", "east", "north"), 4).alias("reach_km"), "px")
+
+
+_ZOOM = "(1.0 + v * 0.35)"
+_SHOWN_OF = """{0}b AS (SELECT *, score + CASE WHEN incumbent THEN 20 ELSE 0 END AS s2 FROM {1} WHERE NOT focal), {0}c AS (SELECT *, row_number() OVER (PARTITION BY view, floor(px / 160), floor(py / 160) ORDER BY s2 DESC, id) AS n FROM {0}b),
+{0}d AS (SELECT view, id, row_number() OVER (PARTITION BY view ORDER BY s2 DESC, id) AS k FROM {0}c WHERE n <= {2}), {0} AS (SELECT view, id FROM {0}d WHERE k <= {3} UNION SELECT view, id FROM {1} WHERE focal)"""
+
+
+@query("TK7 TK8", f"""{bind.ctes(e=_E, x=_EXTENT).replace("WITH", "WITH RECURSIVE", 1)}, {_V}, w0 AS ({_VIEWS}), r AS (SELECT qid AS node, parent AS ancestor FROM e WHERE parent IS NOT NULL UNION SELECT r.node, e.parent FROM r JOIN e ON e.qid = r.ancestor WHERE e.parent IS NOT NULL),
+l5 AS ({_LATTICE.format(4, 5)}), u AS (SELECT qid AS id, cos(radians(plat)) * cos(radians(plon)) AS x, cos(radians(plat)) * sin(radians(plon)) AS y, sin(radians(plat)) AS z FROM l5),
+uw AS (SELECT v AS view, id, {_ZOOM} * (1.2 * x + 0.1 * y + 0.1) AS a, {_ZOOM} * (1.5 * y + 0.2 * z) AS b, 0.7 * x + 0.2 * y + 0.1 * z + 0.4 AS w FROM u, v),
+sz AS (SELECT view, id, round(greatest(max((a / w + 1) / 2 * 1440) - min((a / w + 1) / 2 * 1440), max((1 - b / w) / 2 * 900) - min((1 - b / w) / 2 * 900)), 6) AS size FROM uw WHERE w > 0.05 GROUP BY ALL),
+w AS (SELECT w0.*, (w0.id + view) % 5 <> 0 AS seen, CASE WHEN w0.id % 10 <> 3 THEN size END AS size FROM w0 LEFT JOIN sz USING (view, id) WHERE (w0.id + view * 3) % 7 <> 0),
+pr AS (SELECT w.view, w.id, r.ancestor, p.seen AS up FROM w JOIN r ON r.node = w.id JOIN w p ON p.view = w.view AND p.id = r.ancestor WHERE w.seen),
+mk AS (SELECT w.view, w.id, CASE WHEN (w.view, w.id) IN (SELECT (view, ancestor) FROM pr) THEN w.size END AS size FROM w),
+ex AS (SELECT view, id, size, last_value(CASE WHEN size >= 60 THEN true WHEN size < 40 THEN false END IGNORE NULLS) OVER (PARTITION BY id ORDER BY view ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ex FROM mk),
+op AS (SELECT view, id FROM ex WHERE size IS NOT NULL AND ex), bl AS (SELECT DISTINCT view, id FROM pr WHERE up AND (view, ancestor) NOT IN (SELECT (view, id) FROM op)),
+el AS (SELECT * FROM w WHERE seen AND (focal OR ((view, id) NOT IN (SELECT (view, id) FROM op) AND (view, id) NOT IN (SELECT (view, id) FROM bl)))), {_SHOWN_OF.format("ch", "el", 2, 60)},
+cx AS (SELECT DISTINCT pr.view, pr.ancestor AS id FROM pr JOIN ch USING (view, id) JOIN op ON op.view = pr.view AND op.id = pr.ancestor WHERE (pr.view, pr.ancestor) NOT IN (SELECT (view, id) FROM ch)),
+bo AS (SELECT view, id, 'marker' AS role FROM ch UNION ALL SELECT view, id, 'context' FROM cx), lw AS (SELECT w.* REPLACE (w.focal AND role = 'marker' AS focal) FROM w JOIN bo USING (view, id) WHERE seen), {_SHOWN_OF.format("lb", "lw", 1, 25)}
+SELECT view, id, role, (view, id) IN (SELECT (view, id) FROM lb) AS label FROM bo""")
+def pick_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers, context parents and labels of eight views that zoom in: parents open as their extents grow, and give way to their children."""
+    zoom = 1.0 + F.col("view") * 0.35
+    x = bind.frame(spark, sf_dir, _EXTENT).withColumnRenamed("qid", "id").crossJoin(F.broadcast(spark.range(8).withColumnRenamed("id", "view")))  # eight views
+    sizes = picks.extent_pixels(x, [zoom * v if k < 8 else F.lit(v) for k, v in enumerate(_MATRIX)], 1440, 900, 0.05, ("view", "id")).select("view", "id", F.round("px", 6).alias("size"))
+    rows = _views(spark, sf_dir).where((F.col("id") + F.col("view") * 3) % 7 != 0).join(sizes, ["view", "id"], "left")
+    rows = rows.withColumns({"seen": (F.col("id") + F.col("view")) % 5 != 0, "size": F.when(F.col("id") % 10 != 3, F.col("size"))})
+    return picks.families(rows, joins.closure(bind.frame(spark, sf_dir, bind.PARENT)), 60.0, 40.0, 160, (2, 60), (1, 25))
+
+
+@query("TK11")
+def pick_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of eight views in the tiles that their discs reach, in all of them or, where one is full, in none."""
+    disc = lambda dx, r: F.struct((F.col("px") + dx).alias("x"), F.col("py").alias("y"), r.cast("double").alias("r"))
+    names = _views(spark, sf_dir).select("view", "id", (-F.col("score")).alias("rank"), F.array(disc(0.0, 10 + F.col("score") % 30), disc(45.0, F.lit(18))).alias("discs"))
+    return picks.capped(names, 64, 23, 15, 6, 1500, 1.2).select("view", "id", F.size("tiles").alias("tiles"))
