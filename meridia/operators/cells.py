@@ -137,12 +137,12 @@ def fill_pockets(cells: DataFrame, empty: DataFrame, columns: int, by: tuple[str
     return own.unionByName(nearest_fill_all(cells, rest, columns, by).select(*keys, "id"))
 
 
-def signed_distance(cells: DataFrame, columns: int, reach: int) -> DataFrame:
-    """cells(j, i, flag) with the distance, at most `reach`, to the nearest cell of the other flag, positive where flag holds."""
+def signed_distance(cells: DataFrame, columns: int, reach: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """cells(by, j, i, flag) with the distance, at most `reach`, to the nearest cell of the other flag of the same `by`, positive where flag holds."""
     near = around(cells.withColumn("oj", F.col("j")).withColumn("oi", F.col("i")).withColumn("own", F.col("flag")).drop("flag"), reach, columns)
-    got = near.join(cells, ["j", "i"]).where("flag <> own").groupBy("oj", "oi").agg(F.min(F.col("dj") * F.col("dj") + F.col("di") * F.col("di")).alias("d2"))
+    got = near.join(cells, [*by, "j", "i"]).where("flag <> own").groupBy(*by, "oj", "oi").agg(F.min(F.col("dj") * F.col("dj") + F.col("di") * F.col("di")).alias("d2"))
     d = F.least(F.lit(float(reach)), F.sqrt(F.coalesce("d2", F.lit(reach * reach))))
-    return cells.join(got.select(F.col("oj").alias("j"), F.col("oi").alias("i"), "d2"), ["j", "i"], "left").select("j", "i", "flag", F.when(F.col("flag"), d).otherwise(-d).alias("distance"))
+    return cells.join(got.select(*by, F.col("oj").alias("j"), F.col("oi").alias("i"), "d2"), [*by, "j", "i"], "left").select(*by, "j", "i", "flag", F.when(F.col("flag"), d).otherwise(-d).alias("distance"))
 
 
 def texel_distance(cells: DataFrame, columns: int, reach: int, k: int = 2) -> DataFrame:
@@ -164,18 +164,19 @@ def border_distance(cells: DataFrame, pairs: DataFrame, columns: int, reach: int
     return best.select("j", "i", (F.col("b.side") * (F.sqrt("b.d2") + 0.5)).alias("distance"), F.col("b.soft").alias("soft"))
 
 
-def both_near(empty: DataFrame, lakes: DataFrame, ids: DataFrame, columns: int, reach: int) -> DataFrame:
-    """Cells of empty(j, i) with a lake and an id within a square reach."""
-    by = lambda other: around(other.select("j", "i"), reach, columns).select("j", "i").distinct()
-    return empty.select("j", "i").join(by(lakes), ["j", "i"], "left_semi").join(by(ids), ["j", "i"], "left_semi")
+def both_near(empty: DataFrame, lakes: DataFrame, ids: DataFrame, columns: int, reach: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Cells of empty(by, j, i) with a lake(j, i) and an id(by, j, i) of the same `by` within a square reach."""
+    near = lambda other, keys: around(other.select(*keys), reach, columns).select(*keys).distinct()
+    keys = [*by, "j", "i"]
+    return empty.select(*keys).join(near(lakes, ["j", "i"]), ["j", "i"], "left_semi").join(near(ids, keys), keys, "left_semi").select(*keys)
 
 
-def across_seam(unclaimed: DataFrame, held: DataFrame, columns: int) -> DataFrame:
-    """j, i, name of unclaimed(j, i) cells at the first or last column whose neighbours over the seam have one holder alone, held(name, j, i)."""
+def across_seam(unclaimed: DataFrame, held: DataFrame, columns: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, j, i, name of unclaimed(by, j, i) cells at the first or last column whose neighbours over the seam have one holder alone, held(by, name, j, i)."""
     edge = unclaimed.where((F.col("i") == 0) | (F.col("i") == columns - 1))
     over = around(edge.withColumn("oj", F.col("j")).withColumn("oi", F.col("i")), 1, columns).where((F.col("oi") == 0) & (F.col("i") == columns - 1) | (F.col("oi") == columns - 1) & (F.col("i") == 0))
-    got = over.join(held, ["j", "i"]).groupBy(F.col("oj").alias("j"), F.col("oi").alias("i")).agg(F.count_distinct("name").alias("n"), F.min("name").alias("name"))
-    return got.where("n = 1").select("j", "i", "name")
+    got = over.join(held, [*by, "j", "i"]).groupBy(*by, F.col("oj").alias("j"), F.col("oi").alias("i")).agg(F.count_distinct("name").alias("n"), F.min("name").alias("name"))
+    return got.where("n = 1").select(*by, "j", "i", "name")
 
 
 def near_segments(points: DataFrame, segments: DataFrame, columns: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridia.operators.cells import around, opened, overlaps, regions, runs
+from meridia.operators.cells import opened, overlaps, regions, runs
 from meridia.operators.grid import km2
 from meridia.operators.joins import closure, interval_join
 from meridia.shared import join_bounded, stored
@@ -85,35 +85,6 @@ def unresolved(holders: DataFrame, years: DataFrame, most: int, least_km2: float
     return found
 
 
-def unclaimed(dry: DataFrame, held: DataFrame, lakes: DataFrame, outer: DataFrame, rows: int, columns: int) -> DataFrame:
-    """step, region, cells, km2, wide, core (cells), lake, coast, states, state of the connected pieces of dry land that none holds.
-
-    dry(j, i) and lakes(j, i) are the same at all steps; held(step, name, j, i); outer(name, outer). A piece is wide where it is three
-    cells wide somewhere, its core being those parts; coast: it touches what is neither dry nor lake; states: how many outer
-    units touch it, state the first of them. The facts come from the map alone.
-    """
-    key = ["step", "region"]
-    dry, lakes = dry.select("j", "i").distinct(), lakes.select("j", "i").distinct()
-    steps = held.select("step").distinct()
-    free = steps.crossJoin(F.broadcast(dry)) if dry.limit(SPINE + 1).count() <= SPINE else steps.crossJoin(dry)  # every step has all the land
-    free = stored(free.join(held.select("step", "j", "i").distinct(), ["step", "j", "i"], "left_anti"), "free")
-    pieces = stored(regions(free, ["step"], columns), "pieces")
-    size = pieces.groupBy(*key).agg(F.count(F.lit(1)).alias("cells"), F.sum(km2(F.col("j"), rows, columns)).alias("km2"))
-    core = opened(free, ["step"], columns).join(pieces, ["step", "j", "i"]).groupBy(*key).agg(F.count(F.lit(1)).alias("core"))
-    beside = stored(around(pieces, 1, columns).select(*key, "j", "i").distinct().where(F.col("j").between(0, rows - 1)), "beside")
-    by_lake = beside.join(lakes, ["j", "i"], "left_semi").select(*key).distinct().withColumn("lake", F.lit(True))
-    by_sea = beside.join(dry, ["j", "i"], "left_anti").join(lakes, ["j", "i"], "left_anti").select(*key).distinct().withColumn("coast", F.lit(True))
-    units = held.join(outer, "name", "left").select("step", "j", "i", F.coalesce("outer", "name").alias("unit"))
-    states = beside.join(units, ["step", "j", "i"]).groupBy(*key).agg(F.count_distinct("unit").alias("states"), F.min("unit").alias("state"))
-    out = size.join(core, key, "left").join(by_lake, key, "left").join(by_sea, key, "left").join(states, key, "left")
-    no = F.lit(False)
-    return out.select(*key, "cells", "km2", F.col("core").isNotNull().alias("wide"), F.coalesce("core", F.lit(0)).alias("core"), F.coalesce("lake", no).alias("lake"), F.coalesce("coast", no).alias("coast"), F.coalesce("states", F.lit(0)).alias("states"), F.when(F.col("states") == 1, F.col("state")).alias("state"))
-
-
-#: Cells of land that are broadcast to every step at most.
-SPINE = 1_000_000
-
-
 def review(pairs: DataFrame, acknowledged: DataFrame, least_share: float) -> DataFrame:
     """a, b, first, steps, cells, share, winners, duplicate, unacknowledged: what overlaps(step, a, b, shared, share, winner) come to over all steps.
 

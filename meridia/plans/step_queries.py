@@ -5,42 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meridia.operators import audits, cells, grid, steps
+from meridia.operators import audits, cells, evolving, grid, steps
 from meridia.operators.joins import interval_join
 from meridia.plans import bind
-from meridia.plans.cell_queries import CELLS, H, W, all_cells
+from meridia.plans.cell_queries import CELLS, H, LAKES, W, YEARS, all_cells, changes, drawn, lake_cells
 from meridia.registry import query
 from meridia.shared import stored
 
 _P = bind.POLITY
-_YEARS = f"""{bind.ctes(p=_P)}, y AS (SELECT DISTINCT unnest([first, last + 1]) AS year FROM p), g AS (SELECT y.year, coalesce(string_agg(CAST(row_id AS VARCHAR), ',' ORDER BY CAST(row_id AS VARCHAR)), '') AS s FROM y LEFT JOIN p ON first <= year AND year <= last GROUP BY y.year),
-c AS (SELECT year, s, lag(s) OVER (ORDER BY year) AS b FROM g), st AS (SELECT row_number() OVER (ORDER BY year) - 1 AS step, year, s FROM c WHERE b IS NULL OR b <> s)"""
 
 
-@query("WN9", f"{_YEARS} SELECT step, year, CASE WHEN s = '' THEN '' ELSE sha256(s) END AS sign FROM st")
+@query("WN9", f"{YEARS} SELECT step, year, CASE WHEN s = '' THEN '' ELSE sha256(s) END AS sign FROM st")
 def step_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Years in which the set of valid rows changes."""
     return steps.change_years(bind.frame(spark, sf_dir, _P)).withColumn("step", F.col("step").cast("long"))
 
 
-def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """step, year of all change years of the polity table."""
-    return stored(steps.change_years(bind.frame(spark, sf_dir, _P)).select(F.col("step").cast("int").alias("step"), F.col("year").cast("int").alias("year")), "changes")
-
-
 def _held(spark: SparkSession, sf_dir: str, years: DataFrame) -> DataFrame:
     """step, row_id, name of rows valid at each change year."""
     return interval_join(bind.frame(spark, sf_dir, _P), years.withColumn("until", F.col("year")), "first", "last", "year", "until", 10)
 
 
 _HELD = "hd AS (SELECT step, row_id, name FROM p, st WHERE first <= year AND year <= last)"
-_RUNS = f"""{_YEARS}, {_HELD}, d AS (SELECT DISTINCT name, step FROM hd), r AS (SELECT name, step, step - row_number() OVER (PARTITION BY name ORDER BY step) AS k FROM d) SELECT name, CAST(min(step) AS INT) AS first, CAST(max(step) AS INT) AS last FROM r GROUP BY name, k"""
+_RUNS = f"""{YEARS}, {_HELD}, d AS (SELECT DISTINCT name, step FROM hd), r AS (SELECT name, step, step - row_number() OVER (PARTITION BY name ORDER BY step) AS k FROM d) SELECT name, CAST(min(step) AS INT) AS first, CAST(max(step) AS INT) AS last FROM r GROUP BY name, k"""
 
 
 @query("WN7 WN8", _RUNS)
 def step_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of change steps in which a name is drawn."""
-    return steps.merged(_held(spark, sf_dir, _changes(spark, sf_dir)).select("name", "step").distinct(), ["name"])
+    return steps.merged(_held(spark, sf_dir, changes(spark, sf_dir)).select("name", "step").distinct(), ["name"])
 
 
 @query("WN7 WN8", _RUNS)
@@ -64,13 +57,13 @@ def step_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Each cell's holder at every change year.
-_HOLD = f"""{_YEARS}, pc{CELLS.split(", pc", 1)[1]}, hc AS (SELECT step, j, i, min(name) AS name FROM pc, st WHERE first <= year AND year <= last GROUP BY step, j, i),
+_HOLD = f"""{YEARS}, pc{CELLS.split(", pc", 1)[1]}, hc AS (SELECT step, j, i, min(name) AS name FROM pc, st WHERE first <= year AND year <= last GROUP BY step, j, i),
 al AS (SELECT st.step, c.j, c.i, hc.name, st.year FROM (SELECT DISTINCT j, i FROM pc) c CROSS JOIN st LEFT JOIN hc ON hc.step = st.step AND hc.j = c.j AND hc.i = c.i)"""
 
 
 def _holding(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The holder of each cell that has one at each change year, and the years."""
-    years = _changes(spark, sf_dir)
+    years = changes(spark, sf_dir)
     rows = interval_join(all_cells(spark, sf_dir), years.withColumn("until", F.col("year")), "first", "last", "year", "until", 10)
     return stored(rows.groupBy("step", "j", "i").agg(F.min("name").alias("name")), "holders"), years
 
@@ -82,13 +75,7 @@ def _holders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spine.join(held, ["step", "j", "i"], "left"), "maps")
 
 
-def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """step, name, j, i of all rows valid at each change year, overlaps and all."""
-    years = _changes(spark, sf_dir).withColumn("until", F.col("year"))
-    return interval_join(all_cells(spark, sf_dir), years, "first", "last", "year", "until", 10).select("step", "name", "j", "i").distinct()
-
-
-_DRAWN = f"""{_YEARS}, pc{CELLS.split(", pc", 1)[1]}, dr AS (SELECT DISTINCT CAST(step AS INT) AS step, name, CAST(j AS INT) AS j, CAST(i AS INT) AS i FROM pc, st WHERE first <= year AND year <= last)"""
+_DRAWN = f"""{YEARS}, pc{CELLS.split(", pc", 1)[1]}, dr AS (SELECT DISTINCT CAST(step AS INT) AS step, name, CAST(j AS INT) AS j, CAST(i AS INT) AS i FROM pc, st WHERE first <= year AND year <= last)"""
 
 _GONE = """m AS (SELECT *, last_value(name IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, first_value(name IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b,
   max(CASE WHEN name IS NOT NULL THEN step END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM al WINDOW w AS (PARTITION BY j, i ORDER BY step))"""
@@ -140,16 +127,6 @@ def step_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.unresolved(held, years, 40, 300_000.0, H, W, said).withColumn("km2", F.round("km2", 3))
 
 
-def lake_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """j, i of lakes: one of five rows and six columns for each nation."""
-    n = bind.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"))
-    cell = n.select((F.col("n") * 7 % 45).alias("j0"), (F.col("n") * 13 % W).alias("i0")).select(F.explode(F.sequence("j0", F.col("j0") + 4)).alias("j"), "i0")
-    return cell.select(F.col("j").cast("int").alias("j"), F.explode(F.sequence("i0", F.col("i0") + 5)).alias("i")).select("j", F.pmod("i", F.lit(W)).cast("int").alias("i")).distinct()
-
-
-_LAKES = f"lk AS (SELECT DISTINCT CAST(n_nationkey * 7 % 45 + y AS INT) AS j, CAST((n_nationkey * 13 % {W} + x) % {W} AS INT) AS i FROM nation, (SELECT unnest(range(5)) AS y), (SELECT unnest(range(6)) AS x))"
-
-
 def dry_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """j, i of the land, off the lakes."""
     dry = bind.table(spark, sf_dir, "orders").select((F.col("o_orderkey") % (H - 4) + 2).cast("int").alias("j"), F.expr(f"cast(o_orderkey div 50 % {W} as int)").alias("i")).distinct()
@@ -159,9 +136,13 @@ def dry_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("GE14")
 def step_unclaimed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of land that none holds at each change year, with what the map says of them and what becomes of them."""
-    held = stored(_drawn(spark, sf_dir), "drawn")
-    outer = held.select("name").distinct().withColumn("outer", F.concat(F.lit("U"), F.col("name").substr(2, 1)))
-    return steps.classify(steps.unclaimed(stored(dry_cells(spark, sf_dir), "dry"), held, stored(lake_cells(spark, sf_dir), "lakes"), outer, H, W), 2_000_000.0).withColumn("km2", F.round("km2", 3))
+    years = changes(spark, sf_dir)
+    rows = evolving.step_spans(bind.frame(spark, sf_dir, _P), years)
+    spans = cells.boxes(rows.select("name", "first", "last", "j0", "i0", "h", "w"), W)
+    outer = rows.select("name").distinct().withColumn("outer", F.concat(F.lit("U"), F.col("name").substr(2, 1)))
+    runs = evolving.unclaimed(stored(dry_cells(spark, sf_dir), "dry"), spans, stored(lake_cells(spark, sf_dir), "lakes"), outer, years.count(), H, W)
+    pieces = runs.withColumn("step", F.explode(F.sequence("first", "last"))).drop("first", "last")
+    return steps.classify(pieces, 2_000_000.0).withColumn("km2", F.round("km2", 3))
 
 
 @query("AG25", f"""{_DRAWN}, z AS (SELECT step, name, count(*) AS size FROM dr GROUP BY ALL), o AS (SELECT x.step, x.name AS a, y.name AS b, count(*) AS shared FROM dr x JOIN dr y ON x.step = y.step AND x.j = y.j AND x.i = y.i AND x.name < y.name GROUP BY ALL),
@@ -170,7 +151,7 @@ k AS (SELECT 'P' || CAST(row_id * 7 % 40 AS VARCHAR) AS a, name AS b, row_id % 3
 SELECT a, b, min(step) AS first, count(*) AS steps, max(shared) AS cells, round(max(share), 9) AS share, list_sort(list(DISTINCT winner)) AS winners, count(*) FILTER (dup) AS duplicate, count(*) FILTER (dup AND NOT known) AS unacknowledged FROM d GROUP BY a, b""")
 def step_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the overlaps of each pair of names come to over all change years."""
-    pairs = steps.overlap_pairs(stored(_drawn(spark, sf_dir), "drawn"))
+    pairs = steps.overlap_pairs(stored(drawn(spark, sf_dir), "drawn"))
     said = bind.frame(spark, sf_dir, _P).select(F.concat(F.lit("P"), (F.col("row_id") * 7 % 40).cast("string")).alias("a"), F.col("name").alias("b"), (F.col("row_id") % 30).alias("first"), (F.col("row_id") % 30 + 25).alias("last"))
     return steps.review(pairs, said, 0.5).withColumn("share", F.round("share", 9))
 
@@ -180,13 +161,13 @@ _BAND = f"""wl AS (SELECT l.j, l.i FROM lk l, {_AROUND}, lk o WHERE o.j = l.j +
 bd AS (SELECT DISTINCT l.j + y.d AS j, (l.i + x.d + {W}) % {W} AS i FROM lk l, {_AROUND}), ba AS (SELECT * FROM bd WHERE (j, i) NOT IN (SELECT (j, i) FROM lk) AND EXISTS (SELECT 1 FROM wl WHERE abs(wl.j - bd.j) <= 3 AND least(abs(wl.i - bd.i), {W} - abs(wl.i - bd.i)) <= 3))"""
 
 
-@query("GE9", f"WITH {_LAKES}, {_BAND} SELECT CAST(j AS INT) AS j, CAST(i AS INT) AS i FROM ba")
+@query("GE9", f"WITH {LAKES}, {_BAND} SELECT CAST(j AS INT) AS j, CAST(i AS INT) AS i FROM ba")
 def cell_shore_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells beside a lake where it is wide."""
     return cells.shore_band(lake_cells(spark, sf_dir), [], W)
 
 
-@query("VQ6 GE6", f"""{_HOLD.replace("WITH", "WITH RECURSIVE", 1)}, {_LAKES}, {_BAND}, hb AS (SELECT DISTINCT a.step, a.j, a.i FROM hc a JOIN hc b ON a.step = b.step AND a.name <> b.name AND ((a.j = b.j AND (a.i = (b.i + 1) % {W} OR b.i = (a.i + 1) % {W})) OR (a.i = b.i AND abs(a.j - b.j) = 1))),
+@query("VQ6 GE6", f"""{_HOLD.replace("WITH", "WITH RECURSIVE", 1)}, {LAKES}, {_BAND}, hb AS (SELECT DISTINCT a.step, a.j, a.i FROM hc a JOIN hc b ON a.step = b.step AND a.name <> b.name AND ((a.j = b.j AND (a.i = (b.i + 1) % {W} OR b.i = (a.i + 1) % {W})) OR (a.i = b.i AND abs(a.j - b.j) = 1))),
 n AS (SELECT hb.* FROM hb JOIN ba ON ba.j = hb.j AND ba.i = hb.i), r AS (SELECT *, j * {W} + i AS c FROM n UNION SELECT n.*, r.c FROM r JOIN n ON n.step = r.step AND abs(n.j - r.j) <= 1 AND (abs(n.i - r.i) <= 1 OR abs(n.i - r.i) = {W - 1})),
 lb AS (SELECT step, j, i, min(c) AS region FROM r GROUP BY ALL), x AS (SELECT step, region, count(*) AS cells, min(j) AS j0, min(i) AS i0, max(j) AS j1, max(i) AS i1 FROM lb GROUP BY ALL),
 k AS (SELECT *, round(400 * sqrt((j1 - j0 + 1) * (j1 - j0 + 1) + (i1 - i0 + 1) * (i1 - i0 + 1)), 6) AS km FROM x)
@@ -251,7 +232,7 @@ CAST(1800 + s_suppkey * 17 % 60 AS INT) AS first, CAST(1800 + s_suppkey * 17 % 6
 CASE WHEN s_suppkey % 10 = 3 THEN 'P' || CAST(s_suppkey % 19 AS STRING) || ' ; P' || CAST(s_suppkey % 40 + 1 AS STRING) ELSE '' END AS components, CASE WHEN s_suppkey % 4 = 1 THEN '(E1);(E' || CAST(s_suppkey % 7 AS STRING) || ')' WHEN s_suppkey % 20 = 3 THEN '(E0)' ELSE '' END AS member_of FROM {supplier}"""
 _KINDS = "SELECT '(E' || CAST(r_regionkey AS STRING) || ')' AS name, CASE WHEN r_regionkey < 3 THEN 'empire' ELSE 'grouping' END AS kind FROM {region}"
 _RELATIONS = "SELECT 'Vassalage of P' || CAST(n_nationkey AS STRING) || ' to E' || CAST(r_regionkey AS STRING) AS name, (n_nationkey + r_regionkey) % 3 > 0 AS counts FROM {nation}, {region} WHERE r_regionkey < 3"
-_UNDER = f"""{_YEARS}, un AS ({bind.duck(_UNITS)}), ki AS ({bind.duck(_KINDS)}), re AS ({bind.duck(_RELATIONS)}), va AS (SELECT step, name, polity, components, member_of FROM un, st WHERE first <= year AND year <= last),
+_UNDER = f"""{YEARS}, un AS ({bind.duck(_UNITS)}), ki AS ({bind.duck(_KINDS)}), re AS ({bind.duck(_RELATIONS)}), va AS (SELECT step, name, polity, components, member_of FROM un, st WHERE first <= year AND year <= last),
 na AS (SELECT DISTINCT step, name, name[1] = '(' AS comp FROM va WHERE polity),
 li AS (SELECT DISTINCT step, trim(c) AS child, name AS parent FROM (SELECT step, name, unnest(string_split(components, ';')) AS c FROM va WHERE polity AND name[1] = '(') WHERE trim(c) NOT IN ('', name)),
 cl AS (SELECT DISTINCT step, name, trim(c) AS parent FROM (SELECT step, name, unnest(string_split(member_of, ';')) AS c FROM va WHERE polity) WHERE trim(c) <> ''),
@@ -269,7 +250,7 @@ def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of polities, composites and relations valid at each change year."""
     from meridia.functions.text import split_list
 
-    years = _changes(spark, sf_dir).withColumn("until", F.col("year"))
+    years = changes(spark, sf_dir).withColumn("until", F.col("year"))
     rows = bind.frame(spark, sf_dir, _UNITS).select("name", "first", "last", "polity", split_list("components").alias("components"), split_list("member_of").alias("member_of"))
     return stored(interval_join(rows, years, "first", "last", "year", "until", 10).select("step", "name", "polity", "components", "member_of"), "units")
 
@@ -313,18 +294,18 @@ def step_tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.owed_holes(holes, ends, 2.0, bind.frame(spark, sf_dir, _KNOWN_HOLES))
 
 
-@query("GE16 GE17", f"""{_DRAWN.replace("WITH", "WITH RECURSIVE", 1)}, {_LAKES}, dy AS (SELECT DISTINCT CAST(o_orderkey % {H - 4} + 2 AS INT) AS j, CAST(o_orderkey // 50 % {W} AS INT) AS i FROM orders),
+@query("GE16 GE17", f"""{_DRAWN.replace("WITH", "WITH RECURSIVE", 1)}, {LAKES}, dy AS (SELECT DISTINCT CAST(o_orderkey % {H - 4} + 2 AS INT) AS j, CAST(o_orderkey // 50 % {W} AS INT) AS i FROM orders),
 n AS (SELECT step, name, j, i FROM dr SEMI JOIN (SELECT * FROM dy WHERE (j, i) NOT IN (SELECT (j, i) FROM lk)) d USING (j, i)),
 r AS (SELECT *, j * {W} + i AS c FROM n UNION SELECT n.*, r.c FROM r JOIN n ON n.step = r.step AND n.name = r.name AND ((n.j = r.j AND (n.i = (r.i + 1) % {W} OR r.i = (n.i + 1) % {W})) OR (n.i = r.i AND abs(n.j - r.j) = 1))),
 lb AS (SELECT step, name, j, i, min(c) AS region FROM r GROUP BY ALL) SELECT step, name, CAST(region AS BIGINT) AS region, count(*) AS cells, round(sum({_AREA.format("j")}), 3) AS km2, sum({_AREA.format("j")}) < 1500000 AS minor FROM lb GROUP BY ALL""")
 def step_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of each name on dry land at each change year, those of a small area marked minor."""
-    held = _drawn(spark, sf_dir).join(stored(dry_cells(spark, sf_dir), "dry"), ["j", "i"], "left_semi")
+    held = drawn(spark, sf_dir).join(stored(dry_cells(spark, sf_dir), "dry"), ["j", "i"], "left_semi")
     pieces = cells.regions(held, ["step", "name"], W).groupBy("step", "name", "region").agg(F.count(F.lit(1)).alias("cells"), F.sum(grid.km2(F.col("j"), H, W)).alias("km2"))
     return pieces.select("step", "name", "region", "cells", F.round("km2", 3).alias("km2"), (F.col("km2") < 1_500_000).alias("minor"))
 
 
-_PARTS = f"""pc{CELLS.split(", pc", 1)[1]}, dr AS (SELECT DISTINCT CAST(step AS INT) AS step, name, CAST(j AS INT) AS j, CAST(i AS INT) AS i FROM pc, st WHERE first <= year AND year <= last), {_LAKES}, dy AS (SELECT DISTINCT CAST(o_orderkey % {H - 4} + 2 AS INT) AS j, CAST(o_orderkey // 50 % {W} AS INT) AS i FROM orders),
+_PARTS = f"""pc{CELLS.split(", pc", 1)[1]}, dr AS (SELECT DISTINCT CAST(step AS INT) AS step, name, CAST(j AS INT) AS j, CAST(i AS INT) AS i FROM pc, st WHERE first <= year AND year <= last), {LAKES}, dy AS (SELECT DISTINCT CAST(o_orderkey % {H - 4} + 2 AS INT) AS j, CAST(o_orderkey // 50 % {W} AS INT) AS i FROM orders),
 n2 AS (SELECT dr.step, dr.name, coalesce(outer_unit, dr.name) AS outer_unit, dr.j, dr.i FROM dr SEMI JOIN (SELECT * FROM dy WHERE (j, i) NOT IN (SELECT (j, i) FROM lk)) d USING (j, i) LEFT JOIN ou ON ou.step = dr.step AND ou.name = dr.name), n3 AS (SELECT DISTINCT step, outer_unit, j, i FROM n2),
 r AS (SELECT *, j * {W} + i AS c FROM n3 UNION SELECT n3.*, r.c FROM r JOIN n3 ON n3.step = r.step AND n3.outer_unit = r.outer_unit AND ((n3.j = r.j AND (n3.i = (r.i + 1) % {W} OR r.i = (n3.i + 1) % {W})) OR (n3.i = r.i AND abs(n3.j - r.j) = 1))),
 lb AS (SELECT step, outer_unit, j, i, min(c) AS region FROM r GROUP BY ALL), sz AS (SELECT step, outer_unit, region, sum({_AREA.format("j")}) < 1500000 AS minor FROM lb GROUP BY ALL)"""
@@ -334,7 +315,7 @@ lb AS (SELECT step, outer_unit, j, i, min(c) AS region FROM r GROUP BY ALL), sz
 SELECT CAST(step AS INT) AS step, name, outer_unit, minor, count(*) AS cells FROM n2 JOIN lb USING (step, outer_unit, j, i) JOIN sz USING (step, outer_unit, region) GROUP BY ALL""")
 def step_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of each name on dry land at each change year, by pieces of its outer unit that are minor or not."""
-    held = _drawn(spark, sf_dir).join(stored(dry_cells(spark, sf_dir), "dry"), ["j", "i"], "left_semi").select("step", "name", "j", "i")
+    held = drawn(spark, sf_dir).join(stored(dry_cells(spark, sf_dir), "dry"), ["j", "i"], "left_semi").select("step", "name", "j", "i")
     got = steps.parts_of_units(held, stored(_outer(spark, sf_dir), "outer"), 1_500_000.0, H, W)
     return got.groupBy("step", "name", F.col("outer").alias("outer_unit"), "minor").agg(F.count(F.lit(1)).alias("cells"))
 
@@ -345,7 +326,7 @@ l AS (SELECT step, name, r, arg_max((length, first, e), (length, -first)) AS x,
 SELECT step, name, CAST(x[1] AS BIGINT) AS length, CAST("row" AS BIGINT) AS "row", CAST(x[2] AS BIGINT) AS first, CAST(x[3] AS BIGINT) AS "end" FROM (SELECT step, name, arg_min(x, (abs(r + 1.5 - low - 4), r)) AS x, arg_min(r, (abs(r + 1.5 - low - 4), r)) AS "row" FROM m JOIN p2 USING (step, name) WHERE n >= top * 0.97 GROUP BY step, name)""")
 def step_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest straight band three rows high in each name's land at each change year, near the fourth row of it."""
-    held = _drawn(spark, sf_dir)
+    held = drawn(spark, sf_dir)
     low = held.groupBy("step", "name").agg((F.min("j") + 4).alias("middle"))
     return cells.straight_bands(held.join(low, ["step", "name"]), ["step", "name"], 3, "middle", H)
 
@@ -375,14 +356,14 @@ def step_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked(rows, 16).withColumn("name_no", F.col("name_no").cast("long"))
 
 
-_IDLE = f"""{_YEARS}, {_HELD}, z AS (SELECT count(*) AS z FROM st), k AS (SELECT row_id AS ord, row_id % z AS y0, row_id % z + 3 AS y1, 'P' || CAST((row_id * 3 % 50) AS STRING) AS name FROM p, z),
+_IDLE = f"""{YEARS}, {_HELD}, z AS (SELECT count(*) AS z FROM st), k AS (SELECT row_id AS ord, row_id % z AS y0, row_id % z + 3 AS y1, 'P' || CAST((row_id * 3 % 50) AS STRING) AS name FROM p, z),
 x AS (SELECT ord, st.step FROM k, st WHERE st.step >= y0 AND st.step <= y1 AND NOT EXISTS (SELECT 1 FROM hd WHERE hd.step = st.step AND hd.name = k.name)) SELECT ord, CAST(count(*) AS BIGINT) AS idle_steps, CAST(min(step) AS INT) AS first FROM x GROUP BY ord"""
 
 
 @query("AG26", _IDLE)
 def step_idle_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corrections, one for each row, that change nothing in steps of their range."""
-    years = _changes(spark, sf_dir)
+    years = changes(spark, sf_dir)
     n = years.count()
     k = bind.frame(spark, sf_dir, _P).select(F.col("row_id").alias("ord"), (F.col("row_id") % n).cast("int").alias("y0"), F.concat(F.lit("P"), (F.col("row_id") * 3 % 50).cast("string")).alias("name"))
     due = k.withColumn("step", F.explode(F.sequence("y0", F.least(F.col("y0") + 3, F.lit(n - 1)))))

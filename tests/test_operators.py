@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meridia.functions import geo
-from meridia.operators import audits, cells, events, grid, joins, picks, steps
+from meridia.operators import audits, cells, evolving, events, grid, joins, picks, steps
 from meridia.operators.graph import components
 from meridia.sources import tables
 
@@ -240,24 +240,30 @@ def test_labels_equal_sequential_placing(spark, monkeypatch):
 
 
 def test_unclaimed_pieces_from_the_map(spark):
-    """The facts of each piece, and its rule, against a flood fill."""
+    """The facts of each piece, and its rule, against a flood fill at each step; at step 3 the map is empty."""
     r = random.Random(14)
-    rows, cols = 16, 24
+    rows, cols, last = 20, 27, 5
     dry = {(j, i) for j in range(rows) for i in range(cols) if j and r.random() < 0.995}
     lakes = {(j, i) for j in range(5, 9) for i in range(6, 10)}
     dry -= lakes
-    held, unit = set(), {"A": "U1", "B": "U1", "C": "U2"}
-    for step in (0, 1):
+    held, unit, at = set(), {"A": "U1", "B": "U1", "C": "U2"}, {}
+    for step in (0, 1, 2, 4, last):
         for name in unit:
-            j0, i0 = r.randint(0, 9), r.randint(0, 17)
+            if not step or name == "C" and step == 2 or name == "B" and step == last:
+                at[name] = r.randint(0, 13), r.randint(0, 20)
+            j0, i0 = at[name]
             held |= {(step, name, j, i) for j in range(j0, j0 + 7) for i in range(i0, i0 + 7) if (j, i) not in ((j0 + 3, i0 + 3), (j0 + 3, i0 + 4)) and j < rows}
     table = lambda x, schema: spark.createDataFrame(sorted(x), schema)
-    out = steps.classify(steps.unclaimed(table(dry, "j int, i int"), table(held, "step int, name string, j int, i int"), table(lakes, "j int, i int"), table(unit.items(), "name string, outer string"), rows, cols), 4e6)
+    spans = steps.merged(table(held, "step int, name string, j int, i int"), ["name", "j", "i"])
+    spans = spans.unionByName(spans).unionByName(spark.createDataFrame([("A", 1, 1, None, 9), ("B", 2, 2, 4, 1), ("C", 3, 3, 6, 9)], spans.schema))
+    found = evolving.unclaimed(table(dry, "j int, i int"), spans, table(lakes, "j int, i int"), table(unit.items(), "name string, outer string"), last + 1, rows, cols)
+    out = steps.classify(found.withColumn("step", F.explode(F.sequence("first", "last"))), 4e6).cache()
     got = {(x["step"], x["region"]): (x["cells"], x["wide"], x["core"], x["lake"], x["coast"], x["states"], x["state"], x["rule"]) for x in out.collect()}
-    area = {x["region"]: x["km2"] for x in out.collect() if x["step"] == 0}
+    areas = {(x["step"], x["region"]): x["km2"] for x in out.collect()}
+    area = lambda j: 6371.0088**2 * (2 * math.pi / cols) * (sin(radians(-90 + (j + 1) * 180 / rows)) - sin(radians(-90 + j * 180 / rows)))
     want = {}
     around = lambda j, i: [(j + a, (i + b) % cols) for a in (-1, 0, 1) for b in (-1, 0, 1) if 0 <= j + a < rows]
-    for step in (0, 1):
+    for step in range(last + 1):
         free = dry - {(j, i) for s, _, j, i in held if s == step}
         own = {}
         for s, n, j, i in held:
@@ -282,10 +288,11 @@ def test_unclaimed_pieces_from_the_map(spark):
             units = {u for c in beside for u in own.get(c, ())}
             lake, coast, wide = bool(beside & lakes), bool(beside - dry - lakes), bool(piece & core)
             region = min(j * cols + i for j, i in piece)
-            km2 = area.get(region, 0) if step == 0 else next(x["km2"] for x in out.where(f"step = 1 and region = {region}").collect())
+            km2 = sum(area(j) for j, _ in piece)
+            assert areas[step, region] == pytest.approx(km2)
             rule = ("kept" if wide else "sliver") if coast else "state" if len(units) == 1 else "lake" if lake and km2 < 4e6 else "kept" if wide else "narrow"
             want[step, region] = (len(piece), wide, len(piece & core), lake, coast, len(units), min(units) if len(units) == 1 else None, rule)
-    assert got == want and len(set(x[-1] for x in want.values())) > 2
+    assert got == want and out.count() == len(got) and found.count() < len(got) and len(set(x[-1] for x in want.values())) > 2
     told = spark.createDataFrame([(0, min(k[1] for k in want if k[0] == 0 and want[k][-1] in ("kept", "sliver")), False)], "step int, region long, stateless boolean")
     small = out.drop("rule").withColumn("km2", F.lit(1.0))
     assert steps.classify(small, 4e6, told).where("rule = 'correction'").count() == 1
@@ -294,6 +301,24 @@ def test_unclaimed_pieces_from_the_map(spark):
 HOLE = "hole long, step int, ord int, lon double, lat double, clon double, clat double, km2 double, states array<string>, lake boolean"
 
 
+def test_spans_of_years_in_steps(spark):
+    years = spark.createDataFrame([(0, 1800), (1, 1805), (2, 1812)], "step int, year int")
+    rows = spark.createDataFrame([("a", 1790, 1804), ("b", 1801, 1804), ("c", 1805, 1830), ("d", None, 1830)], "name string, first int, last int")
+    assert sorted(tuple(x) for x in evolving.step_spans(rows, years).collect()) == [("a", 0, 0), ("c", 1, 2)]
+
+
+def test_quiet_land_is_looked_at_once(spark):
+    """A cell taken and left 100 times cuts the island that it lies on, not the one 20 columns off."""
+    cells_ = [(j, i) for j in range(2, 5) for i in (*range(2, 5), *range(22, 25))]
+    spans = [("A", 2, 2, s, s) for s in range(1, 200, 2)]
+    out = evolving.unclaimed(spark.createDataFrame(cells_, "j int, i int"), spark.createDataFrame(spans, "name string, j int, i int, first int, last int"), spark.createDataFrame([], "j int, i int"), spark.createDataFrame([("A", "U")], "name string, outer string"), 200, 8, 40)
+    got = sorted((x["region"], x["first"], x["last"], x["cells"], x["states"]) for x in out.collect())
+    taken = 2 * 40 + 3
+    assert got == sorted([(2 * 40 + 22, 0, 199, 9, 0)] + [(taken, s, s, 8, 1) if s % 2 else (taken - 1, s, s, 9, 0) for s in range(200)])
+    empty = spark.createDataFrame([], "j int, i int")
+    assert evolving.unclaimed(empty, spark.createDataFrame(spans, "name string, j int, i int, first int, last int"), empty, spark.createDataFrame([], "name string, outer string"), 200, 8, 40).count() == 0
+
+
 def owed_in_order(holes, ends, reach, known):
     """The same by going through the steps, holding on to the holes of the step before."""
     places, last, before = [], [], None
