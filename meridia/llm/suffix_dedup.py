@@ -14,8 +14,9 @@ per cent of the text; only they are counted over all documents.
   grow geometrically and a window moves a logarithmic number of times.
 
 One anchor may have very many different stretches (a passage behind which each document
-goes on in its own way). Beyond a bound these do not go to one task: their windows
-are dealt by 128-bit digests and counted, with counts before the shuffle.
+goes on in its own way). Beyond a bound these do not go to one task: blocks of their windows
+are compared by 128-bit digests, counted before the shuffle, and only blocks that hold both
+windows that occur again and windows that may not are cut into smaller ones.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridia.llm.common import documents, stored
@@ -34,8 +35,10 @@ from meridia.llm.words import batches, span_hashes
 LENGTH = 200
 #: Windows of a stretch, and of a text that are looked at at once.
 STRETCH, SEGMENT = 256, 1 << 18
-#: Different stretches of an anchor beyond which its windows are dealt by digest; stretches of a batch and about those of a task.
+#: Different stretches of an anchor beyond which they are compared in blocks of windows; stretches of a batch and about those of a task.
 HOT, BATCH, TASK = 512, 512, 4096
+#: Places in an anchor's reach that a hot stretch's windows are looked at together, round by round.
+BLOCK = (64, 16, 4, 1)
 
 
 def anchor_size(length: int) -> int:
@@ -247,22 +250,89 @@ def _family(length: int):
     return run
 
 
-def _windows(length: int):
+def blocks(piece: bytes, first: int, n: int, q: int, size: int, length: int) -> Iterator[tuple[int, int, int, bytes, bytes, bytes]]:
+    """The n windows of a piece, whose first stands at q from the left of its anchor's reach, in blocks of `size` such places: first window, windows, place, bytes, digests of core and of bytes.
+
+    The core is what all windows have in common that the block's places can hold, seen by any of them alike.
+    """
+    width = length - anchor_size(length) + 1
+    for block in range(q // size, (q + n - 1) // size + 1):
+        begin, end = max(0, block * size - q), min(n, (block + 1) * size - q)
+        core = piece[min((block + 1) * size, width) - 1 - q : block * size - q + length]
+        part = piece[begin : end + length - 1]
+        yield first + begin, end - begin, q + begin, part, *(hashlib.blake2b(x, digest_size=16).digest() for x in (core, part))
+
+
+def segments(buffer: np.ndarray, sizes: np.ndarray, anchors: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of the stretches in buffer, one after the other, in which the anchor first stands at one place: stretch, first window, windows, place q."""
+    size = anchor_size(length)
+    n, start = sizes - length + 1, np.cumsum(sizes) - sizes
+    at = np.arange(len(buffer) - size + 1)
+    of = np.repeat(np.arange(len(sizes)), sizes)[: len(at)]
+    place = np.flatnonzero((span_hashes(buffer, at, at + size) == anchors.view(np.uint64)[of]) & (at + size <= (start + sizes)[of]))
+    stretch = np.repeat(np.arange(len(n)), n)
+    window = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    near = place[np.searchsorted(place, start[stretch] + window)]
+    begin = np.flatnonzero(np.concatenate(([True], (np.diff(near) != 0) | (np.diff(stretch) != 0))))
+    return stretch[begin], window[begin], np.diff(np.append(begin, len(near))), (start[stretch] + window - near)[begin] + length - size
+
+
+BLOCKS = "anchor long, digest long, known boolean, first long, n long, q long, bytes binary, core binary, outer binary"
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 2 + [pa.bool_()] + [pa.int64()] * 3 + [pa.binary()] * 3
+    names = [c.split()[0] for c in BLOCKS.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names)
+
+
+def _blocks(length: int, size: int):
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
             for i in range(0, len(batch), BATCH):
                 part = batch.slice(i, BATCH)
-                data = part.column("bytes").to_pylist()
-                n = np.array([len(d) - length + 1 for d in data])
-                of = np.repeat(np.arange(len(data)), n)
-                offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                seen = [hashlib.blake2b(d[j : j + length], digest_size=16).digest() for d in data for j in range(len(d) - length + 1)]
-                names = ["anchor", "digest"]
-                yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(of)) for c in names] + [pa.array(offset), pa.array(seen, pa.binary())], [*names, "first", "window"])
+                data, anchors, digests = (part.column(c).to_pylist() for c in ("bytes", "anchor", "digest"))
+                found = segments(np.frombuffer(b"".join(data), np.uint8), np.array([len(d) for d in data]), np.array(anchors, np.int64), length)
+                yield _rows([(anchors[k], digests[k], False, *b) for k, first, n, q in zip(*(x.tolist() for x in found), strict=True) for b in blocks(data[k][first : first + n + length - 1], first, n, q, size, length)])
 
     return run
 
 
+def _split(length: int, size: int):
+    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow:
+            for i in range(0, len(batch), BATCH):
+                rows = zip(*(batch.slice(i, BATCH).column(c).to_pylist() for c in ("anchor", "digest", "known", "first", "n", "q", "bytes")), strict=True)
+                yield _rows([(anchor, digest, known, *b) for anchor, digest, known, first, n, q, piece in rows for b in blocks(piece, first, n, q, size, length)])
+
+    return run
+
+
+def hot_ranges(stretches: DataFrame, length: int = LENGTH) -> DataFrame:
+    """anchor, digest, first, last: runs of windows that occur again, of different stretches(anchor, digest, bytes) that may be very many to an anchor.
+
+    Equal windows hold their anchor at one place, so windows are looked at in blocks of places. All windows of a block
+    repeat if its bytes do, none does if its core occurs once; what is neither is looked at in smaller blocks, down to single windows.
+    """
+    sizes = [s for s in BLOCK if s <= length]
+    rows, hits = stretches.mapInArrow(_blocks(length, sizes[0]), BLOCKS), None
+    own = F.struct("anchor", "digest", "first")
+    for i, size in enumerate(sizes):
+        rows = stored(rows, "hot-blocks")
+        if i and rows.isEmpty():
+            break
+        outer = stored(rows.groupBy("outer").agg(F.count(F.lit(1)).alias("c"), F.min(own).alias("one")).where("c > 1").drop("c"), "hot-outer")
+        met = stored(rows.join(outer, "outer", "left"), "hot-met")
+        hit = met.where("one is not null and not known").select("anchor", "digest", "first", (F.col("first") + F.col("n")).alias("last"))
+        hits = hit if hits is None else hits.unionByName(hit)
+        if size > 1:
+            # Of blocks with equal bytes one goes on, known to repeat, as blocks that cover other windows may share some with it.
+            left = met.where(F.col("one").isNull() | (F.col("one") == own)).withColumn("known", F.col("known") | F.col("one").isNotNull())
+            core = stored(left.groupBy("core").agg(F.count(F.lit(1)).alias("c"), F.min("known").alias("known")).where("c > 1 and not known").select("core"), "hot-core")
+            rows = left.join(core, "core", "left_semi").select("anchor", "digest", "known", "first", "n", "q", "bytes").mapInArrow(_split(length, sizes[i + 1]), BLOCKS)
+    return hits
+
+
 def _finisher(keep: bool):
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
@@ -311,15 +381,12 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     some, many = bytes_.where(F.col("kinds") <= hot), bytes_.where(F.col("kinds") > hot)
     tasks = max(1, -(-some.count() // TASK))
     ranges = some.repartition(tasks, "anchor").select("anchor", "digest", "bytes").mapInArrow(_family(length), "anchor long, digest long, first long, last long")
-    # Windows of anchors with very many stretches, counted by digest.
-    seen = stored(many.dropDuplicates(["anchor", "digest"]).select("anchor", "digest", "bytes").mapInArrow(_windows(length), "anchor long, digest long, first long, window binary"), "hot-windows")
-    twice = stored(seen.groupBy("window").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("window"), "hot-repeats")
-    single = seen.join(twice, "window", "left_semi").select("anchor", "digest", "first")
-    island = F.col("first") - F.row_number().over(Window.partitionBy("anchor", "digest").orderBy("first"))  # windows of one stretch
-    joint = single.withColumn("island", island).groupBy("anchor", "digest", "island").agg(F.min("first").alias("first"), (F.max("first") + 1).alias("last")).drop("island")
+    parts = whole.unionByName(ranges)
+    if not many.isEmpty():
+        parts = parts.unionByName(hot_ranges(many.select("anchor", "digest", "bytes").dropDuplicates(["anchor", "digest"]), length))
 
     # One row per stretch, so that an occurrence meets one.
-    every = whole.unionByName(ranges).unionByName(joint).groupBy("anchor", "digest").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    every = parts.groupBy("anchor", "digest").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     hits = occurs.select("mark", "start", "anchor", "digest").join(stored(every, "ranges"), ["anchor", "digest"])
     span = lambda r: F.struct((F.col("start") + r["first"]).alias("a"), (F.col("start") + r["last"] + (length - 1)).alias("b"))
     return stored(hits.groupBy("mark").agg(F.flatten(F.collect_list(F.transform("ranges", span))).alias("spans")), "spans")  # of one text

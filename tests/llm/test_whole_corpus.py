@@ -100,6 +100,27 @@ def test_repeats_equal_brute_force(spark, monkeypatch, length, hot):
     assert suffix_dedup.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_rows_of_hot_stretches(spark, monkeypatch):
+    """Stretches that share an anchor cost some rows each, not one for each of their windows, and lose no match with blocks that are settled before."""
+    r = random.Random(5)
+    text = lambda n: "".join(r.choices("abcdefgh", k=n))
+    passage, tail = text(400), text(150)
+    rows = [(i, text(30) + passage + text(300)) for i in range(60)]  # each goes on in its own way
+    rows += [(100 + i, text(30) + passage + tail[: 10 * (i // 3)] + text(100)) for i in range(45)]  # shares 0 to 140 more bytes with others
+    rows += [(200 + i, passage[i:] + tail[: 7 * i] + "-" * 300 + text(50)) for i in range(20)]
+    made, stored = Counter(), suffix_dedup.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        made[name] += out.count() if name.startswith("hot-") else 0
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "stored", counted)
+    got = suffix_dedup.remove_repeats(docs(spark, rows), hot=8)
+    assert sorted_rows(got) == repeats_brute(rows, 200)
+    assert 0 < max(made.values()) < 6000
+
+
 def test_kept_bytes_and_texts_in_segments(spark):
     r = random.Random(8)
     passage = " ".join(r.choices(WORDS, k=50))
