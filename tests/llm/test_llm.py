@@ -592,6 +592,17 @@ def test_mixing_to_given_targets(spark):
     assert mixing.fit(given.limit(0)).count() == 0 and mixing.mix(given.limit(0), targets=targets).count() == 0
 
 
+def test_a_bound_that_no_factor_ends_above_changes_nothing(spark):
+    """Factors that are above the bound only on the way are those that mix() has, so rows come out as often as its weights say."""
+    rows = [("s1", "en", "long", 30000.0), ("s1", "", "short", 1.0), ("s0", "", "short", 5.0), ("s0", "en", "short", 5.0), ("s1", "en", "short", 5.0)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, w double")
+    factors = lambda bound: {x[:3]: x["factor"] for x in mixing.rake(cells, bound=bound).select(*mixing.MARGINS, "factor").collect()}
+    free = factors(None)
+    most = max(free.values())
+    assert factors(most * 1.01) == free
+    assert factors(most * 0.9) != free and max(factors(most * 0.9).values()) <= most * 0.9
+
+
 def test_mixing_bounds_the_copies_of_a_rare_cell(spark):
     """One document is to be half of all tokens: it comes out as often as the bound says, and the report says what that leaves unmet."""
     r = random.Random(17)
