@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from meridia.operators.cells import opened, overlaps, regions, runs
 from meridia.operators.grid import km2
 from meridia.operators.joins import closure, interval_join
-from meridia.shared import join_bounded, stored
+from meridia.shared import bounded, join_bounded, shuffled, stored
 
 
 def change_years(rows: DataFrame) -> DataFrame:
@@ -265,7 +265,7 @@ def linked(holes: DataFrame, reach: float) -> DataFrame:
     around = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)])
     a = a.withColumn("c", F.explode(around)).select("*", (bucket("lon0") + F.col("c.x")).alias("bx"), (bucket("lat0") + F.col("c.y")).alias("by")).drop("c")
     b = holes.select("hole", "step", "lon", "lat", bucket("lon").alias("bx"), bucket("lat").alias("by"))
-    near = a.join(b, ["step", "bx", "by"]).where((F.abs(F.col("lon") - F.col("lon0")) <= reach) & (F.abs(F.col("lat") - F.col("lat0")) <= reach))
+    near = a.join(shuffled(b), ["step", "bx", "by"]).where((F.abs(F.col("lon") - F.col("lon0")) <= reach) & (F.abs(F.col("lat") - F.col("lat0")) <= reach))
     return near.groupBy("hole").agg(F.min_by("up", F.struct("up_ord", "up")).alias("up"))
 
 
@@ -275,10 +275,10 @@ def tracked(holes: DataFrame, reach: float) -> DataFrame:
     `step` counts the steps. A hole has one hole before it at most, so tracks are trees whose roots are found by doubling:
     as many rounds as the logarithm of the number of steps. Nulls in lon or lat are near nothing; an empty table gives no rows.
     """
-    at = stored(holes.select("hole").join(linked(holes, reach), "hole", "left").select("hole", F.coalesce("up", "hole").alias("track")), "tracks")
+    at = stored(holes.select("hole").join(shuffled(linked(holes, reach)), "hole", "left").select("hole", F.coalesce("up", "hole").alias("track")), "tracks")
     while True:
         far = at.select(F.col("hole").alias("track"), F.col("track").alias("next"))
-        after = stored(at.join(far, "track").select("hole", F.col("next").alias("track"), (F.col("next") != F.col("track")).alias("moved")), "tracks")
+        after = stored(at.join(shuffled(far), "track").select("hole", F.col("next").alias("track"), (F.col("next") != F.col("track")).alias("moved")), "tracks")
         if after.where("moved").isEmpty():
             return after.select("hole", "track")
         at = after.select("hole", "track")
@@ -291,12 +291,12 @@ def owed_holes(holes: DataFrame, ends: DataFrame, reach: float, known: DataFrame
     the first met), its states those of all holes, sorted. The id names the years and the largest hole's centroid to the
     whole degree; tracks that would share one are told apart by numbers in the order in which they begin. known(id) are acknowledged.
     """
-    rows = tracked(holes, reach).join(holes, "hole").join(ends, "step")
+    rows = tracked(holes, reach).join(shuffled(holes), "hole").join(bounded(ends), "step")
     best = F.max_by(F.struct("lon", "lat", "clon", "clat", "km2"), F.struct("km2", -F.col("step"), -F.col("ord"))).alias("best")
     told = rows.select("*", F.explode_outer("states").alias("state"))
     states = told.groupBy("track").agg(F.array_sort(F.collect_set("state")).alias("states"))  # of one place
     begun = F.min(F.struct("step", "ord", "hole")).alias("begun")
-    places = rows.groupBy("track").agg(best, F.min("year").alias("first"), F.max("until").alias("last"), F.bool_or("lake").alias("lake"), F.count(F.lit(1)).alias("holes"), begun).join(states, "track")
+    places = rows.groupBy("track").agg(best, F.min("year").alias("first"), F.max("until").alias("last"), F.bool_or("lake").alias("lake"), F.count(F.lit(1)).alias("holes"), begun).join(shuffled(states), "track")
     degree = lambda x: F.floor(F.col(f"best.{x}") + 0.5)
     side = lambda x, plus, minus: F.concat(F.abs(degree(x)).cast("string"), F.when(degree(x) < 0, minus).otherwise(plus))
     base = F.concat(F.lit("hole "), F.col("first").cast("string"), F.lit(".."), F.col("last").cast("string"), F.lit(" "), side("clon", "E", "W"), F.lit(" "), side("clat", "N", "S"))

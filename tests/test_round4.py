@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from meridia import registry
 from meridia.functions import geo
+from meridia.operators import steps
 
 registry.load()
 
@@ -41,3 +42,26 @@ def test_atan_is_the_nearest_double(spark):
     got = [x["a"] for x in spark.createDataFrame([(x,) for x in xs], "x double").coalesce(1).select(geo.atan("x").alias("a")).collect()]
     assert sum(a != math.atan(x) for a, x in zip(got, xs, strict=True)) <= 20 and all(math.isclose(a, math.atan(x), rel_tol=3e-16) for a, x in zip(got, xs, strict=True))
     assert spark.range(1).select(geo.atan(F.lit(None).cast("double")).alias("a")).first()["a"] is None
+
+
+def plans(monkeypatch, *modules) -> list[str]:
+    """Physical plans of what modules store from now on."""
+    out: list[str] = []
+    for module in modules:
+        kept = module.stored
+        monkeypatch.setattr(module, "stored", lambda df, name, kept=kept: (out.append(df._jdf.queryExecution().executedPlan().toString()), kept(df, name))[1])
+    return out
+
+
+HOLE = "hole long, step int, ord int, lon double, lat double, clon double, clat double, km2 double, states array<string>, lake boolean"
+
+
+def test_tracks_broadcast_no_side_for_the_size_of_its_files(spark, monkeypatch):
+    # A few MB of files can be a million holes, which the driver can't hold as one broadcast.
+    seen = plans(monkeypatch, steps)
+    holes = spark.createDataFrame([(k, k % 3, k, float(k % 5), float(k % 2), 1.0, 1.0, float(k), ["East"], False) for k in range(30)], HOLE)
+    ends = spark.createDataFrame([(s, 1800 + s, 1800 + s) for s in range(3)], "step int, year int, until int")
+    out = steps.owed_holes(steps.stored(holes, "holes"), steps.stored(ends, "ends"), 2.0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert any("SortMergeJoin" in p for p in seen) and not any("BroadcastHashJoin" in p for p in seen)
+    assert plan.count("BroadcastHashJoin") == plan.count("BroadcastHashJoin [step") > 0  # the steps, which were counted
