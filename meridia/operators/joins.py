@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridia.shared import stored
+from meridia.shared import shuffled, stored
 
 
 #: Buckets that a short span touches at most, and by which those of long spans are wider.
@@ -93,7 +93,7 @@ def closure(edges: DataFrame, most: int = 64) -> DataFrame:
             break
         before = now
         up = reach.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("above"), F.col("depth").alias("more"))
-        longer = reach.join(up, "ancestor").select("node", F.col("above").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        longer = reach.join(shuffled(up), "ancestor").select("node", F.col("above").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
         reach = stored(reach.unionByName(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")), "closure")
     return reach
 

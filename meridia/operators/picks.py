@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meridia.functions import cal, geo
 from meridia.operators.joins import asof_join, interval_join
-from meridia.shared import join_bounded, stored
+from meridia.shared import bounded, join_bounded, shuffled, stored
 
 #: Rows that a greedy pick looks at together; what they do not settle is looked at in another batch.
 BATCH = 512
@@ -40,7 +40,7 @@ def spaced(rows: DataFrame, km: float, k: int) -> DataFrame:
 
 def near_in_time(frames: DataFrame, rows: DataFrame, width: int, longest: int) -> DataFrame:
     """Candidates of frames(frame, w0, w1): rows(id, t0, t1) whose span, no longer than `longest` days, meets the window."""
-    return interval_join(frames, rows.where(F.col("t1") - F.col("t0") <= longest), "w0", "w1", "t0", "t1", width)
+    return interval_join(bounded(stored(frames, "frames")), rows.where(F.col("t1") - F.col("t0") <= longest), "w0", "w1", "t0", "t1", width)
 
 
 def month_frames(beats: DataFrame, pad: int) -> DataFrame:
@@ -68,10 +68,11 @@ def month_frames(beats: DataFrame, pad: int) -> DataFrame:
 
 def with_kin(candidates: DataFrame, lineage: DataFrame) -> DataFrame:
     """candidates(frame, id) with kin: which of their ancestors in lineage(node, ancestor) are candidates of the same frame."""
+    candidates = stored(candidates, "candidates")
     ids = candidates.select("frame", "id").distinct()
-    pairs = ids.join(lineage.select(F.col("node").alias("id"), "ancestor"), "id").join(ids.withColumnRenamed("id", "ancestor"), ["frame", "ancestor"], "left_semi")
+    pairs = ids.join(shuffled(lineage.select(F.col("node").alias("id"), "ancestor")), "id").join(shuffled(ids.withColumnRenamed("id", "ancestor")), ["frame", "ancestor"], "left_semi")
     kin = pairs.groupBy("frame", "id").agg(F.array_sort(F.collect_set("ancestor")).alias("kin"))  # as many as the forest is deep
-    return candidates.join(kin, ["frame", "id"], "left").withColumn("kin", F.coalesce("kin", F.array().cast("array<bigint>")))
+    return candidates.join(shuffled(kin), ["frame", "id"], "left").withColumn("kin", F.coalesce("kin", F.array().cast("array<bigint>")))
 
 
 def choose(candidates: DataFrame, n: int, apart_km: float, reach: int, taken: DataFrame | None = None) -> DataFrame:
@@ -97,7 +98,7 @@ def choose(candidates: DataFrame, n: int, apart_km: float, reach: int, taken: Da
         left = stored(_clear_of(left, new, apart_km), "candidates")
         counts = taken.groupBy("frame").agg(F.max("place").alias("_last"))
         best = left.groupBy("frame").agg(F.min_by(F.struct(*keep), order).alias("b"))
-        best = best.join(counts, "frame", "left").withColumn("place", F.coalesce(F.col("_last") + 1, F.lit(0))).where(F.col("place") < n)
+        best = best.join(shuffled(counts), "frame", "left").withColumn("place", F.coalesce(F.col("_last") + 1, F.lit(0))).where(F.col("place") < n)
         new = stored(best.select("frame", "place", "b.*"), "picked")
         if new.isEmpty():
             return taken
@@ -108,7 +109,7 @@ def _clear_of(left: DataFrame, new: DataFrame, apart_km: float) -> DataFrame:
     """Candidates that clash with none of their frame's new picks."""
     of = new.groupBy("frame").agg(F.collect_list(F.struct("id", "lon", "lat", "kin")).alias("_new"))  # picks and pins, few
     clash = F.exists("_new", lambda t: (t["id"] == F.col("id")) | F.array_contains(t["kin"], F.col("id")) | F.array_contains("kin", t["id"]) | (geo.great_circle_km("lon", "lat", t["lon"], t["lat"]) < apart_km))
-    return join_bounded(left, of, ["frame"]).where(F.col("_new").isNull() | ~clash).drop("_new")
+    return left.join(bounded(of, new), ["frame"], "left").where(F.col("_new").isNull() | ~clash).drop("_new")
 
 
 def in_turn(candidates: DataFrame, n: int, apart_km: float, reach: int, sparse: tuple[tuple[float, int], ...] = ()) -> DataFrame:

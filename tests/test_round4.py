@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 import random
+import re
 
 import duckdb
 from pyspark.sql import functions as F
 
-from meridia import registry
+from meridia import registry, shared
 from meridia.functions import geo
-from meridia.operators import steps
+from meridia.operators import joins, picks, steps
 
 registry.load()
 
@@ -65,3 +66,23 @@ def test_tracks_broadcast_no_side_for_the_size_of_its_files(spark, monkeypatch):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert any("SortMergeJoin" in p for p in seen) and not any("BroadcastHashJoin" in p for p in seen)
     assert plan.count("BroadcastHashJoin") == plan.count("BroadcastHashJoin [step") > 0  # the steps, which were counted
+
+
+def test_picks_broadcast_only_what_was_counted(spark, monkeypatch):
+    seen = plans(monkeypatch, picks, joins)
+    lineage = joins.closure(spark.createDataFrame([(k, k // 3) for k in range(1, 40)], "child long, parent long"))
+    assert not any("BroadcastHashJoin" in p for p in seen)
+    rows = [(f, k, k * 7 % 10, False, k % 2 == 0, k % 9, 0, float(k * 9 % 100), float(k % 50)) for f in (1, 2) for k in range(40)]
+    df = spark.createDataFrame(rows, "frame long, id long, score int, pinned boolean, near boolean, nearness int, used int, lon double, lat double")
+    kin = picks.with_kin(picks.stored(df, "given"), lineage)
+    assert "BroadcastHashJoin" not in kin._jdf.queryExecution().executedPlan().toString()
+    assert picks.choose(kin, 3, 800.0, 8).groupBy("frame").count().collect() == [(1, 3), (2, 3)] or picks.choose(kin, 3, 800.0, 8).count() == 6
+    # Frames are counted, and when they are many both sides are shuffled; rows never are broadcast.
+    frames = spark.createDataFrame([(f, 10 * f, 10 * f + 5) for f in range(30)], "frame int, w0 int, w1 int")
+    events = spark.createDataFrame([(k, k, k + 2) for k in range(300)], "id int, t0 int, t1 int")
+    few = picks.near_in_time(frames, picks.stored(events, "rows"), 32, 300)
+    assert re.search("BroadcastHashJoin .*, Build(Left|Right)", few._jdf.queryExecution().executedPlan().toString())[0].count("BuildLeft") == 1
+    monkeypatch.setattr(picks, "bounded", lambda df, rows=None, most=10: shared.bounded(df, rows, 10))
+    many = picks.near_in_time(frames, picks.stored(events, "rows"), 32, 300)
+    assert "BroadcastHashJoin" not in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, many.select("frame", "id").collect())) == sorted(map(tuple, few.select("frame", "id").collect())) != []
