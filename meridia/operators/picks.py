@@ -129,16 +129,16 @@ def in_turn(candidates: DataFrame, n: int, apart_km: float, reach: int, sparse:
     own = rows.select("series", "turn", "frame", "id", "nearness", "pinned")
     # What the next frame would take, as uses by this one: where it is pinned there or nearer to that day.
     there = own.select("series", "frame", "id", F.col("nearness").alias("then"), F.col("pinned").alias("_pin"))
-    lent = alone.join(there, ["series", "frame", "id"]).select("series", "turn", "id", "then", "_pin").join(own.select("series", "turn", "id", "nearness"), ["series", "turn", "id"]).where("_pin or then < nearness")
+    lent = alone.join(shuffled(there), ["series", "frame", "id"]).select("series", "turn", "id", "then", "_pin").join(shuffled(own.select("series", "turn", "id", "nearness")), ["series", "turn", "id"]).where("_pin or then < nearness")
     lent = stored(lent.select("series", "turn", "id").distinct(), "lent")
     done, shown = None, None
     for turn in range(turns + 1):
         here = rows.where(F.col("turn") == turn)
-        uses = lent.where(F.col("turn") == turn).select("series", "id")
+        uses = lent.where(F.col("turn") == turn).select("series", "id", F.lit(1).cast("long").alias("used"))
         if shown is not None:
-            uses = uses.unionByName(shown.select("series", "id"))
-        uses = uses.groupBy("series", "id").agg(F.count(F.lit(1)).alias("used"))
-        here = stored(here.join(uses, ["series", "id"], "left").withColumn("used", F.coalesce("used", F.lit(0))), "turn")
+            uses = uses.unionByName(shown)
+        uses = uses.groupBy("series", "id").agg(F.sum("used").alias("used"))
+        here = stored(here.join(shuffled(uses), ["series", "id"], "left").withColumn("used", F.coalesce("used", F.lit(0))), "turn")
         got = choose(here.where("_inside"), n, apart_km, reach)
         for spacing, wide in sparse:
             full = got.groupBy("frame").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= n)
@@ -146,9 +146,11 @@ def in_turn(candidates: DataFrame, n: int, apart_km: float, reach: int, sparse:
             reached = (F.col("first") <= F.greatest(F.col("w1"), F.col("day") + wide)) & (F.col("last") >= F.least(F.col("w0"), F.col("day") - wide))
             got = choose(short.where(reached), n, spacing, reach, taken=got)
         picked = stored(got.join(of.where(F.col("turn") == turn).select("series", "frame"), "frame").select("series", "frame", "place", "id", "near"), "picked")
-        done = picked if done is None else done.unionByName(picked)
-        near = picked.where("near").select("series", "id")
-        shown = near if shown is None else shown.unionByName(near)
+        # Each turn reads one table of what turns before took, however many they are.
+        done = picked if done is None else stored(done.unionByName(picked), "done")
+        near = picked.where("near").select("series", "id", F.lit(1).cast("long").alias("used"))
+        near = near if shown is None else near.unionByName(shown)
+        shown = stored(near.groupBy("series", "id").agg(F.sum("used").alias("used")), "shown")
     return done.select("series", "frame", "place", "id")
 
 

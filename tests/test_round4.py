@@ -86,3 +86,13 @@ def test_picks_broadcast_only_what_was_counted(spark, monkeypatch):
     many = picks.near_in_time(frames, picks.stored(events, "rows"), 32, 300)
     assert "BroadcastHashJoin" not in many._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, many.select("frame", "id").collect())) == sorted(map(tuple, few.select("frame", "id").collect())) != []
+
+
+def test_turns_read_one_table_of_uses_each(spark, monkeypatch):
+    # Plans must not grow by a table with every turn.
+    seen = plans(monkeypatch, picks)
+    rows = [(0, t, t, k, k * 7 % 10, False, True, 1, 10 * t, 10 * t, 10 * t + 1, 10 * t - 5, 10 * t + 5, float(k * 9 % 100), float(k % 50)) for t in range(8) for k in range(12)]
+    df = spark.createDataFrame(rows, "series long, turn int, frame long, id long, score int, pinned boolean, near boolean, nearness long, day long, first long, last long, w0 long, w1 long, lon double, lat double")
+    out = picks.in_turn(picks.with_kin(df, spark.createDataFrame([], "node long, ancestor long")), 2, 500.0, 8)
+    assert out.count() == 16
+    assert max(p.count("FileScan") for p in [*seen, out._jdf.queryExecution().executedPlan().toString()]) <= 4
