@@ -20,6 +20,20 @@ def great_circle_km(lon1, lat1, lon2, lat2) -> Column:
     return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), h))))
 
 
+def km_between(lat1, cos1, lon1, lat2, cos2, lon2) -> Column:
+    """great_circle_km() from latitudes in radians and their cosines, to the last bit; longitudes in degrees."""
+    a, b = F.sin((col(lat2) - col(lat1)) / 2), F.sin(F.radians(col(lon2) - col(lon1)) / 2)
+    h = a * a + col(cos1) * col(cos2) * (b * b)
+    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), h))))
+
+
+def half_up(x, digits: int) -> Column:
+    """A number that is not negative rounded as DuckDB does, without the decimals that Spark's round() makes of every double."""
+    scaled = col(x) * float(10**digits)
+    low = F.floor(scaled)
+    return (low + F.when(scaled - low >= 0.5, 1).otherwise(0)) / float(10**digits)
+
+
 def bearing(lon1, lat1, lon2, lat2) -> Column:
     """Degrees clockwise from north at the first point."""
     a, b, d = F.radians(col(lat1)), F.radians(col(lat2)), F.radians(col(lon2) - col(lon1))

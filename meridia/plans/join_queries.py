@@ -70,7 +70,7 @@ def jn_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jn_within_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers within 1500 km of a supplier."""
     pairs = joins.near_join(bind.frame(spark, sf_dir, _HOUSES), bind.frame(spark, sf_dir, _GUESTS), 1500.0)
-    return pairs.select("a", "b", F.round("km", 5).alias("km"))
+    return pairs.select("a", "b", geo.half_up("km", 5).alias("km"))
 
 
 _DEEDS = "SELECT user_id AS u, ts AS at, event_id AS k FROM {events} WHERE event_type IN ('purchase', 'error')"

@@ -96,3 +96,23 @@ def test_turns_read_one_table_of_uses_each(spark, monkeypatch):
     out = picks.in_turn(picks.with_kin(df, spark.createDataFrame([], "node long, ancestor long")), 2, 500.0, 8)
     assert out.count() == 16
     assert max(p.count("FileScan") for p in [*seen, out._jdf.queryExecution().executedPlan().toString()]) <= 4
+
+
+def test_near_pairs_cost_a_dot_product(spark):
+    r = random.Random(6)
+    pts = spark.createDataFrame([(i, r.uniform(-180, 180), r.choice([r.uniform(-90, 90), r.uniform(80, 90), 0.0])) for i in range(120)] + [(120, None, 1.0), (121, 0.0, 0.0), (122, 180.0, 0.0), (123, 0.0, 0.0)], "a long, lon double, lat double")
+    other = pts.withColumnRenamed("a", "b")
+    both = pts.dropna().crossJoin(other.dropna().select("b", F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))).select("a", "b", geo.great_circle_km("lon", "lat", "lon2", "lat2").alias("km"))
+    want = {(x["a"], x["b"]): x["km"] for x in both.where("km is not null").collect()}
+    for km in (0.0, 1e-4, sorted(want.values())[1500], 1500.0, 12000.0, 25000.0):  # the third is the distance of a pair to the last bit
+        got = {(x["a"], x["b"]): x["km"] for x in joins.near_join(pts, other, km).collect()}
+        assert got == {k: v for k, v in want.items() if v <= km}
+    plan = joins.near_join(pts, other, 1500.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "COS(" not in plan[: plan.index("Join")] + next(x for x in plan.splitlines() if "Join" in x)  # no cosines per pair
+
+
+def test_distances_are_rounded_as_the_sql_does(spark):
+    r = random.Random(7)
+    xs = [0.0, 0.000005, 1.000005, 123.456785, 1499.999995, 0.49999999999999994e-5, *[k / 1e6 + 5e-6 for k in range(0, 3000, 10)], *[r.uniform(0, 20000) for _ in range(500)]]
+    got = [x["v"] for x in spark.createDataFrame([(x,) for x in xs], "x double").coalesce(1).select(geo.half_up("x", 5).alias("v")).collect()]
+    assert got == [duckdb.execute("SELECT round(CAST(? AS DOUBLE), 5)", [x]).fetchall()[0][0] for x in xs]
