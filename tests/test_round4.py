@@ -116,3 +116,19 @@ def test_distances_are_rounded_as_the_sql_does(spark):
     xs = [0.0, 0.000005, 1.000005, 123.456785, 1499.999995, 0.49999999999999994e-5, *[k / 1e6 + 5e-6 for k in range(0, 3000, 10)], *[r.uniform(0, 20000) for _ in range(500)]]
     got = [x["v"] for x in spark.createDataFrame([(x,) for x in xs], "x double").coalesce(1).select(geo.half_up("x", 5).alias("v")).collect()]
     assert got == [duckdb.execute("SELECT round(CAST(? AS DOUBLE), 5)", [x]).fetchall()[0][0] for x in xs]
+
+
+def test_interval_pairs_equal_the_join_and_come_in_lots(spark):
+    r = random.Random(8)
+    span = lambda n: [(k if k % 7 else None, d, d + r.choice([0, 3, 3, 900])) for k in range(n) for d in [r.choice([5, 6, 40, 400])]]
+    a = spark.createDataFrame([*span(90), (91, None, 4), (92, 9, 2)], "k long, a0 long, a1 long")
+    b = spark.createDataFrame([*span(70), (71, 4, None)], "f long, b0 long, b1 long")
+    args = a, b, "a0", "a1", "b0", "b1", 4
+    want = sorted(map(str, joins.interval_join(*args).select("k", "f").collect()))
+    for lot in (512, 3):
+        assert sorted(map(str, joins.interval_pairs(*args, "k", "f", lot).collect())) == want
+    # A key stands beside all keys of a lot, then the next key beside the same ones in the same order.
+    one = joins.interval_pairs(spark.range(6).selectExpr("id AS k", "1 AS a0", "2 AS a1"), spark.range(5).selectExpr("id AS f", "2 AS b0", "3 AS b1"), "a0", "a1", "b0", "b1", 4, "k", "f").collect()
+    assert [x["f"] for x in one] == 6 * [x["f"] for x in one[:5]] and [x["k"] for x in one[::5]] == [x["k"] for x in one[4::5]]
+    query = registry.QUERIES["jn_interval"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= query.index("Generate explode(_rs") < query.index("Join Inner")
